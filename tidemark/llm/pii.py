@@ -52,14 +52,14 @@ SPAN = "array<struct<start:int,rank:int,stop:int,score:double>>"
 
 
 def _luhn(match: Column) -> Column:
-    digits = F.split(F.reverse(F.regexp_replace(match, "[^0-9]", "")), "(?!^)")
+    digits = F.split(F.reverse(F.regexp_replace(match, "[^0-9]", "")), "")
     doubled = F.transform(digits, lambda c, i: F.when(i % 2 == 0, F.ascii(c) - 48).otherwise((F.ascii(c) - 48) * 2 - F.when(c > "4", 9).otherwise(0)))
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
 def _mod97(match: Column) -> Column:
     plain = F.replace(match, F.lit(" "), F.lit(""))
-    turned = F.split(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4)), "(?!^)")
+    turned = F.split(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4)), "")
 
     def step(rest: Column, c: Column) -> Column:
         return F.when(c < "A", rest * 10 + F.ascii(c) - 48).otherwise(rest * 100 + F.ascii(c) - 55) % 97
@@ -155,7 +155,7 @@ def oracle() -> str:
         _sql_kind("ssn", r"(^|[^0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})($|[^0-9-])", "true", f"\\1{MARK}\\2{MARK}\\3"),
     ]
     return f"""
-WITH d AS (SELECT row_number() OVER () AS n, doc_id, translate(coalesce(text, ''), '{MARK}', '{STAND_IN}') AS t FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, translate(coalesce(text, ''), '{MARK}', '{STAND_IN}') AS t FROM documents),
 s AS ({" UNION ALL ".join(kinds)}),
 g AS (SELECT n, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
              count(*) FILTER (kind = 'phone') AS n_phone, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
