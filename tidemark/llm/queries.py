@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, url_filter
+from . import decontaminate, mixing, pii, quality_rules, url_filter
 
 QUERIES = {
     "op4_url_filter": url_filter.query,
+    "op5_quality_rules": quality_rules.query,
     "op6_source_mixing": mixing.query,
     "op8_pii": pii.query,
+    "op9_decontamination": decontaminate.query,
 }
 
 ORACLE_SQL = {
     "op4_url_filter": url_filter.ORACLE,
+    "op5_quality_rules": quality_rules.ORACLE,
     "op6_source_mixing": mixing.ORACLE,
     "op8_pii": pii.oracle(),
 }
