@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, quality_rules, url_filter
+from . import decontaminate, language_id, mixing, pii, quality_rules, url_filter
 
 QUERIES = {
     "op4_url_filter": url_filter.query,
     "op5_quality_rules": quality_rules.query,
     "op6_source_mixing": mixing.query,
+    "op7_language_id": language_id.query,
     "op8_pii": pii.query,
     "op9_decontamination": decontaminate.query,
 }
