@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, mixing, pii, quality_rules, url_filter
+from . import decontaminate, html_extract, language_id, mixing, pii, quality_rules, url_filter
 
 QUERIES = {
     "op4_url_filter": url_filter.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_language_id": language_id.query,
     "op8_pii": pii.query,
     "op9_decontamination": decontaminate.query,
+    "op10_html_extraction": html_extract.query,
 }
 
 ORACLE_SQL = {
