@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, mixing, pii, quality_rules, url_filter
+from . import decontaminate, html_extract, language_id, mixing, near_dedup, pii, quality_rules, url_filter
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.query,
     "op4_url_filter": url_filter.query,
     "op5_quality_rules": quality_rules.query,
     "op6_source_mixing": mixing.query,
