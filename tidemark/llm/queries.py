@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, mixing, near_dedup, pii, quality_rules, url_filter
+from . import decontaminate, html_extract, language_id, line_dedup, mixing, near_dedup, pii, quality_rules, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
+    "op2_line_dedup": line_dedup.query,
     "op4_url_filter": url_filter.query,
     "op5_quality_rules": quality_rules.query,
     "op6_source_mixing": mixing.query,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_line_dedup": line_dedup.ORACLE,
     "op4_url_filter": url_filter.ORACLE,
     "op5_quality_rules": quality_rules.ORACLE,
     "op6_source_mixing": mixing.ORACLE,
