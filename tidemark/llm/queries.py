@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, line_dedup, mixing, near_dedup, pii, quality_rules, url_filter
+from . import decontaminate, html_extract, language_id, line_dedup, mixing, near_dedup, pii, quality_rules, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
     "op2_line_dedup": line_dedup.query,
+    "op3_repeated_spans": suffix_dedup.query,
     "op4_url_filter": url_filter.query,
     "op5_quality_rules": quality_rules.query,
     "op6_source_mixing": mixing.query,
