@@ -29,6 +29,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder; a lost executor then costs a reread, not a recomputation."""
     ensure_checkpoint_dir(df.sparkSession)

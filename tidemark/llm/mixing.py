@@ -120,6 +120,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
 
 
+def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: documents with all their columns, and times, how often the mix takes each; others are left out."""
+    base = cut_lineage(measured(docs, id_col, text_col, source_col))
+    targets = cut_lineage(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_repeats))
+    few = targets.count() <= MAX_BROADCAST_SOURCES
+    limits = thresholds(base, targets, few).select(F.col("s").alias("_s"), F.col("times").alias("_times"), "last_hash")
+    joined = docs.join(by_source(limits, few), F.col(source_col).eqNullSafe(F.col("_s")))
+    taken = joined.withColumn("times", F.col("_times") + (id_hash(id_col) <= F.col("last_hash")).cast("long"))
+    return taken.where(F.col("times") > 0).select(*docs.columns, "times")
+
+
 def query(spark, sf_dir):
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
