@@ -1,15 +1,15 @@
 """Near-duplicate lines by a deletion-neighbourhood join, native.
 
 A line is removed if an earlier line (by document id, then line number) is the same or one edit away: one word
-inserted, deleted or replaced. Lines are compared as words in lower case (A-Z). Lines of fewer than ``MIN_WORDS`` words
+inserted, deleted or replaced. Lines are compared as words in lower case. Lines of fewer than ``MIN_WORDS`` words
 carry too little to be judged and stay.
 
 1. Equal lines: lines are hashed, and the first place of each hash is found by an aggregation.
 2. Of the distinct lines, only those can have a neighbour that share an end with another one: a single edit leaves the
    first or the last ``e`` words alone, where e is a power of two, at most half the line. This loses nothing and spares
    the variants of all other lines.
-3. Deletion neighbourhood: each such line emits a hashed key for every variant with one word deleted, the exclusive-or
-   of its other words' hashes. Equal keys at the same place mean a replaced word; a key equal to that of a whole line
+3. Deletion neighbourhood: each such line emits a hashed key for every variant with one word deleted outside the end
+   it shares, the exclusive-or of its other words' hashes. Equal keys at the same place mean a replaced word; a key equal to that of a whole line
    means an inserted or deleted one. Variants that share a key get a hash of the remaining sequence, each group links
    its lines to its earliest one, and the edit is verified on the words themselves.
 
@@ -29,30 +29,61 @@ from pyspark.sql import functions as F
 from .common import WORD_SQL, cut_lineage, read_table
 
 MIN_WORDS = 8
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Candidate lines, of about 50 bytes each, up to which their places are broadcast to the scan that fetches their words.
+MAX_BROADCAST_LINES = 1_000_000
 
 
-def words_of(line: Column) -> Column:
-    return F.regexp_extract_all(F.translate(line, _UPPER, _UPPER.lower()), F.lit(WORD_SQL + "+"), F.lit(0))
+def _normal(text: Column) -> Column:
+    """Lower case, runs of white space but line ends as one space; most texts need no replacing."""
+    odd = text.contains("  ") | text.contains("\t") | text.contains("\x0b") | text.contains("\x0c") | text.contains("\r")
+    return F.lower(F.when(odd, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(id, tkey, line_no, words) of the judged lines. docs has id and text."""
-    split = docs.select("id", F.xxhash64("text").alias("tkey"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    # A judged line has at least that many characters and spaces; the words of shorter ones aren't looked for.
-    return split.where(F.length("line") >= 2 * MIN_WORDS - 1).select("id", "tkey", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") >= MIN_WORDS)
+def _count(text: Column, symbol: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(symbol), F.lit("")))
 
 
-def _ends(words: Column) -> Column:
-    """Hashes of the ends a single edit may leave alone; lengths that differ by one always have one length of end in common."""
-    n = F.size(words)
+def _judged(docs: DataFrame) -> DataFrame:
+    """(id, tkey, line_no, words, n) of the judged lines; words is a string with single spaces. docs has id and text."""
+    split = docs.select("id", F.xxhash64("text").alias("tkey"), F.posexplode(F.split(_normal(F.col("text")), "\n", -1)).alias("line_no", "line"))
+    trimmed = split.select("id", "tkey", "line_no", F.trim("line").alias("words"))
+    return trimmed.withColumn("n", _count(F.col("words"), " ") + 1).where(F.col("n") >= MIN_WORDS)
+
+
+def _ends(words: Column, n: Column) -> list[Column]:
+    """Hashes of the ends a single edit may leave alone; lengths that differ by one have one length of end in common.
+
+    Lines of 2^c to 2^(c+1) - 1 words have ends of 2^(c-1) words; those of 2^c words also the shorter ends of the
+    lines one word below.
+    """
     e = F.pow(F.lit(2), F.floor(F.log2(n)) - 1).cast("int")
+    shorter = F.when((n == 2 * e) & (e >= MIN_WORDS), (e / 2).cast("int"))
+
+    def end(side: int, length: Column) -> Column:
+        # substring_index with a count that differs from row to row
+        part = F.call_function("substring_index", words, F.lit(" "), length if side == 0 else -length)
+        return F.when(length.isNotNull(), F.xxhash64(F.lit(side), length, part))
+
+    return [end(0, e), end(1, e), end(0, shorter), end(1, shorter)]
+
+
+def _open(shared: Column, n: Column, at: Column) -> Column:
+    """Whether an edit may lie at the place: not within an end that the line has in common with another one.
+
+    Bit k of shared stands for the k-th of _ends; a line with common first and common last words may have either.
+    """
+    e = F.pow(F.lit(2), F.floor(F.log2(n)) - 1).cast("int")
+
+    def common(side: int) -> Column:
+        long_end, short_end = shared.bitwiseAND(1 << side) != 0, shared.bitwiseAND(4 << side) != 0
+        return F.when(short_end, (e / 2).cast("int")).when(long_end, e)
+
+    return F.coalesce(at >= common(0), F.lit(False)) | F.coalesce(at < n - common(1), F.lit(False))
 
-    def ends(length: Column) -> list[Column]:
-        return [F.xxhash64(F.lit(side), length, F.slice(words, start, length)) for side, start in ((0, F.lit(1)), (1, n - length + 1))]
 
-    shorter = (e / 2).cast("int")
-    return F.when((n == 2 * e) & (shorter * 2 >= MIN_WORDS), F.array(*ends(e), *ends(shorter))).otherwise(F.array(*ends(e)))
+def _hashed(unique: DataFrame) -> DataFrame:
+    """For joins on a key that is unique here: partitions are looked up by hash, the many rows needn't be sorted."""
+    return unique.hint("shuffle_hash")
 
 
 def _without(words: Column, at: Column) -> Column:
@@ -65,13 +96,16 @@ def _xor(hashes: Column) -> Column:
 
 
 def _neighbours(lines: DataFrame) -> DataFrame:
-    """lines has line, first and words of distinct lines. Returns (line): those with an earlier line one edit away."""
-    hashed = lines.select("line", "first", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("h")).withColumn("all", _xor(F.col("h")))
-    variants = hashed.select("line", "n", "all", F.posexplode("h").alias("at", "word")).select("line", "n", "at", F.col("all").bitwiseXOR(F.col("word")).alias("key"))
-    shared = variants.groupBy("key", "n", "at").agg(F.count("*").alias("c")).where(F.col("c") > 1).drop("c")
-    replaced = cut_lineage(variants.join(shared, ["key", "n", "at"], "left_semi").select("line", "at"))
+    """lines has line, first, shared and words. Returns (line): those with an earlier line one edit away.
+
+    Lines are distinct but for rows with one id and one text, which bring equal rows; these don't change the result.
+    """
+    hashed = lines.select("line", "first", "shared", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("h")).withColumn("all", _xor(F.col("h")))
+    variants = hashed.select("line", "n", "all", "shared", F.posexplode("h").alias("at", "word")).where(_open(F.col("shared"), F.col("n"), F.col("at"))).select("line", "n", "at", F.col("all").bitwiseXOR(F.col("word")).alias("key"))
+    shared = variants.groupBy("key", "n", "at").agg(F.min("line").alias("low"), F.max("line").alias("high")).where(F.col("low") != F.col("high")).select("key", "n", "at")
+    replaced = cut_lineage(variants.join(_hashed(shared), ["key", "n", "at"], "left_semi").select("line", "at"))
     sequences = replaced.join(lines, "line").select("line", "at", "first", F.xxhash64(_without(F.col("words"), F.col("at")), F.size("words")).alias("rest"))
-    leaders = sequences.groupBy("rest", "at").agg(F.count("*").alias("c"), F.min(F.struct("first", "line")).alias("lead")).where(F.col("c") > 1)
+    leaders = sequences.groupBy("rest", "at").agg(F.min(F.struct("first", "line")).alias("lead"))
     swaps = (
         sequences.join(leaders.select("rest", "at", F.col("lead.line").alias("other")), ["rest", "at"])
         .where(F.col("line") != F.col("other")).select("line", "other", "at", F.lit(True).alias("swap"))
@@ -92,21 +126,26 @@ def _neighbours(lines: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """docs has id and text. Returns (id, tkey, line_nos): sorted numbers of the lines to remove from each document."""
     place = F.struct("id", "tkey", "line_no")
-    words = F.col("words")
-    lines = cut_lineage(_lines(docs).select("id", "tkey", "line_no", F.xxhash64(words).alias("line"), _ends(words).alias("ends")))
-    first = cut_lineage(lines.groupBy("line").agg(F.min(place).alias("first"), F.first("ends").alias("ends")))
-    ends = first.select("line", F.explode("ends").alias("end"))
-    shared = ends.groupBy("end").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("end")
-    survivors = ends.join(shared, "end", "left_semi").select("line").distinct()
-    wanted = first.select("line", "first").join(survivors, "line", "left_semi")
+    names = ["e0", "e1", "e2", "e3"]
+    found = _judged(docs)
+    lines = cut_lineage(found.select("id", "tkey", "line_no", F.xxhash64("words").alias("line"), *[x.alias(c) for x, c in zip(_ends(F.col("words"), F.col("n")), names)]))
+    ends = lines.select("line", F.posexplode(F.array(*names)).alias("which", "end")).where(F.col("end").isNotNull())
+    # An end of two different lines at least; equal lines needn't be told apart beforehand.
+    shared = ends.groupBy("end").agg(F.min("line").alias("low"), F.max("line").alias("high")).where(F.col("low") != F.col("high")).select("end")
+    survivors = ends.join(_hashed(shared), "end", "left_semi").groupBy("line").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("which"))).alias("shared"))
+    first = lines.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    first = cut_lineage(first.join(_hashed(survivors), "line", "left").where((F.col("n") > 1) | F.col("shared").isNotNull()))
+    wanted = first.where(F.col("shared").isNotNull()).select("line", "first", "shared")
     # The words of the survivors are read again, only from the documents in which they come first.
-    per_doc = cut_lineage(wanted.groupBy(F.col("first.id").alias("d"), F.col("first.tkey").alias("k")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("no"), "line", "first")).alias("picked")))
-    texts = docs.withColumn("tkey", F.xxhash64("text")).join(per_doc, F.col("id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k"))).dropDuplicates(["d", "k"])
-    again = texts.select(F.split("text", "\n", -1).alias("all"), F.explode("picked").alias("p")).select("p.line", "p.first", words_of(F.get(F.col("all"), F.col("p.no"))).alias("words"))
+    per_doc = cut_lineage(wanted.groupBy(F.col("first.id").alias("d"), F.col("first.tkey").alias("k")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("no"), "line", "first", "shared")).alias("picked")))
+    if per_doc.agg(F.coalesce(F.sum(F.size("picked") + 2), F.lit(0))).first()[0] <= MAX_BROADCAST_LINES:
+        per_doc = F.broadcast(per_doc)
+    texts = docs.withColumn("tkey", F.xxhash64("text")).join(per_doc, F.col("id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k")))
+    again = texts.select(F.split(_normal(F.col("text")), "\n", -1).alias("all"), F.explode("picked").alias("p")).select("p.line", "p.first", "p.shared", F.split(F.trim(F.get(F.col("all"), F.col("p.no"))), " ").alias("words"))
     near = _neighbours(cut_lineage(again))
-    fate = first.select("line", "first").join(near.withColumn("near", F.lit(True)), "line", "left")
+    fate = first.select("line", "first", "n").join(near.withColumn("near", F.lit(True)), "line", "left").where((F.col("n") > 1) | F.col("near"))
     return (
-        lines.select("id", "tkey", "line_no", "line").join(fate, "line")
+        lines.select("id", "tkey", "line_no", "line").join(_hashed(fate), "line")
         .where(F.coalesce("near", F.lit(False)) | (F.struct("id", "tkey", "line_no") != F.col("first")))
         .groupBy("id", "tkey").agg(F.array_sort(F.collect_set("line_no")).alias("line_nos"))
     )
@@ -121,7 +160,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_lines, n_removed, removed_lines (numbers from 0, comma-joined)."""
     gone = _joined(docs, id_col, text_col)
-    lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n", -1))).cast("long")
+    lines = F.coalesce(_count(F.col(text_col).cast("string"), "\n") + 1, F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col), F.xxhash64(F.col(text_col).cast("string")).alias("_t"), lines.alias("n_lines"))
     return rows.join(gone, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_k")), "left").select(
         id_col, "n_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("_gone", ","), F.lit("")).alias("removed_lines")
@@ -143,7 +182,7 @@ def query(spark, sf_dir):
 
 ORACLE = rf"""
 WITH l AS MATERIALIZED (
-  SELECT doc_id, i - 1 AS no, regexp_extract_all(translate(p[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  SELECT doc_id, i - 1 AS no, regexp_extract_all(lower(p[i]), '[^\x20\x09-\x0D]+') AS w
   FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))),
 j AS MATERIALIZED (SELECT doc_id, no, w, array_to_string(w, ' ') AS s FROM l WHERE len(w) >= {MIN_WORDS}),
 f AS MATERIALIZED (SELECT s, any_value(w) AS w, min((doc_id, no)) AS o FROM j GROUP BY s),
