@@ -99,26 +99,29 @@ def exit_proposals(labels: DataFrame, least: int = 10) -> DataFrame:
     return facts.select("winners", *[F.when(enough & (F.col(c) >= least), F.round(n, 4)).alias(n) for c, n in (("n_mae", "s90"), ("n_mae", "s95"), ("n_give", "t75"), ("n_give", "t90"))])
 
 
-def time_folds(df: DataFrame, folds: int, ts: str, seq: str) -> DataFrame:
-    """Adds fold, 0 and up: equal counts in time order, the rest in the last; windows run over the selected rows."""
-    order = Window.orderBy(ts, seq)
-    rows = df.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0))))
-    size = F.greatest(F.floor(F.col("_n") / (folds + 1)), F.lit(1))
-    return rows.withColumn("fold", F.least(F.floor(F.col("_i") / size), F.lit(folds - 1)).cast("int")).drop("_i", "_n")
-
-
-def purge_embargo(folded: DataFrame, keys: list[str], embargo_ms: int, ts: str = "ts_ms") -> DataFrame:
-    """Drops from each fold's front the rows within the embargo after the end of what the fold before kept."""
-    ends: DataFrame | None = None
-    out = None
-    folds = [r["fold"] for r in folded.select("fold").distinct().orderBy("fold").collect()]  # a row for each fold
-    for fold in folds:
-        rows = folded.where(F.col("fold") == fold)
-        if ends is not None:
-            rows = rows.join(ends, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").where(F.col("_end").isNull() | (F.col(ts) >= F.col("_end") + embargo_ms)).drop("_end", *[f"_{k}" for k in keys])
-        ends = folded.where(F.col("fold") == fold).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(ts).alias("_end"))
-        out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else folded
+def time_folds(df: DataFrame, keys: list[str], folds: int, embargo_ms: str | int, ts: str = "ts_ms", seq: str = "burst_id") -> DataFrame:
+    """Rows of the validation folds, with fold from 1: equal counts in time order after a first block that only trains.
+
+    From each fold's front go the rows within the embargo after the last row of the fold before (of the last one that
+    kept any). ``embargo_ms`` names a column, constant within a group, or is a number. The chain over a group's folds
+    runs over an array of as many times as there are folds.
+    """
+    order = Window.partitionBy(*keys).orderBy(ts, seq)
+    i, n = F.row_number().over(order) - 1, F.count("*").over(Window.partitionBy(*keys))
+    size = F.greatest(F.floor(n / (folds + 1)), F.lit(1))
+    embargo = F.col(embargo_ms) if isinstance(embargo_ms, str) else F.lit(embargo_ms)
+    cut = df.withColumn("_embargo", embargo.cast("long")).withColumn("fold", F.least(F.floor(i / size), F.lit(folds)).cast("int")).where(F.col("fold") >= 1)
+    ends = cut.groupBy(*keys, "fold").agg(F.max(ts).alias("end"), F.max("_embargo").alias("e"))
+    chains = ends.groupBy(*keys).agg(F.max("e").alias("e"), F.array_sort(F.collect_list(F.struct("fold", "end"))).alias("ends"))
+    start = F.struct(F.lit(-(1 << 62)).alias("prev"), F.expr("cast(array() AS array<struct<fold:int,from:bigint>>)").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        first = state["prev"] + F.col("e")
+        kept = x["end"] >= first
+        return F.struct(F.when(kept, x["end"]).otherwise(state["prev"]).alias("prev"), F.concat(state["out"], F.array(F.struct(x["fold"].alias("fold"), first.alias("from")))).alias("out"))
+
+    starts = chains.select(*keys, F.inline(F.aggregate("ends", start, step, lambda s: s["out"])))
+    return cut.join(starts, [*keys, "fold"]).where(F.col(ts) >= F.col("from")).drop("from", "_embargo")
 
 
 def overfitting_probability(perf: DataFrame, config: str = "config", fold: str = "fold", value: str = "value") -> DataFrame:
