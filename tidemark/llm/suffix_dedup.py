@@ -40,7 +40,7 @@ from .common import cut_lineage, read_table
 
 SPAN = 400
 GRAM = 32
-MAX_SEGMENTS = 4096
+MAX_SEGMENTS = 50_000
 BLOCK_BYTES = 6 << 20
 CHUNK = 2 << 20
 
@@ -103,13 +103,14 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text with a segment; of each segment: start, length and place packed, anchor, hash."""
     for batch in common.slices(batches, 2, CHUNK):
         found = segments(*common.utf8(batch.column(2)))
-        rows = pa.array(found["owner"])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array(found[k]) for k in ("start", "length", "place", "anchor", "hash")]],
-            ["id", "tkey", "start", "length", "place", "anchor", "hash"],
-        )
+        rows, firsts = np.unique(found["owner"], return_index=True)
+        bounds = pa.array(np.concatenate((firsts, [len(found["owner"])])).astype(np.int32))
+        packed = (found["start"] << 20) | ((found["length"] - SPAN) << 10) | found["place"]
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (packed, found["anchor"], found["hash"])]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), *lists], ["id", "tkey", "at", "anchor", "hash"])
 
 
 def column_wise(data: np.ndarray, offsets: np.ndarray, place: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -167,7 +168,11 @@ def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def build(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
-        anchor = table["anchor"].to_numpy()
+        anchor, digest = table["anchor"].to_numpy(), table["hash"].to_numpy()
+        new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])))
+        if not new.all():  # rows with one id and one text bring a segment twice
+            table = table.filter(pa.array(new)).combine_chunks()
+            anchor = table["anchor"].to_numpy()
         group = np.concatenate(([0], np.cumsum(anchor[1:] != anchor[:-1])))
         data, offsets = common.utf8(table["text"].chunk(0))
         rows, first, last = runs(column_wise(data, offsets, table["place"].to_numpy(), group))
@@ -209,34 +214,56 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first), pa.array(Hasher(data).of(at, at + SPAN).view(np.int64))], ["anchor", "hash", "at", "window"])
 
 
+def _looked_up(texts: DataFrame, keyed: DataFrame, how: str = "inner") -> DataFrame:
+    """Joins texts with a table by text key t (and id i, where copies of a text must not all answer).
+
+    Both joins of the plan deal the texts out by the same key and read one shuffle of them. The ids are compared in a
+    form that doesn't become a second key of the join.
+    """
+    on = F.col("tkey") == F.col("t")
+    if "i" in keyed.columns:
+        on = on & (F.xxhash64("id").bitwiseXOR(F.xxhash64("i")) == 0)
+    return texts.join(keyed.hint("shuffle_hash"), on, how)
+
+
 def repeated_runs(texts: DataFrame) -> DataFrame:
     """texts has id, tkey and text. Returns (t, spans): for each text key, (first, last) starts of repeated windows."""
     kind = texts.schema["id"].dataType.simpleString()
-    cut = cut_lineage(texts.select("id", "tkey", "text").mapInArrow(_segmented, f"id {kind}, tkey bigint, start bigint, length bigint, place bigint, anchor bigint, hash bigint"))
-    kinds = cut_lineage(
-        cut.groupBy("anchor", "hash").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "tkey", "start", "length", "place")])
-    )
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("different")).where(F.col("different") > 1)
-    compared = kinds.join(mixed, "anchor")
-    per_text = compared.groupBy(F.col("id").alias("i"), F.col("tkey").alias("t")).agg(F.collect_list(F.struct("anchor", "hash", "place", "start", "length", "different")).alias("picked"))
+    cut = cut_lineage(texts.select("id", "tkey", "text").mapInArrow(_segmented, f"id {kind}, tkey bigint, at array<bigint>, anchor array<bigint>, hash array<bigint>"))
+    each = cut.select("id", "tkey", F.inline(F.arrays_zip("at", "anchor", "hash")))
+    # Only segments whose anchor occurs twice go on; most don't.
+    twice = each.groupBy("anchor").agg(F.count("*").alias("c"), F.min("hash").alias("low"), F.max("hash").alias("high")).where(F.col("c") > 1)
+    again = cut_lineage(each.join(twice.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchor"))
+    kinds = cut_lineage(again.groupBy("anchor", "hash").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "tkey", "at", "mixed")]))
+    whole = kinds.where(F.col("n") > 1).select("anchor", "hash", F.array(F.struct(F.lit(0).cast("long").alias("first"), F.shiftright("at", 10).bitwiseAND(1023).alias("last"))).alias("runs"))
+    compared = kinds.where("mixed")
+    hot_anchors = cut_lineage(compared.groupBy("anchor").agg(F.count("*").alias("different")).where(F.col("different") > MAX_SEGMENTS).select("anchor", F.lit(True).alias("hot")))
+    marked = compared.join(hot_anchors, "anchor", "left")
+    per_text = cut_lineage(marked.groupBy(F.col("id").alias("i"), F.col("tkey").alias("t")).agg(F.collect_list(F.struct("anchor", "hash", "at", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("picked")))
     pieces = (
-        texts.join(per_text, (F.col("tkey") == F.col("t")) & F.col("id").eqNullSafe(F.col("i")))
+        _looked_up(texts, per_text)
         .select(F.col("text").cast("binary").alias("bytes"), F.explode("picked").alias("p"))
-        .select("p.anchor", "p.hash", "p.place", F.substring("bytes", (F.col("p.start") + 1).cast("int"), F.col("p.length").cast("int")).alias("text"), "p.different")
-    )
-    pieces = cut_lineage(pieces.dropDuplicates(["anchor", "hash"]))
-    usual = pieces.where(F.col("different") <= MAX_SEGMENTS).select("anchor", "hash", "place", "text").repartition("anchor").sortWithinPartitions("anchor")
+        .select(
+            "p.anchor", "p.hash", "p.hot", F.col("p.at").bitwiseAND(1023).alias("place"),
+            F.substring("bytes", (F.shiftright("p.at", 20) + 1).cast("int"), (F.shiftright("p.at", 10).bitwiseAND(1023) + SPAN).cast("int")).alias("text"),
+        )
+    )
+    found = whole
+    columns = ["anchor", "hash", "place", "text"]
+    if not hot_anchors.isEmpty():
+        windows = pieces.where("hot").select(columns).mapInArrow(_windows, "anchor bigint, hash bigint, at bigint, window bigint")
+        # A window of two different segments; equal rows of the input bring a segment twice.
+        shared = windows.groupBy("window").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where(F.col("low") != F.col("high")).select("window")
+        hot = windows.join(shared, "window", "left_semi").groupBy("anchor", "hash").agg(F.collect_set(F.struct(F.col("at").alias("first"), F.col("at").alias("last"))).alias("runs"))
+        found = found.union(hot)
+    usual = pieces.where(~F.col("hot")).select(columns).repartition("anchor").sortWithinPartitions("anchor", "hash")
     built = usual.mapInArrow(_built, "anchor bigint, hash bigint, runs array<struct<first:bigint,last:bigint>>")
-    windows = pieces.where(F.col("different") > MAX_SEGMENTS).select("anchor", "hash", "place", "text").mapInArrow(_windows, "anchor bigint, hash bigint, at bigint, window bigint")
-    twice = windows.groupBy("window").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("window")
-    hot = windows.join(twice, "window", "left_semi").groupBy("anchor", "hash").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.col("at").alias("last"))).alias("runs"))
-    whole = kinds.where(F.col("n") > 1).select("anchor", "hash", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("length") - SPAN).alias("last"))).alias("runs"))
-    found = built.union(hot).union(whole)
-    placed = cut.select("tkey", "start", "anchor", "hash").join(found, ["anchor", "hash"]).select(
-        "tkey", F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["last"]).alias("last"))).alias("spans")
+    found = found.union(built)
+    placed = again.select("tkey", F.shiftright("at", 20).alias("start"), "anchor", "hash").join(found, ["anchor", "hash"]).select(
+        "tkey", F.explode(F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["last"]).alias("last")))).alias("s")
     )
     # Copies of a text bring equal spans; sets are merged before the shuffle.
-    return placed.select("tkey", F.explode("spans").alias("s")).groupBy(F.col("tkey").alias("t")).agg(F.collect_set("s").alias("spans"))
+    return placed.groupBy(F.col("tkey").alias("t")).agg(F.collect_set("s").alias("spans"))
 
 
 def covered(spans: list, size: int) -> list[tuple[int, int]]:
@@ -256,7 +283,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     picked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     picked = picked.select("id", F.xxhash64("text").alias("tkey"), "text")
     runs_of = repeated_runs(picked)
-    joined = picked.join(runs_of, F.col("tkey") == F.col("t"), "left").select("id", "text", "spans")
+    joined = _looked_up(picked, runs_of, "left").select("id", "text", "spans")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 1, CHUNK):
