@@ -146,27 +146,30 @@ def overfitting_probability(perf: DataFrame, config: str = "config", fold: str =
     return ranks.agg(F.avg((F.ln(omega / (1 - omega + 1e-12)) < 0).cast("double")).alias("pbo"), F.count("*").alias("splits"))
 
 
-def mulberry32(seed: int):
-    """The fixed 32-bit generator behind every bootstrap, as a function that returns numbers in [0, 1)."""
-    mask = 0xFFFFFFFF
-    state = seed & mask
+def mulberry32(seed: int, block: int = 1 << 15):
+    """The fixed 32-bit generator behind every bootstrap: a function that returns the next number in [0, 1).
 
-    def draw() -> float:
-        nonlocal state
-        state = (state + 0x6D2B79F5) & mask
-        t = ((state ^ state >> 15) * (1 | state)) & mask
-        t = ((t + (((t ^ t >> 7) * (61 | t)) & mask)) & mask) ^ t
-        return ((t ^ t >> 14) & mask) / 4294967296
+    Its state only counts in fixed steps, so a block of numbers is drawn at once.
+    """
+
+    def numbers():
+        state = seed & 0xFFFFFFFF
+        while True:
+            a = (np.uint64(state) + np.arange(1, block + 1, dtype=np.uint64) * np.uint64(0x6D2B79F5)).astype(np.uint32)
+            t = (a ^ a >> np.uint32(15)) * (a | np.uint32(1))
+            t = (t + (t ^ t >> np.uint32(7)) * (t | np.uint32(61))) ^ t
+            yield from ((t ^ t >> np.uint32(14)) / 4294967296).tolist()
+            state = (state + block * 0x6D2B79F5) & 0xFFFFFFFF
 
-    return draw
+    return numbers().__next__
 
 
 def bootstrap_indices(n: int, p: float, draw) -> list[int]:
     """Stationary bootstrap: blocks of geometric length, around the end of the series."""
-    at, out = math.floor(draw() * n) if n else 0, []
+    at, out = int(draw() * n) if n else 0, []
     for i in range(n):
         if i:
-            at = math.floor(draw() * n) if draw() < p else (at + 1) % n
+            at = int(draw() * n) if draw() < p else (at + 1) % n
         out.append(at)
     return out
 
