@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space of the contracts: space and the control characters tab to carriage return.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -41,6 +43,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shielded(*own: str):
+    """For operators that return their input's columns: all but the named ones get neutral names while it works.
+
+    So no column of the input can clash with one that the operator adds on the way. Columns added at the end stay.
+    """
+
+    def wrap(operator):
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            names = {c: c if c in own else f"_other_{i}" for i, c in enumerate(docs.columns)}
+            out = operator(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), *args, **kwargs)
+            added = [c for c in out.columns if c not in names.values()]
+            return out.select(*[F.col(n).alias(c) for c, n in names.items()], *added)
+
+        return run
+
+    return wrap
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the text column of each holds about max_bytes at most (one row at least)."""
     for batch in batches:

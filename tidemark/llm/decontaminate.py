@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, shielded
 
 ERROR_RATE = 0.05
 MIN_PIECE = 10
@@ -152,6 +152,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return current.drop("_scanned").withColumn("item_ids", F.array_sort("item_ids"))
 
 
+@shielded("doc_id", "text")
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents (all their columns) in which no benchmark item was found."""
     kept = find_items(docs, benchmark, keep=tuple(docs.columns)).where(F.size("item_ids") == 0)

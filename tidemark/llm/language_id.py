@@ -52,8 +52,8 @@ def letter_table() -> np.ndarray:
 def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, folded, each text between single spaces; and the text each belongs to."""
     folded = [(t or "").lower() for t in texts]
-    joined = " ".join(folded) + " "
-    points = np.frombuffer((" " + joined).encode("utf-32-le", "surrogatepass"), np.uint32)
+    joined = " " + "".join(t + " " for t in folded)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(folded)), [len(t) + 1 for t in folded])
     owner = np.concatenate(([0], owner)) if len(owner) else np.zeros(1, np.int64)
     points = np.where(letter_table()[points], points, np.uint32(32))
@@ -228,6 +228,13 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
     return picked.mapInArrow(scan, f"{columns}, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
+@common.shielded("doc_id", "text", "lang")
+def keep_recognised(docs: DataFrame) -> DataFrame:
+    """Documents with all their columns whose language models fitted on them don't reject."""
+    judged = identify(docs, fit(docs), keep=tuple(docs.columns))
+    return judged.where(~F.col("rejected")).select(*docs.columns)
+
+
 def query(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return identify(docs, fit(docs)).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")

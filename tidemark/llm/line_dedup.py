@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SQL, cut_lineage, read_table
+from .common import WORD_SQL, cut_lineage, read_table, shielded
 
 MIN_WORDS = 8
 #: Candidate lines, of about 50 bytes each, up to which their places are broadcast to the scan that fetches their words.
@@ -167,6 +167,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
+@shielded("doc_id", "text")
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with all their columns, duplicate lines taken out of the text; documents that lose all words go."""
     gone = _joined(docs, id_col, text_col)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SQL, cut_lineage, read_table
+from .common import WORD_SQL, cut_lineage, read_table, shielded
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -120,6 +120,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
 
 
+@shielded("doc_id", "text", "source")
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: documents with all their columns, and times, how often the mix takes each; others are left out."""
     base = cut_lineage(measured(docs, id_col, text_col, source_col))

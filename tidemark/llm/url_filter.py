@@ -1,7 +1,7 @@
 """URL filter: a trie over reversed host labels and path segments, broadcast to the executors.
 
 The longest matching rule (characters of host and path together) decides between allow and block entries; of two
-rules of one length, block wins. A rule (host, path) fits its host and all subdomains if the url's path starts with
+rules of one length, block wins, then the one later in code-point order. A rule (host, path) fits its host and all subdomains if the url's path starts with
 the rule's path. A url that no rule fits gets the default verdict.
 
 Defined results: a null url, or one without ``://``, has empty host and path and can only meet a rule with empty host
@@ -60,7 +60,7 @@ def build_trie(rules: list[tuple[str, str, str]]) -> dict:
             *whole, rest = path.split("/")
             for segment in whole:
                 spot = spot["segments"].setdefault(segment, {"segments": {}, _RULES: {}})
-        weight = (len(host) + len(path), verdict == "block")
+        weight = (len(host) + len(path), verdict == "block", host + path)
         if rest not in spot[_RULES] or spot[_RULES][rest][0] < weight:
             spot[_RULES][rest] = (weight, host + path, verdict)
     return root
