@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -138,12 +139,21 @@ def effective_trials(ledger: list[dict], inner: int) -> int:
     return inner + sum(a["inner_trials"] for a in ledger)
 
 
-def fit(events: DataFrame, candles: DataFrame, axes: dict | None = None, config: dict | None = None, interval_ms: int = 60_000, ledger: list[dict] | None = None, policy: dict | None = None, min_clusters: tuple[int, ...] = (2, 3), gates: tuple[float | None, ...] = (None,), outer_folds: int = 4, momentum_window: int = 1440, bootstraps: int = stats.BOOTSTRAPS) -> SignalModel:
+def silent(phase: str, done: int, total: int) -> None:
+    """Progress callback that says nothing."""
+
+
+def stdout_progress(phase: str, done: int, total: int) -> None:
+    print(f"{phase}: {done} of {total}", flush=True)
+
+
+def fit(events: DataFrame, candles: DataFrame, axes: dict | None = None, config: dict | None = None, interval_ms: int = 60_000, ledger: list[dict] | None = None, policy: dict | None = None, min_clusters: tuple[int, ...] = (2, 3), gates: tuple[float | None, ...] = (None,), outer_folds: int = 4, momentum_window: int = 1440, bootstraps: int = stats.BOOTSTRAPS, progress: Callable[[str, int, int], None] = silent) -> SignalModel:
     """Labels all candidate bursts under all exits, scores settings by purged folds, and certifies the choice."""
     spark = events.sparkSession
     cfg = CONFIG | (config or {})
     found = predict(events, cfg)
     mode = found["mode"]
+    progress("detect", 1, 5)
     if mode == "matrix":
         candidates = burst_ops.enumerate_bursts(events, found["authors"], found["window_ms"]).withColumn("channel", F.lit("_matrix"))
     else:
@@ -159,6 +169,7 @@ def fit(events: DataFrame, candles: DataFrame, axes: dict | None = None, config:
         .join(candidates.select("burst_id", "channel", "ts_ms", "independent_clusters"), "burst_id").join(momentum, "burst_id", "left")
         .join(F.broadcast(distinct.select("exit_id", (F.col("stale") * interval_ms).cast("long").alias("embargo_ms"), "hard_stop", "stale", "squeeze_policy")), "exit_id").persist()
     )
+    progress("label", 2, 5)
     keys = ["min_clusters", "gate_id", "exit_id"]
     gate_ids = F.coalesce(*[F.when(F.col("gate").eqNullSafe(F.lit(g)), F.lit(i)) for i, g in enumerate(gates)])
     configured = selection.configurations(labels, list(min_clusters), list(gates)).withColumn("gate_id", gate_ids).persist()
@@ -167,6 +178,7 @@ def fit(events: DataFrame, candles: DataFrame, axes: dict | None = None, config:
     top = selection.one_standard_error(scored, keys).first()
     if top is None:
         raise ValueError("no candidate could be labelled")
+    progress("score", 3, 5)
     mine = lambda df: df.where((F.col("exit_id") == top["exit_id"]) & (F.col("min_clusters") == top["min_clusters"]) & (F.col("gate_id") == top["gate_id"]))
     nested = nested_score(configured, keys, shape, outer_folds)
     won = mine(configured)
@@ -177,6 +189,7 @@ def fit(events: DataFrame, candles: DataFrame, axes: dict | None = None, config:
     trials = effective_trials(ledger or [], inner)
     ratios = scored.where(F.col("n") >= 2).agg(F.coalesce(F.var_samp("sharpe"), F.lit(0.0))).first()[0]
     certificate = certificate_of(configured, scored, keys, moments, trials, ratios, nested, bootstraps)
+    progress("nested", 4, 5)
     sizes, means = [f["size"] for f in folds], [f["mean"] for f in folds]
     reliable = reliability_of(means, sum(sizes), moments)
     tuned = selection.configurations(labels, [top["min_clusters"]], [gates[top["gate_id"]]]).drop("min_clusters", "gate").persist()
@@ -188,6 +201,7 @@ def fit(events: DataFrame, candles: DataFrame, axes: dict | None = None, config:
     channel_k = stats.empirical_pool_k(entered, "channel", "pnl").first()["k"]
     rows_by = lambda df, key: {r[key]: {c: v for c, v in r.asDict().items() if c != key} for r in df.collect()}  # noqa: E731  a row for each channel or symbol
     model = fit_outcome_model(prequential_win_rate(entered, "channel").select((F.col("pnl") > 0).cast("int").alias("y"), "pnl", F.col("ts_ms").alias("ts"), "momentum", "channel_win_rate", F.col("independent_clusters").alias("clusters"), F.hour(F.timestamp_millis("ts_ms")).cast("string").alias("hour_of_day")).toPandas(), ["clusters", "momentum", "channel_win_rate", "hour_of_day"])  # the chosen history
+    progress("tensor", 5, 5)
     return SignalModel(
         config={k_: (v if v != float("inf") else None) for k_, v in cfg.items()}, mode=mode, exits=[r.asDict() for r in grid.collect()], tensor=tensor, winner={**top.asDict(), "gate": gates[top["gate_id"]]},
         certificate=certificate, reliability=reliable, nested_score=nested, channel_score=rows_by(selection.channel_scores(entered, channel_k), "channel"),

@@ -96,6 +96,13 @@ def pre_candle_features(asks: DataFrame, candles: DataFrame, key: str, interval_
     )
 
 
+def market_momentum(asks: DataFrame, candles: DataFrame, key: str, benchmark: str, interval_ms: int = 60_000, window: int = 1440) -> DataFrame:
+    """Per ask: (key, market), the benchmark's own momentum before it. Only worth reading if a model has learned it."""
+    same = asks.select(key, F.lit(benchmark).alias("symbol"), "direction", "ts_ms")
+    found = pre_candle_features(same, candles.where(F.col("symbol") == benchmark), key, interval_ms, window, window)
+    return found.select(key, F.col("momentum").alias("market"))
+
+
 def filter_chain(asks: DataFrame, policy: Policy, certified: bool | None, live: bool) -> DataFrame:
     """Adds rejected_by (null for signals that pass), action, side and final_direction.
 
