@@ -17,7 +17,7 @@ from ..plans.registry import query
 from ..sources.candles import hourly
 from ..sources.signals import signals
 from . import bursts as burst_ops
-from . import graph, policy as policies, replay as replays, selection, stats
+from . import candle_features, graph, policy as policies, refinement, replay as replays, selection, stats
 from .events import KEY, MAX_BURST_MS, channels_in_order, collapse_posts, fatigue_gap, placebo_shift, window_events
 from .outcome import OutcomeModel, fit_outcome_model, prequential_win_rate
 
@@ -66,21 +66,36 @@ def predict(events: DataFrame, config: dict | None = None) -> dict:
     return {"verdicts": verdicts.join(gaps, "seq", "left"), "mode": mode, "tau": tau, "window_ms": window, "viability": viability, "authors": authors, "influence": influence}
 
 
-def calibrate_axes(events: DataFrame, candles: DataFrame, samples: int = 8, rows: int = 240) -> dict[str, list[float]]:
-    """Axes from the market's own noise: stops, trails and profit thresholds as multiples of the median minute move."""
-    from .candle_features import noise_pct
+def calibrate(events: DataFrame, candles: DataFrame, horizons: dict[str, list[int]], interval_ms: int = 60_000, samples: int = 8, rows: int = 240) -> dict:
+    """Axes from the market itself, measured at a few events of different symbols.
 
-    order = Window.orderBy("ts_ms", "seq")
-    spread = F.count("*").over(Window.partitionBy(F.lit(0)))
-    first = stats.first_by(events, ["symbol"], "ts_ms", "seq")
-    picked = first.withColumn("i", F.row_number().over(order) - 1).withColumn("n", spread).where(F.col("i") % F.greatest(F.floor(F.col("n") / samples), F.lit(1)) == 0).limit(samples)
-    ask = picked.select("seq", "symbol", F.col("ts_ms").alias("_at"))
-    near = candles.join(F.broadcast(ask), "symbol").where((F.col("ts_ms") < F.col("_at")) & (F.col("ts_ms") >= F.col("_at") - rows * 60_000))  # eight samples
-    noise = noise_pct(near, ["seq"]).where(F.col("noise_pct") > 0).agg(F.percentile("noise_pct", 0.5)).first()[0]
-    if noise is None:
-        return {}
-    axis = lambda times, low, high: sorted({round(min(max(noise * t, low), high), 2) for t in times})
-    return {"hard_stop": axis((20, 40, 80), 0.5, 12), "trailing_take": axis((10, 20, 40), 0.3, 6), "stale_profit": axis((10, 20), 0.3, 4)}
+    noise_pct: median move of a candle before the event; stops, trails and profit thresholds are multiples of it, gates
+    half a day's deviation either way. coverage: candles that history still holds after the event (lower quartile);
+    lives beyond nine tenths of it are dropped. spread_pct: from the candles' ranges. Without candles no axis changes.
+    """
+    order = Window.partitionBy("symbol").orderBy("ts_ms", "seq")
+    picked = events.withColumn("_r", F.row_number().over(order)).orderBy("_r", "ts_ms", "seq").limit(samples)  # eight events
+    start = F.col("ts_ms") + F.pmod(interval_ms - F.pmod("ts_ms", F.lit(interval_ms)), F.lit(interval_ms))
+    ask = F.broadcast(picked.select("seq", "symbol", start.alias("_at")))
+    bars = candles.join(ask, "symbol").persist()
+    before = bars.where((F.col("ts_ms") < F.col("_at")) & (F.col("ts_ms") >= F.col("_at") - rows * interval_ms))
+    middle = lambda df, c: df.where(F.col(c) > 0).agg(F.percentile(c, 0.5)).first()[0]
+    noise = middle(candle_features.noise_pct(before, ["seq"]), "noise_pct")
+    spread = candle_features.spread_pct(before, ["seq"]).where(F.col("spread_pct").isNotNull()).agg(F.percentile("spread_pct", 0.5)).first()[0]
+    probe = math.ceil(max(horizons["stale"]) * 1.1) + 5
+    ahead = bars.where((F.col("ts_ms") >= F.col("_at")) & (F.col("ts_ms") < F.col("_at") + probe * interval_ms)).groupBy("seq").agg(F.count("*").alias("n"))
+    counts = sorted(r["n"] or 0 for r in picked.select("seq").join(ahead, "seq", "left").collect())
+    bars.unpersist()
+    axes: dict[str, list] = {}
+    if noise:
+        axis = lambda times, low, high: sorted({round(min(max(noise * t, low), high), 2) for t in times})
+        axes |= {"hard_stop": axis((20, 40, 80), 0.5, 12), "trailing_take": axis((10, 20, 40), 0.3, 6), "stale_profit": axis((10, 20), 0.3, 4)}
+    coverage = counts[len(counts) // 4] if counts else 0
+    for name, values in horizons.items():
+        if kept := [v for v in values if v <= 0.9 * coverage]:
+            axes[name] = kept
+    day = noise * math.sqrt(1440) if noise else None
+    return {"axes": axes, "gates": [None, *(round(day * g, 2) for g in (-0.5, 0.0, 0.5))] if day else [None], "noise_pct": noise, "spread_pct": spread, "coverage": coverage, "sampled": len(counts)}
 
 
 @dataclass
@@ -147,15 +162,29 @@ def stdout_progress(phase: str, done: int, total: int) -> None:
     print(f"{phase}: {done} of {total}", flush=True)
 
 
-def fit(events: DataFrame, candles: DataFrame, axes: dict | None = None, config: dict | None = None, interval_ms: int = 60_000, ledger: list[dict] | None = None, policy: dict | None = None, min_clusters: tuple[int, ...] = (2, 3), gates: tuple[float | None, ...] = (None,), outer_folds: int = 4, momentum_window: int = 1440, bootstraps: int = stats.BOOTSTRAPS, progress: Callable[[str, int, int], None] = silent) -> SignalModel:
-    """Labels all candidate bursts under all exits, scores settings by purged folds, and certifies the choice."""
+def fit(events: DataFrame, candles: DataFrame, axes: dict | None = None, config: dict | None = None, interval_ms: int = 60_000, ledger: list[dict] | None = None, policy: dict | None = None, min_clusters: tuple[int, ...] = (2, 3), gates: tuple[float | None, ...] = (None,), outer_folds: int = 4, momentum_window: int = 1440, refine_rounds: int | None = None, bootstraps: int = stats.BOOTSTRAPS, progress: Callable[[str, int, int], None] = silent) -> SignalModel:
+    """Labels all candidate bursts under all exits, scores settings by purged folds, and certifies the choice.
+
+    Without axes they are calibrated from the candles, with the trading cost that the spread suggests. Refinement
+    (``refine_rounds``; by default only then) moves the chosen exit between the grid's steps. With a finite
+    ``stationarity_ms`` the author graph is rebuilt for every moment.
+    """
     spark = events.sparkSession
     cfg = CONFIG | (config or {})
+    if refine_rounds is None:
+        refine_rounds = 6 if axes is None else 0
+    if axes is None:
+        found = calibrate(events, candles, {k: DEFAULT_AXES[k] for k in ("stale", "stale_since")}, interval_ms)
+        axes = DEFAULT_AXES | found["axes"] | {"round_trip_cost": [refinement.auto_cost(found["spread_pct"])]}
     found = predict(events, cfg)
     mode = found["mode"]
     progress("detect", 1, 5)
     if mode == "matrix":
-        candidates = burst_ops.enumerate_bursts(events, found["authors"], found["window_ms"]).withColumn("channel", F.lit("_matrix"))
+        if cfg["stationarity_ms"] == float("inf"):
+            candidates = burst_ops.enumerate_bursts(events, found["authors"], found["window_ms"])
+        else:
+            candidates = burst_ops.enumerate_bursts_windowed(events, int(cfg["stationarity_ms"]), cfg["window_k"], cfg["jaccard"], cfg["lag_peak"], cfg["max_burst_ms"])
+        candidates = candidates.withColumn("channel", F.lit("_matrix"))
     else:
         candidates = collapse_posts(events, found["window_ms"]).withColumn("independent_clusters", F.lit(1))
         min_clusters = (1,)
@@ -164,11 +193,13 @@ def fit(events: DataFrame, candles: DataFrame, axes: dict | None = None, config:
     grid = replays.exit_grid(spark, axes or DEFAULT_AXES)
     distinct = replays.distinct_by_pnl(grid).persist()
     momentum = policies.pre_candle_features(candidates, candles, "burst_id", interval_ms, momentum_window, momentum_window).select("burst_id", "momentum")
-    labels = (
-        replays.replay(candidates, candles, distinct, interval_ms).where(~F.col("truncated"))
-        .join(candidates.select("burst_id", "channel", "ts_ms", "independent_clusters"), "burst_id").join(momentum, "burst_id", "left")
-        .join(F.broadcast(distinct.select("exit_id", (F.col("stale") * interval_ms).cast("long").alias("embargo_ms"), "hard_stop", "stale", "squeeze_policy")), "exit_id").persist()
-    )
+
+    def labelled(rules: DataFrame) -> DataFrame:
+        shape = rules.select("exit_id", (F.col("stale") * interval_ms).cast("long").alias("embargo_ms"), "hard_stop", "stale", "squeeze_policy")
+        paths = replays.replay(candidates, candles, rules, interval_ms).where(~F.col("truncated"))
+        return paths.join(candidates.select("burst_id", "channel", "ts_ms", "independent_clusters"), "burst_id").join(momentum, "burst_id", "left").join(F.broadcast(shape), "exit_id")
+
+    labels = labelled(distinct).persist()
     progress("label", 2, 5)
     keys = ["min_clusters", "gate_id", "exit_id"]
     gate_ids = F.coalesce(*[F.when(F.col("gate").eqNullSafe(F.lit(g)), F.lit(i)) for i, g in enumerate(gates)])
@@ -179,6 +210,18 @@ def fit(events: DataFrame, candles: DataFrame, axes: dict | None = None, config:
     if top is None:
         raise ValueError("no candidate could be labelled")
     progress("score", 3, 5)
+    if refine_rounds:
+        start = grid.where(F.col("exit_id") == top["exit_id"]).first().asDict()
+        passing = selection.configurations(candidates.join(momentum, "burst_id", "left"), [top["min_clusters"]], [gates[top["gate_id"]]])
+        better = refinement.refine(passing, candles, start, axes, interval_ms, refine_rounds, start_labels=labels.where(F.col("exit_id") == top["exit_id"]))
+        if better["accepted"]:
+            new = spark.createDataFrame([(len(grid.collect()), *(better["exit"][c] for c in replays.EXIT_COLUMNS))], f"exit_id int, {replays.EXIT_SCHEMA}")
+            grid, distinct = grid.union(new), distinct.union(new)
+            labels = labels.unionByName(labelled(new)).persist()
+            configured = selection.configurations(labels, list(min_clusters), list(gates)).withColumn("gate_id", gate_ids).persist()
+            shape = distinct.select("exit_id", "hard_stop", "stale", "squeeze_policy")
+            scored = selection.board(configured, keys).join(F.broadcast(shape), "exit_id").persist()
+            top = scored.where((F.col("exit_id") == new.first()["exit_id"]) & (F.col("min_clusters") == top["min_clusters"]) & (F.col("gate_id") == top["gate_id"])).first()
     mine = lambda df: df.where((F.col("exit_id") == top["exit_id"]) & (F.col("min_clusters") == top["min_clusters"]) & (F.col("gate_id") == top["gate_id"]))
     nested = nested_score(configured, keys, shape, outer_folds)
     won = mine(configured)
