@@ -36,7 +36,7 @@ DISCOUNT = 0.75
 SAMPLE_TEXTS = 400
 REJECT_Z = 8.0
 TEMPER, TEMPER_LENGTH = 0.25, 200
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
