@@ -233,7 +233,9 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     each = cut.select("id", "tkey", F.inline(F.arrays_zip("at", "anchor", "hash")))
     # Only segments whose anchor occurs twice go on; most don't.
     twice = each.groupBy("anchor").agg(F.count("*").alias("c"), F.min("hash").alias("low"), F.max("hash").alias("high")).where(F.col("c") > 1)
-    again = cut_lineage(each.join(twice.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchor"))
+    # Written first: a join that reads two plain shuffles can split an anchor that holds most rows.
+    twice = cut_lineage(twice.select("anchor", (F.col("low") != F.col("high")).alias("mixed")))
+    again = cut_lineage(each.join(twice, "anchor"))
     kinds = cut_lineage(again.groupBy("anchor", "hash").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "tkey", "at", "mixed")]))
     whole = kinds.where(F.col("n") > 1).select("anchor", "hash", F.array(F.struct(F.lit(0).cast("long").alias("first"), F.shiftright("at", 10).bitwiseAND(1023).alias("last"))).alias("runs"))
     compared = kinds.where("mixed")
