@@ -132,6 +132,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     ends = lines.select("line", F.posexplode(F.array(*names)).alias("which", "end")).where(F.col("end").isNotNull())
     # An end of two different lines at least; equal lines needn't be told apart beforehand.
     shared = ends.groupBy("end").agg(F.min("line").alias("low"), F.max("line").alias("high")).where(F.col("low") != F.col("high")).select("end")
+    shared = cut_lineage(shared)  # so that the join reads two plain shuffles and can split an end that most lines have
     survivors = ends.join(_hashed(shared), "end", "left_semi").groupBy("line").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("which"))).alias("shared"))
     first = lines.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     first = cut_lineage(first.join(_hashed(survivors), "line", "left").where((F.col("n") > 1) | F.col("shared").isNotNull()))
