@@ -42,7 +42,7 @@ SPAN = 400
 GRAM = 32
 MAX_SEGMENTS = 50_000
 BLOCK_BYTES = 6 << 20
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _U64 = np.uint64
 _BASE = _U64(0x9E3779B97F4A7C15)
