@@ -144,7 +144,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     texts = docs.withColumn("tkey", F.xxhash64("text")).join(per_doc, F.col("id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k")))
     again = texts.select(F.split(_normal(F.col("text")), "\n", -1).alias("all"), F.explode("picked").alias("p")).select("p.line", "p.first", "p.shared", F.split(F.trim(F.get(F.col("all"), F.col("p.no"))), " ").alias("words"))
     near = _neighbours(cut_lineage(again))
-    fate = first.select("line", "first", "n").join(near.withColumn("near", F.lit(True)), "line", "left").where((F.col("n") > 1) | F.col("near"))
+    fate = cut_lineage(first.select("line", "first", "n").join(near.withColumn("near", F.lit(True)), "line", "left").where((F.col("n") > 1) | F.col("near")))
     return (
         lines.select("id", "tkey", "line_no", "line").join(_hashed(fate), "line")
         .where(F.coalesce("near", F.lit(False)) | (F.struct("id", "tkey", "line_no") != F.col("first")))
