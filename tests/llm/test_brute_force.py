@@ -226,3 +226,27 @@ def test_lines_one_edit_apart(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in line_dedup.report(frame).collect() if r["n_removed"]} == {2, 3, 4, 5}
     assert {r["doc_id"] for r in line_dedup.dedup_lines(frame).collect()} == {1, 6, 7, 8}
+
+
+def test_large_bucket_hides_no_pair(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    shared = rng.sample(vocabulary, 140)
+    texts = [shared + rng.sample(vocabulary, 60) for _ in range(700)]
+    pairs = [(700 + k, rng.randrange(700)) for k in range(20)]
+    for _, source in pairs:
+        near = texts[source][:]
+        for spot in rng.sample(range(140, 200), 30):
+            near[spot] = rng.choice(vocabulary)
+        texts.append(near)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classify(docs).collect()}
+    assert all(got[a] == got[b] for a, b in pairs) and len(set(got.values())) >= 700 - 20
+
+
+def test_possible_loses_no_similar_text():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 60, rng.integers(5, 80)).astype(np.uint32) for _ in range(40)]
+    texts += [np.where(rng.random(len(t)) < 0.15, rng.integers(0, 60, len(t)), t).astype(np.uint32) for t in texts]
+    may = near_dedup.possible(texts, texts)
+    assert all(may[i, j] for i in range(len(texts)) for j in range(len(texts)) if near_dedup.similar(texts[i], texts[j]))
