@@ -250,3 +250,18 @@ def test_possible_loses_no_similar_text():
     texts += [np.where(rng.random(len(t)) < 0.15, rng.integers(0, 60, len(t)), t).astype(np.uint32) for t in texts]
     may = near_dedup.possible(texts, texts)
     assert all(may[i, j] for i in range(len(texts)) for j in range(len(texts)) if near_dedup.similar(texts[i], texts[j]))
+
+
+@pytest.mark.parametrize("n", [5, 6, 9, 10, 20, 45, 60, 200])
+def test_lone_pairs_at_the_threshold_meet(n):
+    rng = np.random.default_rng(n)
+    texts = []
+    for _ in range(100):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = a.copy()
+        at = rng.choice(n, int(0.2 * n + 1e-9), replace=False)
+        b[at] = rng.integers(0, 1 << 63, len(at)).astype(np.uint64)
+        texts += [a, b]
+    keys, bounds = near_dedup.candidate_keys(np.concatenate(texts), np.arange(len(texts) + 1) * n)
+    found = [set(keys[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
+    assert np.mean([bool(x & y) for x, y in zip(found[::2], found[1::2])]) >= (1 if n < 10 else 0.95)
