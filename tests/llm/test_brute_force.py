@@ -265,3 +265,19 @@ def test_lone_pairs_at_the_threshold_meet(n):
     keys, bounds = near_dedup.candidate_keys(np.concatenate(texts), np.arange(len(texts) + 1) * n)
     found = [set(keys[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
     assert np.mean([bool(x & y) for x, y in zip(found[::2], found[1::2])]) >= (1 if n < 10 else 0.95)
+
+
+def test_copies_do_not_starve_a_language(spark):
+    rng = random.Random(6)
+    def text(letters):
+        return " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
+    rows = [("xx", t) for t in [text("abcdefg")] * 4000 + [text("abcdefg") for _ in range(60)]] + [("yy", text("mnopqrs")) for _ in range(60)] + [("zz", text("tuvwxyz"))]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    kept = docs.where(~language_id.held_out("doc_id"))
+    models = language_id.fit(kept, sample_texts=40)
+    assert set(models.languages) == {r["lang"] for r in kept.select("lang").distinct().collect()}
+    assert models.limits[models.languages.index("xx"), 0] < np.inf
+    names = models.predict([text("abcdefg") for _ in range(20)])[0]
+    assert names == ["xx"] * 20
+    # However small the sample, a text of each language is learned from.
+    assert set(language_id.fit(kept, sample_texts=0).languages) == set(models.languages)

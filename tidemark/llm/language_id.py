@@ -7,8 +7,8 @@ log-weight with which a context passes to the next lower order. A position of th
 cases, and all languages are scored at once. The language of the lowest cross-entropy per symbol wins.
 
 Learning: rows with a non-null lang whose crc32(id) mod 4 is not 2. The models are fitted on a bounded sample of them,
-about ``SAMPLE_TEXTS`` distinct texts a language, chosen by a hash of the text; whole texts are used. A quarter of the
-sample calibrates the rejection: for each language the mean and the spread of the cross-entropy between texts, and
+about ``SAMPLE_TEXTS`` distinct texts a language, chosen by a hash of the text (copies count once), and one at least;
+whole texts are used. A quarter of the sample calibrates the rejection: for each language the mean and the spread of the cross-entropy between texts, and
 between symbols within a text. A text is rejected if its cross-entropy lies more than ``REJECT_Z`` deviations above
 the mean of its language, where short texts have wider deviations, and more than half the way from that mean to the
 entropy of evenly drawn symbols; so are texts without a letter.
@@ -20,6 +20,7 @@ id is not learned from and not held out). The score is the posterior of the winn
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,17 +199,18 @@ def held_out(id_col: str) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS) -> Models:
     """Fits the models on a bounded sample of the labelled rows that aren't held out."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    distinct = labelled.select("lang", F.xxhash64("text").alias("hash"), place.alias("place")).distinct()
+    sizes = {r["lang"]: (r["n"], r["low"]) for r in distinct.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("low")).collect()}  # a row for each language
     if not sizes:
         return Models({})
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample_texts / n))) for k, n in sorted(sizes.items())])
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    rows = labelled.where(place < share * float(1 << 40)).distinct().orderBy("lang", place, "text").collect()
+    bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(max(math.ceil(min(1.0, sample_texts / n) * (1 << 40)), low + 1))) for k, (n, low) in sorted(sizes.items())])
+    rows = labelled.where(place < bound).distinct().orderBy("lang", place, "text").collect()
     learn: dict[str, list[str]] = {k: [] for k in sizes}
     check: dict[str, list[str]] = {k: [] for k in sizes}
-    for i, (lang, text) in enumerate(rows):
-        (check if i % 4 == 3 else learn)[lang].append(text)
-    models = Models({k: v for k, v in learn.items() if v})
+    for lang, text in rows:
+        (check if (len(learn[lang]) + len(check[lang])) % 4 == 3 else learn)[lang].append(text)
+    models = Models(learn)
     models.calibrate(check)
     return models
 
