@@ -281,3 +281,12 @@ def test_copies_do_not_starve_a_language(spark):
     assert names == ["xx"] * 20
     # However small the sample, a text of each language is learned from.
     assert set(language_id.fit(kept, sample_texts=0).languages) == set(models.languages)
+
+
+def test_recurring_blocks_in_articles_go_and_copies_stay(spark):
+    page = "<body><div>Top {0}</div><article><h1>Story {0}</h1><div class=x><p>Write to the editor</p></div><p>Own words {0}</p></article></body>"
+    rows = [(i, f"http://site/{i}", page.format(i)) for i in range(8)]
+    rows += [(100 + i, f"http://copies/{i}", page.format("one")) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i}\nOwn words {i}" for i in range(8))
+    assert all(got[100 + i] == "Story one\nWrite to the editor\nOwn words one" for i in range(8))

@@ -4,8 +4,9 @@ Every element subtree is hashed (tag, the text inside and its child subtrees). S
 of its pages a subtree occurs, and a second pass deletes subtrees that recur on at least ``MIN_PAGES`` pages and on
 ``MIN_SHARE`` of the host's pages. Elements that announce themselves as furniture (nav, header, footer, aside, form,
 script, ...; role; words in class or id such as menu, sidebar, cookie, advert, comments) go on any host. If the page
-has an article or a main element that holds text, only what lies in it is kept, and there templates are not looked for
-as the article of a page copied on many urls is still its text; elsewhere templates are deleted.
+has an article or a main element that holds text, only what lies in it is kept; templates are deleted there too. As
+the article of a page copied on many urls is still its text, pages of one host with equal articles count as one page, and
+the article itself is never a template.
 
 Text: character references are decoded; white space inside a block becomes one space; blocks (block-level elements
 and line breaks) are trimmed and joined in page order by one \\n; empty ones are left out.
@@ -14,7 +15,7 @@ The parser is a tolerant tokeniser with implied end tags: unclosed inline elemen
 next block, li, td, option and their like at the next of their kind, and stray end tags are ignored.
 
 Defined results: a null or empty html gives an empty text and n_chars 0; a null url is a host of its own. Rows with a
-repeated page_id, or equal rows, are pages of their own in the counts and in the result.
+repeated page_id, or equal rows, are pages of their own in the result, and in the counts if they have no article.
 """
 
 from __future__ import annotations
@@ -207,6 +208,7 @@ def _holds_article(node: Node) -> bool:
 
 
 def render(nodes: list[Node], templates: set[int]) -> str:
+    """Text of the given subtrees without furniture and templates; the given roots themselves always stay."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -223,7 +225,7 @@ def render(nodes: list[Node], templates: set[int]) -> str:
                 flush()
             elif isinstance(x, str):
                 line.append(x)
-            elif not (x.furniture or (templates and x.key in templates)):
+            elif not (x.furniture or (templates and x is not top and x.key in templates)):
                 if x.tag in BLOCK:
                     flush()
                     todo.append(None)
@@ -232,15 +234,18 @@ def render(nodes: list[Node], templates: set[int]) -> str:
     return "\n".join(blocks)
 
 
-def candidates(source: str | None) -> list[int]:
-    """Keys of the page's element subtrees that could be a template: with text, outside an article, below the body."""
+def candidates(source: str | None) -> tuple[list[int], int | None]:
+    """Keys of the page's element subtrees that could be a template (with text, below the body, not the article itself),
+    in order, and a hash of its article, if it has one."""
     if not source:
-        return []
+        return [], None
     root = parse(source)
     order = hash_tree(root)
-    if regions(root):
-        return []
-    return list({n.key for n in order if n.has_text and not n.furniture and n.tag not in ("#root", "html", "body", "head")})
+    main = regions(root)
+    roots = {id(n) for n in main}
+    keys = {n.key for n in order if n.has_text and not n.furniture and n.tag not in ("#root", "html", "body", "head") and id(n) not in roots}
+    article = xxhash.xxh3_64_intdigest(b"".join(n.key.to_bytes(8, "little", signed=True) for n in main)) - (1 << 63) if main else None
+    return sorted(keys), article
 
 
 def extract(source: str | None, templates: set[int]) -> str:
@@ -248,20 +253,22 @@ def extract(source: str | None, templates: set[int]) -> str:
         return ""
     root = parse(source)
     hash_tree(root)
-    main = regions(root)
-    return render(main, set()) if main else render([root], templates)
+    return render(regions(root) or [root], templates)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.slices(batches, 1, CHUNK):
         hosts = [u and split_url(u)[0] for u in batch.column(0).to_pylist()]
         found = [candidates(h) for h in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.list_(pa.int64()))], ["host", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([a for _, a in found], pa.int64()), pa.array([k for k, _ in found], pa.list_(pa.int64()))], ["host", "article", "keys"])
 
 
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, key) of subtrees that recur across a host's pages. Counts are combined before the shuffle."""
-    seen = common.cut_lineage(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_keys, "host string, keys array<bigint>"))
+    found = common.cut_lineage(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_keys, "host string, article bigint, keys array<bigint>"))
+    # Of the pages with one article, the one of the least keys counts.
+    copies = found.where(F.col("article").isNotNull()).groupBy("host", "article").agg(F.min("keys").alias("keys"))
+    seen = common.cut_lineage(found.where(F.col("article").isNull()).select("host", "keys").union(copies.select("host", "keys")))
     sizes = seen.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     counts = seen.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     return counts.join(sizes.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") >= min_share * F.col("pages")).select("host", "key")
