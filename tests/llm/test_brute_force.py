@@ -290,3 +290,9 @@ def test_recurring_blocks_in_articles_go_and_copies_stay(spark):
     got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Story {i}\nOwn words {i}" for i in range(8))
     assert all(got[100 + i] == "Story one\nWrite to the editor\nOwn words one" for i in range(8))
+
+
+def test_short_lines_repeat_once(spark):
+    rows = [(1, "Subscribe now\nown words here\n\n-"), (2, "subscribe  NOW\nown words there\n\n"), (3, "own\nown")]
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "0", 3: "1"}

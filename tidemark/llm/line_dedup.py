@@ -1,8 +1,8 @@
 """Near-duplicate lines by a deletion-neighbourhood join, native.
 
 A line is removed if an earlier line (by document id, then line number) is the same or one edit away: one word
-inserted, deleted or replaced. Lines are compared as words in lower case. Lines of fewer than ``MIN_WORDS`` words
-carry too little to be judged and stay.
+inserted, deleted or replaced. Lines are compared as words in lower case. Lines of fewer than ``MIN_WORDS`` words are
+only compared for equality, as one edit is too much of them; lines without a word stay.
 
 1. Equal lines: lines are hashed, and the first place of each hash is found by an aggregation.
 2. Of the distinct lines, only those can have a neighbour that share an end with another one: a single edit leaves the
@@ -44,17 +44,17 @@ def _count(text: Column, symbol: str) -> Column:
 
 
 def _judged(docs: DataFrame) -> DataFrame:
-    """(id, tkey, line_no, words, n) of the judged lines; words is a string with single spaces. docs has id and text."""
+    """(id, tkey, line_no, words, n) of the lines with a word; words is a string with single spaces. docs has id and text."""
     split = docs.select("id", F.xxhash64("text").alias("tkey"), F.posexplode(F.split(_normal(F.col("text")), "\n", -1)).alias("line_no", "line"))
     trimmed = split.select("id", "tkey", "line_no", F.trim("line").alias("words"))
-    return trimmed.withColumn("n", _count(F.col("words"), " ") + 1).where(F.col("n") >= MIN_WORDS)
+    return trimmed.withColumn("n", _count(F.col("words"), " ") + 1).where(F.col("words") != "")
 
 
 def _ends(words: Column, n: Column) -> list[Column]:
     """Hashes of the ends a single edit may leave alone; lengths that differ by one have one length of end in common.
 
     Lines of 2^c to 2^(c+1) - 1 words have ends of 2^(c-1) words; those of 2^c words also the shorter ends of the
-    lines one word below.
+    lines one word below. Lines under MIN_WORDS have none.
     """
     e = F.pow(F.lit(2), F.floor(F.log2(n)) - 1).cast("int")
     shorter = F.when((n == 2 * e) & (e >= MIN_WORDS), (e / 2).cast("int"))
@@ -62,7 +62,7 @@ def _ends(words: Column, n: Column) -> list[Column]:
     def end(side: int, length: Column) -> Column:
         # substring_index with a count that differs from row to row
         part = F.call_function("substring_index", words, F.lit(" "), length if side == 0 else -length)
-        return F.when(length.isNotNull(), F.xxhash64(F.lit(side), length, part))
+        return F.when((n >= MIN_WORDS) & length.isNotNull(), F.xxhash64(F.lit(side), length, part))
 
     return [end(0, e), end(1, e), end(0, shorter), end(1, shorter)]
 
