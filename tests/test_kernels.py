@@ -212,3 +212,7 @@ def test_first_refusal_wins(spark):
     assert (flipped["rejected_by"], flipped["action"], flipped["final_direction"]) == (None, "invert", "short")
     assert judge({"squeeze_policy": "invert"}, policy.Policy(allow=("enter",)))["rejected_by"] == "invert-not-allowed"
     assert judge({"pressure": None})["action"] == "enter"
+
+
+def test_capital_queries_take_all_orders(spark, sf_dir):
+    assert stats._trades(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()

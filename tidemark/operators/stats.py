@@ -359,8 +359,8 @@ _TRADES_SQL = "tr AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) // 1000 AS
 
 
 def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades of the capital queries: one in fifty orders, held for some days (the thinning is part of the scenario)."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_orderkey") % 50 == 0)
+    """Trades of the capital queries: all orders, held for some days."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return orders.select(F.col("o_orderkey").alias("id"), F.expr("unix_micros(cast(o_orderdate AS timestamp)) div 1000").alias("ts_ms"), (1440 * (1 + F.col("o_orderkey") % 7)).alias("held"), F.col("o_custkey").cast("double").alias("priority"), F.col("o_totalprice").alias("pnl"))
 
 
