@@ -296,3 +296,10 @@ def test_short_lines_repeat_once(spark):
     rows = [(1, "Subscribe now\nown words here\n\n-"), (2, "subscribe  NOW\nown words there\n\n"), (3, "own\nown")]
     got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "", 2: "0", 3: "1"}
+
+
+def test_context_reaches_beyond_the_last_match(spark):
+    far = "x" * 41
+    texts = [(1, "ssn 123-45-6789, 987-65-4321"), (2, f"ssn 123-45-6789 {far} 987-65-4321")]
+    got = {r["doc_id"]: r["spans"] for r in pii.summarise(pii.find_pii(spark.createDataFrame(texts, "doc_id long, text string"))).collect()}
+    assert got == {1: "ssn:4:15,ssn:17:28", 2: "ssn:4:15"}

@@ -10,7 +10,7 @@ possessive repeats, and look-behinds that start a match only where a run starts
 Kinds: email, ip (parts up to 255), card (14 to 19 digits, Luhn), phone (10 to 15 digits), and beyond the base iban
 (mod-97) and ssn (three groups of digits; nothing to check, so only with a context word close before it).
 Score: 0.9 where a checksum confirmed the span, 0.6 otherwise, 0.3 for ssn; a context word of the kind in the 40
-characters before the span adds 0.3, up to 1. Spans under ``MIN_SCORE`` aren't reported.
+characters before the span (other matches included) adds 0.3, up to 1. Spans under ``MIN_SCORE`` aren't reported.
 
 Defined results: a null text counts as empty; no spans give an empty string and the SHA-256 of it. Rows repeat as they
 come; extra columns are ignored; ids may repeat or be null.
@@ -86,11 +86,11 @@ def _spans(kind: str, text: Column) -> Column:
 
     def step(state: Column, piece: Column) -> Column:
         stop = state["at"] + F.length(piece)
-        near = F.lower(F.right(state["before"], F.lit(CONTEXT))).rlike(CONTEXT_WORDS[kind])
+        near = F.lower(state["before"]).rlike(CONTEXT_WORDS[kind])
         score = F.least(F.lit(1.0), F.lit(START_SCORE[kind]) + F.when(near, 0.3).otherwise(0.0))
         span = F.array(F.struct(state["at"].alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), score.alias("score"))).cast(SPAN)
         keep = state["inside"] & _valid(kind, piece) & (score >= MIN_SCORE)
-        return F.struct(stop.alias("at"), piece.alias("before"), (~state["inside"]).alias("inside"), F.when(keep, F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
+        return F.struct(stop.alias("at"), F.right(F.concat(state["before"], piece), F.lit(CONTEXT)).alias("before"), (~state["inside"]).alias("inside"), F.when(keep, F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
 
     found = F.aggregate(pieces, first, step, lambda s: s["found"])
     hint = text.contains(HINTS[kind]) if HINTS[kind] else text.rlike("[0-9]")
