@@ -12,8 +12,8 @@ Kinds: email, ip (parts up to 255), card (14 to 19 digits, Luhn), phone (10 to 1
 Score: 0.9 where a checksum confirmed the span, 0.6 otherwise, 0.3 for ssn; a context word of the kind in the 40
 characters before the span (other matches included) adds 0.3, up to 1. Spans under ``MIN_SCORE`` aren't reported.
 
-Defined results: a null text counts as empty; no spans give an empty string and the SHA-256 of it. Rows repeat as they
-come; extra columns are ignored; ids may repeat or be null.
+Defined results: a null text counts as empty; no spans give an empty string and the SHA-256 of it. Very long texts are
+taken whole. Rows repeat as they come; extra columns are ignored; ids may repeat or be null. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+#: Pieces of a text (even) that are walked at once; each walk's list of spans grows by copying.
+CHUNK = 128
 #: A text without a match of this has none of the kind; cheap to test.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-"}
 CONTEXT_WORDS = {
@@ -77,12 +79,19 @@ def _valid(kind: str, match: Column) -> Column:
     }.get(kind, lambda: F.lit(True))()
 
 
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
 def _spans(kind: str, text: Column) -> Column:
-    """Array of confirmed spans of one kind, in order."""
+    """Array of confirmed spans of one kind, in order.
+
+    The pieces between marks are walked in chunks, each from the sum of the lengths before it and the end of the chunk
+    before it, so the work follows the number of matches.
+    """
     pieces = F.split(F.regexp_replace(text, PATTERNS[kind], f"{MARK}$0{MARK}"), MARK, -1)
     rank = KINDS.index(kind)
     empty = F.expr(f"cast(array() as {SPAN})")
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.lit(False).alias("inside"), empty.alias("found"))
 
     def step(state: Column, piece: Column) -> Column:
         stop = state["at"] + F.length(piece)
@@ -92,8 +101,22 @@ def _spans(kind: str, text: Column) -> Column:
         keep = state["inside"] & _valid(kind, piece) & (score >= MIN_SCORE)
         return F.struct(stop.alias("at"), F.right(F.concat(state["before"], piece), F.lit(CONTEXT)).alias("before"), (~state["inside"]).alias("inside"), F.when(keep, F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
 
-    found = F.aggregate(pieces, first, step, lambda s: s["found"])
+    def walk(chunk: Column, at: Column, before: Column) -> Column:
+        first = F.struct(at.alias("at"), before.alias("before"), F.lit(False).alias("inside"), empty.alias("found"))
+        return F.aggregate(chunk, first, step, lambda s: s["found"])
+
+    def in_chunks(parts: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int")), lambda c: F.slice(parts, c * CHUNK + 1, F.lit(CHUNK)))
+        sized = F.struct(chunks.alias("chunks"), F.transform(chunks, lambda c: _sum(F.transform(c, lambda p: F.length(p)))).alias("sizes"))
+
+        def of(x: Column) -> Column:
+            ahead = lambda i: F.coalesce(F.right(F.array_join(F.get(x["chunks"], i - 1), ""), F.lit(CONTEXT)), F.lit(""))
+            return F.flatten(F.transform(x["chunks"], lambda c, i: walk(c, _sum(F.slice(x["sizes"], F.lit(1), i)), ahead(i))))
+
+        return F.get(F.transform(F.array(sized), of), F.lit(0))
+
     hint = text.contains(HINTS[kind]) if HINTS[kind] else text.rlike("[0-9]")
+    found = F.get(F.transform(F.array(pieces), lambda p: F.when(F.size(p) <= CHUNK, walk(p, F.lit(0), F.lit(""))).otherwise(in_chunks(p))), F.lit(0))
     return F.when(hint & text.rlike(PATTERNS[kind]), found).otherwise(empty)
 
 
@@ -129,10 +152,10 @@ def _sql_kind(kind: str, pattern: str, valid: str, marked: str = f"{MARK}\\0{MAR
     rank, score, words = KINDS.index(kind), START_SCORE[kind], CONTEXT_WORDS[kind]
     return f"""
   SELECT n, {rank} AS rank, '{kind}' AS kind, start, start + length(m) AS stop, least(1.0, {score} + CASE WHEN near THEN 0.3 ELSE 0 END)::DOUBLE AS score
-  FROM (SELECT n, p[i] AS m, coalesce(list_sum(list_transform(p[1:i-1], lambda x: length(x))), 0)::BIGINT AS start,
-               regexp_matches(lower(right(p[i-1], {CONTEXT})), '{words}') AS near
-        FROM (SELECT n, p, unnest(range(2, len(p) + 1, 2)) AS i
-              FROM (SELECT n, string_split(regexp_replace(t, '{pattern}', '{marked}', 'g'), '{MARK}') AS p FROM d)))
+  FROM (SELECT n, m, start, regexp_matches(lower(substr(t, greatest(start - {CONTEXT}, 0) + 1, least(start, {CONTEXT}))), '{words}') AS near
+        FROM (SELECT n, t, p[i] AS m, coalesce(list_sum(list_transform(p[1:i-1], lambda x: length(x))), 0)::BIGINT AS start
+              FROM (SELECT n, t, p, unnest(range(2, len(p) + 1, 2)) AS i
+                    FROM (SELECT n, t, string_split(regexp_replace(t, '{pattern}', '{marked}', 'g'), '{MARK}') AS p FROM d))))
   WHERE {valid} AND {score} + CASE WHEN near THEN 0.3 ELSE 0 END >= {MIN_SCORE}"""
 
 
