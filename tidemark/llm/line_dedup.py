@@ -18,7 +18,9 @@ each other, that decides every one of them. Hot lines are counted with map-side
 left to adaptive skew handling.
 
 Defined results: a null text has no lines; an empty one has one empty line. Rows that share an id are told apart by
-their text; equal rows are one document and never remove each other's lines. A null id comes first in order.
+their text; equal rows are one document and never remove each other's lines. A null id comes first in order. Very long
+texts are taken whole. No rows give no rows; other columns, of whatever name, are ignored (``report``) or returned
+(``dedup_lines``).
 """
 
 from __future__ import annotations
@@ -168,7 +170,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
-@shielded("doc_id", "text")
+@shielded("id_col", "text_col")
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with all their columns, duplicate lines taken out of the text; documents that lose all words go."""
     gone = _joined(docs, id_col, text_col)
@@ -186,12 +188,13 @@ ORACLE = rf"""
 WITH l AS MATERIALIZED (
   SELECT doc_id, i - 1 AS no, regexp_extract_all(lower(p[i]), '[^\x20\x09-\x0D]+') AS w
   FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))),
-j AS MATERIALIZED (SELECT doc_id, no, w, array_to_string(w, ' ') AS s FROM l WHERE len(w) >= {MIN_WORDS}),
+j AS MATERIALIZED (SELECT doc_id, no, w, array_to_string(w, ' ') AS s FROM l WHERE len(w) >= 1),
 f AS MATERIALIZED (SELECT s, any_value(w) AS w, min((doc_id, no)) AS o FROM j GROUP BY s),
-v AS MATERIALIZED (SELECT s, o, i, array_to_string(w[1:i-1] || w[i+1:], ' ') AS r FROM (SELECT s, o, w, unnest(range(1, len(w) + 1)) AS i FROM f)),
+e AS MATERIALIZED (SELECT * FROM f WHERE len(w) >= {MIN_WORDS}),
+v AS MATERIALIZED (SELECT s, o, i, array_to_string(w[1:i-1] || w[i+1:], ' ') AS r FROM (SELECT s, o, w, unnest(range(1, len(w) + 1)) AS i FROM e)),
 swapped AS (SELECT s FROM (SELECT s, o, min(o) OVER (PARTITION BY r, i) AS lead FROM v) WHERE o > lead),
-longer AS (SELECT v.s FROM v JOIN f ON v.r = f.s WHERE v.o > f.o),
-shorter AS (SELECT f.s FROM v JOIN f ON v.r = f.s WHERE v.o < f.o),
+longer AS (SELECT v.s FROM v JOIN e ON v.r = e.s WHERE v.o > e.o),
+shorter AS (SELECT e.s FROM v JOIN e ON v.r = e.s WHERE v.o < e.o),
 near AS (SELECT s FROM swapped UNION SELECT s FROM longer UNION SELECT s FROM shorter),
 gone AS (SELECT DISTINCT j.doc_id, j.no FROM j JOIN f USING (s) WHERE (j.doc_id, j.no) <> f.o OR j.s IN (SELECT s FROM near)),
 g AS (SELECT doc_id, count(*) AS n, string_agg(no::VARCHAR, ',' ORDER BY no) AS nos FROM gone GROUP BY doc_id)
