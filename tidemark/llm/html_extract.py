@@ -2,11 +2,16 @@
 
 Every element subtree is hashed (tag, the text inside and its child subtrees). Spark counts for each host on how many
 of its pages a subtree occurs, and a second pass deletes subtrees that recur on at least ``MIN_PAGES`` pages and on
-``MIN_SHARE`` of the host's pages. Elements that announce themselves as furniture (nav, header, footer, aside, form,
-script, ...; role; words in class or id such as menu, sidebar, cookie, advert, comments) go on any host. If the page
-has an article or a main element that holds text, only what lies in it is kept; templates are deleted there too. As
-the article of a page copied on many urls is still its text, pages of one host with equal articles count as one page, and
-the article itself is never a template.
+``MIN_SHARE`` of the host's pages, inside articles too. If the page has an article or a main element that holds text,
+only what lies in it is kept. As the article of a page copied on many urls is still its text, pages of one host with
+equal articles count as one page, and the article itself is never a template.
+
+What doesn't recur goes by its markup, on any host: elements that are furniture by tag or role (nav, header, footer,
+aside, form, script, ...; a header with a heading inside an article is the article's own) or hidden; and elements whose
+class or id names furniture (menu, sidebar, cookie, advert, comments, ...). Names are the weaker sign: they don't count
+on what holds an article or main element or, but for comments, more than half of the page's text, nor if they only say
+what a layout has (has-sidebar, social-page) or name a part of the text (post-header); of paragraphs and headings, only
+names of adverts, notices and comments do. Articles named as comments, or nested in an article with text of its own, go.
 
 Text: character references are decoded; white space inside a block becomes one space; blocks (block-level elements
 and line breaks) are trimmed and joined in page order by one \\n; empty ones are left out.
@@ -15,7 +20,8 @@ The parser is a tolerant tokeniser with implied end tags: unclosed inline elemen
 next block, li, td, option and their like at the next of their kind, and stray end tags are ignored.
 
 Defined results: a null or empty html gives an empty text and n_chars 0; a null url is a host of its own. Rows with a
-repeated page_id, or equal rows, are pages of their own in the result, and in the counts if they have no article.
+repeated page_id, or equal rows, are pages of their own in the result, and in the counts if they have no article. Very
+long pages are taken whole. No rows give no rows; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -47,11 +53,20 @@ BLOCK = set(
 )
 FURNITURE = set("nav header footer aside form script style head noscript template iframe button select input textarea dialog menu svg canvas object video audio map title".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-FURNITURE_WORDS = set(
-    "nav navbar navigation menu sidebar footer header masthead breadcrumb breadcrumbs cookie cookies consent gdpr banner notice alert popup modal overlay newsletter subscribe "
-    "subscription signup login ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion comment comments disqus reply replies respond "
-    "related recommended recommendations share sharing social widget pagination pager toolbar skip search".split()
+COMMENT_WORDS = set("comment comments disqus reply replies respond".split())
+#: Names that count on paragraphs and headings too.
+NOTICE_WORDS = COMMENT_WORDS | set(
+    "cookie cookies consent gdpr notice newsletter subscribe subscription signup ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion share sharing".split()
+)
+FURNITURE_WORDS = NOTICE_WORDS | set(
+    "nav navbar navigation menu sidebar footer header masthead breadcrumb breadcrumbs banner alert popup modal overlay login related recommended recommendations social widget "
+    "pagination pager toolbar skip search".split()
 )
+#: Names that begin or end like this describe a layout; a header or a relation of the text is part of the text.
+LAYOUT_FIRST, LAYOUT_LAST = {"has", "no", "with", "without"}, {"page", "layout", "site", "app"}
+TEXT_PARTS = {"post", "entry", "article", "story", "content", "section", "work", "works", "study", "studies"}
+LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong", "span", "a", "blockquote", "pre", "td", "th", "li"}
+HARD, NAMED, COMMENTS = 3, 1, 2
 #: An open element of the first kind ends where one of the second starts.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "optgroup": {"optgroup"},
@@ -69,26 +84,47 @@ SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "furniture", "key", "has_text")
+    __slots__ = ("tag", "children", "furniture", "key", "has_text", "size", "holds")
 
-    def __init__(self, tag: str, furniture: bool = False):
-        self.tag, self.furniture, self.children, self.key, self.has_text = tag, furniture, [], 0, False
+    def __init__(self, tag: str, furniture: int = 0):
+        self.tag, self.furniture, self.children, self.key, self.has_text, self.size, self.holds = tag, furniture, [], 0, False, 0, False
 
 
-def is_furniture(tag: str, attributes: str) -> bool:
+def named_furniture(tag: str, names: str) -> int:
+    """What the words of a class or id say."""
+    found = 0
+    for name in names.split():
+        words = WORDS.findall(name)
+        if not words or words[0] in LAYOUT_FIRST or words[-1] in LAYOUT_LAST:
+            continue
+        signs = FURNITURE_WORDS.intersection(words)
+        if not COMMENT_WORDS.isdisjoint(signs):
+            return COMMENTS
+        if signs <= {"header", "related", "search"} and not TEXT_PARTS.isdisjoint(words):
+            continue
+        if signs if tag not in LEAVES else not NOTICE_WORDS.isdisjoint(signs):
+            found = NAMED
+    return found
+
+
+def furniture_of(tag: str, attributes: str) -> int:
+    """HARD by tag, role or hiding; COMMENTS or NAMED by class or id; else 0."""
     if tag in FURNITURE:
-        return True
-    if tag in ("html", "body", "article", "main") or not attributes or attributes.isspace():
-        return False
+        return HARD
+    if tag in ("html", "body") or not attributes or attributes.isspace():
+        return 0
+    found = 0
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html_lib.unescape(a or b or c).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.strip() in ROLES):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and not FURNITURE_WORDS.isdisjoint(WORDS.findall(value)):
-            return True
-    return False
+        if tag not in ("article", "main") and (name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.strip() in ROLES)):
+            return HARD
+        if tag not in ("article", "main") and name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return HARD
+        if name in ("class", "id"):
+            found = max(found, named_furniture(tag, value))
+    if tag in ("article", "main"):
+        return HARD if tag == "article" and found == COMMENTS else 0
+    return found
 
 
 def parse(source: str) -> Node:
@@ -140,7 +176,7 @@ def parse(source: str) -> Node:
                     close(depth)
                 elif stack[depth].tag in SCOPE and stack[depth].tag not in ENDS:
                     break
-        node = Node(tag, is_furniture(tag, found[3]))
+        node = Node(tag, furniture_of(tag, found[3]))
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|</{re.escape(tag)}\Z", re.I).search(source, at)
@@ -168,6 +204,7 @@ def postorder(root: Node) -> list[Node]:
 
 
 def hash_tree(root: Node) -> list[Node]:
+    """All elements with the hashes and sizes of their subtrees; signs of furniture that don't hold are taken back."""
     order = postorder(root)
     for node in order:
         digest = xxhash.xxh3_64(node.tag.encode())
@@ -175,13 +212,29 @@ def hash_tree(root: Node) -> list[Node]:
             if isinstance(child, Node):
                 digest.update(child.key.to_bytes(8, "little", signed=True))
                 node.has_text |= child.has_text
+                node.size += 0 if child.furniture == HARD else child.size
+                node.holds |= child.furniture != HARD and (child.holds or (child.tag in ("article", "main") and child.has_text))
             elif plain := SPACES.sub(" ", child).strip():
                 digest.update(plain.encode("utf-8", "surrogatepass"))
                 node.has_text = True
+                node.size += len(plain)
         node.key = digest.intdigest() - (1 << 63)
+    for node in order:
+        if node.furniture == NAMED and (node.holds or 2 * node.size > root.size) or node.furniture == COMMENTS and node.holds:
+            node.furniture = 0
+    for node in order:
+        if node.tag == "article":
+            _keep_headers(node)
     return order
 
 
+def _keep_headers(article: Node) -> None:
+    """A header in an article is the article's own if it has a heading."""
+    for child in article.children:
+        if isinstance(child, Node) and child.tag == "header" and any(x.tag in ("h1", "h2", "h3") for x in postorder(child)):
+            child.furniture = 0
+
+
 def regions(root: Node) -> list[Node]:
     """Outermost article or main elements with text outside furniture; none: the whole page."""
     found, todo = [], [root]
@@ -207,6 +260,20 @@ def _holds_article(node: Node) -> bool:
     return False
 
 
+def _has_own_text(article: Node) -> bool:
+    """Whether the article has paragraphs or bare text outside nested articles."""
+    todo: list = [(article, False)]
+    while todo:
+        node, inside = todo.pop()
+        for x in node.children:
+            if isinstance(x, str):
+                if inside and x.strip():
+                    return True
+            elif not x.furniture and x.tag != "article":
+                todo.append((x, inside or x.tag in ("p", "div", "section", "ul", "ol", "table", "blockquote", "pre")))
+    return False
+
+
 def render(nodes: list[Node], templates: set[int]) -> str:
     """Text of the given subtrees without furniture and templates; the given roots themselves always stay."""
     blocks: list[str] = []
@@ -219,13 +286,14 @@ def render(nodes: list[Node], templates: set[int]) -> str:
 
     for top in nodes:
         todo: list = [top]
+        nested = top.tag == "article" and _has_own_text(top)
         while todo:
             x = todo.pop()
             if x is None:
                 flush()
             elif isinstance(x, str):
                 line.append(x)
-            elif not (x.furniture or (templates and x is not top and x.key in templates)):
+            elif x is top or not (x.furniture or (nested and x.tag == "article") or x.key in templates):
                 if x.tag in BLOCK:
                     flush()
                     todo.append(None)
