@@ -9,10 +9,13 @@ item's normalised length; an item too short for pieces of ``MIN_PIECE`` characte
 has such pieces, down to 0 (then the whole item must occur).
 
 The items are the stated query set: they are read in blocks of at most ``BLOCK_CHARS`` characters, and each block's
-items are broadcast and met by all documents; a benchmark of any size is a bounded number of broadcasts per pass.
+items are broadcast and met by all documents; a worker builds a block's automaton once. A benchmark of more than one
+block takes a pass for each, which leaves only the hits, so that one block is held at a time whatever their number.
 
 Defined results: null, empty or blank items never match; a null document has no items. Equal items each report their
-own id. Rows with a repeated id are judged each for itself. No items, or no documents, give no hits and no rows.
+own id, of any type; an id that several items share is reported once, a null id not at all. Rows with a repeated id are
+judged each for itself. No items give no hits, no documents no rows. Very long texts are taken whole; other columns, of
+whatever name, are ignored (``find_items``) or returned (``decontaminate``).
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import read_table, shielded
+from .common import cut_lineage, read_table, shielded
 
 ERROR_RATE = 0.05
 MIN_PIECE = 10
@@ -78,10 +83,10 @@ def symbol_masks(pattern: str) -> dict[str, int]:
 class Matcher:
     """Automaton over the pieces of one block of items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items: dict[str, list[int]] = {}
+    def __init__(self, items: list[tuple[object, str]]):
+        self.items: dict[str, list] = {}
         for item_id, text in items:
-            if plain := normalise(text):
+            if item_id is not None and (plain := normalise(text)):
                 self.items.setdefault(plain, []).append(item_id)
         self.texts = list(self.items)
         self.masks: dict[int, dict[str, int]] = {}
@@ -96,7 +101,7 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not owners
 
-    def find(self, text: str | None) -> list[int]:
+    def find(self, text: str | None) -> list:
         """Ids of the items found in the text, in order."""
         if self.empty or not (plain := normalise(text)):
             return []
@@ -117,10 +122,21 @@ class Matcher:
                         self.masks[k] = symbol_masks(item)
                     if best_distance(item, window, self.masks[k]) <= budget:
                         found.add(k)
-        return sorted(i for k in found for i in self.items[self.texts[k]])
+        return sorted({i for k in found for i in self.items[self.texts[k]]})
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+_built: dict[int, Matcher] = {}
+
+
+def matcher_of(block) -> Matcher:
+    """The matcher of a broadcast block of items; a Python worker keeps that of its last block."""
+    if block.id not in _built:
+        _built.clear()
+        _built[block.id] = Matcher(block.value)
+    return _built[block.id]
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
     """The items in blocks of bounded size, one partition after another on the driver."""
     block, held = [], 0
     for row in benchmark.select(item_col, text_col).toLocalIterator():
@@ -136,26 +152,44 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
 
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """All rows of docs: id, the columns in ``keep``, and item_ids: sorted ids of the benchmark items found."""
-    spark = docs.sparkSession
-    current = docs.select(F.col(id_col), *[F.col(c) for c in keep if c != id_col], F.col(text_col).alias("_scanned"), F.expr("cast(array() as array<bigint>)").alias("item_ids"))
-    for block in _blocks(benchmark, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(block)
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value)
+    context = docs.sparkSession.sparkContext
+    kind = benchmark.schema[item_col].dataType
+    ids = T.ArrayType(kind)
+    columns = [F.col(id_col), *[F.col(c) for c in keep if c != id_col]]
+    scanned = docs.select(*columns, F.col(text_col).cast("string").alias("_scanned"))
+    blocks = _blocks(benchmark, item_col, item_text_col)
+    first, second = next(blocks, []), next(blocks, None)
+
+    def scan(block, hits_only: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = matcher_of(block)
             for batch in batches:
-                texts, before = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-                found = [b + matcher.find(t) for t, b in zip(texts, before)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int64()))], batch.schema.names)
-
-        current = current.mapInArrow(scan, current.schema)
-    return current.drop("_scanned").withColumn("item_ids", F.array_sort("item_ids"))
-
-
-@shielded("doc_id", "text")
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+                found = [matcher.find(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+                if hits_only:
+                    batch, found = batch.filter(pa.array([bool(x) for x in found], pa.bool_())), [x for x in found if x]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, to_arrow_type(ids))], [*batch.schema.names[:-1], "item_ids"])
+
+        return run
+
+    if second is None:
+        return scanned.mapInArrow(scan(context.broadcast(first), False), T.StructType([*scanned.schema.fields[:-1], T.StructField("item_ids", ids)]))
+    texts = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("_text_key"), F.col(text_col).cast("string").alias("_scanned"))
+    schema = T.StructType([texts.schema.fields[0], T.StructField("item_ids", ids)])
+    hits = None
+    for block in (first, second, *blocks):
+        shared = context.broadcast(block)
+        some = cut_lineage(texts.mapInArrow(scan(shared, True), schema).distinct())
+        shared.destroy()
+        hits = some if hits is None else hits.union(some)
+    found = hits.groupBy(F.col("_text_key").alias("_hit")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
+    keyed = scanned.withColumn("_text_key", F.xxhash64("_scanned")).drop("_scanned").join(found, F.col("_text_key") == F.col("_hit"), "left").drop("_text_key", "_hit")
+    return keyed.withColumn("item_ids", F.coalesce("item_ids", F.array().cast(ids)))
+
+
+@shielded("id_col", "text_col")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents (all their columns) in which no benchmark item was found."""
-    kept = find_items(docs, benchmark, keep=tuple(docs.columns)).where(F.size("item_ids") == 0)
+    kept = find_items(docs, benchmark, id_col, text_col, keep=tuple(docs.columns)).where(F.size("item_ids") == 0)
     return kept.select(*docs.columns)
 
 
