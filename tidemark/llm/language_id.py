@@ -7,15 +7,18 @@ log-weight with which a context passes to the next lower order. A position of th
 cases, and all languages are scored at once. The language of the lowest cross-entropy per symbol wins.
 
 Learning: rows with a non-null lang whose crc32(id) mod 4 is not 2. The models are fitted on a bounded sample of them,
-about ``SAMPLE_TEXTS`` distinct texts a language, chosen by a hash of the text (copies count once), and one at least;
-whole texts are used. A quarter of the sample calibrates the rejection: for each language the mean and the spread of the cross-entropy between texts, and
-between symbols within a text. A text is rejected if its cross-entropy lies more than ``REJECT_Z`` deviations above
-the mean of its language, where short texts have wider deviations, and more than half the way from that mean to the
-entropy of evenly drawn symbols; so are texts without a letter.
+about ``SAMPLE_TEXTS`` distinct texts a language, up to ``SAMPLE_CHARS`` characters, chosen by a hash of the text (copies
+count once), and one at least; whole texts are used. A quarter of each language's sample calibrates the rejection: the
+mean and the spread of the cross-entropy between texts, and between symbols within a text. A language with fewer than
+four distinct texts is calibrated like the mean of the others. A text is rejected if its cross-entropy lies more than
+``REJECT_Z`` deviations above the mean of its language, where short texts have wider deviations, and more than half the
+way from that mean to the entropy of evenly drawn symbols; so are texts without a letter.
 
 Defined results: null text, or no letter: lang_pred ``und``, score 0, rejected. Without any labelled row every text is
 ``und``. Ties go to the language first in code-point order. Rows repeat as they come; ids may repeat or be null (a null
-id is not learned from and not held out). The score is the posterior of the winner under equal priors, tempered.
+id is not learned from and not held out). The score is the posterior of the winner under equal priors, tempered, and 0
+for rejected texts, which keep the best language as lang_pred. Very long texts are taken whole. No rows give no rows;
+other columns, of whatever name, are ignored (``identify``) or returned (``keep_recognised``).
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,7 +37,7 @@ from .common import read_table
 ORDER = 4
 BITS = 12
 DISCOUNT = 0.75
-SAMPLE_TEXTS = 400
+SAMPLE_TEXTS, SAMPLE_CHARS = 400, 8_000_000
 REJECT_Z = 8.0
 TEMPER, TEMPER_LENGTH = 0.25, 200
 CHUNK = 1 << 20
@@ -170,7 +173,11 @@ class Models:
                 between = max(0.0, np.average((ce - mean) ** 2, weights=n))
                 self.limits[j] = mean, between, within
             else:
-                self.limits[j] = np.inf, 0, 0
+                self.limits[j] = np.nan
+        unknown = np.isnan(self.limits[:, 0])
+        if unknown.any():
+            usual = math.log(len(self.points) + 1) / 2, 0.0, 1.0
+            self.limits[unknown] = self.limits[~unknown].mean(axis=0) if not unknown.all() else usual
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy and rejection of each text."""
@@ -189,14 +196,14 @@ class Models:
             rejected = lowest - mean > np.maximum(REJECT_Z * np.sqrt(between + within / n), halfway)
         none = counts < 0
         languages = [UNKNOWN if e else self.languages[b] for b, e in zip(best, none)]
-        return languages, np.where(none, 0.0, posterior), np.where(none, 0.0, lowest), rejected | none
+        return languages, np.where(none | rejected, 0.0, posterior), np.where(none, 0.0, lowest), rejected | none
 
 
 def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS) -> Models:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> Models:
     """Fits the models on a bounded sample of the labelled rows that aren't held out."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
@@ -205,7 +212,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not sizes:
         return Models({})
     bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(max(math.ceil(min(1.0, sample_texts / n) * (1 << 40)), low + 1))) for k, (n, low) in sorted(sizes.items())])
-    rows = labelled.where(place < bound).distinct().orderBy("lang", place, "text").collect()
+    drawn = labelled.where(place < bound).distinct().withColumns({"place": place, "size": F.length("text").cast("long")})
+    # About SAMPLE_TEXTS rows a language; those within the bound on characters, and the first.
+    upto = F.sum("size").over(Window.partitionBy("lang").orderBy("place", "text"))
+    rows = drawn.withColumn("upto", upto).where((F.col("upto") <= sample_chars) | (F.col("upto") == F.col("size"))).orderBy("lang", "place", "text").select("lang", "text").collect()
     learn: dict[str, list[str]] = {k: [] for k in sizes}
     check: dict[str, list[str]] = {k: [] for k in sizes}
     for lang, text in rows:
@@ -230,10 +240,10 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
     return picked.mapInArrow(scan, f"{columns}, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
-@common.shielded("doc_id", "text", "lang")
-def keep_recognised(docs: DataFrame) -> DataFrame:
+@common.shielded("id_col", "text_col", "lang_col")
+def keep_recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Documents with all their columns whose language models fitted on them don't reject."""
-    judged = identify(docs, fit(docs), keep=tuple(docs.columns))
+    judged = identify(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col, keep=tuple(docs.columns))
     return judged.where(~F.col("rejected")).select(*docs.columns)
 
 
