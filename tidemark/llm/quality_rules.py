@@ -9,7 +9,8 @@ count per distinct line. Counting is an aggregation with map-side combining, so
 carry costs one row per task. The counts meet the documents again by an ordinary join on (host, line hash).
 
 Defined results: a null text has no words and fails the base rules; a null source is a host of its own. Rows that
-repeat, or share an id, are documents of their own in every count. Lines are compared by 64-bit hashes.
+repeat, or share an id, are documents of their own in every count. Very long texts are taken whole. No rows give no
+rows; other columns, of whatever name, are ignored. Lines are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -128,6 +129,8 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = common.cut_lineage(scanned.groupBy("id", "source", "whole", *STATS).agg(F.count("*").alias("copies"), F.first("lines").alias("lines")))
     seen = rows.select("id", "source", "whole", "copies", F.inline("lines"))
     common_lines = seen.groupBy("source", "line").agg(F.sum("copies").alias("n")).where(F.col("n") > max_documents).select(F.col("source").alias("s"), F.col("line").alias("l"))
+    # Written first: a join that reads two plain shuffles can split a line that most documents of a host carry.
+    common_lines = common.cut_lineage(common_lines)
     removed = (
         seen.join(common_lines, F.col("source").eqNullSafe(F.col("s")) & (F.col("line") == F.col("l")))
         .groupBy(F.col("id").alias("i"), F.col("source").alias("s"), F.col("whole").alias("w")).agg(F.sum("words").alias("removed"))
