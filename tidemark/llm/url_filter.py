@@ -7,8 +7,10 @@ the rule's path. A url that no rule fits gets the default verdict.
 Defined results: a null url, or one without ``://``, has empty host and path and can only meet a rule with empty host
 and path. Repeated rows are judged alike. Extra columns are ignored. An empty table gives an empty result.
 
-The trie is broadcast only while the rules stay under ``max_rule_bytes``; larger rule sets are matched by equi-joins
-on the url's host suffixes and path prefixes, whose number is bounded by the length of the url.
+The trie is broadcast only while the rules stay under ``max_rule_bytes`` (their text and ``NODE_BYTES`` a rule for the
+nodes of the trie); larger rule sets are matched by equi-joins on the url's host suffixes and on those prefixes of its
+path whose length occurs in a rule of that host. Very long urls cost no more prefixes than such lengths. Both ways give
+the same result.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from .common import read_table
 #: (host, path, verdict) of the contract.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 MAX_RULE_BYTES = 64 << 20
+NODE_BYTES = 600
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = str.maketrans(_UPPER, _UPPER.lower())
 
-_PATHS, _RULES = "paths", "rules"
+_PATHS, _RULES, _SIZES = "paths", "rules", "sizes"
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -45,8 +48,8 @@ def split_url(url: str | None) -> tuple[str, str]:
 def build_trie(rules: list[tuple[str, str, str]]) -> dict:
     """Nested dictionaries: host labels from the right; at a host node, a second trie over whole path segments.
 
-    At a path node, ``rules`` maps the rest of the rule's path, a prefix of the url's next segment, to the decision.
-    None stands for a rule with an empty path, which needs no segment at all.
+    At a path node, ``rules`` maps the rest of the rule's path, a prefix of the url's next segment, to the decision, and
+    ``sizes`` has the lengths of these. None stands for a rule with an empty path, which needs no segment at all.
     """
     root: dict = {"labels": {}, _PATHS: None}
     for host, path, verdict in rules:
@@ -54,13 +57,15 @@ def build_trie(rules: list[tuple[str, str, str]]) -> dict:
         for label in reversed(host.split(".")) if host else ():
             node = node["labels"].setdefault(label, {"labels": {}, _PATHS: None})
         if node[_PATHS] is None:
-            node[_PATHS] = {"segments": {}, _RULES: {}}
+            node[_PATHS] = {"segments": {}, _RULES: {}, _SIZES: set()}
         spot, rest = node[_PATHS], None
         if path:
             *whole, rest = path.split("/")
             for segment in whole:
-                spot = spot["segments"].setdefault(segment, {"segments": {}, _RULES: {}})
+                spot = spot["segments"].setdefault(segment, {"segments": {}, _RULES: {}, _SIZES: set()})
         weight = (len(host) + len(path), verdict == "block", host + path)
+        if rest is not None:
+            spot[_SIZES].add(len(rest))
         if rest not in spot[_RULES] or spot[_RULES][rest][0] < weight:
             spot[_RULES][rest] = (weight, host + path, verdict)
     return root
@@ -76,8 +81,10 @@ def match(trie: dict, host: str, path: str) -> tuple[str, str] | None:
         for at in range(len(parts) + 1):
             if spot is None:
                 break
-            for rest, found in spot[_RULES].items():
-                if (rest is None or (at < len(parts) and parts[at].startswith(rest))) and (best is None or best[0] < found[0]):
+            segment = parts[at] if at < len(parts) else None
+            for rest in (None, *(segment[:n] for n in spot[_SIZES] if n <= len(segment))) if segment is not None else (None,):
+                found = spot[_RULES].get(rest)
+                if found and (best is None or best[0] < found[0]):
                     best = found
             if at == len(parts) - 1:  # the last segment isn't followed by a slash
                 break
@@ -94,7 +101,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
     """One row per page: id, host, path, rule (null where none fits) and verdict."""
     rules = RULES if rules is None else rules
     urls = pages.select(F.col(id_col), F.col(url_col).alias("url"))
-    if sum(len(h) + len(p) + 100 for h, p, _ in rules) > max_rule_bytes:
+    if sum(len(h) + len(p) + NODE_BYTES for h, p, _ in rules) > max_rule_bytes:
         return _by_join(urls, rules, default, id_col)
     shared = pages.sparkSession.sparkContext.broadcast(build_trie(rules))
 
@@ -128,11 +135,13 @@ def _by_join(urls: DataFrame, rules: list[tuple[str, str, str]], default: str, i
         F.coalesce(F.regexp_extract("url", "(?s)://[^/?#]*([^?#]*)", 1), F.lit("")).alias("path"),
     )
     labels = F.split("host", r"\.")
+    lengths = table.select(F.col("r_host").alias("l_host"), F.length("r_path").alias("n")).distinct()
     keys = (
         parsed.select("host", "path").distinct()
         .withColumn("r_host", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))))
         .dropDuplicates(["host", "path", "r_host"])
-        .withColumn("r_path", F.explode(F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.substring(F.col("path"), F.lit(1), i))))
+        .join(lengths, (F.col("r_host") == F.col("l_host")) & (F.col("n") <= F.length("path")))
+        .withColumn("r_path", F.substring(F.col("path"), F.lit(1), F.col("n")))
     )
     best = (
         keys.join(table, ["r_host", "r_path"])
