@@ -20,9 +20,14 @@ sequential files and holds one block of ``BLOCK_BYTES`` at a time. Anchors with
 segments (a passage pasted into millions of documents) would put one long block into one task; for them, the windows
 of each segment are hashed and counted with map-side combining, which is exact as well and spreads over all tasks.
 
+``n_passage_words`` is a mark beside the removal: how many words of the document lie in passages of ``PASSAGE`` words or
+more that another document holds too. Such a passage can have fewer than SPAN bytes, so that nothing of it is removed.
+It is found by the same anchors over words; the windows of what shares an anchor are counted by their hashes.
+
 Defined results: a null text is empty; texts under SPAN bytes keep everything; equal rows are copies of each other, so
-a text of SPAN bytes or more that occurs twice is removed whole. Ids may repeat or be null. Strings are told apart by
-64-bit hashes of segments, windows (hot anchors) and texts.
+a text of SPAN bytes or more that occurs twice is removed whole. Ids may repeat or be null. Very long texts are taken
+whole. An empty table gives no rows; other columns, of whatever name, are ignored. Strings are told apart by 64-bit
+hashes of segments, windows (hot anchors, passages) and texts.
 """
 
 from __future__ import annotations
@@ -40,6 +45,9 @@ from .common import cut_lineage, read_table
 
 SPAN = 400
 GRAM = 32
+#: Words of a passage that marks the documents that share it, and of its anchors.
+PASSAGE = 51
+PASSAGE_GRAM = 8
 MAX_SEGMENTS = 50_000
 BLOCK_BYTES = 6 << 20
 CHUNK = 1 << 20
@@ -50,36 +58,39 @@ _INVERSE = _U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = common.mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each position on, by doubling."""
-    out, size = _BYTE[data], 1
-    while size < GRAM:
+def gram_hashes(values: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Hash of the ``gram`` values (a power of two) from each position on, by doubling."""
+    out, size = values, 1
+    while size < gram:
         out = out[: len(out) - size] * common.mix(np.array([size], np.uint64))[0] + out[size:]
         size *= 2
     return common.mix(out)
 
 
 class Hasher:
-    """Polynomial hashes of any substrings of some bytes, from prefix sums."""
+    """Polynomial hashes of any substrings of some values, from prefix sums."""
 
-    def __init__(self, data: np.ndarray):
-        self.back = common.powers(len(data) + 1, _INVERSE)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * common.powers(len(data), _BASE)[: len(data)], dtype=np.uint64)))
+    def __init__(self, values: np.ndarray):
+        self.back = common.powers(len(values) + 1, _INVERSE)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * common.powers(len(values), _BASE)[: len(values)], dtype=np.uint64)))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return common.mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64) * _BASE)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Segments of all texts: owner, start and length in the text, place of the anchor in the segment, anchor, hash."""
-    window = SPAN - GRAM + 1
+def segments(values: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> dict[str, np.ndarray]:
+    """Segments of all texts: owner, start and length in the text, place of the anchor in the segment, anchor, hash.
+
+    values has a 64-bit hash of each symbol (byte or word).
+    """
+    window = span - gram + 1
     lengths = np.diff(offsets)
-    counts = np.maximum(lengths - SPAN + 1, 0)
+    counts = np.maximum(lengths - span + 1, 0)
     total = int(counts.sum())
     if not total:
         empty = np.zeros(0, np.int64)
         return {k: empty for k in ("owner", "start", "length", "place", "anchor", "hash")}
-    grams = gram_hashes(data)
+    grams = gram_hashes(values, gram)
     # Hash above, position below: the least value is the leftmost of the least hashes.
     value = (grams >> _U64(32) << _U64(32)) | np.arange(len(grams), dtype=np.uint64)
     padded = np.full(-(-len(value) // window) * window, np.iinfo(np.uint64).max, np.uint64)
@@ -95,17 +106,18 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     new[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
     last = np.concatenate((first[1:], [total])) - 1
-    begin, end = starts[first], starts[last] + SPAN
+    begin, end = starts[first], starts[last] + span
     return {
         "owner": owner[first], "start": begin - offsets[owner[first]], "length": end - begin, "place": place[first] - begin,
-        "anchor": grams[place[first]].view(np.int64), "hash": Hasher(data).of(begin, end).view(np.int64),
+        "anchor": grams[place[first]].view(np.int64), "hash": Hasher(values).of(begin, end).view(np.int64),
     }
 
 
 def _segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text with a segment; of each segment: start, length and place packed, anchor, hash."""
     for batch in common.slices(batches, 2, CHUNK):
-        found = segments(*common.utf8(batch.column(2)))
+        data, offsets = common.utf8(batch.column(2))
+        found = segments(_BYTE[data], offsets)
         rows, firsts = np.unique(found["owner"], return_index=True)
         bounds = pa.array(np.concatenate((firsts, [len(found["owner"])])).astype(np.int32))
         packed = (found["start"] << 20) | ((found["length"] - SPAN) << 10) | found["place"]
@@ -211,7 +223,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
         at = first + offsets[:-1][owner]
         rows = pa.array(owner)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first), pa.array(Hasher(data).of(at, at + SPAN).view(np.int64))], ["anchor", "hash", "at", "window"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first), pa.array(Hasher(_BYTE[data]).of(at, at + SPAN).view(np.int64))], ["anchor", "hash", "at", "window"])
 
 
 def _looked_up(texts: DataFrame, keyed: DataFrame, how: str = "inner") -> DataFrame:
@@ -268,6 +280,53 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     return placed.groupBy(F.col("tkey").alias("t")).agg(F.collect_set("s").alias("spans"))
 
 
+def _passage_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text of PASSAGE words or more: of each of its segments of words, start and length packed, anchor."""
+    for batch in common.slices(batches, 2, CHUNK):
+        words, _, _, firsts = common.words_of(*common.utf8(batch.column(2)))
+        found = segments(words, firsts, PASSAGE, PASSAGE_GRAM)
+        rows, cuts = np.unique(found["owner"], return_index=True)
+        bounds = pa.array(np.concatenate((cuts, [len(found["owner"])])).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in ((found["start"] << 10) | (found["length"] - PASSAGE), found["anchor"])]
+        n_words = pa.array(np.diff(firsts)[rows].astype(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), n_words, *lists], ["id", "tkey", "n_words", "at", "anchor"])
+
+
+def _passage_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the windows of PASSAGE words of the picked segments."""
+    for batch in common.slices(batches, 1, CHUNK):
+        words, _, _, firsts = common.words_of(*common.utf8(batch.column(1)))
+        picked = batch.column(2)
+        at = picked.flatten().to_numpy()
+        owner = np.repeat(np.arange(batch.num_rows), picked.value_lengths().to_numpy())
+        counts = (at & 1023) + 1
+        first = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(at >> 10, counts)
+        owner = np.repeat(owner, counts)
+        start = first + firsts[:-1][owner]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(first), pa.array(Hasher(words).of(start, start + PASSAGE).view(np.int64))], ["tkey", "first", "window"])
+
+
+def passages(texts: DataFrame) -> DataFrame:
+    """texts has id, tkey and text. Returns (p, n_passage_words): words of each text key in passages that others hold."""
+    kind = texts.schema["id"].dataType.simpleString()
+    found = texts.select("id", "tkey", "text").mapInArrow(_passage_anchors, f"id {kind}, tkey bigint, n_words bigint, at array<bigint>, anchor array<bigint>")
+    found = cut_lineage(found.groupBy("tkey").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("id", "n_words", "at", "anchor")]))
+    each = found.select("id", "tkey", F.inline(F.arrays_zip("at", "anchor")))
+    twice = each.groupBy("anchor").agg(F.min("tkey").alias("low"), F.max("tkey").alias("high")).where(F.col("low") != F.col("high")).select("anchor")
+    # Written first, so that the join can split an anchor that most texts have.
+    twice = cut_lineage(twice)
+    picked = cut_lineage(each.join(twice, "anchor", "left_semi").groupBy(F.col("id").alias("i"), F.col("tkey").alias("t")).agg(F.collect_list("at").alias("picked")))
+    windows = cut_lineage(_looked_up(texts, picked).select("tkey", "text", "picked").mapInArrow(_passage_windows, "tkey bigint, first bigint, window bigint"))
+    shared = windows.groupBy("window").agg(F.min("tkey").alias("low"), F.max("tkey").alias("high")).where(F.col("low") != F.col("high")).select("window")
+    starts = windows.join(cut_lineage(shared), "window", "left_semi").groupBy("tkey").agg(F.array_sort(F.collect_set("first")).alias("starts"))
+    # A word is covered by its own window or, after a gap, by the last one before it.
+    gaps = F.transform(F.sequence(F.lit(1), F.size("starts") - 1), lambda k: F.least(F.get("starts", k) - F.get("starts", k - 1), F.lit(PASSAGE)))
+    covered_words = F.when(F.size("starts") > 1, F.aggregate(gaps, F.lit(PASSAGE).cast("long"), lambda a, g: a + g)).otherwise(F.lit(PASSAGE).cast("long"))
+    shared_words = starts.select(F.col("tkey").alias("s"), covered_words.alias("covered"))
+    copies = found.select("tkey", "copies", "n_words").join(shared_words, F.col("tkey") == F.col("s"), "left")
+    return copies.select(F.col("tkey").alias("p"), F.when(F.col("copies") > 1, F.col("n_words")).otherwise(F.coalesce("covered", F.lit(0))).alias("n_passage_words")).where(F.col("n_passage_words") > 0)
+
+
 def covered(spans: list, size: int) -> list[tuple[int, int]]:
     """Maximal removed runs as (start, end)."""
     out: list[tuple[int, int]] = []
@@ -281,11 +340,13 @@ def covered(spans: list, size: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept (bytes) and spans."""
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words; with texts also kept (bytes)
+    and spans."""
     picked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     picked = picked.select("id", F.xxhash64("text").alias("tkey"), "text")
     runs_of = repeated_runs(picked)
-    joined = _looked_up(picked, runs_of, "left").select("id", "text", "spans")
+    marked = runs_of.join(passages(picked), F.col("t") == F.col("p"), "full").select(F.coalesce("t", "p").alias("t"), "spans", "n_passage_words")
+    joined = _looked_up(picked, marked, "left").select("id", "text", "spans", F.coalesce("n_passage_words", F.lit(0).cast("long")).alias("n_passage_words"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 1, CHUNK):
@@ -299,14 +360,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(value[at:])
                 rest = b"".join(kept)
                 rows.append((len(value), len(value) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), rest, [{"start": a, "end": b} for a, b in gone]))
-            columns = [batch.column(0), *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]]
+            columns = [batch.column(0), *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], batch.column(3)]
             if texts:
                 columns += [pa.array([r[4] for r in rows], pa.binary()), pa.array([r[5] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "kept", "spans"][: len(columns)])
 
     kind = picked.schema["id"].dataType.simpleString()
     more = ", kept binary, spans array<struct<start:bigint,end:bigint>>" if texts else ""
-    return joined.mapInArrow(finish, f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{more}")
+    return joined.mapInArrow(finish, f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage_words bigint{more}")
 
 
 def query(spark, sf_dir):
