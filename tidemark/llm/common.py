@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import inspect
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -25,10 +27,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; set one of our own only where none is configured."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        fallback = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)
+    """Use the folder named in spark.checkpoint.dir; one of our own only where none is configured and all runs in one
+    process, as a temporary folder is each machine's own on a cluster."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,8 +49,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shielded(*own: str):
-    """For operators that return their input's columns: all but the named ones get neutral names while it works.
+def shielded(*parameters: str):
+    """For operators that return their input's columns: all but those that the parameters name get neutral names meanwhile.
 
     So no column of the input can clash with one that the operator adds on the way. Columns added at the end stay.
     """
@@ -52,6 +58,9 @@ def shielded(*own: str):
     def wrap(operator):
         @functools.wraps(operator)
         def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            bound = inspect.signature(operator).bind(docs, *args, **kwargs)
+            bound.apply_defaults()
+            own = {bound.arguments[p] for p in parameters}
             names = {c: c if c in own else f"_other_{i}" for i, c in enumerate(docs.columns)}
             out = operator(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), *args, **kwargs)
             added = [c for c in out.columns if c not in names.values()]

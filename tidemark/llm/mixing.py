@@ -10,8 +10,9 @@ Targets: weights over all sources, filled up to a cap of ``max_repeats`` times t
 cap is shared by weight among the others.
 
 Defined results: a null or empty text has size 0; a null source is a source of its own, last in order; rows with one
-id share one hash and are taken or left together; a null id hashes as the word null. An empty table gives an empty
-result.
+id share one hash and are taken or left together; a null id hashes as the word null. Very long texts count whole. An
+empty table gives an empty result; other columns, of whatever name, are ignored (``mix_sources``) or returned
+(``take_mix``).
 """
 
 from __future__ import annotations
@@ -120,7 +121,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
 
 
-@shielded("doc_id", "text", "source")
+@shielded("id_col", "text_col", "source_col")
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: documents with all their columns, and times, how often the mix takes each; others are left out."""
     base = cut_lineage(measured(docs, id_col, text_col, source_col))
