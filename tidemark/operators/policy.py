@@ -60,14 +60,16 @@ def pre_candle_features(asks: DataFrame, candles: DataFrame, key: str, interval_
     """Per ask with a candle before it: features of the candles that begin before its first whole candle.
 
     The last of them stands for the entry, as nothing later may be looked at: its volume is compared with the candles
-    before it, and so are pressure and liquidity. baseline and horizon are numbers or columns of asks.
+    before it, and so are pressure and liquidity. baseline and horizon are numbers or columns of asks. Asks of one
+    symbol, side and candle read the same candles, so these are met and folded once for all of them.
     """
     value = lambda x: F.col(x) if isinstance(x, str) else F.lit(x)
     start = F.col("ts_ms") + F.pmod(interval_ms - F.pmod("ts_ms", F.lit(interval_ms)), F.lit(interval_ms))
     left = asks.select(F.col(key).alias("_key"), "symbol", F.col(side).alias("_side"), start.alias("_start"), value(baseline).alias("_base"), value(horizon).alias("_hor"))
     bars = candles.select("symbol", F.col("ts_ms").alias("_bar"), "open", "high", "low", "close", "volume")
-    near = band_join(left, bars, ["symbol"], "_start", "_bar", -lookback * interval_ms, -1)
-    lists = near.groupBy("_key", "_side", "_base", "_hor").agg(F.reverse(F.array_sort(F.collect_list(F.struct("_bar", "open", "high", "low", "close", "volume")))).alias("cs"))
+    spot = ["symbol", "_side", "_start", "_base", "_hor"]
+    near = band_join(left.select(*spot).distinct(), bars, ["symbol"], "_start", "_bar", -lookback * interval_ms, -1)
+    lists = near.groupBy(*spot).agg(F.reverse(F.array_sort(F.collect_list(F.struct("_bar", "open", "high", "low", "close", "volume")))).alias("cs"))
     cs, last = F.col("cs"), F.get("cs", F.lit(0))
     before = lambda n: F.slice(cs, F.lit(2), n)  # noqa: E731  from the candle before the last one backwards
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
@@ -87,13 +89,17 @@ def pre_candle_features(asks: DataFrame, candles: DataFrame, key: str, interval_
     early = F.floor(size * 0.75).cast("int")
     old, new = F.slice(cs, size - early + 1, early), F.slice(cs, F.lit(1), size - early)
     enough = size >= RANGE_LEAST
-    return lists.select(
-        F.col("_key").alias(key), F.when((n >= 2) & (deviation > 0), (last["volume"] - mean) / deviation).otherwise(0.0).alias("vol_z"),
+    found = lists.select(
+        *[F.col(c).alias(f"_of_{c}") for c in spot], F.when((n >= 2) & (deviation > 0), (last["volume"] - mean) / deviation).otherwise(0.0).alias("vol_z"),
         F.when(volume > 0, against / volume).otherwise(0.0).alias("squeeze_before"),
         F.when(F.size(recent) >= LIQUIDITY_LEAST, F.round(F.get(recent, F.floor(F.size(recent) / 2).cast("int")) * F.get(cs, F.lit(1))["close"], 2)).alias("liquidity_quote"),
         F.when((F.size(moving) >= 2) & (first > 0), (last["close"] / first - 1) * 100).alias("momentum"), last["close"].alias("last_close"),
         F.when(enough, F.round(width(cs) * 100, 6)).alias("range_pct"), F.when(enough & (width(old) > 0), F.round(width(new) / width(old), 6)).alias("compression"),
     )
+    same = F.lit(True)
+    for c in spot:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return left.join(found, same).select(F.col("_key").alias(key), *[c for c in found.columns if not c.startswith("_of_")])
 
 
 def market_momentum(asks: DataFrame, candles: DataFrame, key: str, benchmark: str, interval_ms: int = 60_000, window: int = 1440) -> DataFrame:
@@ -144,6 +150,36 @@ def filter_chain(asks: DataFrame, policy: Policy, certified: bool | None, live:
     return asks.withColumns({"rejected_by": verdict, "action": action, "final_direction": final, "inverted_from": F.when(turned, F.col("direction")).when(invert, side), "tightened": tighten})
 
 
+#: Facts that an explanation shows, null where unknown.
+SHOWN = ("risk_reward", "channel_score", "vol_z", "pressure", "liquidity_quote", "symbol_gap_ms", "momentum", "market", "p_win", "expected_pnl", "risk_share")
+
+
+def explained(judged: DataFrame, policy: Policy) -> DataFrame:
+    """Adds detail, what a refusal rests on, in words and numbers, and values, the facts of the signal as a map."""
+    number = lambda c: F.coalesce(F.format_number(c, 4), F.lit("unknown"))
+    share = policy.max_liquidity_share if policy.max_liquidity_share is not None else 0.1
+    say = {
+        "uncertified-model": F.lit("the model has no certificate and the policy doesn't acknowledge that"),
+        "channel-plan:drop": F.concat(F.lit("channel "), F.coalesce("channel", F.lit("?")), F.lit(" loses significantly in its history")),
+        "channel-plan:invert-not-allowed": F.concat(F.lit("channel "), F.coalesce("channel", F.lit("?")), F.lit(" is traded inverted, which the policy doesn't allow")),
+        "min-risk-reward": F.concat(F.lit("risk and reward of the symbol: "), number("risk_reward"), F.lit(f", least {policy.min_risk_reward}")),
+        "min-channel-score": F.concat(F.lit("score of the channel: "), number("channel_score"), F.lit(f", least {policy.min_channel_score}")),
+        "capacity": F.concat(F.lit(f"size {policy.notional_quote} against {share} of a turnover of "), number("liquidity_quote")),
+        "volume-confirm": F.concat(F.lit("volume before the post is "), F.coalesce("vol_regime", F.lit("unknown"))),
+        "momentum-gate": F.concat(F.lit("momentum "), number("momentum"), F.lit(f" percent, least {policy.min_momentum_pct} in the direction of the trade")),
+        "min-pwin": F.concat(F.lit("chance to win "), number("p_win"), F.lit(f", least {policy.min_p_win}")),
+        "min-expected-pnl": F.concat(F.lit("expected result in percent "), number(F.col("expected_pnl") * 100), F.lit(f", least {policy.min_expected_pnl_pct}")),
+        "cascade-veto": F.concat(F.lit("pressure against the post "), number("pressure"), F.lit(", from "), number(F.coalesce("squeeze_threshold", F.lit(0.6)))),
+        "invert-not-allowed": F.concat(F.lit("pressure "), number("pressure"), F.lit(" asks for an inversion, which the policy doesn't allow")),
+        "tighten-not-allowed": F.concat(F.lit("pressure "), number("pressure"), F.lit(" asks for a tighter trail, which the policy doesn't allow")),
+        "enter-not-allowed": F.lit("the policy doesn't allow plain entries"),
+    }
+    detail = F.coalesce(*[F.when(F.col("rejected_by") == code, text) for code, text in say.items()])
+    known = [c for c in SHOWN if c in judged.columns]
+    values = F.map_from_arrays(F.array(*[F.lit(c) for c in known]), F.array(*[F.col(c).cast("double") for c in known]))
+    return judged.withColumns({"detail": detail, "values": values})
+
+
 def with_exits(asks: DataFrame, tensor: DataFrame, exits: DataFrame, with_regime: bool) -> DataFrame:
     """Adds the exit of each ask's cell, or of the levels above, with its parameters. exits is a bounded grid."""
     columns = [c for c in exits.columns if c != "exit_id"]

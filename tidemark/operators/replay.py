@@ -2,8 +2,8 @@
 
 The sequential walk over a path is stated as first triggers. Along a path, only the running best, the running worst
 and the place of the best so far matter, and they don't depend on the exit rule; so they are windows computed once per
-(burst, direction), and each rule's exit is the least (step, priority) among its triggers: hard stop, trailing take,
-stale peak, and the end of its life.
+(burst, direction). The first trigger of each value of an axis (stop, trail, staleness, life) is an aggregate over the
+path, and each rule's exit is the least (step, priority) among those of its values.
 """
 
 from __future__ import annotations
@@ -86,72 +86,84 @@ def entries(paths: DataFrame) -> DataFrame:
     return zoned.withColumn("_hit", hit).select("*", F.when(F.col("_hit.price") > 0, F.col("_hit.i")).alias("entry_i"), F.when(F.col("_hit.price") > 0, F.col("_hit.price")).alias("entry_price"), F.col("_hit.range").alias("entry_range")).drop("_hit")
 
 
-def _pressures(entered: DataFrame, horizons: list[int]) -> DataFrame:
-    """(burst_id, horizon, squeeze_pressure): volume share against the post in the candles after the entry."""
+def _burst_facts(entered: DataFrame, horizons: list[int], baselines: list[int]) -> DataFrame:
+    """One row per burst: its entry, and as arrays the pressure against the post within each horizon (volume share of the
+    candles after the entry) and the entry candle's volume against each baseline (the path's candles before it)."""
     against = F.when(F.col("direction") == "long", F.col("close") < F.col("open")).otherwise(F.col("close") > F.col("open"))
-    after = entered.where(F.col("i") > F.col("entry_i")).select("burst_id", (F.col("i") - F.col("entry_i")).alias("k"), "volume", F.when(against, F.col("volume")).otherwise(0.0).alias("bad"))
-    spread = after.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).where(F.col("k") <= F.col("horizon"))
-    return spread.groupBy("burst_id", "horizon").agg(F.when(F.sum("volume") > 0, F.sum("bad") / F.sum("volume")).otherwise(0.0).alias("squeeze_pressure"))
-
-
-def _entry_z(entered: DataFrame, baselines: list[int]) -> DataFrame:
-    """(burst_id, baseline, vol_z) of the entry candle against the path's candles before it."""
-    before = entered.withColumn("baseline", F.explode(F.array(*[F.lit(b) for b in baselines]))).where(F.col("i").between(F.col("entry_i") - F.col("baseline"), F.col("entry_i")))
-    earlier = F.when(F.col("i") < F.col("entry_i"), F.col("volume"))
-    facts = before.groupBy("burst_id", "baseline").agg(F.count(earlier).alias("n"), F.avg(earlier).alias("m"), F.stddev_samp(earlier).alias("s"), F.max(F.when(F.col("i") == F.col("entry_i"), F.col("volume"))).alias("v"))
-    return facts.select("burst_id", "baseline", F.when((F.col("n") >= 2) & (F.col("s") > 0), (F.col("v") - F.col("m")) / F.col("s")).otherwise(0.0).alias("vol_z"))
+    k = F.col("i") - F.col("entry_i")
+    ahead = lambda h, c: F.sum(F.when(k.between(1, h), c))
+    pressure = [F.when(ahead(h, F.col("volume")) > 0, ahead(h, F.when(against, F.col("volume")).otherwise(0.0)) / ahead(h, F.col("volume"))).otherwise(0.0) for h in horizons]
+    earlier = lambda n: F.when(k.between(-n, -1), F.col("volume"))
+    at = F.max(F.when(k == 0, F.col("volume")))
+    z = [F.when((F.count(earlier(n)) >= 2) & (F.stddev_samp(earlier(n)) > 0), (at - F.avg(earlier(n))) / F.stddev_samp(earlier(n))).otherwise(0.0) for n in baselines]
+    first = [F.first(c).alias(c) for c in ("symbol", "direction", "entry_i", "entry_price", "entry_range", "n_bars")]
+    return entered.groupBy("burst_id").agg(*first, F.array(*pressure).alias("_pressures"), F.array(*z).alias("_zs"))
+
+
+def _first_hits(steps: DataFrame, stops: list[float], trails: list[float], stales: list[tuple[float, int]], lives: list[int]) -> DataFrame:
+    """One row per burst and side: for each value of an axis, the first step at which it triggers (lives: the last step)."""
+    there = F.struct("k", "close_pnl", "peak", "peak_before", "trough", "close", "bar_range")
+    take = lambda t: (F.col("close_pnl") >= 0) & (F.col("peak") > 0) & (F.col("peak") - F.col("close_pnl") >= t)
+    first = lambda hits: F.array(*[F.min(F.when(hit, there)) for hit in hits])
+    return steps.groupBy("burst_id", "side").agg(
+        first(F.col("worst") <= -stop / 100 for stop in stops).alias("stops"), first(take(t) for t in trails).alias("takes"),
+        first((F.col("peak") >= profit / 100) & (F.col("k") - F.col("peak_k") >= since) for profit, since in stales).alias("stales"),
+        F.array(*[F.max(F.when(F.col("k") <= life, there)) for life in lives]).alias("lives"),
+    )
 
 
 def replay(bursts: DataFrame, candles: DataFrame, exits: DataFrame, interval_ms: int = 60_000) -> DataFrame:
     """One row per burst with candles and exit rule.
 
     bursts: burst_id, symbol, direction, ts_ms, entry_from, entry_to. Bursts without a candle ahead have no row; a path
-    that never touches the zone has reason no-entry. exits is a grid of bounded size and is broadcast.
+    that never touches the zone has reason no-entry. exits is a grid of bounded size: its axes become aggregates over
+    each path, and its rules only pick among their results, so the product of paths and rules is never walked.
     """
-    limits = exits.agg(F.max("stale"), F.collect_set(F.coalesce("cascade_window", "stale")), F.collect_set("vol_baseline")).first()
-    entered = entries(forward_paths(bursts, candles, interval_ms, 2 * limits[0] + 5)).persist()
-    whole = first_by(entered, ["burst_id"], "i").select("burst_id", "symbol", "direction", "entry_i", "entry_price", "entry_range", "n_bars")
-    grid = F.broadcast(exits.withColumn("horizon", F.coalesce("cascade_window", "stale")))
-    plan = (
-        whole.crossJoin(grid)  # every burst meets every rule
-        .join(_pressures(entered, sorted(limits[1])), ["burst_id", "horizon"], "left")
-        .join(_entry_z(entered, sorted(limits[2])).withColumnRenamed("baseline", "vol_baseline"), ["burst_id", "vol_baseline"], "left")
-        .withColumn("squeeze_pressure", F.coalesce("squeeze_pressure", F.lit(0.0))).withColumn("vol_z", F.coalesce("vol_z", F.lit(0.0)))
-    )
+    rules = [r.asDict() for r in exits.collect()]  # the grid
+    axis = lambda values: {v: i for i, v in enumerate(sorted(set(values)))}
+    tight = lambda r: r["trailing_take"] * r["tighten_factor"] / 100
+    horizon = lambda r: r["stale"] if r["cascade_window"] is None else r["cascade_window"]
+    stops, lives = axis(r["hard_stop"] for r in rules), axis(r["stale"] for r in rules)
+    trails = axis([r["trailing_take"] / 100 for r in rules] + [tight(r) for r in rules if r["squeeze_policy"] == "tighten"])
+    stales = axis((r["stale_profit"], r["stale_since"]) for r in rules)
+    horizons, baselines = axis(horizon(r) for r in rules), axis(r["vol_baseline"] for r in rules)
+    places = [(r["exit_id"], stops[r["hard_stop"]], trails[r["trailing_take"] / 100], trails.get(tight(r), 0) if r["squeeze_policy"] == "tighten" else 0, stales[r["stale_profit"], r["stale_since"]], lives[r["stale"]], horizons[horizon(r)], baselines[r["vol_baseline"]]) for r in rules]
+    spark = bursts.sparkSession
+    grid = F.broadcast(exits.join(F.broadcast(spark.createDataFrame(places, "exit_id int, _stop int, _trail int, _tight int, _stale int, _life int, _horizon int, _baseline int")), "exit_id"))
+    entered = entries(forward_paths(bursts, candles, interval_ms, 2 * max(lives) + 5)).persist()
+    hits = _first_hits(_steps(entered), list(stops), list(trails), list(stales), list(lives))
+    sides = hits.groupBy("burst_id").agg(F.map_from_entries(F.collect_list(F.struct("side", F.struct("stops", "takes", "stales", "lives")))).alias("_hits"))
+    plan = _burst_facts(entered, list(horizons), list(baselines)).join(sides, "burst_id", "left").crossJoin(grid)  # every burst meets every rule
+    plan = plan.withColumns({"squeeze_pressure": F.get("_pressures", F.col("_horizon")), "vol_z": F.get("_zs", F.col("_baseline"))})
     hot = F.col("squeeze_pressure") >= F.col("squeeze_threshold")
-    flip = F.col("entry_i").isNotNull() & hot & (F.col("squeeze_policy") == "invert")
+    is_in = F.col("entry_i").isNotNull()
+    flip = is_in & hot & (F.col("squeeze_policy") == "invert")
     opposite = F.when(F.col("direction") == "long", "short").otherwise("long")
     plan = plan.withColumns({
-        "veto": F.col("entry_i").isNotNull() & hot & (F.col("squeeze_policy") == "veto"), "inverted": flip, "side": F.when(flip, opposite).otherwise(F.col("direction")),
-        "trail": F.col("trailing_take") * F.when(hot & (F.col("squeeze_policy") == "tighten"), F.col("tighten_factor")).otherwise(1.0) / 100,
-        "stop": F.col("hard_stop") / 100, "avail": F.col("n_bars") - F.col("entry_i") - 1,
-    }).withColumn("life", F.least("stale", "avail"))
-
-    steps = _steps(entered)
-    met = plan.where(F.col("entry_i").isNotNull() & ~F.col("veto")).join(steps, ["burst_id", "side"]).where(F.col("k") <= F.col("life"))
-    stop_hit = F.col("worst") <= -F.col("stop")
-    take_hit = (F.col("close_pnl") >= 0) & (F.col("peak") > 0) & (F.col("peak") - F.col("close_pnl") >= F.col("trail"))
-    stale_hit = (F.col("peak") >= F.col("stale_profit") / 100) & (F.col("k") - F.col("peak_k") >= F.col("stale_since"))
-    rule = F.when(stop_hit, 0).when(take_hit, 1).when(stale_hit, 2).when(F.col("k") == F.col("life"), 3)
-    cost = F.col("round_trip_cost") / 100 + F.col("slippage") * (F.col("entry_range") + F.col("bar_range")) / F.col("entry_price")
-    stopped = F.col("rule") == 0
-    gross = F.when(stopped, -F.col("stop")).otherwise(F.col("close_pnl"))
+        "veto": is_in & hot & (F.col("squeeze_policy") == "veto"), "inverted": flip, "side": F.when(flip, opposite).otherwise(F.col("direction")),
+        "_take": F.when(hot & (F.col("squeeze_policy") == "tighten"), F.col("_tight")).otherwise(F.col("_trail")), "stop": F.col("hard_stop") / 100, "avail": F.col("n_bars") - F.col("entry_i") - 1,
+    }).withColumn("_hit", F.try_element_at("_hits", F.col("side")))
+
+    def trigger(hit: Column, rule: int) -> Column:
+        return F.when(hit.isNotNull(), F.struct(hit["k"].alias("k"), F.lit(rule).alias("rule"), hit.alias("at")))
+
+    found = [trigger(F.get(F.col(f"_hit.{c}"), F.col(place)), rule) for rule, (c, place) in enumerate((("stops", "_stop"), ("takes", "_take"), ("stales", "_stale"), ("lives", "_life")))]
+    # The life's last step is always there, so no later trigger is the least.
+    plan = plan.withColumn("out", F.when(is_in & ~F.col("veto"), F.least(*found)))
+    in_trade = F.col("out").isNotNull()
+    stopped = F.col("out.rule") == 0
+    gross = F.when(stopped, -F.col("stop")).otherwise(F.col("out.at.close_pnl"))
+    cost = F.col("round_trip_cost") / 100 + F.col("slippage") * (F.col("entry_range") + F.col("out.at.bar_range")) / F.col("entry_price")
     at_side = F.when(F.col("side") == "long", F.col("entry_price") * (1 + gross)).otherwise(F.col("entry_price") * (1 - gross))
-    outcome = met.withColumn("rule", rule).where(F.col("rule").isNotNull()).withColumn("gross", gross).groupBy("burst_id", "exit_id").agg(
-        F.min(F.struct(
-            "k", "rule", "gross", (F.col("gross") - cost).alias("pnl"), F.when(stopped, F.col("peak_before")).otherwise(F.col("peak")).alias("peak"),
-            F.when(stopped, -F.col("stop")).otherwise(F.col("trough")).alias("trough"), F.when(F.col("rule").isin(0, 3), at_side).otherwise(F.col("close")).alias("exit_price"),
-        )).alias("out")
-    )
     names = F.array(*[F.lit(x) for x in ("hard-stop", "trailing-take", "peak-staleness", "life-cap")])
-    in_trade = F.col("out").isNotNull()
-    zero = lambda c: F.coalesce(F.when(in_trade, F.col(c)), F.lit(0.0))
-    return plan.join(outcome, ["burst_id", "exit_id"], "left").select(
-        "burst_id", "exit_id", "symbol", "direction", in_trade.alias("entered"), zero("out.pnl").alias("pnl"), zero("out.gross").alias("gross_pnl"), zero("out.peak").alias("peak"), zero("out.trough").alias("trough"),
+    zero = lambda c: F.coalesce(F.when(in_trade, c), F.lit(0.0))
+    return plan.select(
+        "burst_id", "exit_id", "symbol", "direction", in_trade.alias("entered"), zero(gross - cost).alias("pnl"), zero(gross).alias("gross_pnl"),
+        zero(F.when(stopped, F.col("out.at.peak_before")).otherwise(F.col("out.at.peak"))).alias("peak"), zero(F.when(stopped, -F.col("stop")).otherwise(F.col("out.at.trough"))).alias("trough"),
         F.when(in_trade, F.element_at(names, F.col("out.rule") + 1)).when(F.col("veto"), "cascade-veto").otherwise("no-entry").alias("reason"),
-        F.coalesce("out.k", F.lit(0)).alias("held"), F.coalesce("entry_price", F.lit(0.0)).alias("entry_price"), zero("out.exit_price").alias("exit_price"),
-        F.when(F.col("entry_i").isNotNull(), F.col("vol_z")).otherwise(0.0).alias("vol_z"), F.when(F.col("entry_i").isNotNull(), F.col("squeeze_pressure")).otherwise(0.0).alias("squeeze_pressure"),
-        F.when(F.col("entry_i").isNotNull() & (F.col("vol_z") >= F.col("vol_z_threshold")), "anomalous").otherwise("calm").alias("vol_regime"),
+        F.coalesce("out.k", F.lit(0)).alias("held"), F.coalesce("entry_price", F.lit(0.0)).alias("entry_price"), zero(F.when(F.col("out.rule").isin(0, 3), at_side).otherwise(F.col("out.at.close"))).alias("exit_price"),
+        F.when(is_in, F.col("vol_z")).otherwise(0.0).alias("vol_z"), F.when(is_in, F.col("squeeze_pressure")).otherwise(0.0).alias("squeeze_pressure"),
+        F.when(is_in & (F.col("vol_z") >= F.col("vol_z_threshold")), "anomalous").otherwise("calm").alias("vol_regime"),
         (F.col("inverted") & in_trade).alias("inverted"), (in_trade & (F.col("avail") < F.col("stale") * TRUNCATED_BELOW)).alias("truncated"),
     )
 
@@ -191,7 +203,7 @@ def query_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(posts, hourly(spark, sf_dir), exit_grid(spark, QUERY_AXES), HOUR)
 
 
-LABELS_SQL = _ANCHORS + f""", {CANDLES_SQL}, {_GRID_SQL},
+FROM_POSTS_SQL = f""", {CANDLES_SQL}, {_GRID_SQL},
  bu AS (SELECT p.seq AS burst_id, p.symbol, p.direction, s.entry_from, s.entry_to, p.ts_ms + (3600000 - p.ts_ms % 3600000) % 3600000 AS start_ms FROM p JOIN sig s ON s.seq = p.seq),
  pa AS (SELECT bu.*, b.ts_ms AS bar, open, high, low, close, volume, row_number() OVER (PARTITION BY burst_id ORDER BY b.ts_ms) - 1 AS i, count(*) OVER (PARTITION BY burst_id) AS nb
         FROM bu JOIN bars b ON b.symbol = bu.symbol AND b.ts_ms BETWEEN start_ms AND start_ms + 52 * 3600000::BIGINT),
@@ -229,6 +241,7 @@ LABELS_SQL = _ANCHORS + f""", {CANDLES_SQL}, {_GRID_SQL},
    inv AND og.burst_id IS NOT NULL AS inverted, og.burst_id IS NOT NULL AND avail < st * 0.95 AS truncated
  FROM pm LEFT JOIN og ON pm.burst_id = og.burst_id AND pm.exit_id = og.exit_id)
 """
+LABELS_SQL = _ANCHORS + FROM_POSTS_SQL
 
 
 @query("exit_grid", f"WITH {_GRID_SQL} SELECT exit_id, tt AS trailing_take, hs AS hard_stop, st AS stale, po AS squeeze_policy FROM xg")
@@ -236,10 +249,18 @@ def _exit_grid(spark, sf_dir):
     return exit_grid(spark, QUERY_AXES).select("exit_id", "trailing_take", "hard_stop", "stale", "squeeze_policy")
 
 
-@query("exit_dedup", "SELECT * FROM (VALUES (0, 'none', 1.5::DOUBLE), (2, 'tighten', 1.5), (4, 'veto', 1.5)) t(exit_id, squeeze_policy, vol_z_threshold)")
+_DEDUP_AXES = {
+    "squeeze_policy": ["none", "ignore", "tighten", "veto", "invert"], "vol_z_threshold": [1.5, 2.5], "squeeze_threshold": [0.55, 0.7], "tighten_factor": [0.25, 0.5], "cascade_window": [15, 60, None],
+    "trailing_take": [1.0, 2.0], "hard_stop": [1.0], "stale_profit": [1.0], "stale_since": [60], "stale": [60, 240],
+}
+_DEDUP_SQL = ", ".join(f"({i}, '{po}', {z}, {th}, {tf}, {'NULL' if cw is None else cw}, {tt}, {st})" for i, (po, z, th, tf, cw, tt, _, _, _, st) in enumerate(product(*_DEDUP_AXES.values())))
+
+
+@query("exit_dedup", f"""WITH g AS (SELECT * FROM (VALUES {_DEDUP_SQL}) t(exit_id, po, z, th, tf, cw, tt, st)), r AS (SELECT *, po IN ('tighten', 'veto', 'invert') AS acts FROM g)
+ SELECT min(exit_id)::INT AS exit_id, arg_min(po, exit_id) AS squeeze_policy, arg_min(z, exit_id)::DOUBLE AS vol_z_threshold FROM r
+ GROUP BY tt, st, CASE WHEN acts THEN po ELSE 'none' END, CASE WHEN acts THEN th END, CASE WHEN acts THEN coalesce(cw, st) END, CASE WHEN po = 'tighten' THEN tf END""")
 def _exit_dedup(spark, sf_dir):
-    grid = exit_grid(spark, {"squeeze_policy": ["none", "tighten", "veto"], "vol_z_threshold": [1.5, 2.5], "trailing_take": [1.0], "hard_stop": [1.0], "stale_profit": [1.0], "stale_since": [60], "stale": [60]})
-    return distinct_by_pnl(grid).select("exit_id", "squeeze_policy", "vol_z_threshold")
+    return distinct_by_pnl(exit_grid(spark, _DEDUP_AXES)).select("exit_id", "squeeze_policy", "vol_z_threshold")
 
 
 _ROUNDED = ("pnl", "gross_pnl", "peak", "trough", "entry_price", "exit_price", "vol_z", "squeeze_pressure")
