@@ -146,16 +146,21 @@ def _fatigue_gap(spark, sf_dir):
     return fatigue_gap(signals(spark, sf_dir)).select("seq", "symbol", "ts_ms", F.col("gap_ms").cast("double").alias("gap_ms"))
 
 
-_ANCHORS = f"""WITH RECURSIVE {SIGNALS_SQL},
-n AS MATERIALIZED (SELECT symbol, direction, ts_ms, seq, id, row_number() OVER (PARTITION BY symbol, direction ORDER BY ts_ms, seq) AS k FROM sig),
-nx AS MATERIALIZED (SELECT symbol, direction, k, k + count(*) OVER (PARTITION BY symbol, direction ORDER BY ts_ms RANGE BETWEEN CURRENT ROW AND 2700000 FOLLOWING)
+def anchors_sql(windows: list[int], tags: list[str]) -> str:
+    """Tables sig, n, and for each window nx, a and p (with its tag): the anchors of the collapse, by recursion."""
+    parts = [SIGNALS_SQL, "n AS MATERIALIZED (SELECT symbol, direction, ts_ms, seq, id, row_number() OVER (PARTITION BY symbol, direction ORDER BY ts_ms, seq) AS k FROM sig)"]
+    for window, t in zip(windows, tags):
+        parts.append(f"""nx{t} AS MATERIALIZED (SELECT symbol, direction, k, k + count(*) OVER (PARTITION BY symbol, direction ORDER BY ts_ms RANGE BETWEEN CURRENT ROW AND {window} FOLLOWING)
          - (count(*) OVER (PARTITION BY symbol, direction, ts_ms ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS nxt FROM n),
-a AS (SELECT symbol, direction, 1::BIGINT AS k FROM n WHERE k = 1
-      UNION ALL SELECT a.symbol, a.direction, nx.nxt FROM a JOIN nx ON a.symbol = nx.symbol AND a.direction = nx.direction AND a.k = nx.k
+a{t} AS (SELECT symbol, direction, 1::BIGINT AS k FROM n WHERE k = 1
+      UNION ALL SELECT a.symbol, a.direction, nx.nxt FROM a{t} a JOIN nx{t} nx ON a.symbol = nx.symbol AND a.direction = nx.direction AND a.k = nx.k
       WHERE nx.nxt <= (SELECT max(k) FROM n WHERE n.symbol = a.symbol AND n.direction = a.direction)),
-p AS (SELECT n.symbol, n.direction, n.ts_ms, n.seq, n.k, coalesce(lead(n.k) OVER (PARTITION BY n.symbol, n.direction ORDER BY n.k), 1000000000000) - 1 AS last
-      FROM n JOIN a ON n.symbol = a.symbol AND n.direction = a.direction AND n.k = a.k)
-"""
+p{t} AS (SELECT n.symbol, n.direction, n.ts_ms, n.seq, n.k, coalesce(lead(n.k) OVER (PARTITION BY n.symbol, n.direction ORDER BY n.k), 1000000000000) - 1 AS last
+      FROM n JOIN a{t} a ON n.symbol = a.symbol AND n.direction = a.direction AND n.k = a.k)""")
+    return ",\n".join(parts)
+
+
+_ANCHORS = f"WITH RECURSIVE {anchors_sql([POST_WINDOW_MS], [''])}\n"
 
 
 @query("posts_collapsed", _ANCHORS + """SELECT symbol, direction, count(*) AS posts, min(ts_ms) AS first_ts, max(ts_ms) AS last_ts FROM p GROUP BY symbol, direction""")

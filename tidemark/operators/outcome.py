@@ -1,7 +1,7 @@
 """Outcome model: probability that a trade wins, from isotonic and categorical evidence calibrated out of fold.
 
-Its input is the history of one chosen configuration, tens to thousands of rows; it is fitted on the driver. Rank
-statistics and predictions for many rows also exist as plans.
+Its input is the history of one chosen configuration, tens to thousands of rows; it is fitted on the driver. Signals are
+scored by expressions (``outcome_columns``), and rank statistics for many rows are plans too.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
@@ -93,6 +93,33 @@ class OutcomeModel:
         return cls(**{**data, "numeric": {k: (s, steps(f)) for k, (s, f) in data["numeric"].items()}, "calibration": steps(data["calibration"])})
 
 
+def _step(steps: Steps, x: Column) -> Column:
+    below = F.size(F.filter(F.lit([float(b) for b in steps.breaks]), lambda b: b < x))
+    return F.get(F.lit([float(v) for v in steps.values]), F.least(below, F.lit(len(steps.values) - 1)))
+
+
+def _log_odds(p: Column) -> Column:
+    return F.ln(p / (1 - p))
+
+
+def outcome_columns(model: OutcomeModel) -> dict[str, Column]:
+    """p_win, expected_pnl and risk_share of rows that have the model's features as columns; unknown ones say nothing."""
+    base = logit(model.prior)
+    score = F.lit(base)
+    for name, (sign, steps) in model.numeric.items():
+        x = F.col(name).cast("double")
+        known = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+        score = score + F.when(known, _log_odds(_step(steps, sign * x)) - base).otherwise(0.0)
+    for name, rates in model.categorical.items():
+        rate = F.try_element_at(F.create_map(*[F.lit(v) for pair in rates.items() for v in pair]), F.col(name))
+        score = score + F.coalesce(_log_odds(rate) - base, F.lit(0.0))
+    p = _step(model.calibration, score) if model.informative and model.calibration else F.lit(model.prior)
+    expected = p * model.mean_win + (1 - p) * model.mean_loss
+    loss = abs(model.mean_loss)
+    risk = F.least(F.greatest(KELLY * (p / loss - (1 - p) / model.mean_win), F.lit(0.0)), F.lit(1.0)) if loss > 0 and model.mean_win > 0 else F.lit(0.0)
+    return {"p_win": F.round(p, 6), "expected_pnl": F.round(expected, 6), "risk_share": F.round(F.when(expected > 0, risk).otherwise(0.0), 6)}
+
+
 def _fit_numeric(rows: pd.DataFrame, names: Sequence[str]) -> dict[str, tuple[int, Steps]]:
     out = {}
     for name in names:

@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal
+from ..plans.lineage import settle
 from ..plans.registry import query
 from ..sources.candles import hourly
 from ..sources.signals import signals
 from . import bursts as burst_ops
-from . import candle_features, graph, policy as policies, refinement, replay as replays, selection, stats
-from .events import KEY, MAX_BURST_MS, channels_in_order, collapse_posts, fatigue_gap, placebo_shift, window_events
-from .outcome import OutcomeModel, fit_outcome_model, prequential_win_rate
+from . import candle_features, detectors as detector_ops, graph, policy as policies, refinement, replay as replays, selection, stats
+from .events import KEY, MAX_BURST_MS, algo_signature, channels_in_order, fatigue_gap, placebo_shift, window_events
+from .outcome import OutcomeModel, fit_outcome_model, outcome_columns, prequential_win_rate
+from .signal_features import CATEGORICAL, MARKET_SYMBOL, NUMERIC, evidence, trade_evidence, with_market
 
 VERSION = 3
 WEEK_MS = 7 * 86_400_000
@@ -53,9 +55,10 @@ def predict(events: DataFrame, config: dict | None = None) -> dict:
         influence = graph.author_influence(channels, edges)
         opens = burst_ops.early_warning(seen, authors, window, tau["tau_ms"], cfg["min_clusters"], influence)
         viability = graph.assess_viability(seen, edges, authors, window).first().asDict()
-    mode = cfg["mode"]
+    mode, reason = cfg["mode"], "as configured"
     if mode == "auto":
-        mode = "matrix" if viability["viable"] and not opens.where(F.col("action") == "open").isEmpty() else "single"
+        some = viability["viable"] and not opens.where(F.col("action") == "open").isEmpty()
+        mode, reason = ("matrix", "the author graph is viable") if some else ("single", viability["reason"] if not viability["viable"] else "no burst of independent authors")
     if mode == "matrix":
         verdicts = opens.withColumn("channel", F.lit(None).cast("string")).withColumn("source", F.lit("matrix"))
     else:
@@ -63,7 +66,7 @@ def predict(events: DataFrame, config: dict | None = None) -> dict:
 
         verdicts = single_channel_signals(seen, window)
     gaps = fatigue_gap(events, cfg["max_burst_ms"]).select("seq", F.col("gap_ms").alias("symbol_gap_ms"))
-    return {"verdicts": verdicts.join(gaps, "seq", "left"), "mode": mode, "tau": tau, "window_ms": window, "viability": viability, "authors": authors, "influence": influence}
+    return {"verdicts": verdicts.join(gaps, "seq", "left"), "mode": mode, "mode_reason": reason, "tau": tau, "window_ms": window, "viability": viability, "authors": authors, "influence": influence}
 
 
 def calibrate(events: DataFrame, candles: DataFrame, horizons: dict[str, list[int]], interval_ms: int = 60_000, samples: int = 8, rows: int = 240) -> dict:
@@ -120,7 +123,13 @@ class SignalModel:
     interval_ms: int = 60_000
     momentum_window: int = 1440
     trials: int = 0
+    inner_trials: int = 0
     fitted_ms: int = 0
+    mode_reason: str = ""
+    market_symbol: str | None = None
+    history_size: int = 0
+    labeling: dict = field(default_factory=dict)
+    calibration: dict | None = None
     version: int = VERSION
 
     def save(self) -> str:
@@ -139,9 +148,47 @@ class SignalModel:
         tensor = spark.createDataFrame([tuple(t[c] for c in ("level", "channel", "symbol", "direction", "vol_regime", "exit_id")) for t in self.tensor], "level string, channel string, symbol string, direction string, vol_regime string, exit_id int")
         return tensor, exits
 
+    @property
+    def deployment(self) -> dict:
+        """What the certificate allows: trade, or paper with the reasons."""
+        if self.certificate.get("certified"):
+            return {"verdict": "trade", "reasons": []}
+        return {"verdict": "paper", "reasons": list(self.certificate.get("reasons", []))}
+
+    @property
+    def exit(self) -> dict:
+        """Parameters of the exit that rules where no finer cell is known."""
+        return next(e for e in self.exits if e["exit_id"] == next(t["exit_id"] for t in self.tensor if t["level"] == "global"))
+
+    @property
+    def reliable(self) -> bool:
+        return self.reliability["reliable"]
+
+    @property
+    def confidence(self) -> float:
+        return self.reliability["confidence"]
+
+    @property
+    def min_clusters(self) -> int:
+        return self.config["min_clusters"]
+
+    @property
+    def min_shared_events(self) -> int:
+        return graph.VIABILITY["min_shared"]
+
+    @property
+    def impact_horizon(self) -> int:
+        """Candles that the ruling exit may hold."""
+        return self.exit["stale"]
+
+    @property
+    def lookback(self) -> int:
+        """Candles that live planning needs before a signal, for volume and pressure."""
+        return max(self.exit["vol_baseline"], self.exit["cascade_window"] or self.exit["stale"]) + 5
+
     def report(self) -> str:
         c = self.certificate
-        lines = [f"mode {self.mode}, exit {self.winner['exit_id']}, score {self.winner['cv_score']:.6f}", f"certified {c['certified']}" + (f": {', '.join(c['reasons'])}" if c["reasons"] else ""), f"confidence {self.reliability['confidence']:.3f}, trials {self.trials}"]
+        lines = [f"mode {self.mode} ({self.mode_reason}), exit {self.winner['exit_id']}, score {self.winner['cv_score']:.6f}", f"certified {c['certified']}" + (f": {', '.join(c['reasons'])}" if c["reasons"] else ""), f"confidence {self.reliability['confidence']:.3f}, trials {self.trials}", f"deployment {self.deployment['verdict']}, channels dropped or inverted {len(self.channel_plan)}"]
         return "\n".join(lines)
 
 
@@ -162,9 +209,11 @@ def stdout_progress(phase: str, done: int, total: int) -> None:
     print(f"{phase}: {done} of {total}", flush=True)
 
 
-def fit(events: DataFrame, candles: DataFrame, axes: dict | None = None, config: dict | None = None, interval_ms: int = 60_000, ledger: list[dict] | None = None, policy: dict | None = None, min_clusters: tuple[int, ...] = (2, 3), gates: tuple[float | None, ...] = (None,), outer_folds: int = 4, momentum_window: int = 1440, refine_rounds: int | None = None, bootstraps: int = stats.BOOTSTRAPS, progress: Callable[[str, int, int], None] = silent) -> SignalModel:
+def fit(events: DataFrame, candles: DataFrame, axes: dict | None = None, config: dict | None = None, interval_ms: int = 60_000, ledger: list[dict] | None = None, policy: dict | None = None, min_clusters: tuple[int, ...] = (2, 3), gates: tuple[float | None, ...] = (None,), outer_folds: int = 4, momentum_window: int = 1440, refine_rounds: int | None = None, bootstraps: int = stats.BOOTSTRAPS, progress: Callable[[str, int, int], None] = silent, detectors: dict[str, list] | None = None, market_symbol: str | None = MARKET_SYMBOL) -> SignalModel:
     """Labels all candidate bursts under all exits, scores settings by purged folds, and certifies the choice.
 
+    ``detectors`` has axes of the detector (window_k, jaccard, lag_peak, stationarity_ms); all combinations are tried. The
+    default axes are tried where exits aren't given either, else only the configured values.
     Without axes they are calibrated from the candles, with the trading cost that the spread suggests. Refinement
     (``refine_rounds``; by default only then) moves the chosen exit between the grid's steps. With a finite
     ``stationarity_ms`` the author graph is rebuilt for every moment.
@@ -173,56 +222,62 @@ def fit(events: DataFrame, candles: DataFrame, axes: dict | None = None, config:
     cfg = CONFIG | (config or {})
     if refine_rounds is None:
         refine_rounds = 6 if axes is None else 0
+    calibration = None
+    if detectors is None:
+        detectors = detector_ops.DETECTOR_AXES if axes is None else {}
     if axes is None:
-        found = calibrate(events, candles, {k: DEFAULT_AXES[k] for k in ("stale", "stale_since")}, interval_ms)
-        axes = DEFAULT_AXES | found["axes"] | {"round_trip_cost": [refinement.auto_cost(found["spread_pct"])]}
+        calibration = calibrate(events, candles, {k: DEFAULT_AXES[k] for k in ("stale", "stale_since")}, interval_ms)
+        axes = DEFAULT_AXES | calibration["axes"] | {"round_trip_cost": [refinement.auto_cost(calibration["spread_pct"])]}
     found = predict(events, cfg)
-    mode = found["mode"]
+    mode, tau = found["mode"], found["tau"]["tau_ms"]
     progress("detect", 1, 5)
+    chosen = detector_ops.settings(detectors, cfg, mode)
     if mode == "matrix":
-        if cfg["stationarity_ms"] == float("inf"):
-            candidates = burst_ops.enumerate_bursts(events, found["authors"], found["window_ms"])
-        else:
-            candidates = burst_ops.enumerate_bursts_windowed(events, int(cfg["stationarity_ms"]), cfg["window_k"], cfg["jaccard"], cfg["lag_peak"], cfg["max_burst_ms"])
-        candidates = candidates.withColumn("channel", F.lit("_matrix"))
+        members = settle(detector_ops.correlated(events, chosen, tau, cfg))
     else:
-        candidates = collapse_posts(events, found["window_ms"]).withColumn("independent_clusters", F.lit(1))
+        members = settle(detector_ops.collapsed(events, [int(min(c["window_k"] * tau, cfg["max_burst_ms"])) for c in chosen]))
         min_clusters = (1,)
-    zones = events.select("seq", "entry_from", "entry_to") if mode == "matrix" else None
-    candidates = (candidates.join(zones, "seq") if zones is not None else candidates).withColumnRenamed("seq", "burst_id").persist()
+    candidates = settle(detector_ops.distinct_bursts(members))
     grid = replays.exit_grid(spark, axes or DEFAULT_AXES)
     distinct = replays.distinct_by_pnl(grid).persist()
-    momentum = policies.pre_candle_features(candidates, candles, "burst_id", interval_ms, momentum_window, momentum_window).select("burst_id", "momentum")
+    before = settle(policies.pre_candle_features(candidates, candles, "burst_id", interval_ms, momentum_window, momentum_window).select("burst_id", "momentum", "range_pct", "compression", "last_close"))
+    momentum = before.select("burst_id", "momentum")
 
     def labelled(rules: DataFrame) -> DataFrame:
         shape = rules.select("exit_id", (F.col("stale") * interval_ms).cast("long").alias("embargo_ms"), "hard_stop", "stale", "squeeze_policy")
         paths = replays.replay(candidates, candles, rules, interval_ms).where(~F.col("truncated"))
-        return paths.join(candidates.select("burst_id", "channel", "ts_ms", "independent_clusters"), "burst_id").join(momentum, "burst_id", "left").join(F.broadcast(shape), "exit_id")
+        return paths.join(candidates.select("burst_id", "channel", "ts_ms"), "burst_id").join(momentum, "burst_id", "left").join(F.broadcast(shape), "exit_id")
 
-    labels = labelled(distinct).persist()
+    labels = settle(labelled(distinct))
     progress("label", 2, 5)
-    keys = ["min_clusters", "gate_id", "exit_id"]
+    keys = ["setting", "min_clusters", "gate_id", "exit_id"]
     gate_ids = F.coalesce(*[F.when(F.col("gate").eqNullSafe(F.lit(g)), F.lit(i)) for i, g in enumerate(gates)])
-    configured = selection.configurations(labels, list(min_clusters), list(gates)).withColumn("gate_id", gate_ids).persist()
+    configured = settle(selection.configurations(detector_ops.with_settings(labels, members), list(min_clusters), list(gates)).withColumn("gate_id", gate_ids))
     shape = distinct.select("exit_id", "hard_stop", "stale", "squeeze_policy")
-    scored = selection.board(configured, keys).join(F.broadcast(shape), "exit_id").persist()
+    scored = settle(selection.board(configured, keys).join(F.broadcast(shape), "exit_id"))
     top = selection.one_standard_error(scored, keys).first()
     if top is None:
         raise ValueError("no candidate could be labelled")
     progress("score", 3, 5)
     if refine_rounds:
         start = grid.where(F.col("exit_id") == top["exit_id"]).first().asDict()
-        passing = selection.configurations(candidates.join(momentum, "burst_id", "left"), [top["min_clusters"]], [gates[top["gate_id"]]])
+        found_by = detector_ops.with_settings(candidates.join(momentum, "burst_id", "left"), members.where(F.col("setting") == top["setting"]))
+        passing = selection.configurations(found_by, [top["min_clusters"]], [gates[top["gate_id"]]])
         better = refinement.refine(passing, candles, start, axes, interval_ms, refine_rounds, start_labels=labels.where(F.col("exit_id") == top["exit_id"]))
         if better["accepted"]:
             new = spark.createDataFrame([(len(grid.collect()), *(better["exit"][c] for c in replays.EXIT_COLUMNS))], f"exit_id int, {replays.EXIT_SCHEMA}")
             grid, distinct = grid.union(new), distinct.union(new)
-            labels = labels.unionByName(labelled(new)).persist()
-            configured = selection.configurations(labels, list(min_clusters), list(gates)).withColumn("gate_id", gate_ids).persist()
+            labels = settle(labels.unionByName(labelled(new)))
+            configured = settle(selection.configurations(detector_ops.with_settings(labels, members), list(min_clusters), list(gates)).withColumn("gate_id", gate_ids))
             shape = distinct.select("exit_id", "hard_stop", "stale", "squeeze_policy")
-            scored = selection.board(configured, keys).join(F.broadcast(shape), "exit_id").persist()
-            top = scored.where((F.col("exit_id") == new.first()["exit_id"]) & (F.col("min_clusters") == top["min_clusters"]) & (F.col("gate_id") == top["gate_id"])).first()
-    mine = lambda df: df.where((F.col("exit_id") == top["exit_id"]) & (F.col("min_clusters") == top["min_clusters"]) & (F.col("gate_id") == top["gate_id"]))
+            scored = settle(selection.board(configured, keys).join(F.broadcast(shape), "exit_id"))
+            top = scored.where((F.col("exit_id") == new.first()["exit_id"]) & (F.col("setting") == top["setting"]) & (F.col("min_clusters") == top["min_clusters"]) & (F.col("gate_id") == top["gate_id"])).first()
+
+    def mine(df: DataFrame) -> DataFrame:
+        for k in keys:
+            df = df.where(F.col(k) == top[k])
+        return df
+
     nested = nested_score(configured, keys, shape, outer_folds)
     won = mine(configured)
     folds = [r.asDict() for r in selection.fold_scores(won, keys).orderBy("fold").collect()]  # four folds
@@ -235,22 +290,28 @@ def fit(events: DataFrame, candles: DataFrame, axes: dict | None = None, config:
     progress("nested", 4, 5)
     sizes, means = [f["size"] for f in folds], [f["mean"] for f in folds]
     reliable = reliability_of(means, sum(sizes), moments)
-    tuned = selection.configurations(labels, [top["min_clusters"]], [gates[top["gate_id"]]]).drop("min_clusters", "gate").persist()
+    winners = detector_ops.with_settings(labels, members.where(F.col("setting") == top["setting"]))
+    tuned = settle(selection.configurations(winners, [top["min_clusters"]], [gates[top["gate_id"]]]).drop("setting", "min_clusters", "gate"))
     k = stats.empirical_pool_k(tuned.where(F.col("exit_id") == top["exit_id"]).withColumn("g", F.concat_ws("|", *KEY)), "g", "pnl").first()["k"]
     tensor = [r.asDict() for r in selection.exit_tensor(tuned, k).collect()]  # a row for each cell
     sides = spark.createDataFrame([t for t in tensor if t["level"] == "symbol-dir"] or [Row(level=None, channel=None, symbol=None, direction=None, vol_regime=None, exit_id=None)], "level string, channel string, symbol string, direction string, vol_regime string, exit_id int")
-    history = tuned.join(F.broadcast(sides.select(*KEY, "exit_id")), [*KEY, "exit_id"]).persist()
+    history = settle(tuned.join(F.broadcast(sides.select(*KEY, "exit_id")), [*KEY, "exit_id"]))
     entered = history.where("entered")
     channel_k = stats.empirical_pool_k(entered, "channel", "pnl").first()["k"]
     rows_by = lambda df, key: {r[key]: {c: v for c, v in r.asDict().items() if c != key} for r in df.collect()}  # noqa: E731  a row for each channel or symbol
-    model = fit_outcome_model(prequential_win_rate(entered, "channel").select((F.col("pnl") > 0).cast("int").alias("y"), "pnl", F.col("ts_ms").alias("ts"), "momentum", "channel_win_rate", F.col("independent_clusters").alias("clusters"), F.hour(F.timestamp_millis("ts_ms")).cast("string").alias("hour_of_day")).toPandas(), ["clusters", "momentum", "channel_win_rate", "hour_of_day"])  # the chosen history
+    trades = entered.drop("momentum").join(before, "burst_id", "left").join(candidates.select("burst_id", "entry_from", "entry_to"), "burst_id")
+    known = prequential_win_rate(trade_evidence(trades, events, candles, tau, cfg["max_burst_ms"], interval_ms, momentum_window, market_symbol), "channel")
+    model = fit_outcome_model(known.select((F.col("pnl") > 0).cast("int").alias("y"), "pnl", F.col("ts_ms").alias("ts"), *NUMERIC, *CATEGORICAL).toPandas(), [*NUMERIC, *CATEGORICAL])  # the chosen history
+    channels = selection.channel_scores(entered, channel_k).join(algo_signature(events).select("channel", "algo_score"), "channel", "left")
+    outcomes = {r["outcome"]: r["count"] for r in replays.label_outcomes(labels, candidates).groupBy("outcome").count().collect()}
     progress("tensor", 5, 5)
     return SignalModel(
-        config={k_: (v if v != float("inf") else None) for k_, v in cfg.items()}, mode=mode, exits=[r.asDict() for r in grid.collect()], tensor=tensor, winner={**top.asDict(), "gate": gates[top["gate_id"]]},
-        certificate=certificate, reliability=reliable, nested_score=nested, channel_score=rows_by(selection.channel_scores(entered, channel_k), "channel"),
+        config={k_: (v if v != float("inf") else None) for k_, v in (cfg | chosen[top["setting"]] | {"min_clusters": top["min_clusters"] if mode == "matrix" else cfg["min_clusters"]}).items()}, mode=mode, exits=[r.asDict() for r in grid.collect()], tensor=tensor, winner={**top.asDict(), "gate": gates[top["gate_id"]]},
+        certificate=certificate, reliability=reliable, nested_score=nested, channel_score=rows_by(channels, "channel"),
         channel_plan={r["channel"]: r["plan"] for r in selection.channel_triage(entered).collect()}, risk_reward=rows_by(stats.risk_reward(entered, ["symbol"], "pnl", "hard_stop"), "symbol"),
         pnl=rows_by(stats.pnl_stats(entered, ["symbol"], "pnl"), "symbol"), baseline=[r[0] for r in entered.select("pnl").collect()], outcome=model and model.to_json(),
-        policy=policy or {}, interval_ms=interval_ms, momentum_window=momentum_window, trials=trials, fitted_ms=int(time.time() * 1000),
+        policy=policy or {}, interval_ms=interval_ms, momentum_window=momentum_window, trials=trials, inner_trials=inner, fitted_ms=int(time.time() * 1000),
+        mode_reason=found["mode_reason"], market_symbol=market_symbol, history_size=sum(outcomes.values()), labeling=outcomes, calibration=calibration,
     )
 
 
@@ -259,7 +320,7 @@ def nested_score(configured: DataFrame, keys: list[str], shape: DataFrame, outer
 
     Blocks are equal spans of distinct times; training rows closer to the block than the longest life are left out.
     """
-    times = configured.select("ts_ms").distinct().withColumn("block", F.ntile(outer).over(Window.orderBy("ts_ms")))  # distinct burst times
+    times = stats.even_blocks(configured.select("ts_ms").distinct(), outer, "ts_ms")
     bounds = [r.asDict() for r in times.groupBy("block").agg(F.min("ts_ms").alias("low"), F.max("ts_ms").alias("high")).orderBy("block").collect()]
     reach = configured.agg(F.max("embargo_ms")).first()[0] or 0
     scores = []
@@ -302,41 +363,70 @@ def reliability_of(means: list[float], total: int, moments: Row) -> dict:
     return {"support": round(support, 6), "stability": round(float(stability), 6), "significance": round(significance, 6), "confidence": confidence, "reliable": confidence >= 0.6 and total >= 40, "total_n": total}
 
 
-def _asked(verdicts: DataFrame, model: SignalModel, features: DataFrame | None, policy: policies.Policy, pressure: str) -> DataFrame:
-    """Facts of each open verdict for the filter chain."""
+_SIGNAL = ["seq", "symbol", "final_direction", "ts_ms", "action", "rejected_by", "inverted_from", "exit_id", "exit_source", "trailing_take", "hard_stop", "stale_profit", "stale_since", "stale", "vol_regime", "confidence", "independent_clusters", "liquidity_quote", "p_win", "expected_pnl", "risk_share", "channel"]
+
+
+def _resolved(asks: DataFrame, model: SignalModel, side: str, with_regime: bool) -> DataFrame:
+    """Adds the exit of each ask for a direction, with its parameters."""
+    tensor, exits = model.tables(asks.sparkSession)
+    keyed = asks.withColumns({"_post": F.col("direction"), "_channel": F.col("channel")}).withColumns({"direction": F.col(side), "channel": F.coalesce("channel", F.lit("_matrix"))})
+    found = policies.with_exits(keyed, tensor, exits, with_regime)
+    return found.withColumns({"direction": F.col("_post"), "channel": F.col("_channel")}).drop("_post", "_channel")
+
+
+def _asked(verdicts: DataFrame, events: DataFrame | None, model: SignalModel, candles: DataFrame | None, policy: policies.Policy, live: bool) -> DataFrame:
+    """Facts of each open verdict for the filter chain, from candles before it only; pressure only in live planning."""
     spark = verdicts.sparkSession
-    tensor, exits = model.tables(spark)
-    opens = verdicts.where(F.col("action") == "open").drop("action") if "action" in verdicts.columns else verdicts
-    plans = spark.createDataFrame([(c, model.channel_plan.get(c), s["score"]) for c, s in model.channel_score.items()], "channel string, channel_plan string, channel_score double")
-    ratios = spark.createDataFrame([(s, float(v.get(policy.rr_metric or "mean", 0.0))) for s, v in model.risk_reward.items()], "symbol string, risk_reward double")
-    out = opens.join(plans, "channel", "left").join(ratios, "symbol", "left")
-    blank = {"vol_z": "double", "liquidity_quote": "double", "momentum": "double", "pressure": "double"}
-    if features is not None:
-        out = out.join(features.withColumnRenamed(pressure, "pressure"), "seq", "left")
-    out = out.withColumns({c: F.lit(None).cast(t) for c, t in blank.items() if c not in out.columns})
-    out = out.withColumn("vol_regime", F.when(F.col("vol_z").isNotNull(), F.when(F.col("vol_z") >= 2.0, "anomalous").otherwise("calm")))
-    out = out.withColumn("_channel", F.col("channel")).withColumn("channel", F.coalesce("channel", F.lit("_matrix")))
-    out = policies.with_exits(out, tensor, exits, features is not None).drop("channel").withColumnRenamed("_channel", "channel")
+    out = verdicts.where(F.col("action") == "open").drop("action") if "action" in verdicts.columns else verdicts
+    if "entry_from" not in out.columns:
+        out = out.join(events.select("seq", "entry_from", "entry_to"), "seq")
+    facts = [(c, model.channel_plan.get(c), s["score"], s.get("algo_score"), s.get("win_rate")) for c, s in model.channel_score.items()]
+    ratios = [(s, float(v.get(policy.rr_metric or "mean", 0.0))) for s, v in model.risk_reward.items()]
+    out = out.join(spark.createDataFrame(facts, "channel string, channel_plan string, channel_score double, algo double, channel_win_rate double"), "channel", "left")
+    out = out.join(spark.createDataFrame(ratios, "symbol string, risk_reward double"), "symbol", "left")
+    turned = F.col("channel").isNotNull() & (F.coalesce("channel_plan", F.lit("")) == "invert")
+    out = out.withColumn("side", F.when(turned, F.when(F.col("direction") == "long", "short").otherwise("long")).otherwise(F.col("direction")))
+    window = policy.momentum_window or model.momentum_window
+    if candles is not None:
+        # The exit that a calm market would get says how far back volume and pressure are read.
+        calm = _resolved(out.withColumn("vol_regime", F.lit("calm")), model, "side", True)
+        probe = calm.select(*out.columns, F.col("vol_baseline").alias("_base"), F.coalesce("cascade_window", "stale").alias("_hor"), F.col("vol_z_threshold").alias("_z"))
+        back = max(window, 90, *(max(e["vol_baseline"], e["cascade_window"] or e["stale"]) + 1 for e in model.exits))
+        before = policies.pre_candle_features(probe, candles, "seq", model.interval_ms, back, window, "_base", "_hor", "side")
+        out = probe.join(before.withColumnRenamed("squeeze_before", "pressure"), "seq", "left").withColumn("vol_regime", F.when(F.col("vol_z").isNotNull(), F.when(F.col("vol_z") >= F.coalesce("_z", F.lit(2.0)), "anomalous").otherwise("calm"))).drop("_base", "_hor", "_z")
+    unknown = {"vol_z": "double", "liquidity_quote": "double", "momentum": "double", "pressure": "double", "last_close": "double", "range_pct": "double", "compression": "double", "burst_score": "double", "confirm_span_ms": "double", "symbol_gap_ms": "double", "vol_regime": "string"}
+    out = out.withColumns({c: F.lit(None).cast(t) for c, t in unknown.items() if c not in out.columns})
+    if not live:
+        out = out.withColumn("pressure", F.lit(None).cast("double"))
     outcome = OutcomeModel.from_json(model.outcome) if model.outcome else None
-    p = outcome.prior if outcome else None
-    expected = p * outcome.mean_win + (1 - p) * outcome.mean_loss if outcome else None
-    return out.withColumns({"has_outcome": F.lit(outcome is not None), "p_win": F.lit(p).cast("double"), "expected_pnl": F.lit(expected).cast("double")})
+    learned = outcome is not None and "market" in outcome.numeric
+    out = with_market(out, candles if learned else None, "seq", model.market_symbol, model.interval_ms, window)
+    out = evidence(out).withColumns({"burst": F.col("burst_score"), "fatigue_gap": F.col("symbol_gap_ms")})
+    scores = outcome_columns(outcome) if outcome else {c: F.lit(None).cast("double") for c in ("p_win", "expected_pnl", "risk_share")}
+    return _resolved(out.withColumns({"has_outcome": F.lit(outcome is not None), **scores}), model, "side", candles is not None)
+
+
+def _judged(verdicts: DataFrame, events: DataFrame | None, model: SignalModel, candles: DataFrame | None, policy: policies.Policy, live: bool) -> DataFrame:
+    """Open verdicts with the filters' decision, and the exit of the direction that is traded in the end."""
+    asked = _asked(verdicts, events, model, candles, policy, live)
+    judged = policies.explained(policies.filter_chain(asked, policy, model.certificate["certified"], live), policy)
+    factor = F.when(F.col("tightened"), F.col("tighten_factor"))
+    final = judged.withColumn("_factor", factor).drop("exit_id", "exit_source", *replays.EXIT_COLUMNS)
+    return _resolved(final, model, "final_direction", candles is not None).withColumn("trailing_take", F.when(F.col("_factor").isNotNull(), F.round(F.col("trailing_take") * F.col("_factor"), 6)).otherwise(F.col("trailing_take"))).drop("_factor")
 
 
 def plan(events: DataFrame, model: SignalModel, candles: DataFrame | None = None, requested: policies.Policy | None = None, explain: bool = False) -> DataFrame:
-    """Live signals of a model; candles at or after a signal are never looked at. explain keeps the rejected ones."""
+    """Live signals of a model; candles at or after a signal are never looked at.
+
+    explain keeps the rejected ones, with detail and values, and the detector's skips (rejected_by detector).
+    """
     policy = policies.intersect(policies.Policy.from_dict(model.policy), requested)
-    cfg = {k: v for k, v in model.config.items() if v is not None}
-    found = predict(events, cfg | {"mode": model.mode})
-    verdicts = found["verdicts"]
-    window = policy.momentum_window or model.momentum_window
-    features = policies.pre_candle_features(verdicts, candles, "seq", model.interval_ms, max(window, 90), window) if candles is not None else None
-    asked = _asked(verdicts, model, features, policy, "squeeze_before")
-    judged = policies.filter_chain(asked, policy, model.certificate["certified"], live=True)
-    trail = F.when(F.col("tightened"), F.round(F.col("trailing_take") * F.col("tighten_factor"), 6)).otherwise(F.col("trailing_take"))
-    out = judged.withColumn("trailing_take", trail)
-    columns = ["seq", "symbol", "final_direction", "ts_ms", "action", "rejected_by", "inverted_from", "exit_id", "exit_source", "trailing_take", "hard_stop", "stale_profit", "stale_since", "stale", "vol_regime", "confidence", "independent_clusters", "liquidity_quote", "p_win", "expected_pnl", "channel"]
-    return (out if explain else out.where(F.col("rejected_by").isNull())).select(*columns)
+    verdicts = settle(predict(events, {k: v for k, v in model.config.items() if v is not None} | {"mode": model.mode})["verdicts"])
+    judged = _judged(verdicts, events, model, candles, policy, live=True)
+    if not explain:
+        return judged.where(F.col("rejected_by").isNull()).select(*_SIGNAL)
+    skips = verdicts.where(F.col("action") == "skip").select("seq", "symbol", F.col("direction").alias("final_direction"), "ts_ms", "confidence", "independent_clusters", "channel", F.lit("detector").alias("rejected_by"), F.lit("no moment of enough independent authors").alias("detail"))
+    return judged.select(*_SIGNAL, "detail", "values").unionByName(skips, allowMissingColumns=True)
 
 
 def backtest(events: DataFrame, model: SignalModel, candles: DataFrame, requested: policies.Policy | None = None, net: bool = False) -> DataFrame:
@@ -344,25 +434,42 @@ def backtest(events: DataFrame, model: SignalModel, candles: DataFrame, requeste
 
     Pressure looks ahead here, as in training, which live planning can't. The certificate isn't asked for.
     """
+    verdicts = settle(predict(events, {k: v for k, v in model.config.items() if v is not None} | {"mode": model.mode})["verdicts"])
+    return _traded(verdicts, events, model, candles, requested, net)
+
+
+def _traded(verdicts: DataFrame, events: DataFrame | None, model: SignalModel, candles: DataFrame, requested: policies.Policy | None, net: bool) -> DataFrame:
     policy = policies.intersect(policies.Policy.from_dict(model.policy), requested)
-    found = predict(events, {k: v for k, v in model.config.items() if v is not None} | {"mode": model.mode})
-    verdicts = found["verdicts"].persist()
-    asked = _asked(verdicts, model, None, policy, "squeeze_before")
-    judged = policies.filter_chain(asked, policy, model.certificate["certified"], live=False).where(F.col("rejected_by").isNull())
-    if "entry_from" not in judged.columns:
-        judged = judged.join(events.select("seq", "entry_from", "entry_to"), "seq")
-    chosen = judged.select(F.col("seq").alias("burst_id"), "symbol", F.col("final_direction").alias("direction"), "ts_ms", "entry_from", "entry_to", F.col("exit_id").alias("chosen"), "confidence", "channel").persist()
-    _, exits = model.tables(events.sparkSession)
+    judged = _judged(verdicts, events, model, candles, policy, live=False).where(F.col("rejected_by").isNull())
+    chosen = settle(judged.select(F.col("seq").alias("burst_id"), "symbol", F.col("final_direction").alias("direction"), "ts_ms", "entry_from", "entry_to", F.col("exit_id").alias("chosen"), "confidence", "channel"))
+    _, exits = model.tables(verdicts.sparkSession)
     used = exits.join(F.broadcast(chosen.select(F.col("chosen").alias("exit_id")).distinct()), "exit_id", "left_semi")
     walked = replays.replay(chosen, candles, used, model.interval_ms)
     results = walked.join(chosen.select("burst_id", "chosen", "ts_ms", "confidence", "channel"), "burst_id").where(F.col("exit_id") == F.col("chosen"))
     return results.drop("chosen") if net else results.drop("chosen").withColumn("pnl", F.col("gross_pnl"))
 
 
+def _position(spark: SparkSession, symbol: str, direction: str, channel: str | None, ts_ms: int) -> DataFrame:
+    row = (0, symbol, direction, "open", ts_ms, 0.5, channel, 1, 1, None, None)
+    return spark.createDataFrame([row], "seq long, symbol string, direction string, action string, ts_ms long, confidence double, channel string, independent_clusters long, total_channels long, entry_from double, entry_to double")
+
+
+def plan_for(model: SignalModel, symbol: str, direction: str, channel: str | None, candles: DataFrame, requested: policies.Policy | None = None, explain: bool = False) -> DataFrame:
+    """The live signal of one position that is asked for at the symbol's last candle; no row if a filter refuses it."""
+    last = candles.where(F.col("symbol") == symbol).agg(F.max("ts_ms")).first()[0]
+    policy = policies.intersect(policies.Policy.from_dict(model.policy), requested)
+    judged = _judged(_position(candles.sparkSession, symbol, direction, channel, last or 0), None, model, candles, policy, live=True)
+    return judged.select(*_SIGNAL, "detail", "values") if explain else judged.where(F.col("rejected_by").isNull()).select(*_SIGNAL)
+
+
+def plan_for_at(model: SignalModel, symbol: str, direction: str, channel: str | None, candles: DataFrame, entry_ms: int, requested: policies.Policy | None = None, net: bool = False) -> DataFrame:
+    """What one position entered at a time earned; the entry is the first open, as no zone is given."""
+    return _traded(_position(candles.sparkSession, symbol, direction, channel, entry_ms), None, model, candles, requested, net)
+
+
 def walk_forward(events: DataFrame, candles: DataFrame, slices: int = 4, interval_ms: int = 60_000, slots: int | None = None, **fit_options) -> dict:
     """Equal-count blocks; each is traded by a model fitted on what lies before it less the longest life."""
-    order = Window.orderBy("ts_ms", "seq")
-    blocks = events.withColumn("block", F.ntile(slices + 1).over(order)).persist()
+    blocks = stats.even_blocks(events, slices + 1, "ts_ms", "seq").persist()
     reach = max((fit_options.get("axes") or DEFAULT_AXES)["stale"]) * interval_ms
     out, pnls, rows = [], [], []
     for b in range(2, slices + 2):
@@ -425,4 +532,4 @@ SMALL_AXES = {"trailing_take": [20.0, 60.0], "hard_stop": [50.0], "stale_profit"
 def _fit_and_plan(spark, sf_dir):
     events, candles = signals(spark, sf_dir), hourly(spark, sf_dir)
     model = SignalModel.load(fit(events, candles, SMALL_AXES, {"mode": "single"}, interval_ms=replays.HOUR, outer_folds=2, momentum_window=24, bootstraps=50).save())
-    return plan(events, model, candles, policies.Policy(acknowledge_uncertified=True), explain=True)
+    return plan(events, model, candles, policies.Policy(acknowledge_uncertified=True), explain=True).drop("values")
