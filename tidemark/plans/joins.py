@@ -33,16 +33,33 @@ def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") == 1).drop("_rank")
 
 
+def cut_at_gaps(df: DataFrame, keys: list[str], width: int, ts: str = "ts_ms", seq: str = "seq") -> DataFrame:
+    """Adds _piece, the time of the row that begins the row's piece: pieces of a key lie more than ``width`` apart.
+
+    Keys are cut into spans of time first, so that a hot key is sorted span by span; only a row for each span (its first
+    and last time and its last beginning of a piece) is ordered over a whole key.
+    """
+    spanned = df.withColumn("_span", F.floor(F.col(ts) / F.lit(256 * max(width, 1))).cast("long"))
+    over_spans = Window.partitionBy(*keys).orderBy("_span")
+    ends = spanned.groupBy(*keys, "_span").agg(F.max(ts).alias("_end")).withColumn("_before", F.lag("_end").over(over_spans))
+    inside = Window.partitionBy(*keys, "_span").orderBy(ts, seq)
+    rows = spanned.join(ends.drop("_end"), [*keys, "_span"])
+    gap = F.col(ts) - F.coalesce(F.lag(ts).over(inside), F.col("_before"))
+    marked = rows.withColumn("_begins", F.when(F.coalesce(gap > width, F.lit(True)), F.col(ts)))
+    carried = marked.groupBy(*keys, "_span").agg(F.max("_begins").alias("_last")).withColumn("_carried", F.max("_last").over(over_spans.rowsBetween(Window.unboundedPreceding, -1)))
+    begun = F.max("_begins").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    found = marked.withColumn("_piece", begun).join(carried.drop("_last"), [*keys, "_span"])
+    return found.select(*df.columns, F.coalesce("_piece", "_carried").alias("_piece"))
+
+
 def anchored_groups(df: DataFrame, keys: list[str], width: int, ts: str = "ts_ms", seq: str = "seq") -> DataFrame:
     """Greedy collapse: a row joins the open group while it lies within ``width`` of the group's first row.
 
     Not a session window, which compares with the last row. Adds anchor_ts and anchor_seq, the group's first row. A
-    group never spans a gap wider than ``width`` between neighbours, so a window first cuts each key there, and the
-    pieces are collapsed in parallel, each by hopping from anchor to anchor with a binary search.
+    group never spans a gap wider than ``width`` between neighbours, so each key is first cut there, and the pieces are
+    collapsed in parallel, each by hopping from anchor to anchor with a binary search. A piece is a sequence by nature.
     """
-    order = Window.partitionBy(*keys).orderBy(ts, seq)
-    gap = F.coalesce(F.col(ts) - F.lag(ts).over(order) > width, F.lit(True))
-    pieces = df.withColumn("_piece", F.sum(gap.cast("long")).over(order))
+    pieces = cut_at_gaps(df, keys, width, ts, seq)
 
     def collapse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_group = None  # (piece, anchor time, anchor seq) that the next frame may go on with
