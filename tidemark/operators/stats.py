@@ -16,6 +16,8 @@ from ..plans.registry import query
 
 MAX_CSCV_FOLDS = 12
 BOOTSTRAPS, BLOCK_P, SEED = 1000, 0.1, 12345
+#: Slices of equal width that running sums over values are cut into.
+SLICES = 1024
 CERTIFY = {"dsr": 0.95, "pbo": 0.10, "spa": 0.05}
 
 
@@ -187,6 +189,37 @@ def reality_check(series: list[np.ndarray], bootstraps: int = BOOTSTRAPS, p: flo
     return (exceed + 1) / (bootstraps + 1)
 
 
+def candidates_check(df: DataFrame, key: str, value: str, *order: str, bootstraps: int = BOOTSTRAPS, p: float = BLOCK_P, seed: int = SEED) -> DataFrame:
+    """One row: the reality check of all series of a table (p_value, candidates), each resampled in its own task.
+
+    Blocks of geometric length around the end of a series, as in ``reality_check``; but every series has a random stream
+    of its own, as one stream through all of them would be drawn by one task. A block's sum comes from prefix sums.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(*order, value)))
+    series = df.groupBy(key).agg(F.transform(rows, lambda r: r[value].cast("double")).alias("xs"), F.hash(key).alias("mark"))
+
+    def resample(frames):
+        for frame in frames:
+            best = np.full(bootstraps, -np.inf)
+            observed = -np.inf
+            for xs, mark in zip(frame["xs"], frame["mark"]):
+                x = np.asarray(xs, float)
+                n, rng = len(x), np.random.default_rng([seed, int(mark) & 0xFFFFFFFF])
+                sums = np.concatenate(([0.0], np.cumsum(np.concatenate((x, x)))))
+                left, total = np.full(bootstraps, n), np.zeros(bootstraps)
+                while left.any():
+                    start, size = rng.integers(0, n, bootstraps), np.minimum(rng.geometric(p, bootstraps), left)
+                    total += sums[start + size] - sums[start]
+                    left -= size
+                observed = max(observed, math.sqrt(n) * x.mean())
+                best = np.maximum(best, math.sqrt(n) * (total / n - x.mean()))
+            yield pd.DataFrame({"b": np.arange(bootstraps), "best": best, "observed": observed, "n": len(frame)})
+
+    parts = series.mapInPandas(resample, "b int, best double, observed double, n long")
+    each = parts.groupBy("b").agg(F.max("best").alias("best"), F.max("observed").alias("observed"), F.sum("n").alias("n"))
+    return each.agg(((F.sum((F.col("best") >= F.col("observed")).cast("long")) + 1) / (bootstraps + 1)).alias("p_value"), F.max("n").alias("candidates"))
+
+
 def certify(dsr: float, pbo: float, spa: float, n: int, needed: float, nested: float | None) -> tuple[bool, list[str]]:
     """Whether all five barriers are passed, and which aren't; an estimate that doesn't exist is not passed."""
     reasons = [
@@ -203,14 +236,38 @@ def drawdown(df: DataFrame, keys: list[str], value: str, *order: str) -> DataFra
     return falls.groupBy(*keys).agg(F.round(F.max(F.col("_p") - F.col("_e")), 6).alias("max_drawdown"), F.round(F.sum(value), 6).alias("equity"))
 
 
+def running_sums(df: DataFrame, slice_of: Column, order: list[str], values: list[str]) -> DataFrame:
+    """Adds ``<value>_upto``: sums over all rows up to each one, in an order that no slice crosses.
+
+    Sums of slices run in one task, rows within their slice.
+    """
+    sliced = df.withColumn("_slice", slice_of)
+    ahead = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sliced.groupBy("_slice").agg(*[F.sum(v).alias(v) for v in values])
+    before = sums.select(F.col("_slice").alias("_slice_of"), *[F.coalesce(F.sum(v).over(ahead), F.lit(0)).alias(f"_before_{v}") for v in values])
+    upto = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = sliced.join(before, F.col("_slice").eqNullSafe(F.col("_slice_of")))
+    return joined.withColumns({f"{v}_upto": F.col(f"_before_{v}") + F.sum(v).over(upto) for v in values}).drop("_slice", "_slice_of", *[f"_before_{v}" for v in values])
+
+
+def even_blocks(df: DataFrame, blocks: int, *order: str, slice_ms: int = 86_400_000) -> DataFrame:
+    """Adds block, 1 to ``blocks``: equal counts of rows in order (the first ones have one more), the first of ``order``
+    being a time. Rows are numbered within slices of time, so no task sorts them all."""
+    n = df.count()
+    q, r = divmod(n, blocks)
+    numbered = running_sums(df.withColumn("_one", F.lit(1)), F.floor(F.col(order[0]) / slice_ms), list(order), ["_one"])
+    i = F.col("_one_upto")
+    block = F.when(i <= r * (q + 1), F.ceil(i / (q + 1))).otherwise(r + F.ceil((i - r * (q + 1)) / max(q, 1)))
+    return numbered.withColumn("block", block.cast("int")).drop("_one", "_one_upto")
+
+
 def capital_demand(trades: DataFrame, minute_ms: int = 60_000) -> DataFrame:
     """One row: most positions open at once if every trade is taken; exits come before entries of the same time."""
     opens = trades.select(F.col("ts_ms").alias("t"), F.lit(1).alias("d"))
-    closes = trades.select((F.col("ts_ms") + F.col("held") * minute_ms).alias("t"), F.lit(-1).alias("d"))
-    # Summed per time and kind first: the running sum then runs over distinct times.
+    closes = trades.select((F.col("ts_ms") + F.greatest("held", F.lit(0)) * minute_ms).alias("t"), F.lit(-1).alias("d"))
+    # Summed per time and kind first: the running sum then runs over distinct times, day by day.
     steps = opens.union(closes).groupBy("t", "d").agg(F.sum("d").alias("s"))
-    running = F.sum("s").over(Window.orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0))
-    return steps.select(running.alias("r")).agg(F.greatest(F.max("r"), F.lit(0)).alias("demand_peak"))
+    return running_sums(steps, F.floor(F.col("t") / 86_400_000), ["t", "d"], ["s"]).agg(F.greatest(F.max("s_upto"), F.lit(0)).alias("demand_peak"))
 
 
 def simulate_capital(trades: pd.DataFrame, slots: int, minute_ms: int = 60_000) -> pd.DataFrame:
@@ -222,23 +279,24 @@ def simulate_capital(trades: pd.DataFrame, slots: int, minute_ms: int = 60_000)
         busy = [end for end in busy if end > ts]
         taken.append(len(busy) < slots)
         if taken[-1]:
-            busy.append(int(ts + held * minute_ms))
+            busy.append(int(ts + max(held, 0) * minute_ms))
     return rows.assign(taken=taken)
 
 
-def capital_greedy(trades: DataFrame, keys: list[str], slots: int, minute_ms: int = 60_000) -> DataFrame:
-    """Adds taken per trade; a portfolio (keys) is walked in order by one task, portfolios in parallel."""
+def capital_greedy(trades: DataFrame, keys: list[str], slots: int, minute_ms: int = 60_000, seq: str = "id") -> DataFrame:
+    """Adds taken per trade; a portfolio (keys) is walked in order by one task, portfolios in parallel. seq settles ties."""
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in trades.schema)}, taken boolean"
-    return trades.groupBy(*keys).applyInPandas(lambda rows: simulate_capital(rows, slots, minute_ms), schema)
+    return trades.groupBy(*keys).applyInPandas(lambda rows: simulate_capital(rows.sort_values(seq), slots, minute_ms), schema)
 
 
 def ks_two_sample(df: DataFrame, value: str, sample: str) -> DataFrame:
     """One row: largest gap of two distribution functions, and its p-value. ``sample`` is true for the first one."""
     counts = df.groupBy(value).agg(F.sum(F.col(sample).cast("long")).alias("a"), F.sum((~F.col(sample)).cast("long")).alias("b"))
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(F.lit(0))
-    gaps = counts.select(F.sum("a").over(upto).alias("ca"), F.sum("b").over(upto).alias("cb"), F.sum("a").over(whole).alias("na"), F.sum("b").over(whole).alias("nb"))
-    facts = gaps.agg(F.max(F.abs(F.try_divide("ca", "na") - F.try_divide("cb", "nb"))).alias("d"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    totals = counts.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    placed = counts.crossJoin(F.broadcast(totals))  # one row
+    share = F.try_divide(F.col(value) - F.col("low"), F.col("high") - F.col("low"))
+    gaps = running_sums(placed, F.floor(F.coalesce(share, F.lit(0.0)) * SLICES), [value], ["a", "b"])
+    facts = gaps.agg(F.max(F.abs(F.try_divide("a_upto", "na") - F.try_divide("b_upto", "nb"))).alias("d"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     root = F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")))
     lam = (root + 0.12 + 0.11 / root) * F.col("d")
     terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda j: 2 * F.when(j % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2 * lam * lam * j * j))
@@ -355,7 +413,7 @@ def _ks(spark, sf_dir):
     return ks_two_sample(returns(spark, sf_dir).select(F.round("r", 4).alias("v"), (F.col("k") % 2 == 0).alias("first")), "v", "first")
 
 
-_TRADES_SQL = "tr AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) // 1000 AS ts_ms, 1440 * (1 + o_orderkey % 7) AS held, o_custkey AS priority FROM orders WHERE o_orderkey % 50 = 0)"
+_TRADES_SQL = "tr AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) // 1000 AS ts_ms, 1440 * (1 + o_orderkey % 7) AS held, o_custkey AS priority FROM orders)"
 
 
 def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,7 +428,11 @@ def _demand(spark, sf_dir):
     return capital_demand(_trades(spark, sf_dir))
 
 
-@query("capital_greedy")
+@query("capital_greedy", f"""WITH RECURSIVE {_TRADES_SQL}, o AS MATERIALIZED (SELECT id, id % 3 AS book, ts_ms, ts_ms + held * 60000 AS until, row_number() OVER (PARTITION BY id % 3 ORDER BY ts_ms, priority DESC, id) AS rn FROM tr),
+ w AS (SELECT book, id, rn, [until] AS busy, true AS taken FROM o WHERE rn = 1
+   UNION ALL SELECT book, id, rn, CASE WHEN len(free) < 2 THEN list_append(free, until) ELSE free END, len(free) < 2
+   FROM (SELECT o.*, list_filter(busy, lambda e: e > o.ts_ms) AS free FROM w JOIN o ON w.book = o.book AND o.rn = w.rn + 1))
+ SELECT id, book, taken FROM w""")
 def _greedy(spark, sf_dir):
     return capital_greedy(_trades(spark, sf_dir).withColumn("book", F.col("id") % 3), ["book"], 2).select("id", "book", "taken")
 
@@ -390,9 +452,7 @@ def _pbo(spark, sf_dir):
 
 @query("reality_check")
 def _reality(spark, sf_dir):
-    rows = returns(spark, sf_dir).where(F.col("k") <= 3).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("d", "o", "ln", "r"))).alias("rs")).orderBy("k").collect()  # a few candidate series
-    series = [np.array([x["r"] for x in r["rs"]]) for r in rows]
-    return spark.createDataFrame([(float(reality_check(series, bootstraps=20)), len(series))], "p_value double, candidates long")
+    return candidates_check(returns(spark, sf_dir), "k", "r", "d", "o", "ln")
 
 
 @query("reliability", f"""WITH {RETURNS_SQL}, f AS (SELECT k, o % 4 AS fold, avg(r) AS m, count(*) AS c FROM ret GROUP BY ALL), g AS (SELECT k, avg(m) AS a, coalesce(stddev_samp(m), 0) AS s, avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS w, count(*) AS nf FROM f GROUP BY k),
