@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,9 +85,11 @@ def pooled(child: DataFrame, parent: DataFrame, keys: list[str], parent_keys: li
 def exit_tensor(labels: DataFrame, k: float, folds: int = FOLDS) -> DataFrame:
     """(level, channel, symbol, direction, regime, exit_id): the best exit overall, per symbol and side, and per cell.
 
-    Scores of a finer level are pooled with those of the level above; the first exit wins ties.
+    Scores of a finer level are pooled with those of the level above; the first exit wins ties. Scores are compared to
+    twelve places, as the order of a sum decides the last ones.
     """
-    best = lambda df, keys: first_by(df, keys, F.desc("score"), "exit_id") if keys else df.orderBy(F.desc("score"), "exit_id").limit(1)
+    even = F.round("score", 12)
+    best = lambda df, keys: first_by(df, keys, even.desc(), "exit_id") if keys else df.orderBy(even.desc(), "exit_id").limit(1)
     world = exit_scores(labels.withColumn("_all", F.lit(0)), ["_all"], folds).drop("_all")
     side = ["symbol", "direction"]
     sides = pooled(exit_scores(labels, side, folds), world, side, [], k).persist()
@@ -188,7 +192,26 @@ def _exit_scores(spark, sf_dir):
     return exit_scores(query_history(spark, sf_dir), ["symbol", "direction"]).withColumn("score", F.round("score", 6))
 
 
-@query("exit_tensor")
+def _scores_sql(keys: str, tag: str) -> str:
+    """Table sc<tag>: count and mean fold score of each exit within each group (keys) of hi."""
+    folds = re.sub(r"\b(ti|fe|f2|f3|vr)\b", rf"\1{tag}", _folds_sql("hi", f"{keys}exit_id"))
+    return f"""{folds}, ss{tag} AS (SELECT {keys}exit_id, avg(score) AS score FROM (SELECT {keys}exit_id, fold, {_SCORE} AS score FROM vr{tag} GROUP BY ALL) GROUP BY ALL),
+ sc{tag} AS (SELECT n.*, coalesce(score, 0) AS score FROM (SELECT {keys}exit_id, count(*) AS n FROM hi GROUP BY ALL) n LEFT JOIN ss{tag} USING ({keys}exit_id))"""
+
+
+def _pooled_sql(tag: str, keys: str, above: str, joined: str) -> str:
+    return f"""po{tag} AS (SELECT g.*, x.exit_id, (coalesce(c.n, 0) * coalesce(c.score, 0) + 20.0::DOUBLE * x.score) / (coalesce(c.n, 0) + 20) AS score
+   FROM (SELECT DISTINCT {keys} FROM sc{tag}) g JOIN {above} x {joined} LEFT JOIN sc{tag} c ON {" AND ".join(f"c.{k.strip()} = g.{k.strip()}" for k in keys.split(","))} AND c.exit_id = x.exit_id)"""
+
+
+_BEST_SQL = "arg_max(exit_id, (round(score, 12), -exit_id))"
+
+
+@query("exit_tensor", f"""{HISTORY_SQL}, {_scores_sql("", "_w")}, {_scores_sql("symbol, direction, ", "_s")}, {_scores_sql("channel, symbol, direction, vol_regime, ", "_c")},
+ {_pooled_sql("_s", "symbol, direction", "sc_w", "ON true")}, {_pooled_sql("_c", "channel, symbol, direction, vol_regime", "po_s", "ON x.symbol = g.symbol AND x.direction = g.direction")}
+ SELECT 'global' AS level, NULL::VARCHAR AS channel, NULL::VARCHAR AS symbol, NULL::VARCHAR AS direction, NULL::VARCHAR AS vol_regime, {_BEST_SQL} AS exit_id FROM sc_w
+ UNION ALL SELECT 'symbol-dir', NULL, symbol, direction, NULL, {_BEST_SQL} FROM po_s GROUP BY symbol, direction
+ UNION ALL SELECT 'cell', channel, symbol, direction, vol_regime, {_BEST_SQL} FROM po_c GROUP BY channel, symbol, direction, vol_regime""")
 def _exit_tensor(spark, sf_dir):
     return exit_tensor(query_history(spark, sf_dir).persist(), 20.0)
 
@@ -198,10 +221,12 @@ def _channel_score(spark, sf_dir):
     return channel_scores(query_history(spark, sf_dir).where(F.col("exit_id") == 0), SHRINK_K)
 
 
-@query("channel_triage", HISTORY_SQL + """, f AS (SELECT channel, count(*) AS n, avg(pnl) AS m, coalesce(stddev_samp(pnl), 0) / sqrt(count(*)) AS se FROM hi WHERE entered AND exit_id = 3 GROUP BY channel)
- SELECT channel, CASE WHEN -m - 0.002 > 0 AND (se < (-m - 0.002) * 1e-9 OR (-m - 0.002) / se >= 2) THEN 'invert' ELSE 'drop' END AS plan FROM f WHERE n >= 10 AND m < 0 AND (se < abs(m) * 1e-9 OR abs(m) / se >= 2)""")
+@query("channel_triage", HISTORY_SQL + """, f AS (SELECT channel, count(*) AS n, avg(least(pnl, 0.5)) AS m, coalesce(stddev_samp(least(pnl, 0.5)), 0) / sqrt(count(*)) AS se FROM hi WHERE entered AND exit_id = 3 GROUP BY channel)
+ SELECT channel, CASE WHEN -m - 0.24 > 0 AND (se < (-m - 0.24) * 1e-9 OR (-m - 0.24) / se >= 2) THEN 'invert' ELSE 'drop' END AS plan FROM f WHERE n >= 10 AND m < 0 AND (se < abs(m) * 1e-9 OR abs(m) / se >= 2)""")
 def _triage(spark, sf_dir):
-    return channel_triage(query_history(spark, sf_dir).where(F.col("exit_id") == 3), 0.1)
+    # Gains above one half are capped and costs are high, so that channels of this feed lose at all.
+    rows = query_history(spark, sf_dir).where(F.col("exit_id") == 3).withColumn("pnl", F.least("pnl", F.lit(0.5)))
+    return channel_triage(rows, 12.0)
 
 
 @query("exit_proposals", HISTORY_SQL + """, w AS (SELECT nullif(abs(least(trough, 0)) * 100, 0) AS mae, nullif(greatest(peak - pnl, 0) * 100, 0) AS give FROM hi WHERE entered AND pnl > 0)

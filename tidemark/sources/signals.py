@@ -15,6 +15,12 @@ SIGNALS_SQL = """sig AS MATERIALIZED (
          CASE WHEN event_id % 3 = 0 THEN value * 1.02::DOUBLE END AS entry_to
   FROM events)"""
 
+#: The same feed with echoes: four channels are repeated by others a minute or two later. WITH {ECHOES_SQL} ... FROM sig.
+ECHOED = ("ch0", "ch1", "ch2", "ch3")
+ECHOES_SQL = SIGNALS_SQL.replace("sig AS", "sig0 AS", 1) + f""",
+sig AS MATERIALIZED (SELECT * FROM sig0 UNION ALL
+  SELECT seq + 10000000000, 'e' || id, 'x' || channel, symbol, direction, ts_ms + 60000 + seq % 5 * 20000, entry_from, entry_to FROM sig0 WHERE channel IN {ECHOED})"""
+
 
 def raw_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw rows as a feed would bring them, seen through the events table."""
@@ -50,6 +56,15 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(raw_signals(spark, sf_dir))
 
 
+def echoed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adapter's feed and, for what is learned from echoes, channels that repeat some of its channels."""
+    rows = signals(spark, sf_dir)
+    echo = rows.where(F.col("channel").isin(*ECHOED)).withColumns({
+        "id": F.concat(F.lit("e"), "id"), "channel": F.concat(F.lit("x"), "channel"), "ts_ms": F.col("ts_ms") + 60_000 + F.col("seq") % 5 * 20_000, "seq": F.col("seq") + 10_000_000_000,
+    })
+    return rows.union(echo.select(rows.columns))
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """A JSON-lines feed with the raw columns; rows of a file keep their order through the file position."""
     schema = "id string, channel string, symbol string, direction string, ts long, entryFromPrice double, entryToPrice double"
