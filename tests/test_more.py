@@ -1,10 +1,13 @@
+import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bursts, graph, local_graph, policy, refinement, replay
+from tidemark.operators import bursts, graph, local_graph, policy, refinement, replay, stats
 from tidemark.operators.events import channels_in_order
+from tidemark.plans import joins
 from tidemark.sources import candles as candle_source, storage
 from tidemark.streaming.harvest import harvest
 
@@ -49,11 +52,20 @@ def test_windowed_bursts_with_all_of_the_past_equal_the_plain_ones(spark):
     events = spark.createDataFrame(rows, EVENTS).persist()
     found = bursts.enumerate_bursts_windowed(events, 10**12).collect()
     assert sum(len(r["ids"]) for r in found) == len(rows) and all(1 <= r["independent_clusters"] <= r["total_channels"] for r in found)
-    with pytest.raises(ValueError):
-        from unittest import mock
-
-        with mock.patch.object(bursts, "MAX_WINDOWED_EVENTS", 5):
-            bursts.enumerate_bursts_windowed(events, 1)
+    # Each moment against the graph of its own past, by the plain list of events.
+    local = [(f"{s}|{d}", t, c) for _, _, c, s, d, t in rows]
+    for span in (3_600_000, 20_000_000, 10**12):
+        contexts = {}
+        for r in bursts.windowed_authors(events, span).collect():
+            contexts.setdefault((r["at"], r["window"]), {})[r["channel"]] = r["author_id"]
+        want = {}
+        for at in sorted({t for _, t, _ in local}):
+            seen = [e for e in local if at - span < e[1] <= at]
+            window = int(min(3 * local_graph.tune_lag(seen), 3_600_000))
+            want[at, window] = local_graph.clusters_of(seen, local_graph.edges_of(seen, window, 0.3, 0.5))
+        assert contexts == want
+        whole = bursts.enumerate_bursts_windowed(events, span).collect()
+        assert sorted(i for r in whole for i in r["ids"]) == sorted(r[1] for r in rows)
 
 
 def test_refinement_only_accepts_what_is_better(spark):
@@ -105,3 +117,49 @@ def test_harvest_takes_each_post_once(spark, tmp_path):
     finally:
         job.stop()
     assert sorted(r["id"] for r in spark.table("posts").collect()) == ["1", "3"]
+
+
+def test_pieces_equal_the_walk(spark):
+    rng = random.Random(12)
+    rows = [(k, i, rng.randint(0, 40_000) * (1 if k == "a" else 90)) for k in "ab" for i in range(400)]
+    got = {(r["k"], r["seq"]): r["_piece"] for r in joins.cut_at_gaps(spark.createDataFrame(rows, "k string, seq long, ts_ms long"), ["k"], 150).collect()}
+    for key in "ab":
+        last = start = None
+        for _, seq, ts in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])):
+            if last is None or ts - last > 150:
+                start = ts
+            last = ts
+            assert got[key, seq] == start
+
+
+def test_posts_without_id_are_all_harvested(spark, tmp_path):
+    posts = [{"id": None, "channel": "c", "symbol": "S", "direction": "long", "ts": 10**12 + 1_000 * k} for k in range(5)] + [{"id": "7", "channel": "c", "symbol": "S", "direction": "long", "ts": 10**12}] * 2
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, [*posts, posts[0]])))
+    job = harvest(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("harvested").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        job.processAllAvailable()
+    finally:
+        job.stop()
+    assert spark.table("harvested").count() == 6
+
+
+@pytest.mark.parametrize("n, blocks", [(100, 4), (103, 4), (3, 5), (1, 2), (0, 3)])
+def test_blocks_equal_ntile(spark, n, blocks):
+    rng = random.Random(n)
+    rows = [(i, rng.randint(0, 10) * 50_000_000) for i in range(n)]
+    got = {r["seq"]: r["block"] for r in stats.even_blocks(spark.createDataFrame(rows, "seq long, ts_ms long"), blocks, "ts_ms", "seq").collect()}
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    want = {seq: k + 1 for k, part in enumerate(map(list, np.array_split([r[0] for r in ordered], blocks))) for seq in part}
+    assert got == want
+
+
+def test_candidates_check_tells_luck_from_gain(spark):
+    rng = np.random.default_rng(1)
+    flat = [(k, i, float(x)) for k in range(20) for i, x in enumerate(rng.normal(0, 1, 150))]
+    frame = lambda rows: spark.createDataFrame(rows, "k int, i int, r double")
+    none = stats.candidates_check(frame(flat), "k", "r", "i", bootstraps=300).first()
+    some = stats.candidates_check(frame(flat + [(20, i, float(x)) for i, x in enumerate(rng.normal(0.6, 1, 150))]), "k", "r", "i", bootstraps=300)
+    assert none["candidates"] == 20 and none["p_value"] > 0.05 and some.first()["p_value"] < 0.02 and some.first() == some.first()
+    plain = stats.reality_check([np.array([r for k, _, r in flat if k == j]) for j in range(20)], bootstraps=300)
+    assert abs(plain - none["p_value"]) < 0.15
