@@ -2,10 +2,11 @@ import json
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bursts, graph, local_graph, policy, refinement, replay, stats
+from tidemark.operators import bursts, graph, local_graph, outcome, policy, refinement, replay, stats
 from tidemark.operators.events import channels_in_order
 from tidemark.plans import joins
 from tidemark.sources import candles as candle_source, storage
@@ -163,3 +164,20 @@ def test_candidates_check_tells_luck_from_gain(spark):
     assert none["candidates"] == 20 and none["p_value"] > 0.05 and some.first()["p_value"] < 0.02 and some.first() == some.first()
     plain = stats.reality_check([np.array([r for k, _, r in flat if k == j]) for j in range(20)], bootstraps=300)
     assert abs(plain - none["p_value"]) < 0.15
+
+
+def test_scores_by_columns_equal_the_model(spark):
+    rng = np.random.default_rng(2)
+    n = 300
+    rows = pd.DataFrame({"ts": range(n), "a": rng.normal(size=n), "b": rng.normal(size=n), "h": rng.choice(["x", "y", "z"], n)})
+    rows["y"] = (rows["a"] + (rows["h"] == "x") + rng.normal(size=n) > 0.3).astype(int)
+    rows["pnl"] = np.where(rows["y"] == 1, 0.03, -0.02)
+    model = outcome.fit_outcome_model(rows, ["a", "b", "h"])
+    assert model.informative and "a" in model.numeric and "h" in model.categorical
+    asked = [(i, float(a), float(rng.normal()), h) for i, (a, h) in enumerate(zip(rng.normal(size=60) * 2, rng.choice(["x", "y", "z", "new"], 60)))]
+    asked += [(100, None, 1.0, "x"), (101, float("nan"), 0.0, None), (102, float("inf"), 0.0, "y"), (103, -float("inf"), None, "z")]
+    frame = spark.createDataFrame(asked, "i int, a double, b double, h string")
+    got = {r["i"]: (r["p_win"], r["expected_pnl"], r["risk_share"]) for r in frame.withColumns(outcome.outcome_columns(outcome.OutcomeModel.from_json(model.to_json()))).collect()}
+    for i, a, b, h in asked:
+        want = model.predict({"a": a, "b": b, "h": h})
+        assert got[i] == pytest.approx((want["p_win"], want["expected_pnl"], want["risk_share"]), abs=2e-6)

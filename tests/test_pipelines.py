@@ -65,3 +65,26 @@ def test_calibration_follows_the_noise(world):
     found = pipelines.calibrate(events, candles, {"stale": [60, 240, 100_000], "stale_since": [60]})
     assert found["noise_pct"] > 0 and found["axes"]["stale"] == [60, 240] and found["gates"][0] is None
     assert pipelines.calibrate(events, candles.limit(0), {"stale": [60], "stale_since": [60]})["axes"] == {}
+
+
+def test_explanations_and_single_positions(spark, world, model):
+    events, candles = world
+    assert model.outcome and model.history_size == 60 and model.exit["stale"] == 30 and model.lookback == 35 and model.deployment["verdict"] in ("trade", "paper")
+    shown = pipelines.plan(events, model, candles, policy.Policy(acknowledge_uncertified=True, min_p_win=1.0), explain=True).collect()
+    refused = [r for r in shown if r["rejected_by"] == "min-pwin"]
+    assert refused and all(r["detail"].startswith("chance to win ") and 0 < r["values"]["p_win"] == r["p_win"] < 1 for r in refused)
+    assert len({r["p_win"] for r in shown}) > 1 or not model.outcome["informative"]
+    last = candles.agg(F.max("ts_ms")).first()[0]
+    asked = policy.Policy(acknowledge_uncertified=True)
+    one = pipelines.plan_for(model, "S", "long", "good", candles, asked).collect()
+    assert [(r["ts_ms"], r["final_direction"], r["channel"]) for r in one] == [(last, "long", "good")]
+    turned = pipelines.plan_for(model, "S", "long", "bad", candles, asked, explain=True).first()
+    assert turned["action"] == "invert" and turned["final_direction"] == "short"
+    past = pipelines.plan_for_at(model, "S", "long", "good", candles, 5 * 60_000).first()
+    assert past["entered"] and past["pnl"] == past["gross_pnl"] > 0
+
+
+def test_detector_settings_are_tried(world):
+    events, candles = world
+    fitted = pipelines.fit(*world, {**AXES, "trailing_take": [1.0]}, {"mode": "single"}, outer_folds=2, momentum_window=30, bootstraps=20, refine_rounds=0, detectors={"window_k": [1, 3]}, market_symbol="S")
+    assert fitted.inner_trials == 2 and fitted.winner["setting"] in (0, 1) and fitted.config["window_k"] == (1, 3)[fitted.winner["setting"]]

@@ -7,7 +7,8 @@ from tidemark.plans import registry
 
 from compare import same, sql_rows
 
-SLOW = {"fit_and_plan", "hawkes_graph", "self_tune_lag", "exit_tensor"}
+#: Fitting and planning are run by test_pipelines.
+SLOW = {"fit_and_plan"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
@@ -18,5 +19,5 @@ def test_matches_sql(spark, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - SLOW))
 def test_runs(spark, sf_dir, name):
-    assert registry.QUERIES[name](spark, sf_dir).schema.names
+    assert registry.QUERIES[name](spark, sf_dir).count() > 0
     spark.catalog.clearCache()
