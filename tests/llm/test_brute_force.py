@@ -111,6 +111,24 @@ def test_spans_equal_counting_all_windows(spark, sf_dir, monkeypatch, most):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) == (len(b), int(gone.sum()), runs, hashlib.sha256(rest).hexdigest(), rest)
 
 
+def test_passages_equal_counting_all_windows(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    words = [re.findall(rb"[^ \t-\r]+", (r["text"] or "").encode()) for r in rows]
+    holders = defaultdict(set)
+    for k, w in enumerate(words):
+        for i in range(len(w) - 50):
+            holders[tuple(w[i : i + 51])].add(k)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_passage_words"] for r in suffix_dedup.remove_repeats(frame).collect()}
+    for k, (r, w) in enumerate(zip(rows, words)):
+        inside = np.zeros(len(w), bool)
+        for i in range(len(w) - 50):
+            if holders[tuple(w[i : i + 51])] - {k}:
+                inside[i : i + 51] = True
+        assert got[r["doc_id"]] == inside.sum()
+    assert sum(map(bool, got.values())) > 10
+
+
 def test_columns_give_common_prefixes():
     texts = [b"x" * 10 + b"k" * 32 + b"y" * 368, b"x" * 10 + b"k" * 32 + b"y" * 368, b"z" * 10 + b"k" * 32 + b"y" * 367 + b"n"]
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -121,13 +139,30 @@ def test_columns_give_common_prefixes():
         assert [bool(x) for x in row[: len(t) - 399]] == [windows[t[i : i + 400]] > 1 for i in range(len(t) - 399)]
 
 
-def test_found_items_equal_search(spark, sf_dir):
+@pytest.mark.parametrize("block", [8_000_000, 2_000])
+def test_found_items_equal_search(spark, sf_dir, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
     docs = pq.read_table(f"{sf_dir}/documents.parquet").to_pydict()
     items = pq.read_table(f"{sf_dir}/benchmark.parquet").to_pydict()
     plain = [(i, decontaminate.normalise(t)) for i, t in zip(items["item_id"], items["text"])]
-    got = {r["doc_id"]: set(r["item_ids"]) for r in decontaminate.query(spark, sf_dir).collect()}
-    for d, t in zip(docs["doc_id"], docs["text"]):
-        assert {i for i, p in plain if p in decontaminate.normalise(t)} <= got[d]
+    masks = {p: decontaminate.symbol_masks(p) for _, p in plain}
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.query(spark, sf_dir).collect()}
+    texts = [(d, decontaminate.normalise(t)) for d, t in zip(docs["doc_id"], docs["text"])]
+    short = [(d, t) for d, t in texts if len(t) < 6_000]
+    assert len(short) > 0.8 * len(texts)
+    for d, t in short:
+        assert got[d] == [i for i, p in plain if p and decontaminate.best_distance(p, t, masks[p]) <= decontaminate.error_budget(len(p))]
+    for d, t in texts:
+        assert {i for i, p in plain if p and p in t} <= set(got[d])
+
+
+@pytest.mark.parametrize("block", [8_000_000, 100])
+def test_items_of_other_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
+    items = [("b", "one two three four five six seven"), ("a", "one two three four five six seven"), ("a", "eight nine ten eleven twelve thirteen"), (None, "one two three four five six seven"), ("c", None)]
+    docs = spark.createDataFrame([("x", "zero one two three four five six  seven eight nine ten eleven twelve thirteen", "k"), ("x", None, "l"), (None, "ONE two three four five six seven", "m")], "doc_id string, text string, item_ids string")
+    found = decontaminate.find_items(docs, spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert sorted((r["doc_id"] or "", r["item_ids"]) for r in found) == [("", ["a", "b"]), ("x", []), ("x", ["a", "b"])]
 
 
 def test_edited_items_are_found_and_others_not():
@@ -224,11 +259,28 @@ def test_lines_one_edit_apart(spark):
     line = "one two three four five six seven eight nine ten"
     rows = [(1, line), (2, line.replace("five", "FIVE")), (3, line.replace("five", "5")), (4, line + " more"), (5, line.replace("one ", "")), (6, line.replace("two", "2").replace("nine", "9")), (7, "short line"), (8, "short line")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"] for r in line_dedup.report(frame).collect() if r["n_removed"]} == {2, 3, 4, 5}
-    assert {r["doc_id"] for r in line_dedup.dedup_lines(frame).collect()} == {1, 6, 7, 8}
-
-
-def test_large_bucket_hides_no_pair(spark):
+    assert {r["doc_id"] for r in line_dedup.report(frame).collect() if r["n_removed"]} == {2, 3, 4, 5, 8}
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(frame).collect()} == {1, 6, 7}
+
+
+def test_bounds_enclose_the_distance():
+    rng = np.random.default_rng(8)
+    for _ in range(600):
+        a = rng.integers(0, 12, rng.integers(5, 60)).astype(np.uint32)
+        b = a[rng.random(len(a)) < 0.9]
+        b = np.where(rng.random(len(b)) < 0.1, rng.integers(0, 12, len(b)), b).astype(np.uint32)
+        true = distance(a.tolist(), b.tolist())
+        longer = max(len(a), len(b))
+        assert near_dedup.greedy_distance(a, b, longer) >= true
+        assert near_dedup.shared(a, b) == sum((Counter(a.tolist()) & Counter(b.tolist())).values()) >= longer - true
+        assert near_dedup.similar(a, b) == (true <= int(0.2 * longer + 1e-9))
+
+
+@pytest.mark.parametrize("most, left", [(1_000_000, 0), (0, 0), (1_000_000, 1 << 23)])
+def test_large_bucket_hides_no_pair(spark, monkeypatch, most, left):
+    monkeypatch.setattr(near_dedup, "MAX_BROADCAST_WINDOWS", most)
+    monkeypatch.setattr(near_dedup, "MAX_BROADCAST_NODES", most)
+    monkeypatch.setattr(near_dedup, "LEFT", left)
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(5000)]
     shared = rng.sample(vocabulary, 140)
@@ -262,8 +314,7 @@ def test_lone_pairs_at_the_threshold_meet(n):
         at = rng.choice(n, int(0.2 * n + 1e-9), replace=False)
         b[at] = rng.integers(0, 1 << 63, len(at)).astype(np.uint64)
         texts += [a, b]
-    keys, bounds = near_dedup.candidate_keys(np.concatenate(texts), np.arange(len(texts) + 1) * n)
-    found = [set(keys[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
+    found = near_dedup.candidate_keys(np.concatenate(texts), np.arange(len(texts) + 1) * n)
     assert np.mean([bool(x & y) for x, y in zip(found[::2], found[1::2])]) >= (1 if n < 10 else 0.95)
 
 
@@ -303,3 +354,89 @@ def test_context_reaches_beyond_the_last_match(spark):
     texts = [(1, "ssn 123-45-6789, 987-65-4321"), (2, f"ssn 123-45-6789 {far} 987-65-4321")]
     got = {r["doc_id"]: r["spans"] for r in pii.summarise(pii.find_pii(spark.createDataFrame(texts, "doc_id long, text string"))).collect()}
     assert got == {1: "ssn:4:15,ssn:17:28", 2: "ssn:4:15"}
+
+
+def test_long_lists_are_found_whole(spark):
+    mail = "".join(f"m{i}@site.org, " for i in range(5000))
+    numbers = "ssn " + "".join(f"{100 + i % 900}-45-6789, " for i in range(300))
+    texts = [(1, mail), (2, numbers), (3, "x " + numbers[4:])]
+    got = {r["doc_id"]: r for r in pii.summarise(pii.find_pii(spark.createDataFrame(texts, "doc_id long, text string"))).collect()}
+    assert got[1]["spans"] == ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[a-z0-9]+@site\.org", mail))
+    # The word lies within 40 characters before the first three numbers only.
+    assert got[2]["spans"] == "ssn:4:15,ssn:17:28,ssn:30:41" and got[3]["spans"] == ""
+
+
+ARTICLES = {
+    '<div class="layout has-sidebar"><article><p>Main</article></div>': "Main",
+    '<div id="social-page"><main><p>Main</main></div>': "Main",
+    '<article><p>Main</article><article class="comment"><p>reader says</article>': "Main",
+    '<article><p>Main<article><p>reader says</article></article>': "Main",
+    '<article><div class="post-header"><h1>Title</h1></div><p>Main</article>': "Title\nMain",
+    '<article id="related-work"><p>Main</article>': "Main",
+    '<article><section id="related-work"><p>Work</section><p class="search">Paragraph</article>': "Work\nParagraph",
+    '<article><header><h1>Title</h1></header><p>Main<footer>by</footer></article>': "Title\nMain",
+    '<div class="cookie-banner">Accept</div><div class="main-menu">Home</div><p>Main text of some length<p class="advert">Buy': "Main text of some length",
+    '<div class="widget"><p>All there is of the text</div><div class="share">Share</div>': "All there is of the text",
+    '<p>Main<div id="comments"><p>Far longer than the text itself is, as readers write a lot</div>': "Main",
+    '<div class="related"><article class="card">Teaser</article></div>': "Teaser",
+    '<aside><article>Other</article></aside><p>Main': "Main",
+}
+
+
+@pytest.mark.parametrize("source", ARTICLES)
+def test_names_do_not_hide_the_article(source):
+    assert html_extract.extract(f"<html><body>{source}</body></html>", set()) == ARTICLES[source]
+
+
+@pytest.mark.parametrize("frame", ["{}", "<article>{}</article>", "<main><div>{}</div></main>", "<div class=page><section>{}</section></div>"])
+def test_templates_equal_counting_blocks(spark, frame):
+    rng = random.Random(len(frame))
+    blocks = [f"<div><p>Shared words {k} of a block</p><b>more {k}</b></div>" for k in range(12)]
+    pages, chosen = [], {}
+    for host, n in (("a", 4), ("b", 9), ("c", 40)):
+        for i in range(n):
+            picked = [k for k in range(12) if rng.random() < (k + 1) / 13]
+            chosen[host, i] = picked
+            inside = "".join([*(blocks[k] for k in picked), f"<p>Own story {i} of {host}</p>"])
+            pages.append((len(pages), f"http://{host}/{i}", f"<body>{frame.format(inside)}</body>"))
+    counts = Counter((h, k) for (h, _), picked in chosen.items() for k in picked)
+    sizes = Counter(h for h, _ in chosen)
+    got = {r["url"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for (h, i), picked in chosen.items():
+        kept = [f"Shared words {k} of a block\nmore {k}" for k in picked if counts[h, k] < max(5, 0.3 * sizes[h])]
+        assert got[f"http://{h}/{i}"] == "\n".join([*kept, f"Own story {i} of {h}"])
+
+
+def test_probabilities_equal_the_formula():
+    texts = {"en": ["the cat sat on the mat", "a dog and the log", "that hat"], "xx": ["zig zag zog", "tic tac toe zig"]}
+    models = language_id.Models(texts)
+    for j, lang in enumerate(models.languages):
+        line = " " + " ".join(texts[lang]) + " "
+        full = Counter(line[i : i + 4] for i in range(len(line) - 3))
+
+        def counts(n):
+            return full if n == 4 else Counter(g[1:] for g in {line[i : i + n + 1] for i in range(len(line) - n)})
+
+        def chance(context, symbol):
+            if len(context) == 0:
+                own, below = counts(1), 1 / (len(models.points) + 1)
+            else:
+                own, below = counts(len(context) + 1), chance(context[1:], symbol)
+            after = {g: c for g, c in own.items() if g[:-1] == context}
+            total = sum(after.values())
+            if not total:
+                return below
+            return max(after.get(context + symbol, 0) - 0.75, 0) / total + 0.75 * len(after) / total * below
+
+        tried = [line[i : i + 4] for i in range(0, len(line) - 3, 2)] + ["qzzq", "the ", "thz ", " zxa", "abcd"]
+        for gram in tried:
+            codes = models.encode(np.array([ord(c) for c in gram], np.uint32))
+            assert np.exp(models._log_p(4, language_id.grams(codes, 4))[0, j]) == pytest.approx(chance(gram[:3], gram[3]), rel=1e-4)
+
+
+def test_rejected_texts_score_nothing():
+    models = language_id.Models({"en": ["the cat sat on the mat and the dog sat on the log " * 30], "rare": ["one two three four five"]})
+    models.calibrate({"en": ["the cat sat on the mat and the dog sat on the log " * 5], "rare": []})
+    assert np.isfinite(models.limits).all()
+    _, scores, _, rejected = models.predict(["the dog sat on the mat", "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440 " * 40])
+    assert list(rejected) == [False, True] and scores[0] > 0.5 and scores[1] == 0

@@ -95,3 +95,40 @@ def test_pipeline_stages_take_the_same_rows(spark, docs, benchmark, tmp_path):
             current = spark.read.parquet(path)
             if name != "mixing":
                 assert current.columns == rows.columns
+
+
+def test_other_column_names(docs, benchmark):
+    other = docs.withColumnRenamed("id", "x1").withColumnRenamed("text", "body").withColumnRenamed("doc_id", "key").withColumnRenamed("source", "origin").withColumnRenamed("lang", "tongue").withColumn("doc_id", F.lit("y")).withColumn("text", F.lit("z"))
+    for kept in (
+        near_dedup.keep_one(other, id_col="key", text_col="body"), line_dedup.dedup_lines(other, "key", "body"), language_id.keep_recognised(other, "key", "body", "tongue"),
+        decontaminate.decontaminate(other, benchmark, id_col="key", text_col="body"), mixing.take_mix(other.drop("times"), id_col="key", text_col="body", source_col="origin"),
+    ):
+        assert set(other.columns) - {"times"} <= set(kept.columns) and 0 < kept.count() <= len(ROWS)
+
+
+def test_very_long_urls(spark):
+    long = "http://a.example.com/de/" + "x/" * 20_000
+    pages = spark.createDataFrame([(1, long), (2, "http://" + "a." * 5_000 + "net/y")], "page_id long, url string")
+    rules = [*url_filter.RULES, ("a.example.com", "/de/" + "x/" * 10_000, "allow")]
+    for bound in (1 << 30, 0):
+        got = {r["page_id"]: (r["rule"] and len(r["rule"]), r["verdict"]) for r in url_filter.filter_urls(pages, rules, max_rule_bytes=bound).collect()}
+        assert got == {1: (len("a.example.com/de/") + 20_000, "allow"), 2: (4, "block")}
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    from tidemark.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(ValueError):
+        common.ensure_checkpoint_dir(Session())
