@@ -20,6 +20,7 @@ whatever name, are ignored (``find_items``) or returned (``decontaminate``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -125,15 +126,15 @@ class Matcher:
         return sorted({i for k in found for i in self.items[self.texts[k]]})
 
 
-_built: dict[int, Matcher] = {}
+_built: dict[str, Matcher] = {}
 
 
-def matcher_of(block) -> Matcher:
-    """The matcher of a broadcast block of items; a Python worker keeps that of its last block."""
-    if block.id not in _built:
+def matcher_of(name: str, block) -> Matcher:
+    """The matcher of a broadcast block of items, by the block's name; a Python worker keeps that of its last block."""
+    if name not in _built:
         _built.clear()
-        _built[block.id] = Matcher(block.value)
-    return _built[block.id]
+        _built[name] = Matcher(block.value)
+    return _built[name]
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
@@ -161,8 +162,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     first, second = next(blocks, []), next(blocks, None)
 
     def scan(block, hits_only: bool):
+        name = uuid.uuid4().hex
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = matcher_of(block)
+            matcher = matcher_of(name, block)
             for batch in batches:
                 found = [matcher.find(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
                 if hits_only:
