@@ -103,10 +103,11 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
     urls = pages.select(F.col(id_col), F.col(url_col).alias("url"))
     if sum(len(h) + len(p) + NODE_BYTES for h, p, _ in rules) > max_rule_bytes:
         return _by_join(urls, rules, default, id_col)
-    shared = pages.sparkSession.sparkContext.broadcast(build_trie(rules))
+    # The rules are sent flat; a worker builds their trie.
+    shared = pages.sparkSession.sparkContext.broadcast(rules)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = shared.value
+        trie = build_trie(shared.value)
         for batch in batches:
             rows = [split_url(u) for u in batch.column(1).to_pylist()]
             found = [match(trie, h, p) for h, p in rows]
