@@ -40,7 +40,7 @@ def corpus():
         text = item[:50] + "#" + item[51:]
         add("leak", " ".join(prose("aa", 50)) + " " + text + " " + " ".join(prose("aa", 50)), "aa", "s1")
     for _ in range(10):
-        add("noise", "".join(rng.choice("\u0430\u0431\u0432\u0433\u0434\u0435 ") for _ in range(600)), "aa", "s0")
+        add("noise", "".join(rng.choice("\u0430\u0431\u0432\u0433\u0434\u0435 ") for _ in range(600)), None, "s0")
     add("noise", None, None, None)
     add("noise", "12 34", None, "s0")
     shared = " ".join(prose("bb", 12))
