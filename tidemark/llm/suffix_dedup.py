@@ -281,48 +281,64 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
 
 
 def _passage_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text of PASSAGE words or more: of each of its segments of words, start and length packed, anchor."""
+    """A row for each text of PASSAGE words or more: of each of its segments of words, start and length packed, anchor,
+    hash."""
     for batch in common.slices(batches, 2, CHUNK):
         words, _, _, firsts = common.words_of(*common.utf8(batch.column(2)))
         found = segments(words, firsts, PASSAGE, PASSAGE_GRAM)
         rows, cuts = np.unique(found["owner"], return_index=True)
         bounds = pa.array(np.concatenate((cuts, [len(found["owner"])])).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in ((found["start"] << 10) | (found["length"] - PASSAGE), found["anchor"])]
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in ((found["start"] << 10) | (found["length"] - PASSAGE), found["anchor"], found["hash"])]
         n_words = pa.array(np.diff(firsts)[rows].astype(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), n_words, *lists], ["id", "tkey", "n_words", "at", "anchor"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), n_words, *lists], ["id", "tkey", "n_words", "at", "anchor", "hash"])
 
 
 def _passage_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the windows of PASSAGE words of the picked segments."""
-    for batch in common.slices(batches, 1, CHUNK):
-        words, _, _, firsts = common.words_of(*common.utf8(batch.column(1)))
-        picked = batch.column(2)
-        at = picked.flatten().to_numpy()
+    for batch in common.slices(batches, 0, CHUNK):
+        words, _, _, firsts = common.words_of(*common.utf8(batch.column(0)))
+        picked = batch.column(1)
+        inside = picked.flatten()
+        at = inside.field("at").to_numpy()
         owner = np.repeat(np.arange(batch.num_rows), picked.value_lengths().to_numpy())
         counts = (at & 1023) + 1
-        first = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(at >> 10, counts)
-        owner = np.repeat(owner, counts)
-        start = first + firsts[:-1][owner]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(first), pa.array(Hasher(words).of(start, start + PASSAGE).view(np.int64))], ["tkey", "first", "window"])
+        segment = np.repeat(np.arange(len(at)), counts)
+        first = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        start = first + (at >> 10)[segment] + firsts[:-1][owner[segment]]
+        own = [inside.field(c).take(pa.array(segment)) for c in ("anchor", "hash", "low", "high")]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(first), pa.array(Hasher(words).of(start, start + PASSAGE).view(np.int64))], ["anchor", "hash", "low", "high", "first", "window"])
 
 
 def passages(texts: DataFrame) -> DataFrame:
     """texts has id, tkey and text. Returns (p, n_passage_words): words of each text key in passages that others hold."""
     kind = texts.schema["id"].dataType.simpleString()
-    found = texts.select("id", "tkey", "text").mapInArrow(_passage_anchors, f"id {kind}, tkey bigint, n_words bigint, at array<bigint>, anchor array<bigint>")
-    found = cut_lineage(found.groupBy("tkey").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("id", "n_words", "at", "anchor")]))
-    each = found.select("id", "tkey", F.inline(F.arrays_zip("at", "anchor")))
-    twice = each.groupBy("anchor").agg(F.min("tkey").alias("low"), F.max("tkey").alias("high")).where(F.col("low") != F.col("high")).select("anchor")
+    lists = ", ".join(f"{c} array<bigint>" for c in ("at", "anchor", "hash"))
+    found = texts.select("id", "tkey", "text").mapInArrow(_passage_anchors, f"id {kind}, tkey bigint, n_words bigint, {lists}")
+    found = cut_lineage(found.groupBy("tkey").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("id", "n_words", "at", "anchor", "hash")]))
+    each = found.select("id", "tkey", F.inline(F.arrays_zip("at", "anchor", "hash")))
+    others = F.min("tkey") != F.max("tkey")
+    twice = each.groupBy("anchor").agg(others.alias("several"), (F.min("hash") != F.max("hash")).alias("mixed")).where("several")
     # Written first, so that the join can split an anchor that most texts have.
-    twice = cut_lineage(twice)
-    picked = cut_lineage(each.join(twice, "anchor", "left_semi").groupBy(F.col("id").alias("i"), F.col("tkey").alias("t")).agg(F.collect_list("at").alias("picked")))
-    windows = cut_lineage(_looked_up(texts, picked).select("tkey", "text", "picked").mapInArrow(_passage_windows, "tkey bigint, first bigint, window bigint"))
-    shared = windows.groupBy("window").agg(F.min("tkey").alias("low"), F.max("tkey").alias("high")).where(F.col("low") != F.col("high")).select("window")
-    starts = windows.join(cut_lineage(shared), "window", "left_semi").groupBy("tkey").agg(F.array_sort(F.collect_set("first")).alias("starts"))
-    # A word is covered by its own window or, after a gap, by the last one before it.
-    gaps = F.transform(F.sequence(F.lit(1), F.size("starts") - 1), lambda k: F.least(F.get("starts", k) - F.get("starts", k - 1), F.lit(PASSAGE)))
-    covered_words = F.when(F.size("starts") > 1, F.aggregate(gaps, F.lit(PASSAGE).cast("long"), lambda a, g: a + g)).otherwise(F.lit(PASSAGE).cast("long"))
-    shared_words = starts.select(F.col("tkey").alias("s"), covered_words.alias("covered"))
+    again = cut_lineage(each.join(cut_lineage(twice.select("anchor", "mixed")), "anchor"))
+    kinds = cut_lineage(again.groupBy("anchor", "hash", "mixed").agg(F.min("tkey").alias("low"), F.max("tkey").alias("high"), F.min(F.struct("tkey", "id", "at")).alias("one")))
+    # Segments that two texts share are shared whole; those that differ but have one anchor are compared by windows.
+    whole = kinds.where(F.col("low") != F.col("high")).select("anchor", "hash", F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("one.at").bitwiseAND(1023).alias("last"))).alias("runs"))
+    per_text = kinds.where("mixed").groupBy(F.col("one.id").alias("i"), F.col("one.tkey").alias("t")).agg(F.collect_list(F.struct(F.col("one.at").alias("at"), "anchor", "hash", "low", "high")).alias("picked"))
+    windows = cut_lineage(_looked_up(texts, cut_lineage(per_text)).select("text", "picked").mapInArrow(_passage_windows, "anchor bigint, hash bigint, low bigint, high bigint, first bigint, window bigint"))
+    shared = cut_lineage(windows.groupBy("window").agg((F.min("low") != F.max("high")).alias("several")).where("several").select("window"))
+    some = windows.join(shared, "window", "left_semi").groupBy("anchor", "hash").agg(F.collect_set(F.struct("first", F.col("first").alias("last"))).alias("runs"))
+    start = F.shiftright("at", 10)
+    placed = again.select("tkey", start.alias("start"), "anchor", "hash").join(whole.union(some), ["anchor", "hash"]).select(
+        "tkey", F.explode(F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["last"]).alias("last")))).alias("run")
+    )
+    runs_of = placed.groupBy("tkey").agg(F.array_sort(F.collect_set("run")).alias("runs"))
+    none = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def add(state, run):
+        end = run["last"] + PASSAGE
+        return F.struct(F.greatest(state["end"], end).alias("end"), (state["n"] + F.greatest(end - F.greatest(state["end"], run["first"]), F.lit(0).cast("long"))).alias("n"))
+
+    shared_words = runs_of.select(F.col("tkey").alias("s"), F.aggregate("runs", none, add, lambda state: state["n"]).alias("covered"))
     copies = found.select("tkey", "copies", "n_words").join(shared_words, F.col("tkey") == F.col("s"), "left")
     return copies.select(F.col("tkey").alias("p"), F.when(F.col("copies") > 1, F.col("n_words")).otherwise(F.coalesce("covered", F.lit(0))).alias("n_passage_words")).where(F.col("n_passage_words") > 0)
 
