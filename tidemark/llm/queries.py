@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, line_dedup, mixing, near_dedup, pii, quality_rules, suffix_dedup, url_filter
+from . import decontaminate, filter_audit, html_extract, language_id, line_dedup, mixing, near_dedup, pii, quality_rules, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_decontamination": decontaminate.query,
     "op10_html_extraction": html_extract.query,
+    "op13_filter_interactions": filter_audit.query,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op5_quality_rules": quality_rules.ORACLE,
     "op6_source_mixing": mixing.ORACLE,
     "op8_pii": pii.oracle(),
+    "op13_filter_interactions": filter_audit.ORACLE,
 }
