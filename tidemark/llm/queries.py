@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, filter_audit, html_extract, language_id, line_dedup, mixing, near_dedup, pii, quality_rules, suffix_dedup, url_filter
+from . import decontaminate, filter_audit, html_extract, language_id, line_dedup, merkle_manifest, mixing, near_dedup, pii, quality_rules, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_decontamination": decontaminate.query,
     "op10_html_extraction": html_extract.query,
+    "op11_merkle_manifest": merkle_manifest.query,
     "op13_filter_interactions": filter_audit.query,
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op5_quality_rules": quality_rules.ORACLE,
     "op6_source_mixing": mixing.ORACLE,
     "op8_pii": pii.oracle(),
+    "op11_merkle_manifest": merkle_manifest.ORACLE,
     "op13_filter_interactions": filter_audit.ORACLE,
 }
