@@ -44,3 +44,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if _settled(current):
             roots = current.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
             return current.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots)
+
+
+def between_labels(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs: (a, b). Those of different classes, with these as l_a and l_b; an unlinked node is a class of its own."""
+    for x in "ab":
+        pairs = pairs.join(classes.select(F.col("node").alias(f"n_{x}"), F.col("label").alias(f"l_{x}")), F.col(x) == F.col(f"n_{x}"), "left")
+        pairs = pairs.drop(f"n_{x}").withColumn(f"l_{x}", F.coalesce(f"l_{x}", x))
+    return pairs.where(F.col("l_a") != F.col("l_b"))
+
+
+def merge_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes joined by further links; only the graph of classes is walked."""
+    moved = cut_lineage(components(between_labels(links, classes), "l_a", "l_b"))
+    new = moved.select(F.col("node").alias("old"), F.col("label").alias("new"))
+    relabelled = classes.join(new, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+    return cut_lineage(relabelled.union(moved.join(classes.select("node"), "node", "left_anti").select("node", "label")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, filter_audit, html_extract, language_id, line_dedup, merkle_manifest, mixing, near_dedup, pii, quality_rules, suffix_dedup, url_filter
+from . import decontaminate, filter_audit, html_extract, language_id, line_dedup, merkle_manifest, mixing, near_dedup, ngram_join, pii, quality_rules, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontaminate.query,
     "op10_html_extraction": html_extract.query,
     "op11_merkle_manifest": merkle_manifest.query,
+    "op12_ngram_jaccard": ngram_join.query,
     "op13_filter_interactions": filter_audit.query,
 }
 
@@ -26,5 +27,6 @@ ORACLE_SQL = {
     "op6_source_mixing": mixing.ORACLE,
     "op8_pii": pii.oracle(),
     "op11_merkle_manifest": merkle_manifest.ORACLE,
+    "op12_ngram_jaccard": ngram_join.ORACLE,
     "op13_filter_interactions": filter_audit.ORACLE,
 }
