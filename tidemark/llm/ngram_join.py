@@ -49,8 +49,10 @@ CHUNK = 2 << 20
 LEAST_BITS, MOST_BITS = 64, 4096
 #: Windows (8 bytes each) of the members of a block; pairs looked at together; pairs a row that are verified one by one.
 BLOCK_WINDOWS, PAIRS, FEW = 1 << 20, 1 << 20, 4
-#: Nodes up to which they are broadcast to pick their sets; more of them are joined by a shuffle.
-MAX_BROADCAST_NODES = 1_000_000
+#: Partners that a copy of a set is compared with in one task.
+PIECE = 4096
+#: Rows of a key and up to four numbers up to which they are broadcast; more of them are joined by a shuffle.
+MAX_BROADCAST_KEYS = 1_000_000
 
 _U64 = np.uint64
 _FOLD = np.arange(256)
@@ -135,7 +137,7 @@ def window_levels(texts: DataFrame) -> np.ndarray:
 
 
 def _described(levels):
-    """(id, node, n, prefix, own, below): a text's set with its bitmaps as smaller and as larger partner."""
+    """(id, node, n, band, prefix, bitmap) of each text with a word."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 1, CHUNK):
@@ -143,14 +145,21 @@ def _described(levels):
             sizes = np.diff(starts)
             first, ends = prefixes(windows, starts, levels.value)
             band = band_of(sizes)
-            own, below = (pa.array(bitmaps(windows, starts, bits_of(b)), pa.binary()) for b in (band, band - 1))
-            node = pa.array(set_keys(windows, starts).view(np.int64), mask=sizes == 0)
+            bitmap = pa.array(bitmaps(windows, starts, bits_of(band)), pa.binary())
             prefix = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(first.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), node, pa.array(sizes), pa.array(band), prefix, own, below], ["id", "node", "n", "band", "prefix", "own", "below"])
+            columns = [batch.column(0), pa.array(set_keys(windows, starts).view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(band.astype(np.int32)), prefix, bitmap]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "n", "band", "prefix", "bitmap"]).filter(pa.array(sizes > 0))
 
     return describe
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in common.slices(batches, 1, CHUNK):
+        windows, starts = window_sets(*common.utf8(batch.column(1)))
+        node = pa.array(set_keys(windows, starts).view(np.int64), mask=np.diff(starts) == 0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), node, pa.array(np.diff(starts))], ["id", "node", "n"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.slices(batches, 0, CHUNK):
         windows, starts = window_sets(*common.utf8(batch.column(0)))
@@ -158,6 +167,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(set_keys(windows, starts).view(np.int64)), pa.array(rows, pa.binary())], ["node", "windows"])
 
 
+def folded(bitmap: bytes, size: int) -> bytes:
+    """A bitmap of as many bytes, from one of a multiple: windows of either half flip the bits of both."""
+    bits = np.frombuffer(bitmap, np.uint8)
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0).tobytes() if len(bits) > size else bitmap
+
+
 def intersection(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two ascending arrays without repeats."""
     if len(a) > len(b):
@@ -172,10 +187,21 @@ def linked(common_windows, n_a, n_b):
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of sorted stars: (a, piece, b, windows), the star's own set (b is null) before its partners."""
+    star, own, before = None, None, None
     for batch in batches:
-        sides = [[np.frombuffer(w, np.uint64) for w in batch.column(c).to_pylist()] for c in (2, 3)]
-        kept = [bool(linked(intersection(a, b), len(a), len(b))) for a, b in zip(*sides)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
+        a, piece, b, windows = (batch.column(c).to_pylist() for c in range(4))
+        found: tuple[list[int], list[int]] = [], []
+        for k in range(batch.num_rows):
+            here = np.frombuffer(windows[k], np.uint64)
+            if b[k] is None:
+                star, own, before = (a[k], piece[k]), here, None
+            elif b[k] != before and star == (a[k], piece[k]):
+                before = b[k]
+                if linked(intersection(own, here), len(own), len(here)):
+                    found[0].append(a[k])
+                    found[1].append(b[k])
+        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
 
 
 def screen(tile: np.ndarray, x: np.ndarray, y: np.ndarray, block: np.ndarray, label: np.ndarray, n: np.ndarray, pos: np.ndarray, upper: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,15 +209,14 @@ def screen(tile: np.ndarray, x: np.ndarray, y: np.ndarray, block: np.ndarray, la
 
     Only pairs of different labels count, of blocks x and y of the tile, and not two larger partners.
     """
-    ids, sizes = np.unique(tile, return_counts=True)
+    _, spot, sizes = np.unique(tile, return_inverse=True, return_counts=True)
     ends = np.cumsum(sizes)
     tile_end = np.repeat(ends, sizes)
-    few = np.zeros(len(ids), np.int64)
-    dense = np.zeros(len(ids), bool)
-    spot = np.repeat(np.arange(len(ids)), sizes)
+    few = np.zeros(len(sizes), np.int64)
+    dense = np.zeros(len(sizes), bool)
     # Rows of a tile come by block: those of x first, then those of y, which they meet (themselves, if the same).
     in_first = block == x
-    n_first = np.bincount(spot, in_first, len(ids)).astype(np.int64)
+    n_first = np.bincount(spot, in_first, len(sizes)).astype(np.int64)
     begin = np.where(x == y, np.arange(len(tile)) + 1, np.repeat(ends - sizes + n_first, sizes))
     count = np.where(in_first, np.maximum(tile_end - begin, 0), 0)
     total = np.cumsum(count)
@@ -233,13 +258,18 @@ def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, key, x, y): pairs to verify, and the tiles' blocks that have too many (a and b are null). Sorted by tile."""
 
     def judge(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        widths = pa.compute.binary_length(table["bitmap"]).to_numpy()
-        for width in np.unique(widths).tolist():
-            part = table.filter(pa.array(widths == width)).combine_chunks()
+        table = table.combine_chunks()
+        key, x, y = (table[c].to_numpy() for c in ("key", "x", "y"))
+        tile = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+        # All bitmaps of a tile are folded to the least.
+        least = np.full(tile[-1] + 1, MOST_BITS)
+        np.minimum.at(least, tile, pa.compute.binary_length(table["bitmap"]).to_numpy())
+        for width in np.unique(least).tolist():
+            chosen = least[tile] == width
+            part = table.filter(pa.array(chosen)).combine_chunks()
             key, x, y, block, node, label, n, pos, upper = (part[c].to_numpy() for c in _SCREENED[:-1])
-            bitmap = np.frombuffer(b"".join(part["bitmap"].to_pylist()), np.uint64).reshape(len(key), -1)
-            tile = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
-            i, j, dense = screen(tile, x, y, block, label, n, pos, upper.astype(bool), bitmap)
+            bitmap = np.frombuffer(b"".join(folded(m, width) for m in part["bitmap"].to_pylist()), np.uint64).reshape(len(key), -1)
+            i, j, dense = screen(tile[chosen], x, y, block, label, n.astype(np.int64), pos, upper.astype(bool), bitmap)
             nothing = lambda k, t=pa.int64(): pa.nulls(k, t)
             low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
             if len(i):
@@ -265,10 +295,11 @@ def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _crossed(table: pa.Table) -> pa.Table:
     """Links between components of two blocks of a tile (or within one). One link joins two components."""
-    node, label, block, n = (table.column(c).to_numpy() for c in ("node", "label", "block", "n"))
+    node, label, block, n = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "label", "block", "n"))
     x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
     sets = [np.frombuffer(w, np.uint64) for w in table.column("windows").to_pylist()]
-    bitmap = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(len(node), -1)
+    raw = table.column("bitmap").to_pylist()
+    bitmap = np.frombuffer(b"".join(folded(m, min(map(len, raw))) for m in raw), np.uint64).reshape(len(node), -1)
     upper = table.column("upper").to_numpy(zero_copy_only=False)
     first, second = np.flatnonzero(block == x), np.flatnonzero(block == y)
     _, root = np.unique(label, return_inverse=True)  # a joined component takes its partner's number, everywhere at once
@@ -288,56 +319,85 @@ def _crossed(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
 
-def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of ``sets`` whose node is in the only column of ``nodes``."""
-    need = common.cut_lineage(nodes.toDF("need").distinct())
-    return sets.join(F.broadcast(need) if need.count() <= MAX_BROADCAST_NODES else need, F.col("node") == F.col("need"), "left_semi")
+def _hinted(table: DataFrame) -> DataFrame:
+    """A written table of a key and few numbers, broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST_KEYS else table
+
+
+def _sets_of(need: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, windows) of the distinct nodes in the only column of ``need``; only texts of their least ids are read."""
+    need = common.cut_lineage(nodes.select("node", "rep").join(need.toDF("m").distinct(), F.col("node") == F.col("m"), "left_semi"))
+    need = _hinted(need)
+    asked = texts.join(need.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
+    return asked.select("text").mapInArrow(_sets, "node bigint, windows binary").join(need.select(F.col("node").alias("m")), F.col("node") == F.col("m"), "left_semi")
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    sides = [sets.select(F.col("node").alias(f"n_{s}"), F.col("windows").alias(f"w_{s}")) for s in "ab"]
-    both = pairs.join(sides[0], F.col("a") == F.col("n_a")).join(sides[1], F.col("b") == F.col("n_b"))
-    return both.select("a", "b", "w_a", "w_b").mapInArrow(_verified, "a bigint, b bigint")
+def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs: (a, b), written. Those whose sets are linked: b's set is sent to a's, which has a copy for each piece."""
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b"))), nodes, texts)
+    pieces = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+    dealt = pairs.join(pieces.withColumnRenamed("a", "s"), F.col("a") == F.col("s")).select("a", F.pmod(F.xxhash64("b"), "pieces").alias("piece"), "b", F.col("b").alias("m"))
+    stars = pieces.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(None).cast("long").alias("b"), F.col("a").alias("m"))
+    rows = sets.join(_hinted(common.cut_lineage(dealt.union(stars))), F.col("node") == F.col("m")).select("a", "piece", "b", "windows")
+    return rows.repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("b").asc_nulls_first()).mapInArrow(_verified, "a bigint, b bigint")
 
 
 def _tiles(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, pos, upper, bitmap, members, low): sets by window and band; low is the tile's least smaller partner."""
-    entries = nodes.select("node", F.posexplode("prefix").alias("pos", "window"))
+    """(key, node, n, pos, upper, leader): sets by window and band, where a tile has several and a smaller partner.
+
+    The leader is the tile's least smaller partner, if the places of the window allow a link with it.
+    """
+    entries = nodes.select("node", "n", "band", F.posexplode("prefix").alias("pos", "window"))
     met = common.cut_lineage(entries.groupBy("window").agg(F.count("*").alias("k")).where(F.col("k") > 1).select(F.col("window").alias("w")))
-    shared = common.cut_lineage(entries.join(met, F.col("window") == F.col("w")).select("window", "pos", "node"))
-    known = nodes.select(F.col("node").alias("m"), "n", "band", "own", "below")
-    sides = F.explode(F.array(F.struct("band", F.lit(False).alias("upper"), F.col("own").alias("bitmap")), F.struct((F.col("band") - 1).alias("band"), F.lit(True).alias("upper"), F.col("below").alias("bitmap"))))
-    dealt = shared.join(known, F.col("node") == F.col("m")).select("window", "pos", "node", "n", sides.alias("side"))
-    dealt = dealt.select(F.xxhash64("window", "side.band").alias("key"), "node", "n", F.col("pos").cast("long").alias("pos"), "side.upper", "side.bitmap")
-    lower = F.when(~F.col("upper"), F.struct("node", "n", "pos"))
+    shared = entries.join(_hinted(met), F.col("window") == F.col("w"))
+    sides = F.explode(F.array(F.struct("band", F.lit(False).alias("upper")), F.struct((F.col("band") - 1).alias("band"), F.lit(True).alias("upper"))))
+    dealt = shared.select("window", "pos", "node", "n", sides.alias("side")).select(F.xxhash64("window", "side.band").alias("key"), "node", "n", "pos", "side.upper")
+    # A smaller partner's shared window is among the first of what any link with a larger set leaves.
+    lower = F.when(~F.col("upper") & ((F.col("n") - F.col("pos")) * (100 + MATCH) >= 2 * MATCH * F.col("n")), F.struct("node", "n", "pos"))
     whole = dealt.groupBy("key").agg(F.count("*").alias("members"), F.min(lower).alias("low")).where((F.col("members") > 1) & F.col("low").isNotNull())
-    whole = common.cut_lineage(whole.withColumnRenamed("key", "k"))
-    return common.cut_lineage(dealt.join(whole, F.col("key") == F.col("k")).drop("k"))
+    whole = common.cut_lineage(whole.select(F.col("key").alias("k"), F.col("low.node").alias("l_node"), F.col("low.n").alias("l_n"), F.col("low.pos").alias("l_pos")))
+    may = (100 + MATCH) * F.least(F.col("n") - F.col("pos"), F.col("l_n") - F.col("l_pos")) >= MATCH * (F.col("n") + F.col("l_n"))
+    leader = F.when((F.col("node") != F.col("l_node")) & may, F.col("l_node")).alias("leader")
+    return common.cut_lineage(dealt.join(_hinted(whole), F.col("key") == F.col("k")).select("key", "node", "n", "pos", "upper", leader))
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose sizes and bitmaps allow a link."""
+    for batch in batches:
+        n_a, n_b = (batch.column(c).to_numpy().astype(np.int64) for c in (2, 3))
+        least = -(-MATCH * (n_a + n_b) // (100 + MATCH))
+        kept = []
+        for x, y, total, needed in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), (n_a + n_b).tolist(), least.tolist()):
+            size = min(len(x), len(y))
+            differ = (int.from_bytes(folded(x, size), "little") ^ int.from_bytes(folded(y, size), "little")).bit_count()
+            kept.append((total - differ) // 2 >= needed)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
-def _leaders(tiles: DataFrame) -> DataFrame:
-    """(a, b): each set with the leader that it shares most tiles with."""
-    both = F.col("n") + F.col("low.n")
-    may = (100 + MATCH) * F.least(F.col("n") - F.col("pos"), F.col("low.n") - F.col("low.pos")) >= MATCH * both
-    met = tiles.where((F.col("node") != F.col("low.node")) & may).groupBy("node", F.col("low.node").alias("leader")).agg(F.count("*").alias("times"))
-    best = met.groupBy("node").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
-    return best.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+def _leaders(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): each set b with the leader a that it shares most tiles with, if their bitmaps allow a link."""
+    met = tiles.where(F.col("leader").isNotNull()).groupBy("node", "leader").agg(F.count("*").alias("times"))
+    pairs = common.cut_lineage(met.groupBy(F.col("node").alias("b")).agg(F.max_by("leader", F.struct("times", "leader")).alias("a")))
+    for s in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(f"m_{s}"), F.col("n").alias(f"n_{s}"), F.col("bitmap").alias(f"bits_{s}")), F.col(s) == F.col(f"m_{s}"))
+    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, "a bigint, b bigint")
 
 
-def _open_blocks(tiles: DataFrame, classes: DataFrame) -> DataFrame:
+def _open_blocks(tiles: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows of tiles with several components, with the blocks x and y in which they meet others."""
     known = classes.select(F.col("node").alias("c"), "label")
-    members = tiles.join(known, F.col("node") == F.col("c"), "left").select("key", "node", F.coalesce("label", "node").alias("label"), "n", "pos", "upper", "bitmap")
-    members = common.cut_lineage(members)
+    members = common.cut_lineage(tiles.join(known, F.col("node") == F.col("c"), "left").select("key", "node", F.coalesce("label", "node").alias("label"), "n", "pos", "upper"))
     parts = members.groupBy("key", "label").agg(F.sum("n").alias("size"), F.count("*").alias("k"))
     whole = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max(F.struct("k", "size", "label")).alias("main")).where(F.col("parts") > 1)
     small = F.col("size") <= BLOCK_WINDOWS
-    whole = whole.select(
+    whole = common.cut_lineage(whole.select(
         F.col("key").alias("k"), (~small).alias("large"), F.col("main.label").alias("main"),
         F.when(small, 1).otherwise(F.ceil((F.col("size") - F.col("main.size") + 1) / BLOCK_WINDOWS)).alias("rest_blocks"),
         F.when(small, 0).otherwise(F.ceil(F.col("main.size") / BLOCK_WINDOWS)).alias("main_blocks"),
-    )
-    dealt = members.join(common.cut_lineage(whole), F.col("key") == F.col("k")).withColumn("apart", F.col("large") & (F.col("label") == F.col("main")))
+    ))
+    dealt = members.join(_hinted(whole), F.col("key") == F.col("k")).withColumn("apart", F.col("large") & (F.col("label") == F.col("main")))
+    bits = nodes.select(F.col("node").alias("m"), "bitmap")
+    dealt = dealt.join(bits, F.col("node") == F.col("m"))
     spot = F.xxhash64("node", "key")
     dealt = dealt.withColumn("block", F.when(F.col("apart"), F.col("rest_blocks") + F.pmod(spot, F.col("main_blocks"))).otherwise(F.pmod(spot, F.col("rest_blocks"))))
     others = F.sequence(F.lit(0).cast("long"), F.when(F.col("apart"), F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("main_blocks")) - 1)
@@ -348,19 +408,17 @@ def _open_blocks(tiles: DataFrame, classes: DataFrame) -> DataFrame:
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows has id, node, n of each document; classes has node, label of every linked node."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    id_type = texts.schema["id"].dataType.simpleString()
     levels = docs.sparkSession.sparkContext.broadcast(window_levels(texts))
-    schema = f"id {texts.schema['id'].dataType.simpleString()}, node bigint, n bigint, band bigint, prefix array<bigint>, own binary, below binary"
-    described = common.cut_lineage(texts.mapInArrow(_described(levels), schema))
-    nodes = common.cut_lineage(described.where(F.col("node").isNotNull()).drop("id").dropDuplicates(["node"]))
+    described = texts.mapInArrow(_described(levels), f"id {id_type}, node bigint, n int, band int, prefix array<bigint>, bitmap binary")
+    nodes = common.cut_lineage(described.groupBy("node").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "band", "prefix", "bitmap")]))
     tiles = _tiles(nodes)
-    sets = _only(texts.select("text").mapInArrow(_sets, "node bigint, windows binary"), tiles.select("node"))
-    sets = common.cut_lineage(sets.dropDuplicates(["node"]))
-    classes = common.cut_lineage(components(common.cut_lineage(_links(_leaders(tiles), sets))))
-    blocks = common.cut_lineage(_open_blocks(tiles, classes))
+    classes = common.cut_lineage(components(common.cut_lineage(_links(common.cut_lineage(_leaders(tiles, nodes)), nodes, texts))))
+    blocks = _open_blocks(tiles, classes, nodes)
     screened = blocks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "block").select(*_SCREENED)
     screened = common.cut_lineage(screened.mapInArrow(_screened, "a bigint, b bigint, key bigint, x bigint, y bigint"))
-    pairs = common.cut_lineage(between_labels(screened.where(F.col("a").isNotNull()).select("a", "b").distinct(), classes).select("a", "b"))
-    links = common.cut_lineage(_links(pairs, sets))
+    pairs = common.cut_lineage(screened.where(F.col("a").isNotNull()).select("a", "b").distinct())
+    links = common.cut_lineage(_links(pairs, nodes, texts))
     if not links.isEmpty():
         classes = merge_classes(classes, links)
     dense = common.cut_lineage(screened.where(F.col("a").isNull()).select(F.col("key").alias("k"), F.col("x").alias("dx"), F.col("y").alias("dy")).distinct())
@@ -368,11 +426,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         here = (F.col("key") == F.col("k")) & (F.col("x") == F.col("dx")) & (F.col("y") == F.col("dy"))
         known = classes.select(F.col("node").alias("c"), F.col("label").alias("now"))
         rows = blocks.join(dense, here, "left_semi").join(known, F.col("node") == F.col("c"), "left").withColumn("label", F.coalesce("now", "node")).drop("c", "now")
-        rows = rows.join(sets.withColumnRenamed("node", "s"), F.col("node") == F.col("s")).drop("s")
-        links = common.cut_lineage(rows.groupBy("key", "x", "y").applyInArrow(_crossed, "a bigint, b bigint"))
+        rows = common.cut_lineage(rows)
+        sets = common.cut_lineage(_sets_of(rows.select("node"), nodes, texts).dropDuplicates(["node"]).withColumnRenamed("node", "s"))
+        links = rows.join(sets, F.col("node") == F.col("s")).drop("s").groupBy("key", "x", "y").applyInArrow(_crossed, "a bigint, b bigint")
+        links = common.cut_lineage(links)
         if not links.isEmpty():
             classes = merge_classes(classes, links)
-    return described.select("id", "node", "n"), classes
+    return texts.mapInArrow(_named, f"id {id_type}, node bigint, n bigint"), classes
 
 
 def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
