@@ -3,17 +3,17 @@
 A text's set holds its distinct windows of ``WORDS`` words. Two sets are linked if the intersection is ``MATCH`` hundredths
 of the union at least; equal sets are one node from the start.
 
-1. Tiles. All sets order their windows alike, common ones last: by how many sets hold the window's bucket (one of
+1. Tiles. All sets order their windows alike, common ones last: by how many texts hold the window's bucket (one of
    ``BUCKETS``, counted over all texts), then by hash. Linked sets share a window among the first few of either, so each
-   set enters the tiles of these windows only. A tile holds the sets of one window and of one size band, as smaller
-   partners, with those of the same and the next band as larger ones; no other sizes can be linked.
-2. Leaders. Each set is compared with one partner at first: the least set of its tiles, that which it meets most often.
-   Components of these links spare most of the rest: a tile of one component is done, as are pairs within one.
-3. Bitmaps. In what is left, a pair is bounded from above: by the places of the shared window in either order, by size,
-   and by the bits in which their bitmaps (each window flips one bit) differ. Pairs that pass are verified by an exact
-   intersection of their sorted windows. A tile too large for one task is dealt into blocks; members of its largest
-   component only meet the others. A block where more than ``FEW`` pairs a row pass takes the sets themselves along and
-   stops at the first link that joins two components.
+   set enters the tiles of these windows only. A window's sets come in order of size, and each meets those of its size
+   band: no larger ones can be linked. The places of the window in either order bound what both can have in common.
+2. Bitmaps. Each window of a set flips one bit of its bitmap; the bits in which two bitmaps differ bound the intersection
+   of their sets from above. Pairs that pass are verified by an exact intersection of their sorted windows: first each set
+   with the partner that it meets most often, then what is left between different components.
+3. Crowds. A tile where more than ``FEW`` pairs a row pass, or of more than ``CROWD`` rows, only compares its sets with
+   their band's first one at once. Then it is cut into size bands, and these into blocks of ``BLOCK_WINDOWS`` windows, which
+   take the sets along; members of a band's largest component only meet the others, and a link joins two components for
+   good. A crowd of one component is done.
 
 Nothing is left to chance: the result equals that of comparing all pairs. Windows and sets are compared by hashes of 64
 bits.
@@ -31,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +46,10 @@ BUCKETS = 1 << 18
 CHUNK = 2 << 20
 #: Bits of a bitmap: a power of two above its band's sizes, within these bounds.
 LEAST_BITS, MOST_BITS = 64, 4096
-#: Windows (8 bytes each) of the members of a block; pairs looked at together; pairs a row that are verified one by one.
-BLOCK_WINDOWS, PAIRS, FEW = 1 << 20, 1 << 20, 4
+#: Windows (8 bytes each) of the members of a block; pairs looked at together.
+BLOCK_WINDOWS, PAIRS = 1 << 20, 1 << 20
+#: Pairs a row above which a tile is a crowd, and rows.
+FEW, CROWD = 4, 4096
 #: Partners that a copy of a set is compared with in one task.
 PIECE = 4096
 #: Rows of a key and up to four numbers up to which they are broadcast; more of them are joined by a shuffle.
@@ -137,7 +138,7 @@ def window_levels(texts: DataFrame) -> np.ndarray:
 
 
 def _described(levels):
-    """(id, node, n, band, prefix, bitmap) of each text with a word."""
+    """(id, node, n, band, prefix, bitmap) of each text; node is null if it has no word."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 1, CHUNK):
@@ -147,19 +148,13 @@ def _described(levels):
             band = band_of(sizes)
             bitmap = pa.array(bitmaps(windows, starts, bits_of(band)), pa.binary())
             prefix = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(first.view(np.int64)))
-            columns = [batch.column(0), pa.array(set_keys(windows, starts).view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(band.astype(np.int32)), prefix, bitmap]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "n", "band", "prefix", "bitmap"]).filter(pa.array(sizes > 0))
+            node = pa.array(set_keys(windows, starts).view(np.int64), mask=sizes == 0)
+            columns = [batch.column(0), node, pa.array(sizes.astype(np.int32)), pa.array(band.astype(np.int32)), prefix, bitmap]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "n", "band", "prefix", "bitmap"])
 
     return describe
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in common.slices(batches, 1, CHUNK):
-        windows, starts = window_sets(*common.utf8(batch.column(1)))
-        node = pa.array(set_keys(windows, starts).view(np.int64), mask=np.diff(starts) == 0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), node, pa.array(np.diff(starts))], ["id", "node", "n"])
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.slices(batches, 0, CHUNK):
         windows, starts = window_sets(*common.utf8(batch.column(0)))
@@ -204,98 +199,112 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
 
 
-def screen(tile: np.ndarray, x: np.ndarray, y: np.ndarray, block: np.ndarray, label: np.ndarray, n: np.ndarray, pos: np.ndarray, upper: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows that may be linked, and the tiles (of rows that follow each other) where too many of them are left.
+def joined_pairs(group: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i, j of one window that sizes and places allow to be linked, and the groups where too many of them are.
 
-    Only pairs of different labels count, of blocks x and y of the tile, and not two larger partners.
+    Rows are sorted by group, size and node; groups are numbered from 0.
     """
-    _, spot, sizes = np.unique(tile, return_inverse=True, return_counts=True)
-    ends = np.cumsum(sizes)
-    tile_end = np.repeat(ends, sizes)
-    few = np.zeros(len(sizes), np.int64)
-    dense = np.zeros(len(sizes), bool)
-    # Rows of a tile come by block: those of x first, then those of y, which they meet (themselves, if the same).
-    in_first = block == x
-    n_first = np.bincount(spot, in_first, len(sizes)).astype(np.int64)
-    begin = np.where(x == y, np.arange(len(tile)) + 1, np.repeat(ends - sizes + n_first, sizes))
-    count = np.where(in_first, np.maximum(tile_end - begin, 0), 0)
+    sizes = np.bincount(group)
+    line = group * (int(n.max()) * 2 + 2)
+    ends = np.searchsorted(line + n, line + 100 * n // MATCH, "right")
+    count = ends - np.arange(len(n)) - 1
     total = np.cumsum(count)
+    few, dense = np.zeros(len(sizes), np.int64), sizes > CROWD
     found: list[np.ndarray] = []
     at = 0
-    while at < len(tile):
+    while at < len(n):
         stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
         rows = np.arange(at, stop)
-        rows = rows[~dense[spot[rows]]]
+        rows = rows[~dense[group[rows]]]
         at = stop
         i = np.repeat(rows, count[rows])
-        if not len(i):
-            continue
-        shift = np.concatenate(([0], np.cumsum(count[rows])[:-1]))
-        j = np.arange(len(i)) - np.repeat(shift, count[rows]) + np.repeat(begin[rows], count[rows])
-        keep = (label[i] != label[j]) & ~(upper[i] & upper[j])
-        i, j = i[keep], j[keep]
-        both = n[i] + n[j]
-        least = -(-MATCH * both // (100 + MATCH))
-        keep = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least) & (100 * np.minimum(n[i], n[j]) >= MATCH * np.maximum(n[i], n[j]))
-        i, j, both, least = i[keep], j[keep], both[keep], least[keep]
-        if not len(i):
-            continue
-        differ = np.bitwise_count(bitmap[i] ^ bitmap[j]).sum(axis=1).astype(np.int64)
-        keep = (both - differ) // 2 >= least
-        pairs = np.stack([i[keep], j[keep]])
-        np.add.at(few, spot[pairs[0]], 1)
+        shift = np.cumsum(count[rows]) - count[rows]
+        j = np.arange(len(i)) - np.repeat(shift, count[rows]) + i + 1
+        keep = (100 + MATCH) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= MATCH * (n[i] + n[j])
+        found.append(np.stack([i[keep], j[keep]]))
+        few += np.bincount(group[i[keep]], minlength=len(sizes))
         dense |= few > FEW * sizes
-        found.append(pairs)
     pairs = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
-    pairs = pairs[:, ~dense[spot[pairs[0]]]] if pairs.shape[1] else pairs
-    return pairs[0], pairs[1], ends[dense] - 1
-
-
-_SCREENED = ["key", "x", "y", "block", "node", "label", "n", "pos", "upper", "bitmap"]
-
-
-def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, key, x, y): pairs to verify, and the tiles' blocks that have too many (a and b are null). Sorted by tile."""
-
-    def judge(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        table = table.combine_chunks()
-        key, x, y = (table[c].to_numpy() for c in ("key", "x", "y"))
-        tile = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
-        # All bitmaps of a tile are folded to the least.
-        least = np.full(tile[-1] + 1, MOST_BITS)
-        np.minimum.at(least, tile, pa.compute.binary_length(table["bitmap"]).to_numpy())
-        for width in np.unique(least).tolist():
-            chosen = least[tile] == width
-            part = table.filter(pa.array(chosen)).combine_chunks()
-            key, x, y, block, node, label, n, pos, upper = (part[c].to_numpy() for c in _SCREENED[:-1])
-            bitmap = np.frombuffer(b"".join(folded(m, width) for m in part["bitmap"].to_pylist()), np.uint64).reshape(len(key), -1)
-            i, j, dense = screen(tile[chosen], x, y, block, label, n.astype(np.int64), pos, upper.astype(bool), bitmap)
-            nothing = lambda k, t=pa.int64(): pa.nulls(k, t)
-            low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            if len(i):
-                once = np.unique(np.stack([low, high]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1]), *[nothing(once.shape[1])] * 3], ["a", "b", "key", "x", "y"])
-            if len(dense):
-                yield pa.RecordBatch.from_arrays([nothing(len(dense)), nothing(len(dense)), pa.array(key[dense]), pa.array(x[dense]), pa.array(y[dense])], ["a", "b", "key", "x", "y"])
-
-    held: list[pa.RecordBatch] = []
+    pairs = pairs[:, ~dense[group[pairs[0]]]]
+    return pairs[0], pairs[1], np.flatnonzero(dense)
+
+
+_FOUND = "a bigint, b bigint, times bigint, crowd bigint"
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries (window, n, node, pos), so sorted: pairs and how many windows they share here, or a crowd's window."""
+    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+    hot: tuple | None = None  # window, band and first node of the last row of a crowd
+    hot_open = False  # whether the last batch ended in it
+
+    def told(a: np.ndarray, b: np.ndarray, crowds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(a):
+            pairs, times = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(times), pa.nulls(len(times), pa.int64())], ["a", "b", "times", "crowd"])
+        if len(crowds):
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(crowds), pa.int64())] * 3, pa.array(crowds)], ["a", "b", "times", "crowd"])
+
+    def with_first(window: np.ndarray, n: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row of crowds with the first one of its band."""
+        nonlocal hot
+        band = band_of(n)
+        new = np.ones(len(n), bool)
+        new[1:] = (window[1:] != window[:-1]) | (band[1:] != band[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(n)), 0))
+        leader = node[first]
+        if hot and hot[:2] == (int(window[0]), int(band[0])):
+            leader = np.where(first == 0, hot[2], leader)
+        hot = int(window[-1]), int(band[-1]), int(leader[-1])
+        return node[node != leader], leader[node != leader]
+
+    def judge(window: np.ndarray, n: np.ndarray, node: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.ones(len(n), bool)
+        new[1:] = window[1:] != window[:-1]
+        group = np.cumsum(new) - 1
+        several = np.bincount(group)[group] > 1
+        if several.any():
+            window, n, node, pos = window[several], n[several], node[several], pos[several]
+            _, group = np.unique(group[several], return_inverse=True)
+            i, j, dense = joined_pairs(group, node, n, pos)
+            crowded = np.isin(group, dense)
+            a, b = with_first(window[crowded], n[crowded], node[crowded]) if len(dense) else (node[:0], node[:0])
+            yield from told(np.concatenate([node[i], a]), np.concatenate([node[j], b]), np.unique(window[crowded]))
+
     for batch in batches:
-        if not batch.num_rows:
+        rows = [np.concatenate([h, batch.column(c).to_numpy().astype(np.int64)]) for c, h in enumerate(held)]
+        if not len(rows[0]):
             continue
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        marks = [table[c].to_numpy() for c in ("key", "x", "y")]
-        last = np.flatnonzero(np.any([m != m[-1] for m in marks], axis=0))
-        if len(last) and table.num_rows > 20_000:  # all tiles but the last are whole
-            yield from judge(table.slice(0, int(last[-1]) + 1))
-            held = table.slice(int(last[-1]) + 1).combine_chunks().to_batches()
-    if held:
-        yield from judge(pa.Table.from_batches(held))
+        fresh = np.ones(len(rows[0]), bool)  # copies of a text enter a window once
+        fresh[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[2][1:] != rows[2][:-1])
+        rows = [r[fresh] for r in rows]
+        if hot and int(rows[0][0]) == hot[0] and hot_open:
+            more = rows[0] == rows[0][0]
+            yield from told(*with_first(rows[0][more], rows[1][more], rows[2][more]), rows[0][:0])
+            rows = [r[~more] for r in rows]
+            if not len(rows[0]):
+                held = [np.zeros(0, np.int64)] * 4
+                continue
+        hot_open = False
+        same = rows[0] == rows[0][-1]
+        last = 0 if same.all() else len(same) - int(same[::-1].argmin())
+        if last:
+            yield from judge(*[r[:last] for r in rows])
+        held = [r[last:] for r in rows]
+        if len(held[0]) > CROWD:
+            hot, hot_open = None, True
+            yield from told(*with_first(held[0], held[1], held[2]), held[0][:1])
+            held = [np.zeros(0, np.int64)] * 4
+    if len(held[0]):
+        yield from judge(*held)
+
+
+_MEMBER = ["key", "x", "y", "block", "node", "label", "n", "pos", "upper", "bitmap"]
 
 
 def _crossed(table: pa.Table) -> pa.Table:
     """Links between components of two blocks of a tile (or within one). One link joins two components."""
-    node, label, block, n = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "label", "block", "n"))
+    node, label, block, n, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "label", "block", "n", "pos"))
     x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
     sets = [np.frombuffer(w, np.uint64) for w in table.column("windows").to_pylist()]
     raw = table.column("bitmap").to_pylist()
@@ -308,7 +317,7 @@ def _crossed(table: pa.Table) -> pa.Table:
         others = second[k + 1 :] if x == y else second
         both = n[i] + n[others]
         least = -(-MATCH * both // (100 + MATCH))
-        may = (root[others] != root[i]) & ~(upper[i] & upper[others]) & (100 * np.minimum(n[i], n[others]) >= MATCH * np.maximum(n[i], n[others]))
+        may = (root[others] != root[i]) & ~(upper[i] & upper[others]) & (np.minimum(n[i] - pos[i], n[others] - pos[others]) >= least)
         others, both, least = others[may], both[may], least[may]
         others = others[(both - np.bitwise_count(bitmap[i] ^ bitmap[others]).sum(axis=1).astype(np.int64)) // 2 >= least]
         for j in others.tolist():
@@ -342,23 +351,8 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("b").asc_nulls_first()).mapInArrow(_verified, "a bigint, b bigint")
 
 
-def _tiles(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, pos, upper, leader): sets by window and band, where a tile has several and a smaller partner.
-
-    The leader is the tile's least smaller partner, if the places of the window allow a link with it.
-    """
-    entries = nodes.select("node", "n", "band", F.posexplode("prefix").alias("pos", "window"))
-    met = common.cut_lineage(entries.groupBy("window").agg(F.count("*").alias("k")).where(F.col("k") > 1).select(F.col("window").alias("w")))
-    shared = entries.join(_hinted(met), F.col("window") == F.col("w"))
-    sides = F.explode(F.array(F.struct("band", F.lit(False).alias("upper")), F.struct((F.col("band") - 1).alias("band"), F.lit(True).alias("upper"))))
-    dealt = shared.select("window", "pos", "node", "n", sides.alias("side")).select(F.xxhash64("window", "side.band").alias("key"), "node", "n", "pos", "side.upper")
-    # A smaller partner's shared window is among the first of what any link with a larger set leaves.
-    lower = F.when(~F.col("upper") & ((F.col("n") - F.col("pos")) * (100 + MATCH) >= 2 * MATCH * F.col("n")), F.struct("node", "n", "pos"))
-    whole = dealt.groupBy("key").agg(F.count("*").alias("members"), F.min(lower).alias("low")).where((F.col("members") > 1) & F.col("low").isNotNull())
-    whole = common.cut_lineage(whole.select(F.col("key").alias("k"), F.col("low.node").alias("l_node"), F.col("low.n").alias("l_n"), F.col("low.pos").alias("l_pos")))
-    may = (100 + MATCH) * F.least(F.col("n") - F.col("pos"), F.col("l_n") - F.col("l_pos")) >= MATCH * (F.col("n") + F.col("l_n"))
-    leader = F.when((F.col("node") != F.col("l_node")) & may, F.col("l_node")).alias("leader")
-    return common.cut_lineage(dealt.join(_hinted(whole), F.col("key") == F.col("k")).select("key", "node", "n", "pos", "upper", leader))
+def _entries(described: DataFrame) -> DataFrame:
+    return described.where(F.col("node").isNotNull()).select("node", "n", F.posexplode("prefix").alias("pos", "window")).select("window", "n", "node", "pos")
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,65 +368,65 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
-def _leaders(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): each set b with the leader a that it shares most tiles with, if their bitmaps allow a link."""
-    met = tiles.where(F.col("leader").isNotNull()).groupBy("node", "leader").agg(F.count("*").alias("times"))
-    pairs = common.cut_lineage(met.groupBy(F.col("node").alias("b")).agg(F.max_by("leader", F.struct("times", "leader")).alias("a")))
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that bitmaps allow to be linked, written."""
     for s in "ab":
         pairs = pairs.join(nodes.select(F.col("node").alias(f"m_{s}"), F.col("n").alias(f"n_{s}"), F.col("bitmap").alias(f"bits_{s}")), F.col(s) == F.col(f"m_{s}"))
-    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, "a bigint, b bigint")
+    return common.cut_lineage(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded, "a bigint, b bigint"))
 
 
-def _open_blocks(tiles: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of tiles with several components, with the blocks x and y in which they meet others."""
-    known = classes.select(F.col("node").alias("c"), "label")
-    members = common.cut_lineage(tiles.join(known, F.col("node") == F.col("c"), "left").select("key", "node", F.coalesce("label", "node").alias("label"), "n", "pos", "upper"))
-    parts = members.groupBy("key", "label").agg(F.sum("n").alias("size"), F.count("*").alias("k"))
-    whole = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max(F.struct("k", "size", "label")).alias("main")).where(F.col("parts") > 1)
+def _open_blocks(members: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """members: (window, n, node, pos) of crowds. Rows of their size bands with several components, with the blocks x and y
+    in which they meet others."""
+    sides = F.explode(F.array(F.struct("band", F.lit(False).alias("upper")), F.struct((F.col("band") - 1).alias("band"), F.lit(True).alias("upper"))))
+    known = nodes.select(F.col("node").alias("m"), "band").join(classes.select(F.col("node").alias("c"), "label"), F.col("m") == F.col("c"), "left").select("m", "band", F.coalesce("label", "m").alias("label"))
+    tiles = members.join(known, F.col("node") == F.col("m")).select("window", "node", "label", "n", "pos", sides.alias("side"))
+    tiles = common.cut_lineage(tiles.select(F.xxhash64("window", "side.band").alias("key"), "node", "label", "n", "pos", "side.upper"))
+    parts = tiles.groupBy("key", "label").agg(F.sum("n").alias("size"), F.count("*").alias("k"), F.min("upper").alias("upper"))
+    whole = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max(F.struct("k", "size", "label")).alias("main"), F.min("upper").alias("upper"))
+    whole = whole.where((F.col("parts") > 1) & ~F.col("upper"))
     small = F.col("size") <= BLOCK_WINDOWS
     whole = common.cut_lineage(whole.select(
         F.col("key").alias("k"), (~small).alias("large"), F.col("main.label").alias("main"),
         F.when(small, 1).otherwise(F.ceil((F.col("size") - F.col("main.size") + 1) / BLOCK_WINDOWS)).alias("rest_blocks"),
         F.when(small, 0).otherwise(F.ceil(F.col("main.size") / BLOCK_WINDOWS)).alias("main_blocks"),
     ))
-    dealt = members.join(_hinted(whole), F.col("key") == F.col("k")).withColumn("apart", F.col("large") & (F.col("label") == F.col("main")))
-    bits = nodes.select(F.col("node").alias("m"), "bitmap")
-    dealt = dealt.join(bits, F.col("node") == F.col("m"))
+    dealt = tiles.join(_hinted(whole), F.col("key") == F.col("k")).withColumn("apart", F.col("large") & (F.col("label") == F.col("main")))
     spot = F.xxhash64("node", "key")
     dealt = dealt.withColumn("block", F.when(F.col("apart"), F.col("rest_blocks") + F.pmod(spot, F.col("main_blocks"))).otherwise(F.pmod(spot, F.col("rest_blocks"))))
     others = F.sequence(F.lit(0).cast("long"), F.when(F.col("apart"), F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("main_blocks")) - 1)
-    rows = dealt.withColumn("other", F.explode(others)).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    return rows.select(*_SCREENED)
+    dealt = dealt.join(nodes.select(F.col("node").alias("m"), "bitmap"), F.col("node") == F.col("m"))
+    return dealt.withColumn("other", F.explode(others)).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).select(*_MEMBER)
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows has id, node, n of each document; classes has node, label of every linked node."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    id_type = texts.schema["id"].dataType.simpleString()
     levels = docs.sparkSession.sparkContext.broadcast(window_levels(texts))
-    described = texts.mapInArrow(_described(levels), f"id {id_type}, node bigint, n int, band int, prefix array<bigint>, bitmap binary")
-    nodes = common.cut_lineage(described.groupBy("node").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "band", "prefix", "bitmap")]))
-    tiles = _tiles(nodes)
-    classes = common.cut_lineage(components(common.cut_lineage(_links(common.cut_lineage(_leaders(tiles, nodes)), nodes, texts))))
-    blocks = _open_blocks(tiles, classes, nodes)
-    screened = blocks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "block").select(*_SCREENED)
-    screened = common.cut_lineage(screened.mapInArrow(_screened, "a bigint, b bigint, key bigint, x bigint, y bigint"))
-    pairs = common.cut_lineage(screened.where(F.col("a").isNotNull()).select("a", "b").distinct())
-    links = common.cut_lineage(_links(pairs, nodes, texts))
+    schema = f"id {texts.schema['id'].dataType.simpleString()}, node bigint, n int, band int, prefix array<bigint>, bitmap binary"
+    described = common.cut_lineage(texts.mapInArrow(_described(levels), schema))
+    nodes = common.cut_lineage(described.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "band", "bitmap")]))
+    met = _entries(described).repartition("window").sortWithinPartitions("window", "n", "node").mapInArrow(_paired, _FOUND)
+    met = common.cut_lineage(met.groupBy("a", "b", "crowd").agg(F.sum("times").alias("times")))
+    pairs = met.where(F.col("crowd").isNull()).select("a", "b", "times")
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("one"), F.col("b").alias("other")), F.struct(F.col("b").alias("one"), F.col("a").alias("other")))).alias("p"), "times")
+    best = both.groupBy("p.one").agg(F.max_by("p.other", F.struct("times", "p.other")).alias("other"))
+    first = _possible(best.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct(), nodes)
+    classes = common.cut_lineage(components(common.cut_lineage(_links(first, nodes, texts))))
+    rest = between_labels(pairs.select("a", "b").join(first.select(F.col("a").alias("fa"), F.col("b").alias("fb")), (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left_anti"), classes)
+    links = common.cut_lineage(_links(_possible(rest.select("a", "b"), nodes), nodes, texts))
     if not links.isEmpty():
         classes = merge_classes(classes, links)
-    dense = common.cut_lineage(screened.where(F.col("a").isNull()).select(F.col("key").alias("k"), F.col("x").alias("dx"), F.col("y").alias("dy")).distinct())
-    if not dense.isEmpty():
-        here = (F.col("key") == F.col("k")) & (F.col("x") == F.col("dx")) & (F.col("y") == F.col("dy"))
-        known = classes.select(F.col("node").alias("c"), F.col("label").alias("now"))
-        rows = blocks.join(dense, here, "left_semi").join(known, F.col("node") == F.col("c"), "left").withColumn("label", F.coalesce("now", "node")).drop("c", "now")
-        rows = common.cut_lineage(rows)
+    crowds = common.cut_lineage(met.where(F.col("crowd").isNotNull()).select(F.col("crowd").alias("w")).distinct())
+    if not crowds.isEmpty():
+        members = _entries(described).join(_hinted(crowds), F.col("window") == F.col("w")).drop("w").dropDuplicates(["window", "node"])
+        rows = common.cut_lineage(_open_blocks(members, classes, nodes))
         sets = common.cut_lineage(_sets_of(rows.select("node"), nodes, texts).dropDuplicates(["node"]).withColumnRenamed("node", "s"))
         links = rows.join(sets, F.col("node") == F.col("s")).drop("s").groupBy("key", "x", "y").applyInArrow(_crossed, "a bigint, b bigint")
         links = common.cut_lineage(links)
         if not links.isEmpty():
             classes = merge_classes(classes, links)
-    return texts.mapInArrow(_named, f"id {id_type}, node bigint, n bigint"), classes
+    return described.select("id", "node", F.col("n").cast("long").alias("n")), classes
 
 
 def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
