@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import normal
-from tidemark.operators import graph, outcome, policy, replay, stats
+from tidemark.operators import bursts, graph, outcome, policy, replay, stats
 from tidemark.plans.joins import anchored_groups, band_join
 from tidemark.sources import candles as candle_source
 from tidemark.sources.signals import normalize
@@ -98,6 +99,46 @@ def test_anchored_groups_compare_with_the_first_row(spark):
             assert got[key, seq] == anchor
 
 
+@pytest.mark.parametrize("width", [0, 1, 50, 900])
+def test_a_key_without_gaps_is_collapsed_in_spans(spark, width):
+    rng, rows = random.Random(1), []
+    for key, gap in (("a", 3), ("b", 40), ("c", 400), ("d", 0)):
+        ts = rng.randint(0, 5000)
+        for _ in range(600):
+            ts += int(rng.expovariate(1 / gap)) if gap else rng.choice([0, 0, 1])
+            rows.append((key, ts, len(rows), rng.randint(0, width)))
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "k string, ts_ms long, seq long, own long")
+    for column in (False, True):
+        found = anchored_groups(frame, ["k"], "own", most=width) if column else anchored_groups(frame, ["k"], width)
+        got, want = {(r["k"], r["seq"]): (r["anchor_ts"], r["anchor_seq"]) for r in found.collect()}, {}
+        for key in "abcd":
+            anchor = None
+            for _, ts, seq, own in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:3]):
+                if anchor is None or ts > anchor[0] + (anchor[2] if column else width):
+                    anchor = (ts, seq, own)
+                want[key, seq] = anchor[:2]
+        assert got == want
+
+
+def test_sweeps_equal_each_row_with_its_window(spark):
+    rng = random.Random(6)
+    rows = sorted([(rng.choice("AB"), "long", rng.choice("pqrst"), rng.randint(0, 4000) // 7 * 7) for _ in range(500)], key=lambda r: r[3])
+    events = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq long, symbol string, direction string, channel string, ts_ms long")
+    author, weight = dict(zip("pqrst", (0, 0, 1, 2, 2))), dict(zip("pqrs", (0.5, 0.25, 1.0, 0.125)))
+    authors = spark.createDataFrame(list(author.items()), "channel string, author_id long")
+    influence = spark.createDataFrame(list(weight.items()), "channel string, influence double")
+    got = {r["seq"]: r for r in bursts.trailing_slices(events, authors, 70, influence).collect()}
+    excited = {r["seq"]: r["excitation"] for r in bursts.hawkes_burst(events, 21.0).collect()}
+    assert len(got) == len(excited) == len(rows)
+    for i, (symbol, _, _, ts) in enumerate(rows):
+        inside = [r[2] for r in rows[: i + 1] if r[0] == symbol and ts - r[3] <= 70]
+        per_author = Counter(author[c] for c in inside)
+        want = (len(inside), len(per_author), len(set(inside)), len(inside) ** 2 / sum(n * n for n in per_author.values()), sum(weight.get(c, 0.5) for c in set(inside)) / len(set(inside)))
+        assert (got[i]["posts"], got[i]["independent_clusters"], got[i]["total_channels"], got[i]["n_eff"], got[i]["leader_share"]) == pytest.approx(want)
+        assert excited[i] == pytest.approx(sum(math.exp(-(ts - r[3]) / 21.0) for r in rows[:i] if r[0] == symbol and ts - r[3] <= 420))
+
+
 def test_band_join_finds_every_pair_once(spark):
     rng = random.Random(2)
     left, right = [[(rng.choice("xy"), rng.randint(-500, 500), i) for i in range(80)] for _ in range(2)]

@@ -6,12 +6,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bursts, graph, local_graph, outcome, policy, refinement, replay, stats
+from tidemark.operators import bursts, graph, outcome, policy, refinement, replay, stats, windowed_graph
 from tidemark.operators.events import channels_in_order
 from tidemark.plans import joins
 from tidemark.sources import candles as candle_source, storage
 from tidemark.streaming.harvest import harvest
 
+import plain_graph
 from test_kernels import random_market
 
 EVENTS = "seq long, id string, channel string, symbol string, direction string, ts_ms long"
@@ -31,15 +32,15 @@ def test_graph_on_the_cluster_equals_the_local_one(spark):
     rows = echo_feed()
     events = spark.createDataFrame(rows, EVENTS).persist()
     local = [(f"{s}|{d}", t, c) for _, _, c, s, d, t in rows]
-    tau = local_graph.tune_lag(local)
+    tau = plain_graph.tune_lag(local)
     assert graph.self_tune_lag(events)["tau_ms"] == pytest.approx(tau, rel=1e-6)
     window = 600_000
-    want = {(a, b): (round(j, 9), abs(lag), round(p, 9)) for a, b, j, lag, p in local_graph.edges_of(local, window, 0.3, 0.5)}
+    want = {(a, b): (round(j, 9), abs(lag), round(p, 9)) for a, b, j, lag, p in plain_graph.edges_of(local, window, 0.3, 0.5)}
     edges = graph.lag_edges(events, graph.jaccard_screen(events, window, 0.3), 0.5, window)
     got = {(r["a"], r["b"]): (round(r["jaccard"], 9), r["lag_ms"], round(r["peak_share"], 9)) for r in edges.collect()}
     assert got == want and {frozenset(p) for p in want} >= {frozenset(("lead", "echo1")), frozenset(("lead", "echo2"))}
     authors = {r["channel"]: r["author_id"] for r in graph.cluster_authors(channels_in_order(events), edges).collect()}
-    assert authors == local_graph.clusters_of(local, local_graph.edges_of(local, window, 0.3, 0.5)) and authors["lead"] == authors["echo1"] == authors["echo2"] != authors["x"]
+    assert authors == plain_graph.clusters_of(local, plain_graph.edges_of(local, window, 0.3, 0.5)) and authors["lead"] == authors["echo1"] == authors["echo2"] != authors["x"]
 
 
 def test_echoes_are_found_by_the_excitation_graph(spark):
@@ -48,25 +49,64 @@ def test_echoes_are_found_by_the_excitation_graph(spark):
     assert ("lead", "echo1") in edges and not edges & {("x", "y"), ("y", "x")}
 
 
-def test_windowed_bursts_with_all_of_the_past_equal_the_plain_ones(spark):
-    rows = echo_feed(12)
-    events = spark.createDataFrame(rows, EVENTS).persist()
-    found = bursts.enumerate_bursts_windowed(events, 10**12).collect()
-    assert sum(len(r["ids"]) for r in found) == len(rows) and all(1 <= r["independent_clusters"] <= r["total_channels"] for r in found)
-    # Each moment against the graph of its own past, by the plain list of events.
+def plain_windowed(rows, span, setting, author_graph):
+    """Bursts by the definition: a graph from nothing for each time that the walk asks for."""
     local = [(f"{s}|{d}", t, c) for _, _, c, s, d, t in rows]
-    for span in (3_600_000, 20_000_000, 10**12):
-        contexts = {}
-        for r in bursts.windowed_authors(events, span).collect():
-            contexts.setdefault((r["at"], r["window"]), {})[r["channel"]] = r["author_id"]
-        want = {}
-        for at in sorted({t for _, t, _ in local}):
-            seen = [e for e in local if at - span < e[1] <= at]
-            window = int(min(3 * local_graph.tune_lag(seen), 3_600_000))
-            want[at, window] = local_graph.clusters_of(seen, local_graph.edges_of(seen, window, 0.3, 0.5))
-        assert contexts == want
-        whole = bursts.enumerate_bursts_windowed(events, span).collect()
-        assert sorted(i for r in whole for i in r["ids"]) == sorted(r[1] for r in rows)
+
+    def context(at):
+        seen = [e for e in local if at - span < e[1] <= at]
+        tau = plain_graph.tune_lag(seen)
+        window = int(min(setting["window_k"] * tau, 3_600_000))
+        edges = plain_graph.excited_edges(seen, tau) if author_graph == "hawkes" else plain_graph.edges_of(seen, window, setting["jaccard"], setting["lag_peak"])
+        return window, plain_graph.clusters_of(seen, edges)
+
+    contexts = {at: context(at) for at in sorted({t for _, t, _ in local})}
+    out = []
+    for key in {k for k, _, _ in local}:
+        own = [(t, q, i, c) for q, i, c, s, d, t in rows if f"{s}|{d}" == key]
+        first = 0
+        while first < len(own):
+            group = [r for r in own[first:] if r[0] - own[first][0] <= contexts[own[first][0]][0]]
+            best = None
+            for k, (t, q, _, _) in enumerate(group):
+                window, authors = contexts[t]
+                inside = [r for r in group[: k + 1] if t - r[0] <= window]
+                channels, n = {r[3] for r in inside}, len({authors[r[3]] for r in inside})
+                confidence = round(n / len(channels) * min(len(inside) / 4, 1), 6)
+                if best is None or (n, confidence) > best[:2]:
+                    best = (n, confidence, t, q, len(channels), t - inside[0][0])
+            out.append((best[2], best[3], best[0], best[4], best[1], best[5], [r[2] for r in group]))
+            first += len(group)
+    return sorted(out)
+
+
+def test_excitation_in_arrays_equals_the_loops():
+    rows = [(f"{s}|{d}", t, c) for _, _, c, s, d, t in echo_feed(30)]
+    key, channel = pd.factorize(pd.Series([r[0] for r in rows]))[0], pd.factorize(pd.Series([r[2] for r in rows]))
+    ts = np.array([r[1] for r in rows])
+    pairs = windowed_graph.pairs_within(key, ts, windowed_graph.REACH_MS)
+    process = windowed_graph.Excitation(pairs, ts, channel[0], key, len(channel[1]), 2)
+    for low, high in ((0, len(rows)), (20, 140), (37, len(rows))):
+        got = {(channel[1][i], channel[1][j]) for i, j in process.edges(low, high, 180_000.0)}
+        assert got == set(plain_graph.excited_edges(rows[low:high], 180_000.0))
+    assert ("lead", "echo1") in got
+
+
+@pytest.mark.parametrize("author_graph", ["xcorr", "hawkes"])
+def test_windowed_bursts_equal_graphs_from_nothing(spark, author_graph):
+    rng = random.Random(8)
+    rows = echo_feed(22)
+    rows += [(len(rows) + k, None if k % 3 == 0 else f"t{k}", rng.choice(["x", "lead", "z"]), "A", "long", rng.choice(rows)[5]) for k in range(12)]  # equal times
+    rows.sort(key=lambda r: (r[5], r[0]))
+    events = spark.createDataFrame(rows, EVENTS).persist()
+    settings = [{"window_k": k, "jaccard": j, "lag_peak": p, "stationarity_ms": span} for span in (3_600_000, 20_000_000, 10**12) for k, j, p in ((3, 0.3, 0.5), (2, 0.1, 0.3))]
+    got = {}
+    for r in bursts.enumerate_windowed(events, settings, author_graph=author_graph).collect():
+        got.setdefault(r["setting"], []).append((r["ts_ms"], r["seq"], r["independent_clusters"], r["total_channels"], r["confidence"], r["confirm_span_ms"], r["ids"]))
+    for number, setting in enumerate(settings):
+        want = plain_windowed(rows, setting["stationarity_ms"], setting, author_graph)
+        assert sorted(got[number]) == [(*w[:6], [i for i in w[6] if i is not None]) for w in want], setting
+    assert author_graph == "hawkes" or any(r[2] < r[3] for rs in got.values() for r in rs)  # authors of several channels are found
 
 
 def test_refinement_only_accepts_what_is_better(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame
@@ -44,26 +45,35 @@ def collapsed(events: DataFrame, windows: list[int]) -> DataFrame:
 
 
 def correlated(events: DataFrame, chosen: list[dict], tau_ms: float, config: dict) -> DataFrame:
-    """Members of settings that correlate channels. Settings share the screen of a window and threshold."""
+    """Members of settings that correlate channels.
+
+    Settings of moving windows share one pass over the times; the others share the screen of a window and threshold, or
+    the graph of the self-exciting process, which has neither.
+    """
     channels = channels_in_order(events).persist()
     zones = events.select("seq", "entry_from", "entry_to")
     screens: dict[tuple, DataFrame] = {}
-    found = None
+    member = lambda bursts, number: bursts.join(zones, "seq").select(number.cast("int").alias("setting"), F.col("seq").alias("burst_id"), *KEY, "ts_ms", F.lit("_matrix").alias("channel"), "entry_from", "entry_to", "independent_clusters", "confirm_span_ms")
+    found = []
+    moving = [k for k, s in enumerate(chosen) if s["stationarity_ms"] != float("inf")]
+    if moving:
+        bursts = burst_ops.enumerate_windowed(events, [chosen[k] for k in moving], config["max_burst_ms"], config["author_graph"])
+        numbers = F.array(*[F.lit(k) for k in moving])
+        found.append(member(bursts, F.get(numbers, F.col("setting"))))
     for number, s in enumerate(chosen):
+        if number in moving:
+            continue
         window = int(min(s["window_k"] * tau_ms, config["max_burst_ms"]))
-        if s["stationarity_ms"] != float("inf"):
-            bursts = burst_ops.enumerate_bursts_windowed(events, int(s["stationarity_ms"]), s["window_k"], s["jaccard"], s["lag_peak"], config["max_burst_ms"])
+        if config["author_graph"] == "hawkes":
+            if ("hawkes",) not in screens:
+                screens["hawkes",] = graph.hawkes_graph(events, tau_ms)
+            edges = screens["hawkes",]
         else:
-            if config["author_graph"] == "hawkes":
-                edges = screens.setdefault(("hawkes",), graph.hawkes_graph(events, tau_ms))
-            else:
-                if (window, s["jaccard"]) not in screens:
-                    screens[window, s["jaccard"]] = graph.jaccard_screen(events, window, s["jaccard"]).persist()
-                edges = graph.lag_edges(events, screens[window, s["jaccard"]], s["lag_peak"], window)
-            bursts = burst_ops.enumerate_bursts(events, graph.cluster_authors(channels, edges), window)
-        one = bursts.join(zones, "seq").select(F.lit(number).alias("setting"), F.col("seq").alias("burst_id"), *KEY, "ts_ms", F.lit("_matrix").alias("channel"), "entry_from", "entry_to", "independent_clusters", "confirm_span_ms")
-        found = one if found is None else found.union(one)
-    return found
+            if (window, s["jaccard"]) not in screens:
+                screens[window, s["jaccard"]] = graph.jaccard_screen(events, window, s["jaccard"]).persist()
+            edges = graph.lag_edges(events, screens[window, s["jaccard"]], s["lag_peak"], window)
+        found.append(member(burst_ops.enumerate_bursts(events, graph.cluster_authors(channels, edges), window), F.lit(number)))
+    return reduce(DataFrame.union, found)
 
 
 def distinct_bursts(members: DataFrame) -> DataFrame:

@@ -130,6 +130,7 @@ class SignalModel:
     history_size: int = 0
     labeling: dict = field(default_factory=dict)
     calibration: dict | None = None
+    fit_attempts: int = 1
     version: int = VERSION
 
     def save(self) -> str:
@@ -192,6 +193,14 @@ class SignalModel:
         return "\n".join(lines)
 
 
+def gated(policy: dict, gate: float | None, momentum_window: int) -> dict:
+    """A policy that also refuses what the learned gate refused in training; the stricter gate holds."""
+    if gate is None:
+        return dict(policy)
+    asked = policy.get("min_momentum_pct")
+    return {**policy, "min_momentum_pct": gate if asked is None else max(asked, gate), "momentum_window": policy.get("momentum_window") or momentum_window}
+
+
 def can_refit(ledger: list[dict], now_ms: int, least_ms: int = WEEK_MS) -> bool:
     """Whether enough time has passed since the last attempt; repeated fits on one history inflate its best score."""
     return not ledger or now_ms - max(a["ts"] for a in ledger) >= least_ms
@@ -205,16 +214,34 @@ def silent(phase: str, done: int, total: int) -> None:
     """Progress callback that says nothing."""
 
 
-def stdout_progress(phase: str, done: int, total: int) -> None:
-    print(f"{phase}: {done} of {total}", flush=True)
+class Progress:
+    """Progress callback that tells the share done, the pace, and from it the time left."""
+
+    def __init__(self, write: Callable[[str], object] = print, clock: Callable[[], float] = time.monotonic):
+        self.write, self.clock, self.began = write, clock, clock()
+
+    def __call__(self, phase: str, done: int, total: int) -> None:
+        if total <= 0:
+            return
+        if done <= 1:  # a new run; the first step's own time is known by the second
+            self.began = self.began if done == 1 else self.clock()
+        passed = max(self.clock() - self.began, 1e-9)
+        left = passed / done * (total - done) if done else None
+        tail = f", {done / passed * 60:.1f} a minute" + (f", {left // 60:.0f} min {left % 60:.0f} s left" if left else "") if done else ""
+        self.write(f"{phase}: {done} of {total} ({100 * min(done / total, 1):.0f} %){tail}")
+
+
+def stdout_progress() -> Progress:
+    return Progress(lambda line: print(line, flush=True))
 
 
-def fit(events: DataFrame, candles: DataFrame, axes: dict | None = None, config: dict | None = None, interval_ms: int = 60_000, ledger: list[dict] | None = None, policy: dict | None = None, min_clusters: tuple[int, ...] = (2, 3), gates: tuple[float | None, ...] = (None,), outer_folds: int = 4, momentum_window: int = 1440, refine_rounds: int | None = None, bootstraps: int = stats.BOOTSTRAPS, progress: Callable[[str, int, int], None] = silent, detectors: dict[str, list] | None = None, market_symbol: str | None = MARKET_SYMBOL) -> SignalModel:
+def fit(events: DataFrame, candles: DataFrame, axes: dict | None = None, config: dict | None = None, interval_ms: int = 60_000, ledger: list[dict] | None = None, policy: dict | None = None, min_clusters: tuple[int, ...] = (2, 3), gates: tuple[float | None, ...] | None = None, outer_folds: int = 4, momentum_window: int = 1440, refine_rounds: int | None = None, bootstraps: int = stats.BOOTSTRAPS, progress: Callable[[str, int, int], None] = silent, detectors: dict[str, list] | None = None, market_symbol: str | None = MARKET_SYMBOL) -> SignalModel:
     """Labels all candidate bursts under all exits, scores settings by purged folds, and certifies the choice.
 
     ``detectors`` has axes of the detector (window_k, jaccard, lag_peak, stationarity_ms); all combinations are tried. The
     default axes are tried where exits aren't given either, else only the configured values.
-    Without axes they are calibrated from the candles, with the trading cost that the spread suggests. Refinement
+    Without axes they are calibrated from the candles, with the trading cost that the spread suggests; so are the momentum
+    ``gates``, if they aren't given. A gate that wins is part of the model's policy, never weaker than the given one. Refinement
     (``refine_rounds``; by default only then) moves the chosen exit between the grid's steps. With a finite
     ``stationarity_ms`` the author graph is rebuilt for every moment.
     """
@@ -228,6 +255,8 @@ def fit(events: DataFrame, candles: DataFrame, axes: dict | None = None, config:
     if axes is None:
         calibration = calibrate(events, candles, {k: DEFAULT_AXES[k] for k in ("stale", "stale_since")}, interval_ms)
         axes = DEFAULT_AXES | calibration["axes"] | {"round_trip_cost": [refinement.auto_cost(calibration["spread_pct"])]}
+    if gates is None:
+        gates = tuple(calibration["gates"]) if calibration else (None,)
     found = predict(events, cfg)
     mode, tau = found["mode"], found["tau"]["tau_ms"]
     progress("detect", 1, 5)
@@ -310,7 +339,7 @@ def fit(events: DataFrame, candles: DataFrame, axes: dict | None = None, config:
         certificate=certificate, reliability=reliable, nested_score=nested, channel_score=rows_by(channels, "channel"),
         channel_plan={r["channel"]: r["plan"] for r in selection.channel_triage(entered).collect()}, risk_reward=rows_by(stats.risk_reward(entered, ["symbol"], "pnl", "hard_stop"), "symbol"),
         pnl=rows_by(stats.pnl_stats(entered, ["symbol"], "pnl"), "symbol"), baseline=[r[0] for r in entered.select("pnl").collect()], outcome=model and model.to_json(),
-        policy=policy or {}, interval_ms=interval_ms, momentum_window=momentum_window, trials=trials, inner_trials=inner, fitted_ms=int(time.time() * 1000),
+        policy=gated(policy or {}, gates[top["gate_id"]], momentum_window), interval_ms=interval_ms, fit_attempts=len(ledger or []) + 1, momentum_window=momentum_window, trials=trials, inner_trials=inner, fitted_ms=int(time.time() * 1000),
         mode_reason=found["mode_reason"], market_symbol=market_symbol, history_size=sum(outcomes.values()), labeling=outcomes, calibration=calibration,
     )
 
