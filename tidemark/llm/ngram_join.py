@@ -11,9 +11,9 @@ of the union at least; equal sets are one node from the start.
    of their sets from above. Pairs that pass are verified by an exact intersection of their sorted windows: first each set
    with the partner that it meets most often, then what is left between different components.
 3. Crowds. A tile where more than ``FEW`` pairs a row pass, or of more than ``CROWD`` rows, only compares its sets with
-   their band's first one at once. Then it is cut into size bands, and these into blocks of ``BLOCK_WINDOWS`` windows, which
-   take the sets along; members of a band's largest component only meet the others, and a link joins two components for
-   good. A crowd of one component is done.
+   their band's first one at once. Then it is cut into size bands; those of one component are done, and those with one
+   largest component are put together. They are cut into blocks of ``BLOCK_WINDOWS`` windows, which take the sets along;
+   members of the largest component only meet the others, and a link joins two components for good.
 
 Nothing is left to chance: the result equals that of comparing all pairs. Windows and sets are compared by hashes of 64
 bits.
@@ -299,12 +299,12 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from judge(*held)
 
 
-_MEMBER = ["key", "x", "y", "block", "node", "label", "n", "pos", "upper", "bitmap"]
+_MEMBER = ["key", "x", "y", "block", "node", "label", "n", "upper", "bitmap"]
 
 
 def _crossed(table: pa.Table) -> pa.Table:
     """Links between components of two blocks of a tile (or within one). One link joins two components."""
-    node, label, block, n, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "label", "block", "n", "pos"))
+    node, label, block, n = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "label", "block", "n"))
     x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
     sets = [np.frombuffer(w, np.uint64) for w in table.column("windows").to_pylist()]
     raw = table.column("bitmap").to_pylist()
@@ -317,7 +317,7 @@ def _crossed(table: pa.Table) -> pa.Table:
         others = second[k + 1 :] if x == y else second
         both = n[i] + n[others]
         least = -(-MATCH * both // (100 + MATCH))
-        may = (root[others] != root[i]) & ~(upper[i] & upper[others]) & (np.minimum(n[i] - pos[i], n[others] - pos[others]) >= least)
+        may = (root[others] != root[i]) & ~(upper[i] & upper[others]) & (100 * np.minimum(n[i], n[others]) >= MATCH * np.maximum(n[i], n[others]))
         others, both, least = others[may], both[may], least[may]
         others = others[(both - np.bitwise_count(bitmap[i] ^ bitmap[others]).sum(axis=1).astype(np.int64)) // 2 >= least]
         for j in others.tolist():
@@ -376,22 +376,25 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _open_blocks(members: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """members: (window, n, node, pos) of crowds. Rows of their size bands with several components, with the blocks x and y
-    in which they meet others."""
+    """members: (window, n, node) of crowds. Sets of their size bands with several components, with the blocks x and y in which
+    they meet others."""
     sides = F.explode(F.array(F.struct("band", F.lit(False).alias("upper")), F.struct((F.col("band") - 1).alias("band"), F.lit(True).alias("upper"))))
     known = nodes.select(F.col("node").alias("m"), "band").join(classes.select(F.col("node").alias("c"), "label"), F.col("m") == F.col("c"), "left").select("m", "band", F.coalesce("label", "m").alias("label"))
-    tiles = members.join(known, F.col("node") == F.col("m")).select("window", "node", "label", "n", "pos", sides.alias("side"))
-    tiles = common.cut_lineage(tiles.select(F.xxhash64("window", "side.band").alias("key"), "node", "label", "n", "pos", "side.upper"))
-    parts = tiles.groupBy("key", "label").agg(F.sum("n").alias("size"), F.count("*").alias("k"), F.min("upper").alias("upper"))
-    whole = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max(F.struct("k", "size", "label")).alias("main"), F.min("upper").alias("upper"))
-    whole = whole.where((F.col("parts") > 1) & ~F.col("upper"))
-    small = F.col("size") <= BLOCK_WINDOWS
-    whole = common.cut_lineage(whole.select(
-        F.col("key").alias("k"), (~small).alias("large"), F.col("main.label").alias("main"),
-        F.when(small, 1).otherwise(F.ceil((F.col("size") - F.col("main.size") + 1) / BLOCK_WINDOWS)).alias("rest_blocks"),
-        F.when(small, 0).otherwise(F.ceil(F.col("main.size") / BLOCK_WINDOWS)).alias("main_blocks"),
+    tiles = members.join(known, F.col("node") == F.col("m")).select("window", "node", "label", "n", sides.alias("side"))
+    tiles = common.cut_lineage(tiles.select(F.xxhash64("window", "side.band").alias("tile"), "side.band", "side.upper", "node", "label", "n"))
+    parts = tiles.groupBy("tile", "label").agg(F.count("*").alias("k"), F.min("upper").alias("upper"))
+    whole = parts.groupBy("tile").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("k", "label")).alias("main"), F.min("upper").alias("upper"))
+    whole = common.cut_lineage(whole.where((F.col("parts") > 1) & ~F.col("upper")).select(F.col("tile").alias("t"), "main"))
+    # Tiles of one band and main component hold much the same sets, so they are judged as one, each set once.
+    merged = tiles.join(_hinted(whole), F.col("tile") == F.col("t")).select(F.xxhash64("main", "band").alias("key"), "main", "upper", "node", "label", "n")
+    merged = common.cut_lineage(merged.distinct())
+    of_main = F.col("label") == F.col("main")
+    sizes = merged.groupBy("key").agg(F.sum(F.when(~of_main, F.col("n")).otherwise(0)).alias("rest"), F.sum(F.when(of_main, F.col("n")).otherwise(0)).alias("others"))
+    small = F.col("rest") + F.col("others") <= BLOCK_WINDOWS
+    sizes = common.cut_lineage(sizes.select(
+        F.col("key").alias("k"), (~small).alias("large"), F.when(small, 1).otherwise(F.ceil((F.col("rest") + 1) / BLOCK_WINDOWS)).alias("rest_blocks"), F.when(small, 0).otherwise(F.ceil(F.col("others") / BLOCK_WINDOWS)).alias("main_blocks"),
     ))
-    dealt = tiles.join(_hinted(whole), F.col("key") == F.col("k")).withColumn("apart", F.col("large") & (F.col("label") == F.col("main")))
+    dealt = merged.join(_hinted(sizes), F.col("key") == F.col("k")).withColumn("apart", F.col("large") & of_main)
     spot = F.xxhash64("node", "key")
     dealt = dealt.withColumn("block", F.when(F.col("apart"), F.col("rest_blocks") + F.pmod(spot, F.col("main_blocks"))).otherwise(F.pmod(spot, F.col("rest_blocks"))))
     others = F.sequence(F.lit(0).cast("long"), F.when(F.col("apart"), F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("main_blocks")) - 1)
