@@ -1,9 +1,9 @@
 """Path replay: what a trade on each burst would have earned under each exit rule.
 
 The sequential walk over a path is stated as first triggers. Along a path, only the running best, the running worst
-and the place of the best so far matter, and they don't depend on the exit rule; so they are windows computed once per
-(burst, direction). The first trigger of each value of an axis (stop, trail, staleness, life) is an aggregate over the
-path, and each rule's exit is the least (step, priority) among those of its values.
+and the place of the best so far matter, and they don't depend on the exit rule; so they are computed once per burst and
+direction (paths.py), with the first trigger of each value of an axis (stop, trail, staleness, life). Each rule's exit is
+the least (step, priority) among those of its values.
 """
 
 from __future__ import annotations
@@ -11,14 +11,15 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.joins import band_join, first_by
+from ..plans.joins import first_by
 from ..plans.registry import query
 from ..sources.candles import CANDLES_SQL, hourly
 from ..sources.signals import signals
 from .events import _ANCHORS, POST_WINDOW_MS, collapse_posts
+from .paths import KINDS, STEP, first_triggers
 
 HOUR = 3_600_000
 EXIT_SCHEMA = (
@@ -60,58 +61,6 @@ def distinct_by_pnl(exits: DataFrame) -> DataFrame:
     return first_by(reduced, keys, "exit_id").select(exits.columns)
 
 
-def signed(entry: Column, price: Column, direction: Column) -> Column:
-    return F.when(direction == "long", (price - entry) / entry).otherwise((entry - price) / entry)
-
-
-def forward_paths(bursts: DataFrame, candles: DataFrame, interval_ms: int, horizon: int) -> DataFrame:
-    """Candles of each burst's symbol from the first that begins at or after it, numbered from 0 in time order."""
-    start = F.col("ts_ms") + F.pmod(interval_ms - F.pmod("ts_ms", F.lit(interval_ms)), F.lit(interval_ms))
-    ask = bursts.select("burst_id", "symbol", "direction", "entry_from", "entry_to", start.alias("start_ms"))
-    bars = candles.select("symbol", F.col("ts_ms").alias("bar_ms"), "open", "high", "low", "close", "volume")
-    joined = band_join(ask, bars, ["symbol"], "start_ms", "bar_ms", 0, (horizon - 1) * interval_ms)
-    order = Window.partitionBy("burst_id").orderBy("bar_ms")
-    return joined.withColumn("i", F.row_number().over(order) - 1)
-
-
-def entries(paths: DataFrame) -> DataFrame:
-    """Adds lo, hi (the posted zone; a missing bound is the first open), entry_i, entry_price, n_bars, entry slippage range."""
-    whole = Window.partitionBy("burst_id")
-    first_open = F.min_by("open", "i").over(whole)
-    a, b = F.coalesce("entry_from", first_open), F.coalesce("entry_to", first_open)
-    zoned = paths.withColumn("lo", F.least(a, b)).withColumn("hi", F.greatest(a, b)).withColumn("n_bars", F.count("*").over(whole))
-    touches = (F.col("low") <= F.col("hi")) & (F.col("high") >= F.col("lo"))
-    price = F.when(F.col("close").between(F.col("lo"), F.col("hi")), F.col("close")).otherwise(F.least(F.greatest((F.col("lo") + F.col("hi")) / 2, "low"), "high"))
-    hit = F.min(F.when(touches, F.struct("i", price.alias("price"), (F.col("high") - F.col("low")).alias("range")))).over(whole)
-    return zoned.withColumn("_hit", hit).select("*", F.when(F.col("_hit.price") > 0, F.col("_hit.i")).alias("entry_i"), F.when(F.col("_hit.price") > 0, F.col("_hit.price")).alias("entry_price"), F.col("_hit.range").alias("entry_range")).drop("_hit")
-
-
-def _burst_facts(entered: DataFrame, horizons: list[int], baselines: list[int]) -> DataFrame:
-    """One row per burst: its entry, and as arrays the pressure against the post within each horizon (volume share of the
-    candles after the entry) and the entry candle's volume against each baseline (the path's candles before it)."""
-    against = F.when(F.col("direction") == "long", F.col("close") < F.col("open")).otherwise(F.col("close") > F.col("open"))
-    k = F.col("i") - F.col("entry_i")
-    ahead = lambda h, c: F.sum(F.when(k.between(1, h), c))
-    pressure = [F.when(ahead(h, F.col("volume")) > 0, ahead(h, F.when(against, F.col("volume")).otherwise(0.0)) / ahead(h, F.col("volume"))).otherwise(0.0) for h in horizons]
-    earlier = lambda n: F.when(k.between(-n, -1), F.col("volume"))
-    at = F.max(F.when(k == 0, F.col("volume")))
-    z = [F.when((F.count(earlier(n)) >= 2) & (F.stddev_samp(earlier(n)) > 0), (at - F.avg(earlier(n))) / F.stddev_samp(earlier(n))).otherwise(0.0) for n in baselines]
-    first = [F.first(c).alias(c) for c in ("symbol", "direction", "entry_i", "entry_price", "entry_range", "n_bars")]
-    return entered.groupBy("burst_id").agg(*first, F.array(*pressure).alias("_pressures"), F.array(*z).alias("_zs"))
-
-
-def _first_hits(steps: DataFrame, stops: list[float], trails: list[float], stales: list[tuple[float, int]], lives: list[int]) -> DataFrame:
-    """One row per burst and side: for each value of an axis, the first step at which it triggers (lives: the last step)."""
-    there = F.struct("k", "close_pnl", "peak", "peak_before", "trough", "close", "bar_range")
-    take = lambda t: (F.col("close_pnl") >= 0) & (F.col("peak") > 0) & (F.col("peak") - F.col("close_pnl") >= t)
-    first = lambda hits: F.array(*[F.min(F.when(hit, there)) for hit in hits])
-    return steps.groupBy("burst_id", "side").agg(
-        first(F.col("worst") <= -stop / 100 for stop in stops).alias("stops"), first(take(t) for t in trails).alias("takes"),
-        first((F.col("peak") >= profit / 100) & (F.col("k") - F.col("peak_k") >= since) for profit, since in stales).alias("stales"),
-        F.array(*[F.max(F.when(F.col("k") <= life, there)) for life in lives]).alias("lives"),
-    )
-
-
 def replay(bursts: DataFrame, candles: DataFrame, exits: DataFrame, interval_ms: int = 60_000) -> DataFrame:
     """One row per burst with candles and exit rule.
 
@@ -130,10 +79,8 @@ def replay(bursts: DataFrame, candles: DataFrame, exits: DataFrame, interval_ms:
     places = [(r["exit_id"], stops[r["hard_stop"]], trails[r["trailing_take"] / 100], trails.get(tight(r), 0) if r["squeeze_policy"] == "tighten" else 0, stales[r["stale_profit"], r["stale_since"]], lives[r["stale"]], horizons[horizon(r)], baselines[r["vol_baseline"]]) for r in rules]
     spark = bursts.sparkSession
     grid = F.broadcast(exits.join(F.broadcast(spark.createDataFrame(places, "exit_id int, _stop int, _trail int, _tight int, _stale int, _life int, _horizon int, _baseline int")), "exit_id"))
-    entered = entries(forward_paths(bursts, candles, interval_ms, 2 * max(lives) + 5)).persist()
-    hits = _first_hits(_steps(entered), list(stops), list(trails), list(stales), list(lives))
-    sides = hits.groupBy("burst_id").agg(F.map_from_entries(F.collect_list(F.struct("side", F.struct("stops", "takes", "stales", "lives")))).alias("_hits"))
-    plan = _burst_facts(entered, list(horizons), list(baselines)).join(sides, "burst_id", "left").crossJoin(grid)  # every burst meets every rule
+    axes = {"stops": list(stops), "trails": list(trails), "stales": list(stales), "lives": list(lives), "horizons": list(horizons), "baselines": list(baselines)}
+    plan = first_triggers(bursts, candles, axes, interval_ms, 2 * max(lives) + 5).crossJoin(grid)  # every burst meets every rule
     plan = plan.withColumns({"squeeze_pressure": F.get("_pressures", F.col("_horizon")), "vol_z": F.get("_zs", F.col("_baseline"))})
     hot = F.col("squeeze_pressure") >= F.col("squeeze_threshold")
     is_in = F.col("entry_i").isNotNull()
@@ -142,45 +89,34 @@ def replay(bursts: DataFrame, candles: DataFrame, exits: DataFrame, interval_ms:
     plan = plan.withColumns({
         "veto": is_in & hot & (F.col("squeeze_policy") == "veto"), "inverted": flip, "side": F.when(flip, opposite).otherwise(F.col("direction")),
         "_take": F.when(hot & (F.col("squeeze_policy") == "tighten"), F.col("_tight")).otherwise(F.col("_trail")), "stop": F.col("hard_stop") / 100, "avail": F.col("n_bars") - F.col("entry_i") - 1,
-    }).withColumn("_hit", F.try_element_at("_hits", F.col("side")))
+    })
 
-    def trigger(hit: Column, rule: int) -> Column:
-        return F.when(hit.isNotNull(), F.struct(hit["k"].alias("k"), F.lit(rule).alias("rule"), hit.alias("at")))
+    def trigger(kind: str, place: str, rule: int) -> Column:
+        hit = F.get(F.when(F.col("side") == "long", F.col(f"{kind}_long")).otherwise(F.col(f"{kind}_short")), F.col(place))
+        return F.when(hit.isNotNull(), F.struct(F.get(hit, F.lit(0)).cast("int").alias("k"), F.lit(rule).alias("rule"), hit.alias("at")))
 
-    found = [trigger(F.get(F.col(f"_hit.{c}"), F.col(place)), rule) for rule, (c, place) in enumerate((("stops", "_stop"), ("takes", "_take"), ("stales", "_stale"), ("lives", "_life")))]
+    found = [trigger(kind, place, rule) for rule, (kind, place) in enumerate(zip(KINDS, ("_stop", "_take", "_stale", "_life")))]
     # The life's last step is always there, so no later trigger is the least.
     plan = plan.withColumn("out", F.when(is_in & ~F.col("veto"), F.least(*found)))
     in_trade = F.col("out").isNotNull()
+    at = lambda field: F.get(F.col("out.at"), F.lit(STEP.index(field)))
     stopped = F.col("out.rule") == 0
-    gross = F.when(stopped, -F.col("stop")).otherwise(F.col("out.at.close_pnl"))
-    cost = F.col("round_trip_cost") / 100 + F.col("slippage") * (F.col("entry_range") + F.col("out.at.bar_range")) / F.col("entry_price")
+    gross = F.when(stopped, -F.col("stop")).otherwise(at("close_pnl"))
+    cost = F.col("round_trip_cost") / 100 + F.col("slippage") * (F.col("entry_range") + at("bar_range")) / F.col("entry_price")
     at_side = F.when(F.col("side") == "long", F.col("entry_price") * (1 + gross)).otherwise(F.col("entry_price") * (1 - gross))
     names = F.array(*[F.lit(x) for x in ("hard-stop", "trailing-take", "peak-staleness", "life-cap")])
     zero = lambda c: F.coalesce(F.when(in_trade, c), F.lit(0.0))
     return plan.select(
         "burst_id", "exit_id", "symbol", "direction", in_trade.alias("entered"), zero(gross - cost).alias("pnl"), zero(gross).alias("gross_pnl"),
-        zero(F.when(stopped, F.col("out.at.peak_before")).otherwise(F.col("out.at.peak"))).alias("peak"), zero(F.when(stopped, -F.col("stop")).otherwise(F.col("out.at.trough"))).alias("trough"),
+        zero(F.when(stopped, at("peak_before")).otherwise(at("peak"))).alias("peak"), zero(F.when(stopped, -F.col("stop")).otherwise(at("trough"))).alias("trough"),
         F.when(in_trade, F.element_at(names, F.col("out.rule") + 1)).when(F.col("veto"), "cascade-veto").otherwise("no-entry").alias("reason"),
-        F.coalesce("out.k", F.lit(0)).alias("held"), F.coalesce("entry_price", F.lit(0.0)).alias("entry_price"), zero(F.when(F.col("out.rule").isin(0, 3), at_side).otherwise(F.col("out.at.close"))).alias("exit_price"),
+        F.coalesce("out.k", F.lit(0)).alias("held"), F.coalesce("entry_price", F.lit(0.0)).alias("entry_price"), zero(F.when(F.col("out.rule").isin(0, 3), at_side).otherwise(at("close"))).alias("exit_price"),
         F.when(is_in, F.col("vol_z")).otherwise(0.0).alias("vol_z"), F.when(is_in, F.col("squeeze_pressure")).otherwise(0.0).alias("squeeze_pressure"),
         F.when(is_in & (F.col("vol_z") >= F.col("vol_z_threshold")), "anomalous").otherwise("calm").alias("vol_regime"),
         (F.col("inverted") & in_trade).alias("inverted"), (in_trade & (F.col("avail") < F.col("stale") * TRUNCATED_BELOW)).alias("truncated"),
     )
 
 
-def _steps(entered: DataFrame) -> DataFrame:
-    """Per burst, side and step k from the entry: worst, best and close result, running peak and trough."""
-    path = entered.where(F.col("i") >= F.col("entry_i")).withColumn("side", F.explode(F.array(F.lit("long"), F.lit("short"))))
-    low, high = (signed(F.col("entry_price"), F.col(c), F.col("side")) for c in ("low", "high"))
-    steps = path.select("burst_id", "side", (F.col("i") - F.col("entry_i")).alias("k"), "close", (F.col("high") - F.col("low")).alias("bar_range"), F.least(low, high).alias("worst"), F.greatest(low, high).alias("best"), signed(F.col("entry_price"), F.col("close"), F.col("side")).alias("close_pnl"))
-    so_far = Window.partitionBy("burst_id", "side").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("burst_id", "side").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0.0)
-    steps = steps.withColumns({"peak": F.greatest(F.max("best").over(so_far), zero), "peak_before": F.greatest(F.coalesce(F.max("best").over(before), zero), zero), "trough": F.least(F.min("worst").over(so_far), zero)})
-    rises = F.when(F.col("best") > F.col("peak_before"), F.col("k"))
-    return steps.withColumn("peak_k", F.coalesce(F.max(rises).over(so_far), F.lit(0)))
-
-
 def label_outcomes(labels: DataFrame, bursts: DataFrame) -> DataFrame:
     """Per burst: ok, no-entry or no-candles, and how many labels are left once truncated trades are dropped."""
     per = labels.groupBy("burst_id").agg(F.max(F.col("entered").cast("int")).alias("any"), F.sum((~F.col("truncated")).cast("long")).alias("n_labels"))
