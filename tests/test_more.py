@@ -221,3 +221,35 @@ def test_scores_by_columns_equal_the_model(spark):
     for i, a, b, h in asked:
         want = model.predict({"a": a, "b": b, "h": h})
         assert got[i] == pytest.approx((want["p_win"], want["expected_pnl"], want["risk_share"]), abs=2e-6)
+
+
+def test_excitation_on_the_cluster_equals_the_loops(spark):
+    rows = echo_feed(25)
+    events = spark.createDataFrame(rows, EVENTS).persist()
+    got = {(r["leader"], r["follower"]) for r in graph.hawkes_graph(events, 180_000.0).collect()}
+    assert got == set(plain_graph.excited_edges([(f"{s}|{d}", t, c) for _, _, c, s, d, t in rows], 180_000.0))
+    assert graph.hawkes_graph(events.where("channel = 'x'").limit(1), 180_000.0).count() == 0
+
+
+def test_screen_of_many_channels(spark):
+    """400 channels, ten symbols, every third an echo: equal to matching all pairs."""
+    rng, rows = random.Random(9), []
+    for c in range(400):
+        if c % 3 == 2:
+            rows += [(f"c{c}", s, t + rng.randint(100_000, 200_000)) for ch, s, t in rows if ch == f"c{c - 1}" and rng.random() < 0.7]
+        else:
+            rows += [(f"c{c}", f"S{rng.randrange(10)}", rng.randrange(30 * 86_400_000)) for _ in range(rng.randint(2, 100))]
+    rows.sort(key=lambda r: r[2])
+    events = spark.createDataFrame([(i, None, c, s, "long", t) for i, (c, s, t) in enumerate(rows)], EVENTS).persist()
+    got = {(r["a"], r["b"]): round(r["jaccard"], 9) for r in graph.jaccard_screen(events, 600_000, 0.3).collect()}
+    times, totals, order = {}, {}, list(dict.fromkeys(c for c, _, _ in rows))
+    for c, s, t in rows:
+        times.setdefault(c, {}).setdefault(s, []).append(t)
+        totals[c] = totals.get(c, 0) + 1
+    want = {}
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            m = sum(graph.greedy_matches(times[a][s], times[b][s], 600_000) for s in times[a] if s in times[b])
+            if 2 * m / (totals[a] + totals[b]) >= 0.3:
+                want[a, b] = round(2 * m / (totals[a] + totals[b]), 9)
+    assert got == want and len(want) > 50
