@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage
 
+#: Rows of two numbers up to which a written table is taken by one task, without shuffles; larger ones are dealt out.
+FEW = 100_000
+
+
+def gathered(table: DataFrame) -> DataFrame:
+    """A written table, in one partition if it is small: joins and groups of such tables need no shuffle."""
+    return table.coalesce(1) if table.limit(FEW + 1).count() <= FEW else table
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (u, v). The large star links each larger neighbour to the least one, the small star each smaller one."""
@@ -38,7 +46,7 @@ def _settled(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): for each node of an edge, the least node it is connected with. Nodes are of an orderable type."""
-    current = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u") != F.col("v"))
+    current = gathered(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u") != F.col("v")))
     while True:  # every round but the last lowers a neighbour; paths shorten to their square root or so
         current = cut_lineage(_star(_star(current, True), False))
         if _settled(current):
@@ -56,7 +64,8 @@ def between_labels(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def merge_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
     """Classes joined by further links; only the graph of classes is walked."""
-    moved = cut_lineage(components(between_labels(links, classes), "l_a", "l_b"))
+    links, classes = gathered(links), gathered(classes)
+    moved = cut_lineage(components(cut_lineage(between_labels(links, classes)), "l_a", "l_b"))
     new = moved.select(F.col("node").alias("old"), F.col("label").alias("new"))
     relabelled = classes.join(new, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
     return cut_lineage(relabelled.union(moved.join(classes.select("node"), "node", "left_anti").select("node", "label")))
