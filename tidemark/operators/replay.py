@@ -180,23 +180,45 @@ FROM_POSTS_SQL = f""", {CANDLES_SQL}, {_GRID_SQL},
 LABELS_SQL = _ANCHORS + FROM_POSTS_SQL
 
 
-@query("exit_grid", f"WITH {_GRID_SQL} SELECT exit_id, tt AS trailing_take, hs AS hard_stop, st AS stale, po AS squeeze_policy FROM xg")
+def market_stops(candles: DataFrame) -> list[float]:
+    """A stop for each symbol, in order: the mean range of its candles, rounded; equal ones once."""
+    ranges = candles.groupBy("symbol").agg(F.round(F.avg(F.col("high") - F.col("low")), 2).alias("w"))
+    return [r["w"] for r in ranges.select("w").distinct().orderBy("w").collect()]  # a value for each symbol at most
+
+
+_STOPS_SQL = f"{CANDLES_SQL}, hs AS (SELECT DISTINCT round(avg(high - low), 2) AS hs FROM bars GROUP BY symbol)"
+_POLICIES = ["none", "ignore", "tighten", "veto", "invert"]
+
+
+def _values_sql(name: str, values: list) -> str:
+    rows = ", ".join(f"({i}, {'NULL' if v is None else repr(v)})" for i, v in enumerate(values))
+    return f"(VALUES {rows}) {name}({name}_i, {name})"
+
+
+def _order_sql(*names: str) -> str:
+    return f"(row_number() OVER (ORDER BY {', '.join(names)}) - 1)::INT AS exit_id"
+
+
+@query("exit_grid", f"""WITH {_STOPS_SQL}
+  SELECT {_order_sql("tt_i", "hs", "st_i", "po_i")}, tt::DOUBLE AS trailing_take, hs::DOUBLE AS hard_stop, st AS stale, po AS squeeze_policy
+  FROM {_values_sql("tt", [20.0, 60.0])}, hs, {_values_sql("st", [12, 24])}, {_values_sql("po", _POLICIES)}""")
 def _exit_grid(spark, sf_dir):
-    return exit_grid(spark, QUERY_AXES).select("exit_id", "trailing_take", "hard_stop", "stale", "squeeze_policy")
+    axes = {"trailing_take": [20.0, 60.0], "hard_stop": market_stops(hourly(spark, sf_dir)), "stale": [12, 24], "squeeze_policy": _POLICIES, "stale_profit": [1.0], "stale_since": [60]}
+    return exit_grid(spark, axes).select("exit_id", "trailing_take", "hard_stop", "stale", "squeeze_policy")
 
 
-_DEDUP_AXES = {
-    "squeeze_policy": ["none", "ignore", "tighten", "veto", "invert"], "vol_z_threshold": [1.5, 2.5], "squeeze_threshold": [0.55, 0.7], "tighten_factor": [0.25, 0.5], "cascade_window": [15, 60, None],
-    "trailing_take": [1.0, 2.0], "hard_stop": [1.0], "stale_profit": [1.0], "stale_since": [60], "stale": [60, 240],
-}
-_DEDUP_SQL = ", ".join(f"({i}, '{po}', {z}, {th}, {tf}, {'NULL' if cw is None else cw}, {tt}, {st})" for i, (po, z, th, tf, cw, tt, _, _, _, st) in enumerate(product(*_DEDUP_AXES.values())))
+_DEDUP_AXES = {"squeeze_policy": _POLICIES, "vol_z_threshold": [1.5, 2.5], "squeeze_threshold": [0.55, 0.7], "tighten_factor": [0.25, 0.5], "cascade_window": [15, 60, None], "trailing_take": [1.0, 2.0]}
+_DEDUP_SQL = {"squeeze_policy": "po", "vol_z_threshold": "z", "squeeze_threshold": "th", "tighten_factor": "tf", "cascade_window": "cw", "trailing_take": "tt"}
 
 
-@query("exit_dedup", f"""WITH g AS (SELECT * FROM (VALUES {_DEDUP_SQL}) t(exit_id, po, z, th, tf, cw, tt, st)), r AS (SELECT *, po IN ('tighten', 'veto', 'invert') AS acts FROM g)
- SELECT min(exit_id)::INT AS exit_id, arg_min(po, exit_id) AS squeeze_policy, arg_min(z, exit_id)::DOUBLE AS vol_z_threshold FROM r
- GROUP BY tt, st, CASE WHEN acts THEN po ELSE 'none' END, CASE WHEN acts THEN th END, CASE WHEN acts THEN coalesce(cw, st) END, CASE WHEN po = 'tighten' THEN tf END""")
+@query("exit_dedup", f"""WITH {_STOPS_SQL},
+ g AS (SELECT {_order_sql(*[f"{n}_i" for n in _DEDUP_SQL.values()], "hs", "st_i")}, po, z, th, tf, cw, tt, hs, st, po IN ('tighten', 'veto', 'invert') AS acts
+       FROM {", ".join(_values_sql(n, _DEDUP_AXES[c]) for c, n in _DEDUP_SQL.items())}, hs, {_values_sql("st", [60, 240])})
+ SELECT min(exit_id)::INT AS exit_id, arg_min(po, exit_id) AS squeeze_policy, arg_min(z, exit_id)::DOUBLE AS vol_z_threshold, any_value(hs)::DOUBLE AS hard_stop FROM g
+ GROUP BY tt, g.hs, st, CASE WHEN acts THEN po ELSE 'none' END, CASE WHEN acts THEN th END, CASE WHEN acts THEN coalesce(cw, st) END, CASE WHEN po = 'tighten' THEN tf END""")
 def _exit_dedup(spark, sf_dir):
-    return distinct_by_pnl(exit_grid(spark, _DEDUP_AXES)).select("exit_id", "squeeze_policy", "vol_z_threshold")
+    axes = {**_DEDUP_AXES, "hard_stop": market_stops(hourly(spark, sf_dir)), "stale": [60, 240], "stale_profit": [1.0], "stale_since": [60]}
+    return distinct_by_pnl(exit_grid(spark, axes)).select("exit_id", "squeeze_policy", "vol_z_threshold", "hard_stop")
 
 
 _ROUNDED = ("pnl", "gross_pnl", "peak", "trough", "entry_price", "exit_price", "vol_z", "squeeze_pressure")
