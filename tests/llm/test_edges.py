@@ -132,3 +132,11 @@ def test_no_machine_local_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError):
         common.ensure_checkpoint_dir(Session())
+
+
+def test_rows_of_one_id_are_parted_by_the_mix(spark):
+    """A hundred rows of one id in a source whose target is a share of it: the words taken come near the target."""
+    rows = [(7, f"w{i} " * 10, "a") for i in range(100)] + [(k, f"b{k} " * 10, "b") for k in range(40)] + [(k, f"c{k} " * 10, "c") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix_sources(docs).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(mixed) == 3 and all(abs(r["taken"] - r["target"]) <= 10 for r in mixed)

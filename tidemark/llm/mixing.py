@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document gets a 60-bit hash of its id. Tokens are summed by source and hash bucket; the running sum finds the
+Every document gets a 60-bit hash of its id and text. Tokens are summed by source and hash bucket; the running sum finds the
 bucket in which a source's budget ends, only that boundary bucket is cut into finer buckets, and at last the few
 documents of the innermost bucket settle the threshold. A document is then kept by comparing its hash with its
 source's threshold: nothing is sorted, and a larger budget keeps a superset (the thresholds are nested).
@@ -9,10 +9,10 @@ A source whose target is above its size takes every document once (or twice at t
 Targets: weights over all sources, filled up to a cap of ``max_repeats`` times the source's size; what is above the
 cap is shared by weight among the others.
 
-Defined results: a null or empty text has size 0; a null source is a source of its own, last in order; rows with one
-id share one hash and are taken or left together; a null id hashes as the word null. Very long texts count whole. An
-empty table gives an empty result; other columns, of whatever name, are ignored (``mix_sources``) or returned
-(``take_mix``).
+Defined results: a null or empty text has size 0; a null source is a source of its own, last in order; rows of one id and
+text share one hash and are taken or left together, other rows of one id part; a null id hashes as the word null. Very long
+texts count whole. An empty table gives an empty result; other columns, of whatever name, are ignored (``mix_sources``) or
+returned (``take_mix``).
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ LEVELS = (48, 36)
 MAX_BROADCAST_SOURCES = 100_000
 
 
-def id_hash(column: str | Column) -> Column:
-    """60 bits of the md5 of the id's text."""
-    text = F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit("null"))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+def row_hash(id_col: str, text_col: str) -> Column:
+    """60 bits of the md5 of the id and the text, so that different texts of one id part."""
+    written = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(written), 1, 15), 16, 10).cast("long")
 
 
 def by_source(sources: DataFrame, few: bool) -> DataFrame:
@@ -107,7 +107,7 @@ def thresholds(base: DataFrame, targets: DataFrame, few: bool) -> DataFrame:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_SQL + "+")), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), id_hash(id_col).alias("h"))
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), row_hash(id_col, text_col).alias("h"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -129,7 +129,7 @@ def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     few = targets.count() <= MAX_BROADCAST_SOURCES
     limits = thresholds(base, targets, few).select(F.col("s").alias("_s"), F.col("times").alias("_times"), "last_hash")
     joined = docs.join(by_source(limits, few), F.col(source_col).eqNullSafe(F.col("_s")))
-    taken = joined.withColumn("times", F.col("_times") + (id_hash(id_col) <= F.col("last_hash")).cast("long"))
+    taken = joined.withColumn("times", F.col("_times") + (row_hash(id_col, text_col) <= F.col("last_hash")).cast("long"))
     return taken.where(F.col("times") > 0).select(*docs.columns, "times")
 
 
@@ -140,7 +140,7 @@ def query(spark, sf_dir):
 ORACLE = r"""
 WITH base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
 k AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rk FROM s),
