@@ -140,3 +140,13 @@ def test_rows_of_one_id_are_parted_by_the_mix(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     mixed = mixing.mix_sources(docs).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     assert len(mixed) == 3 and all(abs(r["taken"] - r["target"]) <= 10 for r in mixed)
+
+
+def test_the_shortest_texts_are_scored_or_rejected():
+    """One letter is told by shorter windows; letters that no language has are rejected, whatever their number."""
+    texts = {"en": ["a plan in the autumn and a storm over the town"] * 8, "es": ["el niño o la niña y la montaña o el otoño"] * 8}
+    models = language_id.Models(texts)
+    models.calibrate(texts)
+    languages, scores, losses, rejected = models.predict(["a", "o", "ñ", "я", "中文", "中文中文中", "", None, "7 !"])
+    assert languages[:3] == ["en", "es", "es"] and not rejected[:2].any() and (losses[:3] > 0).all()
+    assert rejected[3:].all() and (scores[3:] == 0).all() and languages[6:] == ["und"] * 3 and "und" not in languages[:6]

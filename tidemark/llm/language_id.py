@@ -12,7 +12,8 @@ count once), and one at least; whole texts are used. A quarter of each language'
 mean and the spread of the cross-entropy between texts, and between symbols within a text. A language with fewer than
 four distinct texts is calibrated like the mean of the others. A text is rejected if its cross-entropy lies more than
 ``REJECT_Z`` deviations above the mean of its language, where short texts have wider deviations, and more than half the
-way from that mean to the entropy of evenly drawn symbols; so are texts without a letter.
+way from that mean to the entropy of evenly drawn symbols; so are texts without a letter, and those whose letters no
+language has. Texts too short for a window of the full order are scored from their first symbol on, by lower orders.
 
 Defined results: null text, or no letter: lang_pred ``und``, score 0, rejected. Without any labelled row every text is
 ``und``. Ties go to the language first in code-point order. Rows repeat as they come; ids may repeat or be null (a null
@@ -143,8 +144,11 @@ class Models:
             out[miss] = back + self._log_p(n - 1, lost & np.uint64((1 << (BITS * (n - 1))) - 1))
         return out
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Letters and spaces scored in each text, sums of -log p, and sums of its square for the symbol spread."""
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Letters and spaces scored in each text, sums of -log p and of its square, and how many letters are known ones.
+
+        Of a text too short for a window of the full order, each symbol is scored after all that come before it.
+        """
         points, owner = symbols(texts)
         n_texts, n_langs = len(texts), len(self.languages)
         letters = np.bincount(owner, points != 32, minlength=n_texts)[:n_texts]
@@ -160,11 +164,22 @@ class Models:
             for j in range(n_langs):
                 sums[:, j] = np.bincount(last, loss[:, j], minlength=n_texts)
                 squares[:, j] = np.bincount(last, loss[:, j] ** 2, minlength=n_texts)
-        return np.where(letters > 0, counts, -1), sums, squares
+        short = np.concatenate(((counts == 0) & (letters > 0), [False]))
+        begins = np.concatenate(([True], owner[1:-1] != owner[2:], [False]))[: len(owner)]  # the spaces before texts
+        for n in range(2, ORDER) if short.any() and n_langs else ():
+            last = owner[n - 1 :]
+            own = begins[: len(last)] & (owner[1 : len(owner) - n + 2] == last) & short[last]
+            loss, last = -self._log_p(n, grams(codes, n)[own]), last[own]
+            counts = counts + np.bincount(last, minlength=n_texts)
+            for j in range(n_langs):
+                sums[:, j] += np.bincount(last, loss[:, j], minlength=n_texts)
+                squares[:, j] += np.bincount(last, loss[:, j] ** 2, minlength=n_texts)
+        known = np.bincount(owner, (points != 32) & (codes > 0), minlength=n_texts)[:n_texts]
+        return np.where(letters > 0, counts, -1), sums, squares, known
 
     def calibrate(self, texts: dict[str, list[str]]) -> None:
         for j, lang in enumerate(self.languages):
-            counts, sums, squares = self.score(texts.get(lang, []))
+            counts, sums, squares, _ = self.score(texts.get(lang, []))
             full = counts > 0
             if full.any():
                 n, ce = counts[full], sums[full, j] / counts[full]
@@ -181,7 +196,7 @@ class Models:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy and rejection of each text."""
-        counts, sums, _ = self.score(texts)
+        counts, sums, _, known = self.score(texts)
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
         n = np.maximum(counts, 1)
@@ -194,6 +209,7 @@ class Models:
         with np.errstate(invalid="ignore"):
             halfway = (np.log(len(self.points) + 1) - mean) / 2
             rejected = lowest - mean > np.maximum(REJECT_Z * np.sqrt(between + within / n), halfway)
+            rejected |= known == 0  # letters that no language has tell nothing
         none = counts < 0
         languages = [UNKNOWN if e else self.languages[b] for b, e in zip(best, none)]
         return languages, np.where(none | rejected, 0.0, posterior), np.where(none, 0.0, lowest), rejected | none
