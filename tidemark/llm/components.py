@@ -18,7 +18,12 @@ FEW = 100_000
 
 def gathered(table: DataFrame) -> DataFrame:
     """A written table, in one partition if it is small: joins and groups of such tables need no shuffle."""
-    return table.coalesce(1) if table.limit(FEW + 1).count() <= FEW else table
+    return table.coalesce(1) if table.count() <= FEW else table
+
+
+def hinted(table: DataFrame) -> DataFrame:
+    """A written table, broadcast if it is small: what it is joined with needs no shuffle then."""
+    return F.broadcast(table) if table.count() <= FEW else table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -56,6 +61,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def between_labels(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """pairs: (a, b). Those of different classes, with these as l_a and l_b; an unlinked node is a class of its own."""
+    classes = hinted(classes)
     for x in "ab":
         pairs = pairs.join(classes.select(F.col("node").alias(f"n_{x}"), F.col("label").alias(f"l_{x}")), F.col(x) == F.col(f"n_{x}"), "left")
         pairs = pairs.drop(f"n_{x}").withColumn(f"l_{x}", F.coalesce(f"l_{x}", x))
