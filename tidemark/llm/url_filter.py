@@ -8,9 +8,10 @@ Defined results: a null url, or one without ``://``, has empty host and path and
 and path. Repeated rows are judged alike. Extra columns are ignored. An empty table gives an empty result.
 
 The trie is broadcast only while the rules stay under ``max_rule_bytes`` (their text and ``NODE_BYTES`` a rule for the
-nodes of the trie); larger rule sets are matched by equi-joins on the url's host suffixes and on those prefixes of its
-path whose length occurs in a rule of that host. Very long urls cost no more prefixes than such lengths. Both ways give
-the same result.
+nodes of the trie); larger rule sets are matched by equi-joins on those suffixes of the url's host that have as many
+labels as a rule's host, and on those prefixes of its path whose length occurs in a rule of that host. Very long hosts
+and paths cost no more than the rules' own numbers of labels and lengths. Both ways give the same result. Rules are a
+list on the driver.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
 
 
 def _by_join(urls: DataFrame, rules: list[tuple[str, str, str]], default: str, id_col: str) -> DataFrame:
-    """The same decision for rule sets of any size: distinct (host, path) pairs meet the rules by equality."""
+    """The same decision for rule sets too large to broadcast: distinct (host, path) pairs meet the rules by equality."""
     spark = urls.sparkSession
     table = spark.createDataFrame(rules, "r_host string, r_path string, r_verdict string")
     parsed = urls.select(
@@ -135,11 +136,13 @@ def _by_join(urls: DataFrame, rules: list[tuple[str, str, str]], default: str, i
         F.coalesce(F.translate(F.regexp_extract("url", "(?s)://([^/?#]*)", 1), _UPPER, _UPPER.lower()), F.lit("")).alias("host"),
         F.coalesce(F.regexp_extract("url", "(?s)://[^/?#]*([^?#]*)", 1), F.lit("")).alias("path"),
     )
-    labels = F.split("host", r"\.")
+    counts = F.array(*[F.lit(n) for n in sorted({h.count(".") + 1 if h else 0 for h, _, _ in rules})])
+    n_labels = F.octet_length("host") - F.octet_length(F.translate("host", ".", "")) + 1
+    suffix = lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n)
     lengths = table.select(F.col("r_host").alias("l_host"), F.length("r_path").alias("n")).distinct()
     keys = (
         parsed.select("host", "path").distinct()
-        .withColumn("r_host", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))))
+        .withColumn("r_host", F.explode(F.transform(F.filter(counts, lambda n: n <= n_labels), suffix)))
         .dropDuplicates(["host", "path", "r_host"])
         .join(lengths, (F.col("r_host") == F.col("l_host")) & (F.col("n") <= F.length("path")))
         .withColumn("r_path", F.substring(F.col("path"), F.lit(1), F.col("n")))
