@@ -4,6 +4,10 @@ A test item within ``budget`` edits of a passage must leave at least one of budg
 All pieces of all items go into one Aho-Corasick automaton; each exact piece hit in a document fixes where the item
 would lie, and Myers' bit-parallel distance verifies the item against that window.
 
+Items may share pieces, as those with one opening do. Before the distance, an item's halves of pieces are looked up
+around their places: an edit spoils one half at most, so of 2 * (budget + 1) halves no more than budget may be missing.
+An item that shares only some pieces with a text fails by a few short searches; none within its budget is lost.
+
 Texts and items are compared in lower case with runs of white space as one space. The budget is ``ERROR_RATE`` of the
 item's normalised length; an item too short for pieces of ``MIN_PIECE`` characters gets the largest budget that still
 has such pieces, down to 0 (then the whole item must occur).
@@ -52,6 +56,28 @@ def pieces(item: str) -> list[tuple[str, int]]:
     return [(item[a:b], a) for a, b in zip(cuts, cuts[1:])]
 
 
+def halves(item: str) -> list[tuple[str, int]]:
+    """Each piece as two, with their offsets, from both ends of the item inwards: shared openings or ends leave the other."""
+    parts = []
+    for piece, at in pieces(item):
+        half = len(piece) // 2
+        parts += [(piece[:half], at), (piece[half:], at + half)]
+    inwards = [x for pair in zip(parts, reversed(parts)) for x in pair]
+    return inwards[: len(parts)]
+
+
+def may_lie(parts: list[tuple[str, int]], text: str, start: int, budget: int) -> bool:
+    """Whether no more than ``budget`` halves are missing around their places in an item that starts about ``start``."""
+    missing = 0
+    for part, at in parts:
+        low = start + at - budget
+        if text.find(part, max(low, 0), max(low + 2 * budget + len(part), 0)) < 0:
+            missing += 1
+            if missing > budget:
+                return False
+    return True
+
+
 def best_distance(pattern: str, text: str, masks: dict[str, int] | None = None) -> int:
     """Least edit distance between the pattern and any substring of the text (Myers; one machine word per text symbol)."""
     m = len(pattern)
@@ -91,6 +117,7 @@ class Matcher:
                 self.items.setdefault(plain, []).append(item_id)
         self.texts = list(self.items)
         self.masks: dict[int, dict[str, int]] = {}
+        self.halves: dict[int, list[tuple[str, int]]] = {}
         owners: dict[str, list[tuple[int, int]]] = {}
         for k, text in enumerate(self.texts):
             for piece, offset in pieces(text):
@@ -118,6 +145,10 @@ class Matcher:
                 if plain.startswith(item, max(start, 0)) and start >= 0:
                     found.add(k)
                 elif budget := error_budget(len(item)):
+                    if k not in self.halves:
+                        self.halves[k] = halves(item)
+                    if not may_lie(self.halves[k], plain, start, budget):
+                        continue
                     window = plain[max(0, start - budget) : start + len(item) + budget]
                     if k not in self.masks:
                         self.masks[k] = symbol_masks(item)
