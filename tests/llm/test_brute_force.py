@@ -178,6 +178,37 @@ def test_edited_items_are_found_and_others_not():
     assert matcher.find("".join(rng.choice("abcdefgh") for _ in range(5000))) == []
 
 
+def test_edited_items_with_shared_openings_equal_search():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(60)]
+    opening = "which of the following statements about the old harbour town is correct? "
+    items = [(k, opening + " ".join(rng.choice(words) for _ in range(20)) + (" none of the above" if k % 3 == 0 else "")) for k in range(60)]
+    matcher = decontaminate.Matcher(items)
+    plain = [(k, decontaminate.normalise(t)) for k, t in items]
+    hits = 0
+    for _ in range(60):
+        edited = list(rng.choice(plain)[1])
+        spots = rng.sample(range(len(edited)), round(decontaminate.error_budget(len(edited)) * rng.choice([0.5, 0.8, 1, 1.3])))
+        for spot in spots:
+            edited[spot] = rng.choice(["", "z", edited[spot] + "q"])
+        text = decontaminate.normalise(opening * rng.randint(0, 2) + "".join(edited) + " end " + opening)
+        want = [k for k, p in plain if decontaminate.best_distance(p, text) <= decontaminate.error_budget(len(p))]
+        assert matcher.find(text) == want
+        hits += len(want)
+    assert 20 < hits
+
+
+def test_shared_openings_need_few_distances(monkeypatch):
+    rng = random.Random(9)
+    opening = "which of the following statements about the old harbour town is correct? "
+    items = [(k, opening + "".join(rng.choice("abcdefgh ") for _ in range(130))) for k in range(1000)]
+    done = []
+    measure = decontaminate.best_distance
+    monkeypatch.setattr(decontaminate, "best_distance", lambda *a: done.append(1) or measure(*a))
+    text = " ".join(opening + "".join(rng.choice("abcdefgh ") for _ in range(30)) for _ in range(20))
+    assert decontaminate.Matcher(items).find(text + " " + items[7][1][:-3]) == [7] and len(done) < 10
+
+
 def test_held_out_languages(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language_id.identify(rows, language_id.fit(rows), keep=("lang",)).toPandas()
@@ -356,6 +387,25 @@ def test_context_reaches_beyond_the_last_match(spark):
     assert got == {1: "ssn:4:15,ssn:17:28", 2: "ssn:4:15"}
 
 
+def test_context_words_after_a_span_count(spark):
+    texts = [(1, "123-45-6789 is my ssn"), (2, f"123-45-6789 {'x' * 36} ssn"), (3, f"123-45-6789 {'x' * 35} ssn"), (4, "a@b.co " * 200 + "is my mail"), (5, "123-45-6789, 987-65-4321 (ssn)"), (6, "4111 1111 1111 1111 visa")]
+    got = {r["doc_id"]: r for r in pii.summarise(pii.find_pii(spark.createDataFrame(texts, "doc_id long, text string"))).collect()}
+    assert got[1]["spans"] == "ssn:0:11" and got[3]["spans"] == "ssn:0:11" and got[2]["spans"] == ""
+    assert got[4]["n_email"] == 200 and got[4]["top_score"] == 0.9 and got[5]["spans"] == "ssn:0:11,ssn:13:24" and got[6]["top_score"] == 1.0
+
+
+def test_words_after_a_span_equal_reading_the_text(spark):
+    rng = random.Random(4)
+    texts = []
+    for i in range(40):
+        parts = [rng.choice(["ssn", "filler", "a, b", "", "words between", "security", "x" * rng.randint(1, 50), f"{rng.randint(100, 999)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"]) for _ in range(rng.choice([5, 40, 900]))]
+        texts.append((i, " ".join(parts)))
+    got = {r["doc_id"]: r["spans"] for r in pii.summarise(pii.find_pii(spark.createDataFrame(texts, "doc_id long, text string"))).collect()}
+    for i, t in texts:
+        near = [m for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", t) if re.search("ssn|security", t[max(0, m.start() - 40) : m.start()]) or re.search("ssn|security", t[m.end() : m.end() + 40])]
+        assert [x for x in got[i].split(",") if x[:4] == "ssn:"] == [f"ssn:{m.start()}:{m.end()}" for m in near]
+
+
 def test_long_lists_are_found_whole(spark):
     mail = "".join(f"m{i}@site.org, " for i in range(5000))
     numbers = "ssn " + "".join(f"{100 + i % 900}-45-6789, " for i in range(300))

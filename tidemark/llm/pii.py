@@ -8,9 +8,9 @@ The patterns are the contract's with the same matches, written so that no run of
 possessive repeats, and look-behinds that start a match only where a run starts (or the last match ended).
 
 Kinds: email, ip (parts up to 255), card (14 to 19 digits, Luhn), phone (10 to 15 digits), and beyond the base iban
-(mod-97) and ssn (three groups of digits; nothing to check, so only with a context word close before it).
+(mod-97) and ssn (three groups of digits; nothing to check, so only with a context word close to it).
 Score: 0.9 where a checksum confirmed the span, 0.6 otherwise, 0.3 for ssn; a context word of the kind in the 40
-characters before the span (other matches included) adds 0.3, up to 1. Spans under ``MIN_SCORE`` aren't reported.
+characters before the span or the 40 after it (other matches included) adds 0.3, up to 1. Spans under ``MIN_SCORE`` aren't reported.
 
 Defined results: a null text counts as empty; no spans give an empty string and the SHA-256 of it. Very long texts are
 taken whole. Rows repeat as they come; extra columns are ignored; ids may repeat or be null. No rows give no rows.
@@ -26,6 +26,8 @@ from .common import read_table
 MARK, STAND_IN = "\ue000", "\ue001"
 MIN_SCORE = 0.5
 CONTEXT = 40
+#: Pieces behind a match that hold CONTEXT characters at least, if there are any: each second one is a match, of five or more.
+REACH = 2 * -(-CONTEXT // 5) + 1
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -93,13 +95,25 @@ def _spans(kind: str, text: Column) -> Column:
     rank = KINDS.index(kind)
     empty = F.expr(f"cast(array() as {SPAN})")
 
+    def let(value: Column, body) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def named(around: Column) -> Column:
+        return F.lower(around).rlike(CONTEXT_WORDS[kind])
+
+    def with_after(x: Column) -> Column:
+        """Pieces, and for each match whether a context word follows it; the heads of the next pieces hold all it takes."""
+        following = lambda i: F.left(F.array_join(F.slice(x["heads"], i + 2, F.lit(REACH)), ""), F.lit(CONTEXT))
+        return F.transform(x["pieces"], lambda p, i: F.struct(p.alias("text"), ((i % 2 == 1) & named(following(i))).alias("after")))
+
     def step(state: Column, piece: Column) -> Column:
-        stop = state["at"] + F.length(piece)
-        near = F.lower(state["before"]).rlike(CONTEXT_WORDS[kind])
+        stop = state["at"] + F.length(piece["text"])
+        near = piece["after"] | named(state["before"])
         score = F.least(F.lit(1.0), F.lit(START_SCORE[kind]) + F.when(near, 0.3).otherwise(0.0))
         span = F.array(F.struct(state["at"].alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), score.alias("score"))).cast(SPAN)
-        keep = state["inside"] & _valid(kind, piece) & (score >= MIN_SCORE)
-        return F.struct(stop.alias("at"), F.right(F.concat(state["before"], piece), F.lit(CONTEXT)).alias("before"), (~state["inside"]).alias("inside"), F.when(keep, F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
+        keep = state["inside"] & _valid(kind, piece["text"]) & (score >= MIN_SCORE)
+        before = F.right(F.concat(state["before"], piece["text"]), F.lit(CONTEXT))
+        return F.struct(stop.alias("at"), before.alias("before"), (~state["inside"]).alias("inside"), F.when(keep, F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
 
     def walk(chunk: Column, at: Column, before: Column) -> Column:
         first = F.struct(at.alias("at"), before.alias("before"), F.lit(False).alias("inside"), empty.alias("found"))
@@ -107,16 +121,20 @@ def _spans(kind: str, text: Column) -> Column:
 
     def in_chunks(parts: Column) -> Column:
         chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int")), lambda c: F.slice(parts, c * CHUNK + 1, F.lit(CHUNK)))
-        sized = F.struct(chunks.alias("chunks"), F.transform(chunks, lambda c: _sum(F.transform(c, lambda p: F.length(p)))).alias("sizes"))
+        sized = F.struct(chunks.alias("chunks"), F.transform(chunks, lambda c: _sum(F.transform(c, lambda p: F.length(p["text"])))).alias("sizes"))
 
         def of(x: Column) -> Column:
-            ahead = lambda i: F.coalesce(F.right(F.array_join(F.get(x["chunks"], i - 1), ""), F.lit(CONTEXT)), F.lit(""))
+            ahead = lambda i: F.coalesce(F.right(F.array_join(F.get(x["chunks"], i - 1)["text"], ""), F.lit(CONTEXT)), F.lit(""))
             return F.flatten(F.transform(x["chunks"], lambda c, i: walk(c, _sum(F.slice(x["sizes"], F.lit(1), i)), ahead(i))))
 
-        return F.get(F.transform(F.array(sized), of), F.lit(0))
+        return let(sized, of)
+
+    def whole(parts: Column) -> Column:
+        return F.when(F.size(parts) <= CHUNK, walk(parts, F.lit(0), F.lit(""))).otherwise(in_chunks(parts))
 
     hint = text.contains(HINTS[kind]) if HINTS[kind] else text.rlike("[0-9]")
-    found = F.get(F.transform(F.array(pieces), lambda p: F.when(F.size(p) <= CHUNK, walk(p, F.lit(0), F.lit(""))).otherwise(in_chunks(p))), F.lit(0))
+    headed = let(pieces, lambda p: F.struct(p.alias("pieces"), F.transform(p, lambda x: F.left(x, F.lit(CONTEXT))).alias("heads")))
+    found = let(let(headed, with_after), whole)
     return F.when(hint & text.rlike(PATTERNS[kind]), found).otherwise(empty)
 
 
@@ -152,7 +170,8 @@ def _sql_kind(kind: str, pattern: str, valid: str, marked: str = f"{MARK}\\0{MAR
     rank, score, words = KINDS.index(kind), START_SCORE[kind], CONTEXT_WORDS[kind]
     return f"""
   SELECT n, {rank} AS rank, '{kind}' AS kind, start, start + length(m) AS stop, least(1.0, {score} + CASE WHEN near THEN 0.3 ELSE 0 END)::DOUBLE AS score
-  FROM (SELECT n, m, start, regexp_matches(lower(substr(t, greatest(start - {CONTEXT}, 0) + 1, least(start, {CONTEXT}))), '{words}') AS near
+  FROM (SELECT n, m, start, regexp_matches(lower(substr(t, greatest(start - {CONTEXT}, 0) + 1, least(start, {CONTEXT}))), '{words}')
+                            OR regexp_matches(lower(substr(t, start + length(m) + 1, {CONTEXT})), '{words}') AS near
         FROM (SELECT n, t, p[i] AS m, coalesce(list_sum(list_transform(p[1:i-1], lambda x: length(x))), 0)::BIGINT AS start
               FROM (SELECT n, t, p, unnest(range(2, len(p) + 1, 2)) AS i
                     FROM (SELECT n, t, string_split(regexp_replace(t, '{pattern}', '{marked}', 'g'), '{MARK}') AS p FROM d))))
