@@ -430,6 +430,11 @@ ARTICLES = {
     '<p>Main<div id="comments"><p>Far longer than the text itself is, as readers write a lot</div>': "Main",
     '<div class="related"><article class="card">Teaser</article></div>': "Teaser",
     '<aside><article>Other</article></aside><p>Main': "Main",
+    '<article><p class="ad-hoc">Ad hoc</p><div class="menu-of-the-day">Soup</div><div class="end-of-page-ad">Buy</div></article>': "Ad hoc\nSoup",
+    '<p>Main<div class="consent">We and our many partners store and read data on your device</div>': "Main",
+    '<p>Main<div class="cookie-bar">We and our many partners store and read data on your device</div>': "Main",
+    '<div class="cookie">Cookies are baked for ten minutes</div><p>Eat': "Cookies are baked for ten minutes\nEat",
+    '<div class="informed-consent">A patient agrees to a treatment once its risks are known</div><p>End': "A patient agrees to a treatment once its risks are known\nEnd",
 }
 
 
@@ -438,6 +443,17 @@ def test_names_do_not_hide_the_article(source):
     assert html_extract.extract(f"<html><body>{source}</body></html>", set()) == ARTICLES[source]
 
 
+def test_furniture_that_recurs_is_a_template(spark):
+    menu = "<nav><ul><li>Home<li>News</ul></nav><div class=\"sidebar\"><p>Most read</p></div>"
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<body>{menu}<div><p>Home<p>Story {i}</div></body>") for i in range(8)], "page_id long, url string, html string")
+    keys = {r["key"] for r in html_extract.site_templates(pages).collect()}
+    tree = html_extract.parse(f"<body>{menu}</body>")
+    wanted = {n.key for n in html_extract.hash_tree(tree) if n.tag in ("nav", "div")}
+    assert len(wanted) == 2 and wanted <= keys
+    # A short paragraph that all pages of the host hold goes, wherever it is.
+    assert {r["text"] for r in html_extract.extract_pages(pages).collect()} == {f"Story {i}" for i in range(8)}
+
+
 @pytest.mark.parametrize("frame", ["{}", "<article>{}</article>", "<main><div>{}</div></main>", "<div class=page><section>{}</section></div>"])
 def test_templates_equal_counting_blocks(spark, frame):
     rng = random.Random(len(frame))

@@ -1,17 +1,17 @@
 """Main text of web pages: site template removal by subtree frequency, and page furniture by its markup.
 
 Every element subtree is hashed (tag, the text inside and its child subtrees). Spark counts for each host on how many
-of its pages a subtree occurs, and a second pass deletes subtrees that recur on at least ``MIN_PAGES`` pages and on
-``MIN_SHARE`` of the host's pages, inside articles too. If the page has an article or a main element that holds text,
+of its pages a subtree occurs, furniture or not, and a second pass deletes subtrees that recur on at least ``MIN_PAGES``
+pages and on ``MIN_SHARE`` of the host's pages, inside articles too. If the page has an article or a main element that holds text,
 only what lies in it is kept. As the article of a page copied on many urls is still its text, pages of one host with
 equal articles count as one page, and the article itself is never a template.
 
 What doesn't recur goes by its markup, on any host: elements that are furniture by tag or role (nav, header, footer,
 aside, form, script, ...; a header with a heading inside an article is the article's own) or hidden; and elements whose
 class or id names furniture (menu, sidebar, cookie, advert, comments, ...). Names are the weaker sign: they don't count
-on what holds an article or main element or, but for comments, more than half of the page's text, nor if they only say
-what a layout has (has-sidebar, social-page) or name a part of the text (post-header); of paragraphs and headings, only
-names of adverts, notices and comments do. Articles named as comments, or nested in an article with text of its own, go.
+on what holds an article or main element or, but for comments and cookie notices, more than half of the page's text, nor
+if they only say what a layout has (has-sidebar, social-page), name a part of the text (post-header) or begin a phrase
+(menu-of-the-day, ad-hoc); of paragraphs and headings, only names of adverts, notices and comments do. Articles named as comments, or nested in an article with text of its own, go.
 
 Text: character references are decoded; white space inside a block becomes one space; blocks (block-level elements
 and line breaks) are trimmed and joined in page order by one \\n; empty ones are left out.
@@ -65,6 +65,10 @@ FURNITURE_WORDS = NOTICE_WORDS | set(
 #: Names that begin or end like this describe a layout; a header or a relation of the text is part of the text.
 LAYOUT_FIRST, LAYOUT_LAST = {"has", "no", "with", "without"}, {"page", "layout", "site", "app"}
 TEXT_PARTS = {"post", "entry", "article", "story", "content", "section", "work", "works", "study", "studies"}
+#: A name of one of the first and else only of these and FURNITURE_WORDS is a notice however long it is.
+CONSENT_WORDS, CONSENT_PARTS = {"cookie", "cookies", "consent", "gdpr"}, {"bar", "box", "wrapper", "container", "dialog"}
+#: A word before one of these doesn't name the element.
+PHRASES = {"of", "hoc"}
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong", "span", "a", "blockquote", "pre", "td", "th", "li"}
 HARD, NAMED, COMMENTS = 3, 1, 2
 #: An open element of the first kind ends where one of the second starts.
@@ -97,9 +101,11 @@ def named_furniture(tag: str, names: str) -> int:
         words = WORDS.findall(name)
         if not words or words[0] in LAYOUT_FIRST or words[-1] in LAYOUT_LAST:
             continue
-        signs = FURNITURE_WORDS.intersection(words)
+        signs = FURNITURE_WORDS.intersection(w for w, after in zip(words, [*words[1:], ""]) if after not in PHRASES)
         if not COMMENT_WORDS.isdisjoint(signs):
             return COMMENTS
+        if tag not in ("article", "main") and not CONSENT_WORDS.isdisjoint(signs) and words not in (["cookie"], ["cookies"]) and FURNITURE_WORDS.union(CONSENT_PARTS).issuperset(words):
+            return COMMENTS
         if signs <= {"header", "related", "search"} and not TEXT_PARTS.isdisjoint(words):
             continue
         if signs if tag not in LEAVES else not NOTICE_WORDS.isdisjoint(signs):
@@ -303,15 +309,15 @@ def render(nodes: list[Node], templates: set[int]) -> str:
 
 
 def candidates(source: str | None) -> tuple[list[int], int | None]:
-    """Keys of the page's element subtrees that could be a template (with text, below the body, not the article itself),
-    in order, and a hash of its article, if it has one."""
+    """Keys of the page's element subtrees that could be a template (with text, below the body, not the article itself,
+    furniture or not), in order, and a hash of its article, if it has one."""
     if not source:
         return [], None
     root = parse(source)
     order = hash_tree(root)
     main = regions(root)
     roots = {id(n) for n in main}
-    keys = {n.key for n in order if n.has_text and not n.furniture and n.tag not in ("#root", "html", "body", "head") and id(n) not in roots}
+    keys = {n.key for n in order if n.has_text and n.tag not in ("#root", "html", "body", "head") and id(n) not in roots}
     article = xxhash.xxh3_64_intdigest(b"".join(n.key.to_bytes(8, "little", signed=True) for n in main)) - (1 << 63) if main else None
     return sorted(keys), article
 
