@@ -28,16 +28,20 @@ def hinted(table: DataFrame) -> DataFrame:
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (u, v). The large star links each larger neighbour to the least one, the small star each smaller one."""
+    # Both directions by explode, not union: a graph gathered in one partition stays there, without shuffles.
     if large:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         side = both.where(F.col("v") > F.col("u"))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         side = both
     least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
-    moved = side.join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    if not large:
-        moved = moved.union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
+    moved = side.join(least, F.col("u") == F.col("w"))
+    if large:
+        moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        ends = F.array(*[F.struct(F.col(x).alias("u"), F.col("m").alias("v")) for x in "vw"])
+        moved = moved.select(F.explode(ends).alias("e")).select("e.*")
     moved = moved.where(F.col("u") != F.col("v"))
     return moved if large else moved.distinct()  # the small star follows the large one and takes its repeats
 
