@@ -327,6 +327,37 @@ def test_large_bucket_hides_no_pair(spark, monkeypatch, most, left):
     assert all(got[a] == got[b] for a, b in pairs) and len(set(got.values())) >= 700 - 20
 
 
+def test_crowded_bucket_is_exact_whatever_its_size(spark, monkeypatch):
+    """Near copies that keep no pair of words but those of a passage that all texts share: no switch of sizes loses them."""
+    rng = random.Random(12)
+    shared = [f"p{i}" for i in range(140)]
+    texts = [shared + [f"w{k}_{i}" for i in range(60)] for k in range(60)]
+    texts += [shared + [w if i % 3 == 0 else f"n{k}_{i}" for i, w in enumerate(texts[k][140:])] for k in range(20)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").cache()
+    found = []
+    for crowd, left in ((256, 1 << 23), (8, 0)):
+        monkeypatch.setattr(near_dedup, "CROWD", crowd)
+        monkeypatch.setattr(near_dedup, "LEFT", left)
+        found.append({r["doc_id"]: r["class_id"] for r in near_dedup.classify(docs).collect()})
+    assert found[0] == found[1] and len(set(found[0].values())) == 60
+
+
+@pytest.mark.parametrize("size", [1, 2])
+@pytest.mark.parametrize("n", [5, 6, 9, 10, 11, 20, 45, 200])
+def test_similar_texts_share_a_rarest_window(n, size):
+    rng = np.random.default_rng(n)
+    for _ in range(60):
+        a = rng.integers(0, n, n).astype(np.uint64)
+        b = a.tolist()
+        for _ in range(int(0.2 * n + 1e-9)):
+            at = rng.integers(0, len(b))
+            b[at : at + 1] = [[], [int(rng.integers(n, 2 * n))], [b[at], int(rng.integers(0, n))]][rng.integers(0, 3)]
+        if near_dedup.similar(a.astype(np.uint32), np.array(b, np.uint32)):
+            owner, keys = near_dedup.rarest(np.concatenate([a, np.array(b, np.uint64)]), np.array([0, n, n + len(b)]), size, rng.integers(0, 5, 64))
+            assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+
+
 def test_possible_loses_no_similar_text():
     rng = np.random.default_rng(4)
     texts = [rng.integers(0, 60, rng.integers(5, 80)).astype(np.uint32) for _ in range(40)]

@@ -11,19 +11,18 @@ one word. Copies are taken out beforehand: equal word sequences share one node.
 1. All members of a bucket are compared with its leader, the one of the least key, and linked if similar.
 2. A bucket of up to ``CROWD`` members that then still holds more than one component compares all pairs of different
    components; bounds from words and pairs (matrix products of clipped counts) spare most alignments.
-3. A larger one is crowded by a passage that unrelated texts have in common. Two of its members of different components
-   show the passage: it is what their windows share. The members are sketched again without the windows of such
-   passages (by one minimum of windows of ``SHORT_WINDOW`` words, as a short rest may be edited much), and go through
-   the same steps in the buckets of what sets them apart. A text of which the passages are the better half is also
-   sketched with all its windows, taking twice as many minima in each round.
-4. Once no more than ``LEFT`` pairs of crowded buckets are left, or after ``ROUNDS`` rounds, they are compared whole,
-   dealt into blocks of ``BLOCK`` members.
-
-So nothing but the sketches themselves decides by chance which pairs are met, and unrelated texts with a common passage,
-however many, cost no more than their number. Candidates are verified by the edit distance of the word sequences, from a
-banded bit-parallel alignment whose band is the number of edits allowed. Two texts are near-duplicates at a similarity
-1 - distance / length of the longer of ``SIMILARITY`` or more. Classes are the connected components of verified links;
-they are found on the cluster.
+3. A larger one is crowded by a passage that unrelated texts have in common. Unless all crowded buckets hold no more than
+   ``LEFT`` pairs, their members are parted by their rarest pairs of words, each counted as often as it occurs: texts so
+   similar share one at least among the first n - needed + 1 of either (`rarest`). Parts that are still crowded are parted
+   again by the rarest words, and what is crowded even then is compared whole, dealt into blocks of ``BLOCK`` members. Only
+   members that share a bucket are linked.
+
+So nothing but the sketches decides by chance which pairs are met: every similar pair of different components that shares a
+bucket is compared, however large the bucket, and sizes only decide how it is found. Unrelated texts with a common passage
+cost about their number, as long as their rarest words differ. Candidates are verified by the edit distance of the word
+sequences, from a banded bit-parallel alignment whose band is the number of edits allowed. Two texts are near-duplicates at
+a similarity 1 - distance / length of the longer of ``SIMILARITY`` or more. Classes are the connected components of
+verified links; they are found on the cluster.
 
 Defined results: texts without a word (null, empty, white space) are each a class of their own. Texts of fewer than
 ``SHINGLE`` words only join equal ones. Very long texts are taken whole. Rows may repeat and ids be shared or null: rows
@@ -43,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import read_table
-from .components import between_labels, components, hinted, merge_classes
+from .components import components, hinted, merge_classes
 
 SHINGLE = 5
 WINDOW = 3
@@ -54,12 +53,12 @@ ONE_EDIT = 9
 SAMPLED = 2
 SIMILARITY = 0.8
 CHUNK = 2 << 20
-#: Members up to which a bucket compares all its pairs; rounds of sketching larger ones again, and pairs few enough to
-#: be compared instead; members of a block of these.
+#: Members up to which a bucket compares all its pairs; pairs of larger ones that are few enough to be compared, too; members
+#: of a block of these; members of a bucket up to which many are put in one task's table.
 CROWD = 256
-ROUNDS, LEFT = 4, 1 << 23
-BLOCK = 128
-#: Windows of crowding passages up to which they are broadcast.
+LEFT = 1 << 23
+BLOCK, PACKED = 128, 16
+#: Slots of the counts (4 bytes each) of windows by which crowded buckets are parted; they are broadcast.
 MAX_BROADCAST_WINDOWS = 1_000_000
 #: Nodes (8 bytes each) up to which they are broadcast to pick their texts; more of them are joined by a shuffle.
 MAX_BROADCAST_NODES = 1_000_000
@@ -174,22 +173,22 @@ def sketch_keys(words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(owners), np.concatenate(keys)
 
 
-def keys_beside(words: np.ndarray, firsts: np.ndarray, hot: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts and keys of a round of refinement: of what is left without the windows in hot (sorted)."""
-    windows, starts = shingles(words, firsts, SHORT_WINDOW)
-    at = np.minimum(np.searchsorted(hot, windows), max(len(hot) - 1, 0))
-    own = hot[at] != windows if len(hot) else np.ones(len(windows), bool)
-    left = np.concatenate(([0], np.cumsum(own)))[starts]
-    few = np.flatnonzero(2 * np.diff(left) < np.diff(starts))
-    counts = np.diff(firsts)
-    rest = np.zeros(len(counts), bool)
-    rest[few] = True
-    whole = shingles(words[np.repeat(rest, counts)], np.concatenate(([0], np.cumsum(counts[few]))), WINDOW)
-    owners, keys = [], []
-    for (values, cuts), texts, seeds, sampled in (((windows[own], left), np.arange(len(counts)), _SHORT_SEEDS, 1), (whole, few, _SEEDS, SAMPLED << depth)):
-        owners.append(np.repeat(texts[np.diff(cuts) > 0], len(seeds)))
-        keys.append(sketch(values, cuts, common.mix(seeds + _U64(depth)), sampled).ravel())
-    return np.concatenate(owners), np.concatenate(keys)
+def rarest(words: np.ndarray, firsts: np.ndarray, size: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts and the first of their labelled windows of ``size`` words (1 or 2) in the order that all share: rare ones first.
+
+    A longer text of n words shares n - size + 1 - size * limit windows at least with a similar one (an edit touches ``size``
+    of them), and that bound only grows with n; so two similar texts share one of those returned.
+    """
+    windows, starts = shingles(words, firsts, size)
+    marked = labelled(windows, starts)
+    have = np.diff(starts)
+    owner = np.repeat(np.arange(len(have)), have)
+    order = np.lexsort((marked, counts[(marked % _U64(len(counts))).astype(np.int64)], owner))
+    needed = np.maximum(1, np.ceil(np.diff(firsts) * (1 - size * (1 - SIMILARITY)) - (size - 1) - 1e-6)).astype(np.int64)
+    wanted = np.maximum(0, have - needed + 1)
+    place = np.arange(len(marked)) - np.repeat(starts[:-1], have)
+    first = place < wanted[owner]
+    return owner[first], marked[order[first]]
 
 
 def candidate_keys(words: np.ndarray, firsts: np.ndarray) -> list[set[int]]:
@@ -367,14 +366,17 @@ def possible(a: list[np.ndarray], b: list[np.ndarray], threshold: float = SIMILA
 
 
 def _crossed(table: pa.Table) -> pa.Table:
-    """Links of different components between two blocks of a bucket (or within one). One link joins two components."""
-    nodes, labels, block = (table.column(c).to_numpy() for c in ("node", "label", "block"))
+    """Links of different components between two blocks of a bucket (or within one, or within each of several small
+    buckets). One link joins two components. Members with marks are only linked if they share one."""
+    keys, nodes, labels, block = (table.column(c).to_numpy() for c in ("key", "node", "label", "block"))
+    marks = [set(m) for m in table.column("marks").to_pylist()] if "marks" in table.column_names else None
     x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
     tokens = [np.frombuffer(t, np.uint32) for t in table.column("tokens").to_pylist()]
     first, second = np.flatnonzero(block == x), np.flatnonzero(block == y)
     found: tuple[list[int], list[int]] = [], []
     if len(first) and len(second):
         open_pairs = possible([tokens[i] for i in first], [tokens[j] for j in second]) & (labels[first][:, None] != labels[second][None, :])
+        open_pairs &= keys[first][:, None] == keys[second][None, :]
         if x == y:
             open_pairs = np.triu(open_pairs, 1)
         above: dict[int, int] = {}
@@ -387,46 +389,34 @@ def _crossed(table: pa.Table) -> pa.Table:
         for i, j in zip(*(at.tolist() for at in np.nonzero(open_pairs))):
             i, j = first[i], second[j]
             a, b = root(int(labels[i])), root(int(labels[j]))
-            if a != b and similar(tokens[i], tokens[j]):
+            if a != b and (marks is None or not marks[i].isdisjoint(marks[j])) and similar(tokens[i], tokens[j]):
                 above[a] = b
                 found[0].append(int(nodes[i]))
                 found[1].append(int(nodes[j]))
     return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
 
-def _windows_of(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of SHORT_WINDOW words of each text, and the text each belongs to."""
+def _words(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = [np.frombuffer(t, np.uint32).astype(np.uint64) for t in tokens.to_pylist()]
-    firsts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    windows, starts = shingles(np.concatenate([*texts, np.zeros(0, np.uint64)]), firsts, SHORT_WINDOW)
-    return windows, np.repeat(np.arange(len(texts)), np.diff(starts))
+    return np.concatenate([*texts, np.zeros(0, np.uint64)]), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
 
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows that two texts have in common."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            one, other = (_windows_of(batch.column(c).slice(k, 1))[0] for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.intersect1d(one, other).view(np.int64))], ["hot"])
+def _counted(size: int, slots: int):
+    """How many labelled windows of tokens (column 1) each slot holds."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, 1, CHUNK):
+            marked = labelled(*shingles(*_words(batch.column(1)), size))
+            held, n = np.unique((marked % _U64(slots)).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n)], ["slot", "n"])
 
-def _own_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in common.slices(batches, 1, CHUNK):
-        windows, owner = _windows_of(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(owner, windows, batch.num_rows)], ["node", "windows"])
-
+    return count
 
-def _again(depth: int, broadcast=None):
-    """Sketches tokens (column 1) without the broadcast windows, or without those in column 2."""
 
+def _rarest(size: int, counts):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 1, CHUNK):
-            texts = [np.frombuffer(t, np.uint32).astype(np.uint64) for t in batch.column(1).to_pylist()]
-            firsts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-            # A window is set aside in all texts or in none, so those of all texts in the batch can go together.
-            hot = broadcast.value if broadcast is not None else np.unique(batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64)
-            hot = np.sort(hot)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(*keys_beside(np.concatenate(texts), firsts, hot, depth), len(texts))], ["node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(*rarest(*_words(batch.column(1)), size, counts.value), batch.num_rows)], ["t", "windows"])
 
     return scan
 
@@ -474,7 +464,7 @@ def _links(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def _with_labels(met: DataFrame, classes: DataFrame) -> DataFrame:
     known = hinted(classes).select(F.col("node").alias("c"), "label")
-    return met.where(F.col("n") > 2).select("key", "node", "n").join(known, F.col("node") == F.col("c"), "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    return met.join(known, F.col("node") == F.col("c"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
 
 
 def _open_buckets(members: DataFrame) -> DataFrame:
@@ -485,43 +475,38 @@ def _open_buckets(members: DataFrame) -> DataFrame:
     return once.select(F.col("one.key").alias("k"), F.col("one.main.label").alias("main"), (F.col("n") - F.col("one.main.n")).alias("n_rest"), F.col("one.main.n").alias("n_main"))
 
 
-def _within_buckets(members: DataFrame, buckets: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Links between components that share a bucket: the largest component's members only meet the others."""
+def _within_buckets(members: DataFrame, buckets: DataFrame, tokens: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """Links between components that share a bucket: the largest component's members only meet the others. marks: (node,
+    marks); members are only linked if they share one."""
+    packed = F.col("n_rest") + F.col("n_main") <= PACKED
+    packs = 1 + (buckets.agg(F.sum(F.when(packed, F.col("n_rest") + F.col("n_main")))).first()[0] or 0) // (2 * BLOCK)
     small = F.col("n_rest") + F.col("n_main") <= CROWD
     n_rest = F.when(small, 1).otherwise(F.ceil(F.col("n_rest") / BLOCK))
     n_main = F.when(small, 0).otherwise(F.ceil(F.col("n_main") / BLOCK))
     apart = ~small & (F.col("label") == F.col("main"))
-    dealt = members.join(hinted(buckets), F.col("key") == F.col("k")).withColumns({"rest_blocks": n_rest, "main_blocks": n_main, "apart": apart})
+    dealt = members.join(hinted(buckets), F.col("key") == F.col("k")).withColumns({"rest_blocks": n_rest, "main_blocks": n_main, "apart": apart, "table": F.when(packed, F.pmod(F.xxhash64("key"), F.lit(packs))).otherwise(F.col("key"))})
     spot = F.xxhash64("node", "key")
     dealt = dealt.withColumn("block", F.when(F.col("apart"), F.col("rest_blocks") + F.pmod(spot, F.col("main_blocks"))).otherwise(F.pmod(spot, F.col("rest_blocks"))))
     others = F.sequence(F.lit(0).cast("long"), F.when(F.col("apart"), F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("main_blocks")) - 1)
     dealt = common.cut_lineage(dealt)
     sides = _only(tokens, dealt.select("node")).select(F.col("node").alias("t"), "tokens")
-    rows = dealt.select("key", "node", "label", "block", F.explode(others).alias("other")).select("key", "node", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    return rows.join(sides, F.col("node") == F.col("t")).drop("t").groupBy("key", "x", "y").applyInArrow(_crossed, "a bigint, b bigint")
+    if marks is not None:
+        sides = sides.join(marks.select(F.col("node").alias("m"), "marks"), F.col("t") == F.col("m")).drop("m")
+    rows = dealt.select("table", "key", "node", "label", "block", F.explode(others).alias("other")).select("table", "key", "node", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    return rows.join(sides, F.col("node") == F.col("t")).drop("t").groupBy("table", "x", "y").applyInArrow(_crossed, "a bigint, b bigint")
 
 
-def _hot_windows(crowd: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(hot): windows of the passages that crowd buckets, from two members of different components of each bucket."""
-    ends = crowd.groupBy("key").agg(F.min(F.struct("label", "node")).alias("low"), F.max(F.struct("label", "node")).alias("high"))
-    pairs = common.cut_lineage(ends.select(F.col("low.node").alias("a"), F.col("high.node").alias("b")).distinct())
-    tokens = _only(tokens, pairs.select(F.explode(F.array("a", "b"))))
-    sides = [tokens.select(F.col("node").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}")) for x in "ab"]
-    both = pairs.join(sides[0], F.col("a") == F.col("n_a")).join(sides[1], F.col("b") == F.col("n_b")).select("t_a", "t_b")
-    return both.mapInArrow(_passages, "hot bigint").distinct()
-
+def _parted(crowd: DataFrame, tokens: DataFrame, size: int) -> DataFrame:
+    """(key, node): members of crowded buckets (key, node) by bucket and each of their rarest windows of ``size`` words.
 
-def _sketched_again(crowd: DataFrame, hot: DataFrame, tokens: DataFrame, depth: int) -> DataFrame:
-    """(key, node): entries of the crowded buckets' members without the hot windows."""
-    texts = _only(tokens, crowd.select("node")).select("node", "tokens")
-    if hot.count() <= MAX_BROADCAST_WINDOWS:
-        windows = np.array([r["hot"] for r in hot.collect()], np.int64).view(np.uint64)
-        again = texts.mapInArrow(_again(depth, crowd.sparkSession.sparkContext.broadcast(windows)), "node bigint, keys array<bigint>")
-    else:
-        own = texts.mapInArrow(_own_windows, "node bigint, windows array<bigint>").select("node", F.explode(F.array_distinct("windows")).alias("window"))
-        own = own.join(hot, F.col("window") == F.col("hot")).groupBy(F.col("node").alias("n")).agg(F.collect_list("window").alias("hot"))
-        again = texts.join(own, F.col("node") == F.col("n"), "left").select("node", "tokens", "hot").mapInArrow(_again(depth), "node bigint, keys array<bigint>")
-    return common.cut_lineage(again).select(F.explode(F.array_distinct("keys")).alias("key"), "node")
+    Counts of windows by slot, at most MAX_BROADCAST_WINDOWS of them, reach the driver.
+    """
+    texts = common.cut_lineage(_only(tokens, crowd.select("node")).select("node", "tokens"))
+    counts = np.zeros(max(1, MAX_BROADCAST_WINDOWS), np.int32)
+    for row in texts.mapInArrow(_counted(size, len(counts)), "slot bigint, n bigint").groupBy("slot").agg(F.least(F.sum("n"), F.lit(1 << 30)).alias("n")).where(F.col("n") > 1).collect():
+        counts[row["slot"]] = row["n"]
+    windows = texts.mapInArrow(_rarest(size, crowd.sparkSession.sparkContext.broadcast(counts)), "t bigint, windows array<bigint>")
+    return crowd.join(windows, F.col("node") == F.col("t")).select("key", "node", F.explode("windows").alias("window")).select(F.xxhash64("key", "window").alias("key"), "node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -534,26 +519,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens = _only(texts.select("text").mapInArrow(_tokens, "node bigint, tokens binary"), pairs.select(F.explode(F.array("a", "b"))))
     tokens = common.cut_lineage(tokens.dropDuplicates(["node"]))
     classes = common.cut_lineage(components(common.cut_lineage(_links(pairs, tokens))))
-    hot = None
-    for depth in range(1, ROUNDS + 2):
-        members = common.cut_lineage(_with_labels(met, classes))
+    # Two members are compared as leader and member already.
+    members, marks = common.cut_lineage(_with_labels(met.where(F.col("n") > 2), classes)), None
+    in_crowd = F.col("n_rest") + F.col("n_main") > CROWD
+    for size in (2, 1, 0):  # of the windows that part what is crowded; in the end, the rest is compared whole
         buckets = common.cut_lineage(_open_buckets(members))
-        pairs_left = F.sum(F.when(F.col("n_rest") + F.col("n_main") > CROWD, F.col("n_rest") * (F.col("n_rest") + F.col("n_main"))))
-        last = depth > ROUNDS or (buckets.agg(pairs_left).first()[0] or 0) <= LEFT
-        crowded = (F.col("n_rest") + F.col("n_main") > CROWD) & F.lit(not last)
-        links = _within_buckets(members, buckets.where(~crowded), tokens)
-        if not last:
-            crowd = members.join(buckets.where(crowded).select("k"), F.col("key") == F.col("k"), "left_semi")
-            new = _hot_windows(crowd, tokens)
-            hot = common.cut_lineage(new if hot is None else hot.union(new).distinct())
-            met = _met(_sketched_again(crowd, hot, tokens, depth))
-            pairs = common.cut_lineage(between_labels(_leaders(met), classes).select("a", "b").distinct())
-            links = links.union(_links(pairs, _only(tokens, pairs.select(F.explode(F.array("a", "b"))))))
-        links = common.cut_lineage(links)
+        pairs_left = F.sum(F.when(in_crowd, F.col("n_rest") * (F.col("n_rest") + F.col("n_main"))))
+        last = not size or (buckets.agg(pairs_left).first()[0] or 0) <= LEFT
+        links = common.cut_lineage(_within_buckets(members, buckets if last else buckets.where(~in_crowd), tokens, marks))
         if not links.isEmpty():
             classes = merge_classes(classes, links)
         if last:
             break
+        crowd = members.join(hinted(buckets.where(in_crowd).select("k")), F.col("key") == F.col("k"), "left_semi").select("key", "node")
+        if marks is None:  # the first time, all buckets together: texts have the same windows in each
+            marks = common.cut_lineage(crowd.groupBy("node").agg(F.collect_set("key").alias("marks")))
+            crowd = marks.select(F.lit(0).cast("long").alias("key"), "node")
+        members = common.cut_lineage(_with_labels(_parted(crowd, tokens, size), classes))
     return texts.mapInArrow(_named, f"id {texts.schema['id'].dataType.simpleString()}, node bigint, n_words bigint"), classes
 
 
