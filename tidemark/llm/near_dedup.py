@@ -497,7 +497,8 @@ def _within_buckets(members: DataFrame, buckets: DataFrame, tokens: DataFrame, m
 
 
 def _parted(crowd: DataFrame, tokens: DataFrame, size: int) -> DataFrame:
-    """(key, node): members of crowded buckets (key, node) by bucket and each of their rarest windows of ``size`` words.
+    """(key, node): members of crowded buckets (node) by each of their rarest windows of ``size`` words. All buckets go
+    together, so a text has its windows once, however many of them it is in.
 
     Counts of windows by slot, at most MAX_BROADCAST_WINDOWS of them, reach the driver.
     """
@@ -506,7 +507,7 @@ def _parted(crowd: DataFrame, tokens: DataFrame, size: int) -> DataFrame:
     for row in texts.mapInArrow(_counted(size, len(counts)), "slot bigint, n bigint").groupBy("slot").agg(F.least(F.sum("n"), F.lit(1 << 30)).alias("n")).where(F.col("n") > 1).collect():
         counts[row["slot"]] = row["n"]
     windows = texts.mapInArrow(_rarest(size, crowd.sparkSession.sparkContext.broadcast(counts)), "t bigint, windows array<bigint>")
-    return crowd.join(windows, F.col("node") == F.col("t")).select("key", "node", F.explode("windows").alias("window")).select(F.xxhash64("key", "window").alias("key"), "node")
+    return crowd.join(windows, F.col("node") == F.col("t")).select(F.explode("windows").alias("key"), "node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -532,9 +533,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if last:
             break
         crowd = members.join(hinted(buckets.where(in_crowd).select("k")), F.col("key") == F.col("k"), "left_semi").select("key", "node")
-        if marks is None:  # the first time, all buckets together: texts have the same windows in each
+        if marks is None:
             marks = common.cut_lineage(crowd.groupBy("node").agg(F.collect_set("key").alias("marks")))
-            crowd = marks.select(F.lit(0).cast("long").alias("key"), "node")
+        crowd = common.cut_lineage(crowd.select("node").distinct())
         members = common.cut_lineage(_with_labels(_parted(crowd, tokens, size), classes))
     return texts.mapInArrow(_named, f"id {texts.schema['id'].dataType.simpleString()}, node bigint, n_words bigint"), classes
 
