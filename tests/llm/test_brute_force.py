@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -343,6 +344,68 @@ def test_crowded_bucket_is_exact_whatever_its_size(spark, monkeypatch):
     assert found[0] == found[1] and len(set(found[0].values())) == 60
 
 
+def _crowd_of_lengths():
+    """Texts of one passage and of all lengths; of some, copies that lose or gain as many words as similarity allows."""
+    rng = random.Random(31)
+    texts = []
+    for k in range(90):
+        texts.append("p q r s t u v x".split() + [f"w{k}_{i % 7 if k % 5 == 0 else i}" for i in range(rng.randrange(4, 190))])
+        n = len(texts[-1])
+        if k % 3 == 0:
+            texts.append(texts[-1][: n - n // 5] if k % 2 else texts[-1] + [f"e{k}_{i}" for i in range(n // 4)])
+    rng.shuffle(texts)
+    return texts
+
+
+def test_classes_do_not_depend_on_how_a_crowd_is_compared(spark, monkeypatch):
+    texts = _crowd_of_lengths()
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").cache()
+    found = []
+    for crowd, left, tile, slots in ((1 << 20, 0, 256, 1000), (8, 1 << 26, 8, 1000), (8, 0, 8, 1000), (8, 0, 8, 1)):
+        for name, value in (("CROWD", crowd), ("LEFT", left), ("TILE", tile), ("MAX_BROADCAST_WINDOWS", slots)):
+            monkeypatch.setattr(near_dedup, name, value)
+        found.append({r["doc_id"]: r["class_id"] for r in near_dedup.classify(docs).collect()})
+    assert found[0] == found[1] == found[2] == found[3] and len(set(found[0].values())) <= len(texts) - 25
+
+
+@pytest.mark.parametrize("main", [0, 1])
+def test_a_crowd_compared_whole_loses_no_pair_of_any_length(spark, monkeypatch, main):
+    monkeypatch.setattr(near_dedup, "TILE", 8)
+    tokens = [np.array([zlib.crc32(t.encode()) for t in text], np.uint32) for text in _crowd_of_lengths()]
+    label = [main if i % 4 == 0 else 1000 + i for i in range(len(tokens))]
+    crowd = spark.createDataFrame([(i, label[i], [0] if i % 2 else [0, 1]) for i in range(len(tokens))], "node long, label long, marks array<long>")
+    table = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(tokens)], "node long, tokens binary")
+    got = {(r["a"], r["b"]) for r in near_dedup._whole(crowd, main, table).collect()}
+    true = {(i, j) for i in range(len(tokens)) for j in range(i) if label[i] != label[j] and near_dedup.similar(tokens[i], tokens[j])}
+    assert {frozenset(p) for p in got} <= {frozenset(p) for p in true}
+
+    def parts(pairs):
+        above = {x: x for x in [*range(len(tokens)), *label]}
+
+        def root(x):
+            while above[x] != x:
+                x = above[x]
+            return x
+
+        for a, b in [*pairs, *((i, x) for i, x in enumerate(label))]:
+            above[max(root(a), root(b))] = min(root(a), root(b))
+        return [root(i) for i in range(len(tokens))]
+
+    assert parts(got) == parts(true) and len(true) >= 15
+
+
+def test_windows_of_one_component_part_no_crowd(spark):
+    """300 unrelated texts of a common passage, 100 of which are near copies of one another: rows for what they share only."""
+    passage = [f"p{i}" for i in range(10)]
+    copies = [[f"c{i}" if i != k % 50 else f"d{k}" for i in range(50)] for k in range(100)]
+    texts = [*copies, *([f"w{k}_{i}" for i in range(50)] for k in range(200))]
+    tokens = [np.array([zlib.crc32(w.encode()) for w in passage + t], np.uint32) for t in texts]
+    crowd = spark.createDataFrame([(i, 0 if i < 100 else i, [7]) for i in range(300)], "node long, label long, marks array<long>")
+    table = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(tokens)], "node long, tokens binary")
+    rows = near_dedup._parted(crowd, table, 2).collect()
+    assert len(rows) < 300  # 24 windows of each text are its rarest
+
+
 @pytest.mark.parametrize("size", [1, 2])
 @pytest.mark.parametrize("n", [5, 6, 9, 10, 11, 20, 45, 200])
 def test_similar_texts_share_a_rarest_window(n, size):

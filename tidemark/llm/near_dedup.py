@@ -11,11 +11,13 @@ one word. Copies are taken out beforehand: equal word sequences share one node.
 1. All members of a bucket are compared with its leader, the one of the least key, and linked if similar.
 2. A bucket of up to ``CROWD`` members that then still holds more than one component compares all pairs of different
    components; bounds from words and pairs (matrix products of clipped counts) spare most alignments.
-3. A larger one is crowded by a passage that unrelated texts have in common. Unless all crowded buckets hold no more than
-   ``LEFT`` pairs, their members are parted by their rarest pairs of words, each counted as often as it occurs: texts so
-   similar share one at least among the first n - needed + 1 of either (`rarest`). Parts that are still crowded are parted
-   again by the rarest words, and what is crowded even then is compared whole, dealt into blocks of ``BLOCK`` members. Only
-   members that share a bucket are linked.
+3. A larger one is crowded by a passage that unrelated texts have in common. The members of all crowded buckets make one
+   crowd. If it has no more than ``LEFT`` pairs of different components, each pair is compared once, however many buckets
+   it shares: the crowd is dealt into tiles of about ``TILE`` texts of like length, and only tiles of lengths that similarity
+   allows meet. A larger crowd is parted by its rarest pairs of words, each counted as often as it occurs: texts so similar
+   share one at least among the first n - needed + 1 of either (`rarest`), and what only one component holds parts nothing.
+   Members of parts that are still crowded make the next crowd, which is parted by the rarest words; parts that are crowded
+   even then are compared one by one, dealt into blocks of ``BLOCK`` members. Only members that share a bucket are linked.
 
 So nothing but the sketches decides by chance which pairs are met: every similar pair of different components that shares a
 bucket is compared, however large the bucket, and sizes only decide how it is found. Unrelated texts with a common passage
@@ -53,11 +55,15 @@ ONE_EDIT = 9
 SAMPLED = 2
 SIMILARITY = 0.8
 CHUNK = 2 << 20
-#: Members up to which a bucket compares all its pairs; pairs of larger ones that are few enough to be compared, too; members
-#: of a block of these; members of a bucket up to which many are put in one task's table.
+#: Members up to which a bucket compares all its pairs; pairs up to which a crowd compares all (some 0.1 microseconds each,
+#: and what their bounds leave); members of a tile of these; members of a block of a crowded part; members of a bucket up to
+#: which many are put in one task's table.
 CROWD = 256
-LEFT = 1 << 23
+LEFT = 1 << 26
+TILE = 256
 BLOCK, PACKED = 128, 16
+#: Two similar texts are at most two bands of length apart: a length is 1.25 times the other at most.
+BANDS = 2 / np.log(1.2501)
 #: Slots of the counts (4 bytes each) of windows by which crowded buckets are parted; they are broadcast.
 MAX_BROADCAST_WINDOWS = 1_000_000
 #: Nodes (8 bytes each) up to which they are broadcast to pick their texts; more of them are joined by a shuffle.
@@ -402,21 +408,31 @@ def _words(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(size: int, slots: int):
-    """How many labelled windows of tokens (column 1) each slot holds."""
+    """How many labelled windows of tokens (column 1) each slot holds, and the least and greatest component (column 2) of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 1, CHUNK):
-            marked = labelled(*shingles(*_words(batch.column(1)), size))
-            held, n = np.unique((marked % _U64(slots)).astype(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n)], ["slot", "n"])
+            windows, starts = shingles(*_words(batch.column(1)), size)
+            if not len(windows):
+                continue
+            slot = (labelled(windows, starts) % _U64(slots)).astype(np.int64)
+            order = np.argsort(slot, kind="stable")
+            held, first, n = np.unique(slot[order], return_index=True, return_counts=True)
+            label = np.repeat(batch.column(2).to_numpy(), np.diff(starts))[order]
+            ends = [np.minimum.reduceat(label, first), np.maximum.reduceat(label, first)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (held, n, *ends)], ["slot", "n", "low", "high"])
 
     return count
 
 
 def _rarest(size: int, counts):
+    """Rarest windows of tokens (column 1) but for those of slots with count 0, which only one component holds."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 1, CHUNK):
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(*rarest(*_words(batch.column(1)), size, counts.value), batch.num_rows)], ["t", "windows"])
+            owner, windows = rarest(*_words(batch.column(1)), size, counts.value)
+            met = counts.value[(windows % _U64(len(counts.value))).astype(np.int64)] > 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _lists(owner[met], windows[met], batch.num_rows)], ["node", "label", "windows"])
 
     return scan
 
@@ -462,9 +478,9 @@ def _links(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return checked.mapInArrow(_verified, "a bigint, b bigint")
 
 
-def _with_labels(met: DataFrame, classes: DataFrame) -> DataFrame:
-    known = hinted(classes).select(F.col("node").alias("c"), "label")
-    return met.join(known, F.col("node") == F.col("c"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+def _with_labels(table: DataFrame, classes: DataFrame) -> DataFrame:
+    known = hinted(classes).select(F.col("node").alias("c"), F.col("label").alias("l"))
+    return table.join(known, F.col("node") == F.col("c"), "left").withColumn("label", F.coalesce("l", "node")).drop("c", "l")
 
 
 def _open_buckets(members: DataFrame) -> DataFrame:
@@ -496,18 +512,44 @@ def _within_buckets(members: DataFrame, buckets: DataFrame, tokens: DataFrame, m
     return rows.join(sides, F.col("node") == F.col("t")).drop("t").groupBy("table", "x", "y").applyInArrow(_crossed, "a bigint, b bigint")
 
 
+def _crowd(members: DataFrame, crowded: DataFrame, marks: DataFrame | None) -> DataFrame:
+    """(node, label, marks): members of crowded buckets, each once. Without marks given, these are the crowded buckets' keys."""
+    crowd = members.join(hinted(crowded.select("k")), F.col("key") == F.col("k"), "left_semi").groupBy("node", "label").agg(F.collect_set("key").alias("marks"))
+    return common.cut_lineage(crowd if marks is None else crowd.drop("marks").join(marks, "node"))
+
+
+def _whole(crowd: DataFrame, main: int, tokens: DataFrame) -> DataFrame:
+    """Links between components of a crowd, each pair met once. Tiles hold texts of one band of length, and either members of
+    the largest component (main) or others; the former only meet the others. Numbers of texts by band reach the driver."""
+    names = [F.col(c).alias(f"c_{c}") for c in ("node", "label", "marks")]
+    texts = tokens.join(hinted(crowd).select(*names), F.col("node") == F.col("c_node")).select("node", F.col("c_label").alias("label"), F.col("c_marks").alias("marks"), "tokens")
+    band = F.floor(F.log(F.octet_length("tokens") / 4) * F.lit(float(BANDS)))
+    texts = common.cut_lineage(texts.withColumns({"band": band, "apart": F.col("label") == main}))
+    sizes = sorted((r["band"], r["apart"], -(-r["n"] // TILE)) for r in texts.groupBy("band", "apart").agg(F.count("*").alias("n")).collect())
+    tiles = [(band, apart) for band, apart, n in sizes for _ in range(n)]
+    firsts = {(band, apart): tiles.index((band, apart)) for band, apart, _ in sizes}
+    met = [(x, y) for x, (low, main_x) in enumerate(tiles) for y, (high, main_y) in enumerate(tiles[x:], x) if high - low <= 2 and not (main_x and main_y)]
+    spark = crowd.sparkSession
+    dealt = spark.createDataFrame([(band, apart, firsts[band, apart], n) for band, apart, n in sizes], "t_band long, t_apart boolean, first long, n long")
+    meets = spark.createDataFrame([(t, x, y) for x, y in met for t in {x, y}], "tile long, x long, y long")
+    rows = texts.join(F.broadcast(dealt), (F.col("band") == F.col("t_band")) & (F.col("apart") == F.col("t_apart")))
+    rows = rows.select(F.lit(0).alias("key"), "node", "label", "marks", "tokens", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("n"))).alias("block"))
+    return rows.join(F.broadcast(meets), F.col("block") == F.col("tile")).drop("tile").groupBy("x", "y").applyInArrow(_crossed, "a bigint, b bigint")
+
+
 def _parted(crowd: DataFrame, tokens: DataFrame, size: int) -> DataFrame:
-    """(key, node): members of crowded buckets (node) by each of their rarest windows of ``size`` words. All buckets go
-    together, so a text has its windows once, however many of them it is in.
+    """(key, node, label): members of a crowd by each of their rarest windows of ``size`` words that another component may hold.
 
     Counts of windows by slot, at most MAX_BROADCAST_WINDOWS of them, reach the driver.
     """
-    texts = common.cut_lineage(_only(tokens, crowd.select("node")).select("node", "tokens"))
+    labels = hinted(crowd).select(F.col("node").alias("c"), "label")
+    texts = common.cut_lineage(tokens.join(labels, F.col("node") == F.col("c")).select("node", "tokens", "label"))
     counts = np.zeros(max(1, MAX_BROADCAST_WINDOWS), np.int32)
-    for row in texts.mapInArrow(_counted(size, len(counts)), "slot bigint, n bigint").groupBy("slot").agg(F.least(F.sum("n"), F.lit(1 << 30)).alias("n")).where(F.col("n") > 1).collect():
-        counts[row["slot"]] = row["n"]
-    windows = texts.mapInArrow(_rarest(size, crowd.sparkSession.sparkContext.broadcast(counts)), "t bigint, windows array<bigint>")
-    return crowd.join(windows, F.col("node") == F.col("t")).select(F.explode("windows").alias("key"), "node")
+    slots = texts.mapInArrow(_counted(size, len(counts)), "slot bigint, n bigint, low bigint, high bigint").groupBy("slot").agg(F.least(F.sum("n"), F.lit(1 << 30)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    held = slots.where(F.col("low") != F.col("high")).select("slot", "n").toArrow()
+    counts[held.column("slot").to_numpy()] = held.column("n").to_numpy()
+    windows = texts.mapInArrow(_rarest(size, crowd.sparkSession.sparkContext.broadcast(counts)), "node bigint, label bigint, windows array<bigint>")
+    return windows.select(F.explode("windows").alias("key"), "node", "label")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -521,22 +563,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens = common.cut_lineage(tokens.dropDuplicates(["node"]))
     classes = common.cut_lineage(components(common.cut_lineage(_links(pairs, tokens))))
     # Two members are compared as leader and member already.
-    members, marks = common.cut_lineage(_with_labels(met.where(F.col("n") > 2), classes)), None
+    members, marks = common.cut_lineage(_with_labels(met.where(F.col("n") > 2).select("key", "node"), classes)), None
     in_crowd = F.col("n_rest") + F.col("n_main") > CROWD
-    for size in (2, 1, 0):  # of the windows that part what is crowded; in the end, the rest is compared whole
+    for size in (2, 1, 0):  # of the windows that part a crowd; sizes decide which way its pairs are found, not which
         buckets = common.cut_lineage(_open_buckets(members))
-        pairs_left = F.sum(F.when(in_crowd, F.col("n_rest") * (F.col("n_rest") + F.col("n_main"))))
-        last = not size or (buckets.agg(pairs_left).first()[0] or 0) <= LEFT
-        links = common.cut_lineage(_within_buckets(members, buckets if last else buckets.where(~in_crowd), tokens, marks))
+        crowd = _crowd(members, buckets.where(in_crowd), marks)
+        sizes = crowd.groupBy("label").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main")).first()
+        n, n_main, main = (sizes["n"], sizes["main"]["n"], sizes["main"]["label"]) if sizes["n"] else (0, 0, 0)
+        few = (n - n_main) * (n + n_main) // 2 <= LEFT
+        last = few or not size
+        links = _within_buckets(members, buckets.where(~in_crowd), tokens, marks)
+        if n and last:
+            links = links.union(_whole(crowd, main, tokens) if few else _within_buckets(members, buckets.where(in_crowd), tokens, marks))
+        links = common.cut_lineage(links)
         if not links.isEmpty():
             classes = merge_classes(classes, links)
         if last:
             break
-        crowd = members.join(hinted(buckets.where(in_crowd).select("k")), F.col("key") == F.col("k"), "left_semi").select("key", "node")
-        if marks is None:
-            marks = common.cut_lineage(crowd.groupBy("node").agg(F.collect_set("key").alias("marks")))
-        crowd = common.cut_lineage(crowd.select("node").distinct())
-        members = common.cut_lineage(_with_labels(_parted(crowd, tokens, size), classes))
+        marks = crowd.select("node", "marks") if marks is None else marks
+        members = common.cut_lineage(_parted(common.cut_lineage(_with_labels(crowd, classes)), tokens, size))
     return texts.mapInArrow(_named, f"id {texts.schema['id'].dataType.simpleString()}, node bigint, n_words bigint"), classes
 
 
