@@ -21,9 +21,9 @@ def gathered(table: DataFrame) -> DataFrame:
     return table.coalesce(1) if table.count() <= FEW else table
 
 
-def hinted(table: DataFrame) -> DataFrame:
-    """A written table, broadcast if it is small: what it is joined with needs no shuffle then."""
-    return F.broadcast(table) if table.count() <= FEW else table
+def hinted(table: DataFrame, most: int = FEW) -> DataFrame:
+    """A written table, broadcast if it has few rows: what it is joined with needs no shuffle then."""
+    return F.broadcast(table) if table.count() <= most else table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

@@ -68,6 +68,8 @@ BANDS = 2 / np.log(1.2501)
 MAX_BROADCAST_WINDOWS = 1_000_000
 #: Nodes (8 bytes each) up to which they are broadcast to pick their texts; more of them are joined by a shuffle.
 MAX_BROADCAST_NODES = 1_000_000
+#: Buckets (24 bytes each) up to which they are broadcast to pick their entries, as most entries have a bucket of their own.
+MAX_BROADCAST_BUCKETS = 1_000_000
 #: Edits allowed from which a text's alignment is first tried greedily.
 WIDE = 64
 #: Bins and levels of the clipped counts of words and pairs.
@@ -444,7 +446,7 @@ def _met(entries: DataFrame) -> DataFrame:
     """
     buckets = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where(F.col("n") > 1)
     buckets = common.cut_lineage(buckets.withColumnRenamed("key", "k"))
-    return common.cut_lineage(entries.join(hinted(buckets), F.col("key") == F.col("k")).select("key", "node", "n", "low"))
+    return common.cut_lineage(entries.join(hinted(buckets, MAX_BROADCAST_BUCKETS), F.col("key") == F.col("k")).select("key", "node", "n", "low"))
 
 
 def _paired(one: str, other: str) -> list:
