@@ -25,6 +25,7 @@ from .common import WORD_SQL, cut_lineage, read_table, shielded
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_REPEATS = 2
+SPACE_SQL = r"[\x20\x09-\x0D]+"
 #: 12 bits a level: 4096 buckets a source.
 LEVELS = (48, 36)
 #: The table of sources is broadcast up to this many rows; beyond it the joins shuffle and adaptive execution splits
@@ -35,7 +36,15 @@ MAX_BROADCAST_SOURCES = 100_000
 def row_hash(id_col: str, text_col: str) -> Column:
     """60 bits of the md5 of the id and the text, so that different texts of one id part."""
     written = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(written), 1, 15), 16, 10).cast("long")
+    # Never null; said so that no plan hashes once more to see whether it is.
+    return F.coalesce(F.conv(F.substring(F.md5(written), 1, 15), 16, 10).cast("long"), F.lit(0).cast("long"))
+
+
+def word_count(text_col: str) -> Column:
+    """Words of a text, 0 if it is null. Each becomes one letter, and these are counted: ``regexp_count`` would hold all
+    words at once, each as a string of its own, which takes many times the memory of the text."""
+    marks = F.regexp_replace(text_col, WORD_SQL, "x")
+    return F.coalesce(F.length(F.regexp_replace(marks, SPACE_SQL, "")), F.lit(0)).cast("long")
 
 
 def by_source(sources: DataFrame, few: bool) -> DataFrame:
@@ -106,8 +115,7 @@ def thresholds(base: DataFrame, targets: DataFrame, few: bool) -> DataFrame:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_SQL + "+")), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), row_hash(id_col, text_col).alias("h"))
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), row_hash(id_col, text_col).alias("h"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -128,8 +136,9 @@ def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     targets = cut_lineage(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_repeats))
     few = targets.count() <= MAX_BROADCAST_SOURCES
     limits = thresholds(base, targets, few).select(F.col("s").alias("_s"), F.col("times").alias("_times"), "last_hash")
-    joined = docs.join(by_source(limits, few), F.col(source_col).eqNullSafe(F.col("_s")))
-    taken = joined.withColumn("times", F.col("_times") + (row_hash(id_col, text_col) <= F.col("last_hash")).cast("long"))
+    # Hashed below the join: above it, the filter on times would hash every text a second time.
+    joined = docs.withColumn("_h", row_hash(id_col, text_col)).join(by_source(limits, few), F.col(source_col).eqNullSafe(F.col("_s")))
+    taken = joined.withColumn("times", F.col("_times") + (F.col("_h") <= F.col("last_hash")).cast("long"))
     return taken.where(F.col("times") > 0).select(*docs.columns, "times")
 
 
