@@ -1,12 +1,15 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import hashlib
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, html_extract, language_id, line_dedup, mixing, near_dedup, pii, quality_rules, suffix_dedup, url_filter
+from tidemark.llm import common, decontaminate, html_extract, language_id, line_dedup, mixing, near_dedup, pii, quality_rules, suffix_dedup, url_filter
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
 PROSE = " ".join(WORDS[i * 7 % 12] + str(i % 5) for i in range(120))
@@ -150,3 +153,39 @@ def test_the_shortest_texts_are_scored_or_rejected():
     languages, scores, losses, rejected = models.predict(["a", "o", "ñ", "я", "中文", "中文中文中", "", None, "7 !"])
     assert languages[:3] == ["en", "es", "es"] and not rejected[:2].any() and (losses[:3] > 0).all()
     assert rejected[3:].all() and (scores[3:] == 0).all() and languages[6:] == ["und"] * 3 and "und" not in languages[:6]
+
+
+def peak(run) -> int:
+    """Bytes that a call holds at most."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_hashing_holds_little_memory(monkeypatch):
+    """Words are hashed in blocks, which change no hash: empty words, words longer than a block, overlapping ones."""
+    data = np.random.default_rng(3).integers(0, 256, 4 << 20).astype(np.uint8)
+    starts = np.arange(0, len(data), 64)
+    assert peak(lambda: common.hash_segments(data, starts, starts + 60)) < 4 * len(data)
+    starts, ends = np.array([0, 5, 5, 7, 400, 650, 650]), np.array([5, 5, 300, 400, 402, 650, 700])
+    found = []
+    for block in (1, 90, 1 << 17):
+        monkeypatch.setattr(common, "HASHED", block)
+        found.append(common.hash_segments(data[:700], starts, ends).tolist())
+    base, plain = int(common.powers(2)[1]), []
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        plain.append((sum(int(common._BYTE[x]) * base**k for k, x in enumerate(data[a:b].tolist())) + b - a) % (1 << 64))
+    assert found[0] == found[1] == found[2] == common.mix(np.array(plain, np.uint64)).tolist()
+
+
+def test_pairs_are_verified_a_few_at_a_time():
+    """A batch of 40 pairs of long texts: no copy of them all is held, and every pair is judged."""
+    text = np.arange(50_000, dtype=np.uint32)
+    left, right = [text.tobytes()] * 40, [text.tobytes() if k % 2 else (text[::-1]).tobytes() for k in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(range(100, 140)), pa.array(left), pa.array(right)], ["a", "b", "t_a", "t_b"])
+    rows: list[dict] = []
+    assert peak(lambda: rows.extend(r for out in near_dedup._verified(iter([batch])) for r in out.to_pylist())) < 12_000_000
+    assert rows == [{"a": k, "b": k + 100} for k in range(1, 40, 2)]

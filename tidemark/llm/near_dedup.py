@@ -344,7 +344,7 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> bool
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.slices(common.slices(batches, 2, CHUNK), 3, CHUNK):
         left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         kept = pa.array([similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(left, right)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(kept)
