@@ -47,3 +47,31 @@ def test_nearest_lags_are_found_without_pairs_of_rows(spark, no_pairs, step):
     bound = lambda n, p=1 / 6: p + 2 * (p * (1 - p) / n) ** 0.5
     assert got == {p: w for p, w in want.items() if w[1] >= bound(len(plain_lags(rows, *p)))} and got
     assert graph.lag_edges(events, edges.where("a = 'none'"), 0.0, HOUR).count() == 0
+
+
+def plain_gaps(rows):
+    """(symbol, gap) of each pair of rows of one key and different channels."""
+    return [(s, t - u) for _, _, c, s, _, t in rows for _, _, d, z, _, u in rows if s == z and c != d and 0 < t - u <= graph.HORIZON_MS]
+
+
+@pytest.mark.parametrize("step", [1, 600_000])
+def test_gaps_are_summed_without_pairs_of_rows(spark, no_pairs, step):
+    rows = crowded(200, step=step)
+    gaps = plain_gaps(rows)
+    want = {s: (len(g), sum(g), min(g), max(g)) for s in "AB" if (g := [x for z, x in gaps if z == s])}
+    events = spark.createDataFrame(rows, EVENTS)
+    assert {r["symbol"]: (r["n"], r["total"], r["least"], r["most"]) for r in graph.lag_sums(events).collect()} == want
+    assert graph.lag_sums(events.where("channel = 'c0'")).count() == 0
+
+
+@pytest.mark.parametrize("step", [1, 600_000])
+def test_histogram_counts_without_pairs_of_rows(spark, no_pairs, step):
+    import math
+
+    rows = crowded(200, seed=8, step=step)
+    logs = [math.log(max(g, 1000)) for _, g in plain_gaps(rows)]
+    lo, hi = min(logs), max(logs)
+    bins = [min(math.floor((x - lo) / (hi - lo) * 24), 23) for x in logs]
+    events = spark.createDataFrame(rows, EVENTS)
+    assert {r["bin"]: r["n"] for r in graph.lag_histogram(events).collect()} == {b: bins.count(b) for b in set(bins)}
+    assert graph.lag_histogram(events.where("channel = 'c0'")).count() == 0
