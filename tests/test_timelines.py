@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import graph
 
+import plain_graph
+
 EVENTS = "seq long, id string, channel string, symbol string, direction string, ts_ms long"
 HOUR = 3_600_000
 
@@ -75,3 +77,13 @@ def test_histogram_counts_without_pairs_of_rows(spark, no_pairs, step):
     events = spark.createDataFrame(rows, EVENTS)
     assert {r["bin"]: r["n"] for r in graph.lag_histogram(events).collect()} == {b: bins.count(b) for b in set(bins)}
     assert graph.lag_histogram(events.where("channel = 'c0'")).count() == 0
+
+
+def test_typical_lag_is_fitted_to_counts_of_gaps(spark, no_pairs):
+    rows = crowded(60, step=30_000, hours=12)
+    rows += [(1000 + i, *r[1:]) for i, r in enumerate(rows[:20])]  # equal times count with their product of numbers
+    events = spark.createDataFrame(rows, EVENTS)
+    tau = graph.self_tune_lag(events)
+    assert tau["n"] == len(plain_gaps(rows))
+    assert tau["tau_ms"] == pytest.approx(plain_graph.tune_lag([(f"{s}|long", t, c) for _, _, c, s, _, t in rows]), rel=1e-9)
+    assert graph.self_tune_lag(events.where("channel = 'c0'"))["n"] == 0
