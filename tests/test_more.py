@@ -253,3 +253,10 @@ def test_screen_of_many_channels(spark):
             if 2 * m / (totals[a] + totals[b]) >= 0.3:
                 want[a, b] = round(2 * m / (totals[a] + totals[b]), 9)
     assert got == want and len(want) > 50
+
+
+@pytest.mark.parametrize("xs", [[0.1, 0.2, -0.3], [-0.3, 0.2, 0.1], [0.7, 0.1, -0.8]])
+def test_a_fold_that_sums_to_nothing_is_no_gain_in_any_order(spark, xs):
+    rows = spark.createDataFrame([(x,) for x in xs], "r double").coalesce(1)
+    assert rows.agg(stats.steady_mean("r")).first()[0] == 0.0
+    assert rows.union(rows.limit(1)).agg(stats.steady_mean("r")).first()[0] == pytest.approx(xs[0] / 4)

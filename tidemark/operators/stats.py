@@ -68,6 +68,12 @@ def standard_error(value: str) -> Column:
     return F.coalesce(F.stddev_samp(value) / F.sqrt(F.count(value)), F.lit(0.0))
 
 
+def steady_mean(value: str) -> Column:
+    """The mean; 0 if it is within rounding of its terms, so that its sign doesn't depend on the order they are added in."""
+    mean = F.avg(value)
+    return F.when(F.abs(mean) <= F.avg(F.abs(value)) * F.count(value) * 2.0**-52, 0.0).otherwise(mean)
+
+
 def percentiles(value: str, names: dict[str, float], digits: int = 6) -> list[Column]:
     return [F.coalesce(F.round(F.percentile(value, p), digits), F.lit(0.0)).alias(name) for name, p in names.items()]
 
@@ -463,8 +469,8 @@ def _reality(spark, sf_dir):
    round(support * stability * significance, 6) >= 0.6 AND n >= 40 AS reliable FROM x""")
 def _reliability(spark, sf_dir):
     rows = returns(spark, sf_dir)
-    folds = rows.groupBy("k", (F.col("o") % 4).alias("fold")).agg(F.avg("r").alias("m")).groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("fold", "m"))), lambda x: x["m"]).alias("ms"))
-    whole = rows.groupBy("k").agg(F.count("*").alias("n"), F.avg("r").alias("m"), F.coalesce(F.stddev_samp("r"), F.lit(0.0)).alias("sd"))
+    folds = rows.groupBy("k", (F.col("o") % 4).alias("fold")).agg(steady_mean("r").alias("m")).groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("fold", "m"))), lambda x: x["m"]).alias("ms"))
+    whole = rows.groupBy("k").agg(F.count("*").alias("n"), steady_mean("r").alias("m"), F.coalesce(F.stddev_samp("r"), F.lit(0.0)).alias("sd"))
     parts = reliability(F.col("ms"), F.col("n"), F.col("n"), F.col("m"), F.col("sd"))
     out = whole.join(folds, "k").select("k", "n", *[F.round(c, 6).alias(name) for name, c in parts.items()])
     return out.withColumn("reliable", (F.col("confidence") >= 0.6) & (F.col("n") >= 40))
