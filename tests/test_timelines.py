@@ -87,3 +87,14 @@ def test_typical_lag_is_fitted_to_counts_of_gaps(spark, no_pairs):
     assert tau["n"] == len(plain_gaps(rows))
     assert tau["tau_ms"] == pytest.approx(plain_graph.tune_lag([(f"{s}|long", t, c) for _, _, c, s, _, t in rows]), rel=1e-9)
     assert graph.self_tune_lag(events.where("channel = 'c0'"))["n"] == 0
+
+
+def test_excitation_is_summed_without_pairs_of_rows(spark, no_pairs):
+    rng, rows = random.Random(4), []
+    for k in range(60):
+        at = k * 3_000_000 + rng.randrange(600) * 1000
+        rows += [("lead", at), ("echo", at + rng.choice([0, 60_000, 90_000])), (rng.choice("xy"), rng.randrange(180_000_000))]
+    rows = [(i, str(i), c, "A", "long", t) for i, (c, t) in enumerate(sorted(rows, key=lambda r: r[1]))]
+    local = [("A|long", t, c) for _, _, c, _, _, t in rows]
+    got = {(r["leader"], r["follower"]) for r in graph.hawkes_graph(spark.createDataFrame(rows, EVENTS), 180_000.0).collect()}
+    assert got == set(plain_graph.excited_edges(local, 180_000.0)) and ("lead", "echo") in got
