@@ -1,9 +1,9 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from tidemark.operators import graph
+from tidemark.operators import graph, pipelines  # noqa: F401
+from tidemark.plans import registry
 
 import plain_graph
 
@@ -98,3 +98,8 @@ def test_excitation_is_summed_without_pairs_of_rows(spark, no_pairs):
     local = [("A|long", t, c) for _, _, c, _, _, t in rows]
     got = {(r["leader"], r["follower"]) for r in graph.hawkes_graph(spark.createDataFrame(rows, EVENTS), 180_000.0).collect()}
     assert got == set(plain_graph.excited_edges(local, 180_000.0)) and ("lead", "echo") in got
+
+
+@pytest.mark.parametrize("name", ["author_influence", "author_clusters", "viability"])
+def test_queries_join_no_pairs_of_rows(spark, sf_dir, no_pairs, name):
+    assert registry.QUERIES[name](spark, sf_dir).count() > 0
