@@ -100,6 +100,6 @@ def test_excitation_is_summed_without_pairs_of_rows(spark, no_pairs):
     assert got == set(plain_graph.excited_edges(local, 180_000.0)) and ("lead", "echo") in got
 
 
-@pytest.mark.parametrize("name", ["author_influence", "author_clusters", "viability"])
+@pytest.mark.parametrize("name", ["author_influence", "author_clusters", "viability", "predict_verdicts"])
 def test_queries_join_no_pairs_of_rows(spark, sf_dir, no_pairs, name):
     assert registry.QUERIES[name](spark, sf_dir).count() > 0
